@@ -71,10 +71,14 @@ def instruction_prompt(obj: Column, parts: Column, per_part: int = 3, max_words:
     )
 
 
+def one_line_base64(content: Column) -> Column:
+    return F.translate(F.base64(content), "\r\n", "")
+
+
 def image_part(path: Column, content: Column) -> Column:
     return F.struct(
         F.lit(None).cast("string").alias("text"),
-        F.struct(mime_type(path).alias("mime_type"), F.base64(content).alias("data")).alias("inline_data"),
+        F.struct(mime_type(path).alias("mime_type"), one_line_base64(content).alias("data")).alias("inline_data"),
     )
 
 
@@ -105,12 +109,15 @@ def response_text(response: Column, *, strip_first: bool = True) -> Column:
     """
     parts = F.get(F.from_json(response, RESPONSE_SCHEMA)["candidates"], F.lit(0))["content"]["parts"]
     joined = F.array_join(F.filter(F.transform(parts, lambda p: p["text"]), lambda t: t.isNotNull()), "")
-    cleaned = strip(joined)
-    tested = cleaned if strip_first else joined
-    error = F.when(parts.isNull(), F.lit("unsupported response structure")).when(
-        tested == "", F.lit("response content must include text")
-    )
-    return F.struct(F.when(error.isNull(), cleaned).alias("text"), error.alias("error"))
+
+    def judge(raw: Column) -> Column:
+        tested = strip(raw) if strip_first else raw
+        error = F.when(raw.isNull(), F.lit("unsupported response structure")).when(
+            tested == "", F.lit("response content must include text")
+        )
+        return F.struct(F.when(tested != "", strip(raw)).alias("text"), error.alias("error"))
+
+    return let(joined, judge)
 
 
 def unfence(text: Column) -> Column:
@@ -191,13 +198,20 @@ DECISION_FLAGS = ("recognizable_from_mask_only", "clear_not_blurry", "severe_cro
 
 def parse_decision(value: Column, flags: tuple[str, ...] = DECISION_FLAGS) -> Column:
     """`struct(<flags>, short_reason, error)`; every key is required."""
-    error = F.when(value.isNull(), F.lit("no object"))
-    for name in (*flags, "short_reason"):
-        error = error.when(field(value, name).isNull(), F.lit(f"missing key: {name}"))
-    ok = error.isNull()
-    columns = [F.when(ok, truthy(field(value, name))).alias(name) for name in flags]
-    reason = F.when(ok, plain_text(field(value, "short_reason"))).alias("short_reason")
-    return F.struct(*columns, reason, error.alias("error"))
+
+    def judge(found: Column) -> Column:
+        error = F.when(found.isNull(), F.lit("no object"))
+        for name in (*flags, "short_reason"):
+            error = error.when(field(found, name).isNull(), F.lit(f"missing key: {name}"))
+
+        def report(problem: Column) -> Column:
+            columns = [F.when(problem.isNull(), truthy(field(found, name))).alias(name) for name in flags]
+            reason = F.when(problem.isNull(), plain_text(field(found, "short_reason")))
+            return F.struct(*columns, reason.alias("short_reason"), problem.alias("error"))
+
+        return let(error, report)
+
+    return let(value, judge)
 
 
 def decision_reasons(recognizable: Column, clear: Column, cropped: Column, interactive: Column, passed: Column) -> Column:
@@ -208,8 +222,11 @@ def decision_reasons(recognizable: Column, clear: Column, cropped: Column, inter
         F.when(cropped, F.lit("severe_crop")),
         F.when(~interactive, F.lit("non_interactive_object")),
     )
-    reasons = F.filter(listed, lambda r: r.isNotNull())
-    return F.when(~passed & (F.size(reasons) == 0), F.array(F.lit("model_rejected"))).otherwise(reasons)
+    lone = F.array(F.lit("model_rejected"))
+    return let(
+        F.filter(listed, lambda r: r.isNotNull()),
+        lambda reasons: F.when(~passed & (F.size(reasons) == 0), lone).otherwise(reasons),
+    )
 
 
 def normalize_instruction(text: Column) -> Column:

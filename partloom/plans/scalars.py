@@ -48,14 +48,14 @@ def ids(spark, d):
     )
 
 
-ODD_TEXT = "CASE turn % 3 WHEN 0 THEN '  _' || text || '__! ' WHEN 1 THEN upper(text) ELSE ' ' || chr(160) || chr(9) END"
+ODD_TEXT = "CASE turn % 3 WHEN 0 THEN '  _' || text || '__! ' WHEN 1 THEN translate(text, 'aeiou', 'AEIOU') ELSE ' ' || chr(160) || chr(9) END"
 
 
 def odd_texts(spark, d):
     turn, text = F.col("turn") % 3, F.col("text")
     odd = (
         F.when(turn == 0, F.concat(F.lit("  _"), text, F.lit("__! ")))
-        .when(turn == 1, F.upper(text))
+        .when(turn == 1, F.translate(text, "aeiou", "AEIOU"))
         .otherwise(F.lit("  \t"))
     )
     return t.table(spark, d, "conversations").select("conv_id", "turn", odd.alias("odd"))

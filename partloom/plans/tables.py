@@ -450,7 +450,7 @@ def answers(spark: SparkSession, d: str) -> DataFrame:
 
 SQL["fx_instructions"] = """
 SELECT conv_id, turn, role, CASE turn % 4 WHEN 0 THEN '- ' || text WHEN 1 THEN '1. ' || text
-  WHEN 2 THEN '  "' || text || '"' ELSE upper(text) END AS raw
+  WHEN 2 THEN '  "' || text || '"' ELSE translate(text, 'aeiou', 'AEIOU') END AS raw
 FROM conversations"""
 
 
@@ -460,7 +460,7 @@ def raw_instructions(spark: SparkSession, d: str) -> DataFrame:
         F.when(turn == 0, F.concat(F.lit("- "), text))
         .when(turn == 1, F.concat(F.lit("1. "), text))
         .when(turn == 2, F.concat(F.lit('  "'), text, F.lit('"')))
-        .otherwise(F.upper(text))
+        .otherwise(F.translate(text, "aeiou", "AEIOU"))
     )
     return table(spark, d, "conversations").select("conv_id", "turn", "role", raw.alias("raw"))
 

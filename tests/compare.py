@@ -50,7 +50,7 @@ def compare(spark, con, query, d: str) -> str | None:
         return f"{len(spark_rows)} rows / {len(sql_rows)} rows; {spark_rows[:2]} / {sql_rows[:2]}"
     for mine, other in zip(spark_rows, sql_rows):
         if mine != other or [type(x) for x in mine] != [type(x) for x in other]:
-            return f"{spark_names}: {mine} / {other}"
+            return f"{spark_names}: {str(mine)[:400]} / {str(other)[:400]}"
     return None if spark_rows else "no rows"
 
 
@@ -60,7 +60,7 @@ def main(argv: list[str]) -> int:
 
     d = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     wanted = argv[2:] or list(REGISTRY)
-    spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false"})
+    spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "12g", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(d)
     bad = 0

@@ -165,14 +165,21 @@ def parse_model_json(text: Column, recovery: str = "none") -> Column:
     }
 
     def judge(found: Column) -> Column:
-        is_list = is_kind(found, "ARRAY")
-        first = F.when(is_list, F.try_variant_get(found, "$[0]", "variant")).otherwise(found)
-        error = (
-            F.when(found.isNull(), F.lit("invalid JSON"))
-            .when(is_list & ~is_kind(first, "OBJECT"), F.lit("response JSON list must contain an object"))
-            .when(~is_kind(first, "OBJECT"), F.lit("response JSON must decode to an object"))
-        )
-        return F.struct(F.when(error.isNull(), first).alias("value"), error.alias("error"))
+        return let(is_kind(found, "ARRAY"), lambda listed: let(_head(found, listed), lambda h: report(found, listed, h)))
+
+    def _head(found: Column, listed: Column) -> Column:
+        return F.when(listed, F.try_variant_get(found, "$[0]", "variant")).otherwise(found)
+
+    def report(found: Column, listed: Column, head: Column) -> Column:
+        def verdict(fits: Column) -> Column:
+            error = (
+                F.when(found.isNull(), F.lit("invalid JSON"))
+                .when(~fits & listed, F.lit("response JSON list must contain an object"))
+                .when(~fits, F.lit("response JSON must decode to an object"))
+            )
+            return F.struct(F.when(fits, head).alias("value"), error.alias("error"))
+
+        return let(is_kind(head, "OBJECT"), verdict)
 
     return let(let(unfence(strip(F.coalesce(text, F.lit("")))), readers[recovery]), judge)
 

@@ -89,17 +89,18 @@ def parse_decisions(spark, d):
 @query(
     "decision_reasons",
     views("fx_decisions")
-    + """SELECT event_id, CASE WHEN reasons = '' AND NOT "pass" THEN 'model_rejected' ELSE reasons END AS reasons FROM (
+    + """SELECT event_id, CASE WHEN "pass" IS NULL THEN NULL WHEN reasons = '' AND NOT "pass" THEN 'model_rejected' ELSE reasons END AS reasons FROM (
 SELECT event_id, "pass", array_to_string(list_filter([
   CASE WHEN NOT recognizable_from_mask_only THEN 'not_recognizable_from_mask_only' END,
   CASE WHEN NOT clear_not_blurry THEN 'not_clear' END, CASE WHEN severe_crop THEN 'severe_crop' END,
   CASE WHEN NOT interactive_object THEN 'non_interactive_object' END], lambda r: r IS NOT NULL), ',') AS reasons
-FROM fx_decisions WHERE "pass" IS NOT NULL)""",
+FROM fx_decisions )""",
 )
 def decision_reasons(spark, d):
     reasons = model_text.decision_reasons(*[F.col(n) for n in model_text.DECISION_FLAGS])
-    judged = decisions(spark, d).filter(F.col("pass").isNotNull())
-    return judged.select("event_id", F.array_join(reasons, ",").alias("reasons"))
+    return decisions(spark, d).select(
+        "event_id", F.when(F.col("pass").isNotNull(), F.array_join(reasons, ",")).alias("reasons")
+    )
 
 
 WS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"

@@ -25,7 +25,7 @@ def align_arrays(pairs: DataFrame) -> DataFrame:
     zipped = F.arrays_zip(F.slice("prob", F.lit(1), count).alias("prob"), F.slice("target", F.lit(1), count).alias("target"))
     kept = [c for c in pairs.columns if c not in ("prob", "target")]
     return pairs.select(*kept, F.posexplode(zipped).alias("pos", "_z")).select(
-        *kept, F.col("pos").cast("bigint").alias("pos"), F.col("_z")["0"].alias("prob"), F.col("_z")["1"].alias("target")
+        *kept, F.col("pos").cast("bigint").alias("pos"), "_z.prob", "_z.target"
     )
 
 

@@ -1 +1,129 @@
+"""Sources and sinks: documents are written from the tables, then scanned like any other input."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from partloom.operators import fusion, lifting
+from partloom.plans import labels, tables as t
+from partloom.plans.registry import query
+from partloom.plans.tables import views
+from partloom.session import scratch_path
+from partloom.sources import documents, schemas, writers
+from partloom.streaming import progress
+
+
+@query(
+    "scan_annotations",
+    views("fx_instances")
+    + """SELECT annotation_id, image_id, category_id, category_name, coco_url, x, y, w, h, area FROM fx_instances""",
+)
+def scan_annotations(spark, d):
+    """Annotation documents of 256 images each, scanned back into three tables and joined."""
+    from partloom.operators.instances import join_instances
+
+    joined = t.instances(spark, d)
+    # A document holds the annotations of one run of images; eight documents share it, so none grows large.
+    run = t.div(F.col("image_id"), 256)
+    docs = joined.groupBy(run.alias("run"), (F.col("annotation_id") % 8).alias("share")).agg(
+        F.collect_set(
+            F.struct(F.col("image_id").alias("id"), "coco_url", F.col("image_width").alias("width"), F.col("image_height").alias("height"))
+        ).alias("images"),
+        F.collect_set(F.struct(F.col("category_id").alias("id"), F.col("category_name").alias("name"))).alias("categories"),
+        F.collect_list(
+            F.struct(F.col("annotation_id").alias("id"), "image_id", "category_id", F.array("x", "y", "w", "h").alias("bbox"), "area")
+        ).alias("annotations"),
+    )
+    path = scratch_path(spark, "annotations")
+    writers.write_json_documents(docs.drop("run", "share"), path)
+    read = documents.scan_annotations(spark, path, one_document=False)
+    return join_instances(read.annotations, read.categories, read.images).select(
+        "annotation_id", "image_id", "category_id", "category_name", "coco_url", "x", "y", "w", "h", "area"
+    )
+
+
+@query(
+    "scan_manifest",
+    views("fx_manifest")
+    + """SELECT sample_id, object_id, category_name, part_name, target_index, object_split, instruction_split, category_split FROM fx_manifest""",
+)
+def scan_manifest(spark, d):
+    """Manifests of up to 50 rows each, written as documents and scanned back."""
+    rows = t.manifest(spark, d)
+    names = ["sample_id", "object_id", "category_name", "part_name", "target_index", "object_split", "instruction_split", "category_split"]
+    packs = rows.groupBy("pack").agg(F.collect_list(F.struct(*names)).alias("rows"))
+    path = scratch_path(spark, "manifest")
+    writers.write_json_documents(packs.select("rows"), path)
+    return documents.scan_manifest(spark, path, one_document=False).select(*names)
+
+
+@query(
+    "scan_sidecars",
+    """SELECT printf('object_%06d', user_id) AS object_id, row_number() OVER (PARTITION BY user_id ORDER BY event_type) - 1 AS part_pos,
+  event_type AS part_name, 'the ' || event_type || ' of the chair' AS prompt FROM (SELECT DISTINCT user_id, event_type FROM events)""",
+)
+def scan_sidecars(spark, d):
+    """One prompt file per object, scanned back with the object id from its folder."""
+    parts = t.table(spark, d, "events").select(t.object_name("user_id").alias("object_id"), "event_type").distinct()
+    prompt = F.concat(F.lit("the "), "event_type", F.lit(" of the chair"))
+    item = F.struct(F.col("event_type").alias("part_name"), prompt.alias("prompt"), prompt.alias("base_prompt"))
+    # Event types are a short fixed list, so an object's parts are a short list.
+    docs = parts.groupBy("object_id").agg(
+        F.to_json(F.struct(F.lit("chair").alias("object_name"), F.sort_array(F.collect_list(item)).alias("parts"))).alias("value")
+    )
+    path = scratch_path(spark, "sidecars")
+    writers.write_sidecars(docs, path, "prompt")
+    read = documents.scan_sidecars(spark, f"{path}/*/*", schemas.PART_PROMPTS)
+    listed = documents.exploded(read, "parts", "part_pos")
+    return listed.select("object_id", F.col("part_pos").cast("bigint").alias("part_pos"), "part_name", "prompt")
+
+
+@query(
+    "label_tables",
+    views("fx_best")
+    + """SELECT object_id, count(*) AS num_points, count(*) FILTER (max_score < 0.3) AS num_unknown, sum(best_part)::BIGINT AS part_sum,
+  (SELECT count(*) FROM fx_scores s WHERE s.object_id = b.object_id AND score > 0) AS num_members FROM fx_best b GROUP BY object_id""",
+)
+def label_tables(spark, d):
+    """Membership and unknown-mask tables, bucketed by object, written and read back."""
+    scored = labels.scores(spark, d)
+    members, mask = scratch_path(spark, "membership"), scratch_path(spark, "unknown_mask")
+    writers.write_bucketed(scored, members, "object_id", 8)
+    stored = writers.read_bucketed(spark, members)
+    writers.write_bucketed(fusion.unknown_mask(lifting.best_part(stored)), mask, "object_id", 8)
+    counted = stored.groupBy("object_id").agg(F.count_if(F.col("score") > 0).alias("num_members"))
+    points = writers.read_bucketed(spark, mask).groupBy("object_id").agg(
+        F.count(F.lit(1)).alias("num_points"), F.count_if("unknown").alias("num_unknown"), F.sum("best_part").alias("part_sum")
+    )
+    return points.join(counted, "object_id")
+
+
+@query(
+    "incremental_progress",
+    """SELECT CASE WHEN event_id % 7 = 0 THEN 'failed' ELSE 'completed' END AS status, count(*) AS num_units,
+  sum(event_id % 10)::BIGINT AS num_records FROM events GROUP BY 1""",
+)
+def incremental_progress(spark, d):
+    """Events as units that arrive in two lots; the second run sees everything and adds only what is new."""
+    units = t.table(spark, d, "events").select(F.col("event_id").cast("string").alias("unit"), (F.col("event_id") % 10).alias("num_records"))
+    root = scratch_path(spark, "incremental")
+    source, sink = f"{root}/source", f"{root}/progress"
+
+    def process(batch):
+        status = F.when(F.col("unit").cast("bigint") % 7 == 0, "failed").otherwise("completed")
+        return batch.select("unit", status.alias("status"), "num_records")
+
+    def run():
+        progress.run_incremental(
+            spark, source, "unit string, num_records bigint", sink, f"{root}/state", keys=["unit"], process=process,
+            progress_schema=schemas.PROGRESS,
+        )
+
+    first = F.col("unit").cast("bigint") % 2 == 0
+    done = F.col("unit").cast("bigint") % 7 != 0
+    units.filter(first).write.mode("append").parquet(source)
+    run()
+    # The second lot repeats finished units of the first one: they are skipped.
+    units.filter(~first).unionByName(units.filter(first & done)).write.mode("append").parquet(source)
+    run()
+    return progress.progress_counters(spark.read.parquet(sink))

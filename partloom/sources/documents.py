@@ -57,7 +57,7 @@ def scan_manifest(spark: SparkSession, path: str, row_schema: str = schemas.MANI
 def scan_sidecars(spark: SparkSession, glob: str, schema: str) -> DataFrame:
     """Per-object JSON files; `object_id` is the name of the folder the file (or its stage folder) is in."""
     texts = spark.read.format("text").option("wholetext", True).load(glob)
-    folder = F.regexp_extract("_metadata.file_path", r"/([^/]+)/(?:source|prompt|render|seg2d|project3d|label3d)/[^/]+$", 1)
+    folder = F.regexp_extract("_metadata.file_path", r"/(?:object=)?([^/=]+)/(?:stage=)?(?:source|prompt|render|seg2d|project3d|label3d)/[^/]+$", 1)
     return texts.select(folder.alias("object_id"), F.from_json("value", schema).alias("doc"))
 
 

@@ -129,12 +129,12 @@ def unfence(text: Column) -> Column:
 def whole_json(text: Column) -> Column:
     """VARIANT of a text that is one JSON value and nothing else, else null.
 
-    The parser ignores what follows the first value, so the text is also tried inside an array and
-    inside an object: trailing text breaks at least one of the two.
+    The parser ignores what follows the first value, so the text is read inside an array and inside an
+    object: trailing text breaks at least one of the two.
     """
     in_array = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     in_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    return F.when(in_array.isNotNull() & in_object.isNotNull(), F.try_parse_json(text))
+    return let(in_object, lambda o: F.when(o.isNotNull() & in_array.isNotNull(), F.try_variant_get(o, "$.v", "variant")))
 
 
 def _from_first(text: Column, mark: str) -> Column:
@@ -158,28 +158,43 @@ def parse_model_json(text: Column, recovery: str = "none") -> Column:
     trailing text (candidate and part answers), `slice` tries the text from its start, then from its first
     `{` to its last `}` (instruction answers). A list stands for its first element.
     """
+    def found(value: Column, kind: Column | str) -> Column:
+        return F.struct(value.alias("value"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"))
+
+    def prefix(body: Column) -> Column:
+        from_list = found(_from_first(body, "["), "[")
+        from_object = let(_from_first(body, "{"), lambda o: F.when(o.isNotNull(), found(o, "{")).otherwise(from_list))
+        return let(
+            whole_json(body), lambda w: F.when(w.isNotNull(), found(w, F.substring(body, 1, 1))).otherwise(from_object)
+        )
+
+    def outer(body: Column) -> Column:
+        return let(
+            F.try_parse_json(body),
+            lambda w: F.when(w.isNotNull(), found(w, F.substring(body, 1, 1))).otherwise(found(_outermost(body), "{")),
+        )
+
+    # The kind of a value shows in the first character of its text.
     readers = {
-        "none": whole_json,
-        "prefix": lambda body: F.coalesce(whole_json(body), _from_first(body, "{"), _from_first(body, "[")),
-        "slice": lambda body: F.coalesce(F.try_parse_json(body), _outermost(body)),
+        "none": lambda body: found(whole_json(body), F.substring(body, 1, 1)),
+        "prefix": prefix,
+        "slice": outer,
     }
 
-    def judge(found: Column) -> Column:
-        return let(is_kind(found, "ARRAY"), lambda listed: let(_head(found, listed), lambda h: report(found, listed, h)))
-
-    def _head(found: Column, listed: Column) -> Column:
-        return F.when(listed, F.try_variant_get(found, "$[0]", "variant")).otherwise(found)
+    def judge(parsed: Column) -> Column:
+        value, listed = parsed["value"], parsed["kind"] == "["
+        head = F.when(listed, F.try_variant_get(value, "$[0]", "variant")).otherwise(value)
 
-    def report(found: Column, listed: Column, head: Column) -> Column:
-        def verdict(fits: Column) -> Column:
+        def verdict(first: Column) -> Column:
+            fits = F.when(value.isNull(), False).when(listed, is_kind(first, "OBJECT")).otherwise(parsed["kind"] == "{")
             error = (
-                F.when(found.isNull(), F.lit("invalid JSON"))
+                F.when(value.isNull(), F.lit("invalid JSON"))
                 .when(~fits & listed, F.lit("response JSON list must contain an object"))
                 .when(~fits, F.lit("response JSON must decode to an object"))
             )
-            return F.struct(F.when(fits, head).alias("value"), error.alias("error"))
+            return F.struct(F.when(fits, first).alias("value"), error.alias("error"))
 
-        return let(is_kind(head, "OBJECT"), verdict)
+        return let(head, verdict)
 
     return let(let(unfence(strip(F.coalesce(text, F.lit("")))), readers[recovery]), judge)
 

@@ -9,6 +9,11 @@ from pyspark.sql import Column, functions as F
 # The characters that count as white space when text is split or stripped.
 WHITE_SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
+# The same characters one by one, for trimming without a regular expression.
+WHITE_CHARS = "".join(
+    [" \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2028\u2029\u202f\u205f\u3000", *[chr(c) for c in range(0x2000, 0x200B)]]
+)
+
 # Legacy prefixes and what replaces them, first match wins.
 LEGACY_PREFIXES = (
     ("pipeline/outputs/", "research/pipeline/outputs/"),
@@ -23,7 +28,7 @@ LEGACY_PREFIXES = (
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{WHITE_SPACE}|{WHITE_SPACE}$", "")
+    return F.btrim(text, F.lit(WHITE_CHARS))
 
 
 def collapse(text: Column, glue: str = " ") -> Column:

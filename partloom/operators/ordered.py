@@ -20,7 +20,7 @@ CHUNK_ROWS = 65_536
 def id_chunk(column: Column | str, width: int = CHUNK_ROWS) -> Column:
     """Chunk of a whole-number order column: at most `width` distinct values each."""
     column = F.col(column) if isinstance(column, str) else column
-    return F.floor(column / F.lit(width)).cast("bigint")
+    return F.call_function("div", column.cast("bigint"), F.lit(width))
 
 
 def chunk_offsets(df: DataFrame, keys: Sequence[str], sums: Sequence[str], *, descending: bool = False) -> DataFrame:

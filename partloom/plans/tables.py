@@ -71,7 +71,7 @@ def sql_fill(template: str, fields: dict[str, str]) -> str:
 
 def div(value: Column, by: int) -> Column:
     """Whole-number division of non-negative values."""
-    return F.floor(value / by).cast("bigint")
+    return F.call_function("div", value.cast("bigint"), F.lit(by))
 
 
 # --- annotations and instances -------------------------------------------------------------------

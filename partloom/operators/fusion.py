@@ -95,7 +95,7 @@ def prune_duplicates(scores: DataFrame, cfg: FusionConfig = FusionConfig()) -> D
         now = checkpointed(judged.filter(F.col("_dropped") | ~F.col("_waits")).select(*PART, (~F.col("_dropped")).alias("kept")))
         if now.isEmpty():
             break
-        settled = checkpointed(settled.unionByName(now))
+        settled = settled.unionByName(now)
         open_parts = open_parts.join(now, PART, "left_anti")
     blame = (
         pairs.join(
@@ -126,15 +126,15 @@ def fill_holes(scores: DataFrame, points: DataFrame, cfg: FusionConfig = FusionC
     """Scores given to unknown points by their neighbours, as (`object_id, part_idx, point_idx, fill_score, round`).
 
     Seeds are points with a score above 0. A round fills every candidate with enough support, all at once
-    on the state before the round. Only the points filled last are sent to their neighbours, so a round
-    costs what it adds; support and score sums are carried on in a small table.
+    on the state before the round. Only the points filled last are sent to their neighbours and only what
+    they reach is judged again, so a round costs what it adds. `scores` is read several times: pass a
+    stored table.
     """
     keys = [*PART, "point_idx"]
     empty = "object_id bigint, part_idx bigint, point_idx bigint, fill_score double, round int"
     spark = scores.sparkSession
-    filled = spark.createDataFrame([], empty)
     if not cfg.hole_fill_enabled:
-        return filled
+        return spark.createDataFrame([], empty)
     # The looked-up lists stay on the shared folder, so the rounds never search again.
     neighbors = checkpointed(nearest_neighbors(points, cfg.hole_fill_knn_k))
     near = checkpointed(
@@ -162,43 +162,39 @@ def fill_holes(scores: DataFrame, points: DataFrame, cfg: FusionConfig = FusionC
     )
 
     def sent(sources: DataFrame) -> DataFrame:
-        """Support and score sums that `sources` send to the points that have them as neighbours."""
+        """Support and score sums that `sources` send to the candidates that have them as neighbours."""
         reached = sources.select("object_id", "part_idx", F.col("point_idx").alias("neighbor_idx"), "_s").join(
             near, ["object_id", "neighbor_idx"]
         )
-        return reached.groupBy(*keys).agg(F.count(F.lit(1)).alias("_support"), F.sum("_s").alias("_sum"))
+        summed = reached.groupBy(*keys).agg(F.count(F.lit(1)).alias("_support"), F.sum("_s").alias("_sum"))
+        return summed.join(candidates, keys, "left_semi")
 
-    seeded = sent(seeds)
-    state = checkpointed(
-        candidates.join(seeded, keys).select(
-            *keys, "_need", "_support", "_sum", (F.col("_sum") / F.col("_support")).alias("_seed_mean")
-        )
-    )
-    waiting = checkpointed(candidates.join(state, keys, "left_anti"))
+    news = checkpointed(sent(seeds).withColumn("_seed", F.lit(True)), "support")
+    log = news
+    filled = spark.createDataFrame([], empty)
     for turn in range(1, max(cfg.hole_fill_max_iterations, 1) + 1):
-        mean = F.coalesce("_seed_mean", F.col("_sum") / F.col("_support"))
+        # Only cells that were sent something since the last round can have become full.
+        totals = log.join(news.select(*keys), keys, "left_semi").groupBy(*keys).agg(
+            F.sum("_support").alias("_support"),
+            F.sum("_sum").alias("_sum"),
+            F.sum(F.when(F.col("_seed"), F.col("_support"))).alias("_seed_support"),
+            F.sum(F.when(F.col("_seed"), F.col("_sum"))).alias("_seed_sum"),
+        )
+        mean = F.coalesce(F.col("_seed_sum") / F.col("_seed_support"), F.col("_sum") / F.col("_support"))
         added = checkpointed(
-            state.filter(F.col("_support") >= F.col("_need")).select(
-                *keys, mean.alias("fill_score"), F.lit(turn).alias("round")
-            )
+            totals.join(candidates, keys)
+            .filter(F.col("_support") >= F.col("_need"))
+            .join(filled.select(*keys), keys, "left_anti")
+            .select(*keys, mean.alias("fill_score"), F.lit(turn).alias("round")),
+            "fills",
         )
         if added.isEmpty():
             break
         filled = filled.unionByName(added)
-        news = sent(added.select(*keys, F.col("fill_score").alias("_s")))
-        still = state.filter(F.col("_support") < F.col("_need"))
-        grown = still.join(
-            news.select(*keys, F.col("_support").alias("_more"), F.col("_sum").alias("_plus")), keys, "left"
-        ).select(
-            *keys,
-            "_need",
-            (F.col("_support") + F.coalesce("_more", F.lit(0))).alias("_support"),
-            (F.col("_sum") + F.coalesce("_plus", F.lit(0.0))).alias("_sum"),
-            "_seed_mean",
+        news = checkpointed(
+            sent(added.select(*keys, F.col("fill_score").alias("_s"))).withColumn("_seed", F.lit(False)), "support"
         )
-        fresh = waiting.join(news, keys).select(*keys, "_need", "_support", "_sum", F.lit(None).cast("double").alias("_seed_mean"))
-        state = checkpointed(grown.unionByName(fresh))
-        waiting = checkpointed(waiting.join(news, keys, "left_anti"))
+        log = log.unionByName(news)
     return filled
 
 

@@ -41,7 +41,7 @@ def _start_levels(places: DataFrame, enough: int) -> DataFrame:
 
 
 def _search(queries: DataFrame, members: DataFrame, k: int) -> DataFrame:
-    """The `k` nearest members of each query place within the 27 cells around it, with the proven radius."""
+    """The `k` nearest members of each query place within the 27 cells around it, and whether they are proven."""
     levels = queries.select("object_id", "_level").distinct()
     data = (
         members.join(levels, "object_id")
@@ -60,12 +60,16 @@ def _search(queries: DataFrame, members: DataFrame, k: int) -> DataFrame:
         "distance", F.sqrt(dx * dx + dy * dy + dz * dz)
     )
     # A literal bound on the rank lets every map task drop all but its own k best before the shuffle.
-    nearest = Window.partitionBy(*PLACE).orderBy("distance", "neighbor_idx")
-    return (
-        paired.select(*PLACE, "_level", "_cellsize", "distance", "neighbor_idx")
-        .withColumn("rank", F.row_number().over(nearest))
+    place = Window.partitionBy(*PLACE)
+    ranked = (
+        paired.drop("_cx", "_cy", "_cz", "_mx", "_my", "_mz")
+        .withColumn("rank", F.row_number().over(place.orderBy("distance", "neighbor_idx")))
         .filter(F.col("rank") <= k)
     )
+    # Everything within one cell size has been seen; a hair is taken off for rounding.
+    enough = F.count(F.lit(1)).over(place) >= F.col("_need")
+    near = F.max("distance").over(place) <= F.col("_cellsize") * (1 - 1e-9)
+    return ranked.withColumn("_proven", (F.col("_level") == 0) | (enough & near))
 
 
 def nearest_neighbors(points: DataFrame, k: int) -> DataFrame:
@@ -102,24 +106,13 @@ def nearest_neighbors(points: DataFrame, k: int) -> DataFrame:
 
     done: DataFrame | None = None
     for _ in range(FINEST + 1):
-        hits = _search(open_queries, members, wanted)
-        # Everything within one cell size has been seen; a hair is taken off for rounding.
-        proof = hits.groupBy(*PLACE).agg(
-            F.count(F.lit(1)).alias("_found"), F.max("distance").alias("_reach")
-        )
-        judged = open_queries.join(proof, PLACE, "left").withColumn(
-            "_proven",
-            (F.col("_level") == 0)
-            | ((F.coalesce("_found", F.lit(0)) >= F.col("_need")) & (F.col("_reach") <= F.col("_cellsize") * (1 - 1e-9))),
-        )
-        proven = judged.filter("_proven").select(*PLACE)
-        settled = checkpointed(
-            hits.join(proven, PLACE, "left_semi").select(*PLACE, "rank", "neighbor_idx", "distance")
-        )
+        hits = checkpointed(_search(open_queries, members, wanted), "neighbors")
+        settled = hits.filter("_proven").select(*PLACE, "rank", "neighbor_idx", "distance")
         done = settled if done is None else done.unionByName(settled)
-        open_queries = checkpointed(
-            judged.filter(~F.col("_proven"))
-            .drop("_found", "_reach", "_proven")
+        # A place always finds itself, so its first hit stands for it in the next round.
+        open_queries = (
+            hits.filter(~F.col("_proven") & (F.col("rank") == 1))
+            .drop("rank", "neighbor_idx", "distance", "_proven")
             .withColumns({"_level": F.col("_level") - 1, "_cellsize": F.col("_cellsize") * 2})
         )
         if open_queries.isEmpty():

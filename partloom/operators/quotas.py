@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from partloom.config import QuotaConfig
 from partloom.operators.ordered import running_sums
+from partloom.session import broadcast_if_small
 
 
 def category_quotas(categories: DataFrame, cfg: QuotaConfig = QuotaConfig()) -> DataFrame:
@@ -75,11 +76,11 @@ def quota_selection(
 
     `rows` carries `category_name` and an `outcome` (`missing_image`, `geometry_reject`, `model_reject`,
     `pass`). A category stops once its quota is filled. Adds `image_attempt_index` and
-    `selection_slot_index` (the slot the row competes for).
+    `selection_slot_index` (the slot the row competes for). `rows` is read twice: pass a stored table if it
+    is costly. Quotas are broadcast after a look at their number, so rows are not shuffled by category.
     """
-    bounded = rows.join(quotas.select("category_name", "selection_quota"), "category_name").filter(
-        F.col("selection_quota") > 0
-    )
+    open_quotas = quotas.filter(F.col("selection_quota") > 0).select("category_name", "selection_quota")
+    bounded = rows.join(broadcast_if_small(open_quotas), "category_name")
     counted = running_sums(
         bounded,
         ["category_name"],

@@ -11,6 +11,7 @@ from partloom.operators.ordered import global_row_number
 from partloom.plans import tables as t
 from partloom.plans.registry import query
 from partloom.plans.tables import SQL, q6, r6, views
+from partloom.session import checkpointed
 
 IMAGES_ROOT = "data/images"
 # Masks of 8 x 8 images need other bounds than full frames for every reason to occur.
@@ -86,13 +87,15 @@ FROM (SELECT *, pow(greatest(num_available_images, 1), 0.5) AS weight,
 FROM fx_quotas""",
 )
 def category_quotas(spark, d):
-    quotas = quo.category_quotas(t.decided_categories(spark, d), QUOTAS)
+    quotas = quo.category_quotas(t.decided(t.instances(spark, d)), QUOTAS)
     return quotas.select("category_name", "interactive_object", "num_available_images", "selection_quota")
 
 
-def attempts(spark, d):
-    quotas = quo.category_quotas(t.decided_categories(spark, d), QUOTAS)
-    return quo.quota_selection(t.outcomes(spark, d), quotas, ["annotation_id"], t.annotation_chunk())
+def screened(spark, d):
+    """Category table with quotas, and the attempted rows. Outcomes are stored once and read from there."""
+    outcomes = checkpointed(t.outcomes(spark, d), "outcomes")
+    quotas = checkpointed(quo.category_quotas(t.decided(outcomes), QUOTAS), "quotas")
+    return quotas, quo.quota_selection(outcomes, quotas, ["annotation_id"], t.annotation_chunk())
 
 
 SQL["fx_attempts"] = """
@@ -112,7 +115,7 @@ WHERE selection_slot_index <= selection_quota"""
 FROM fx_attempts""",
 )
 def quota_selection(spark, d):
-    return attempts(spark, d).select(
+    return screened(spark, d)[1].select(
         "annotation_id", "category_name", "outcome", "selection_quota", "image_attempt_index", "selection_slot_index"
     )
 
@@ -131,8 +134,7 @@ GROUP BY category_name, interactive_object, num_available_objects, q.selection_q
 )
 def candidate_screening(spark, d):
     """The flagship: annotations to quota-bounded candidates per category, with reject counters."""
-    quotas = quo.category_quotas(t.decided_categories(spark, d), QUOTAS)
-    chosen = quo.quota_selection(t.outcomes(spark, d), quotas, ["annotation_id"], t.annotation_chunk())
+    quotas, chosen = screened(spark, d)
     return quo.category_records(quotas.drop("num_available_images"), quo.selection_counters(chosen))
 
 
@@ -369,6 +371,5 @@ FROM (SELECT q.*, (SELECT count(*) FROM fx_attempts a WHERE a.category_name = q.
   FROM fx_quotas q)""",
 )
 def screening_totals(spark, d):
-    quotas = quo.category_quotas(t.decided_categories(spark, d), QUOTAS)
-    chosen = quo.quota_selection(t.outcomes(spark, d), quotas, ["annotation_id"], t.annotation_chunk())
+    quotas, chosen = screened(spark, d)
     return quo.stage_totals(quo.category_records(quotas, quo.selection_counters(chosen)))

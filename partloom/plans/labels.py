@@ -9,6 +9,7 @@ from partloom.operators import cameras as cam, detections as det, fusion, liftin
 from partloom.plans import tables as t
 from partloom.plans.registry import query
 from partloom.plans.tables import SQL, q6, r6, views
+from partloom.session import checkpointed
 
 SIZE = t.VIEW_RESOLUTION
 
@@ -47,6 +48,11 @@ def scores(spark, d):
     return lifting.part_scores(t.points(spark, d), parts(spark, d), lifting.part_votes(seen, masks), visible)
 
 
+def stored_scores(spark, d):
+    """Scores as the lifting stage leaves them: a table that later stages read several times."""
+    return checkpointed(scores(spark, d), "scores")
+
+
 # --- detections ----------------------------------------------------------------------------------
 
 
@@ -473,7 +479,7 @@ final AS (SELECT object_id, arg_max(kept, place) AS kept FROM walk GROUP BY obje
 FROM fx_counts c JOIN final f USING (object_id) JOIN fx_rivals r ON r.object_id = c.object_id AND r.part_idx = c.part_idx""",
 )
 def prune_duplicates(spark, d):
-    return fusion.prune_duplicates(scores(spark, d)).select("object_id", "part_idx", "point_count", "kept", "base_idx")
+    return fusion.prune_duplicates(stored_scores(spark, d)).select("object_id", "part_idx", "point_count", "kept", "base_idx")
 
 
 # Looser settings than the defaults, so that filling takes several rounds on few points.
@@ -482,13 +488,13 @@ FILL = FusionConfig(hole_fill_knn_k=8, hole_fill_max_distance_factor=1.6, hole_f
 
 @query("hole_fill")
 def hole_fill(spark, d):
-    fills = fusion.fill_holes(scores(spark, d), t.points(spark, d), FILL)
+    fills = fusion.fill_holes(stored_scores(spark, d), t.points(spark, d), FILL)
     return fills.withColumn("fill_score", r6("fill_score"))
 
 
 @query("fused_labels")
 def fused_labels(spark, d):
-    return fusion.fuse_labels(scores(spark, d), t.points(spark, d)).withColumn("max_score", r6("max_score"))
+    return fusion.fuse_labels(stored_scores(spark, d), t.points(spark, d)).withColumn("max_score", r6("max_score"))
 
 
 @query(

@@ -19,13 +19,13 @@ from partloom.streaming import progress
     + """SELECT annotation_id, image_id, category_id, category_name, coco_url, x, y, w, h, area FROM fx_instances""",
 )
 def scan_annotations(spark, d):
-    """Annotation documents of 256 images each, scanned back into three tables and joined."""
+    """Annotation documents of a few dozen annotations each, scanned back into three tables and joined."""
     from partloom.operators.instances import join_instances
 
     joined = t.instances(spark, d)
-    # A document holds the annotations of one run of images; eight documents share it, so none grows large.
-    run = t.div(F.col("image_id"), 256)
-    docs = joined.groupBy(run.alias("run"), (F.col("annotation_id") % 8).alias("share")).agg(
+    # Many documents share a run of images, so that an image with very many annotations makes none of them large.
+    run, share = t.div(F.col("image_id"), 1 << 19), F.pmod(F.xxhash64("annotation_id"), F.lit(1 << 14))
+    docs = joined.groupBy(run.alias("run"), share.alias("share")).agg(
         F.collect_set(
             F.struct(F.col("image_id").alias("id"), "coco_url", F.col("image_width").alias("width"), F.col("image_height").alias("height"))
         ).alias("images"),

@@ -169,10 +169,11 @@ SELECT category_name, count(*) AS num_available_objects, count(DISTINCT image_id
 FROM fx_instances GROUP BY category_name"""
 
 
-def decided_categories(spark: SparkSession, d: str) -> DataFrame:
+def decided(rows: DataFrame) -> DataFrame:
+    """Categories of instance rows with their text decision."""
     from partloom.operators.instances import category_groups
 
-    groups = category_groups(instances(spark, d), "annotation_id")
+    groups = category_groups(rows, "annotation_id")
     return groups.select(
         "category_name",
         "num_available_objects",

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def build_session(app: str = "partloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -38,17 +38,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/partloom/{name}-{uuid.uuid4().hex}"
+    """A new, unused path under the shared folder. All of one application lie in one folder."""
+    app = spark.sparkContext.applicationId
+    return f"{shared_dir(spark).rstrip('/')}/partloom-{app}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame, name: str = "step") -> DataFrame:
     """Write `df` once to the shared folder and read it from there from now on.
 
-    Used where a plan must see one and the same result twice (range partitions, fixpoint rounds).
+    Cuts the lineage for loops, survives lost executors, and makes a plan see one and the same rows
+    wherever it looks twice. As a Parquet table it also shows the planner its true size.
     """
-    spark = df.sparkSession
-    folder = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+    """Stored `df`, marked for broadcast if it really has at most `max_rows` rows; otherwise joins shuffle."""
+    stored = checkpointed(df, "small")
+    return F.broadcast(stored) if stored.limit(max_rows + 1).count() <= max_rows else stored

@@ -4,30 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def write_partitioned(df: DataFrame, path: str, partition_by: Sequence[str], *, mode: str = "append") -> None:
     """Parquet by low-cardinality columns (split, stage); later split filters prune whole folders.
 
-    Rows are spread by the whole row besides the partition column, so one big split is many files, not one task.
+    The rebalance hint gathers each split into few files and lets Spark cut a big split into many tasks.
     """
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(64))
-    df.repartition(*partition_by, salt).write.mode(mode).partitionBy(*partition_by).parquet(path)
+    df.hint("rebalance", *partition_by).write.mode(mode).partitionBy(*partition_by).parquet(path)
 
 
 def write_bucketed(df: DataFrame, path: str, key: str, buckets: int, *, mode: str = "errorifexists") -> None:
-    """Parquet in folders by key hash: readers of a few objects open a few folders.
-
-    A hot key spreads over several files of its folder.
-    """
+    """Parquet in folders by key hash: readers of a few objects open a few folders. A hot folder is cut too."""
     bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(16))
-    df.withColumn("bucket", bucket).repartition("bucket", salt).write.mode(mode).partitionBy("bucket").parquet(path)
+    df.withColumn("bucket", bucket).hint("rebalance", "bucket").write.mode(mode).partitionBy("bucket").parquet(path)
 
 
-def read_bucketed(df_reader_session, path: str) -> DataFrame:
-    return df_reader_session.read.parquet(path).drop("bucket")
+def read_bucketed(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("bucket")
 
 
 def write_json_documents(df: DataFrame, path: str, *, mode: str = "errorifexists") -> None:

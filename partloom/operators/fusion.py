@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from partloom.config import FusionConfig
 from partloom.operators.lifting import best_part
 from partloom.operators.neighbors import local_spacing, nearest_neighbors, within_radius
-from partloom.session import checkpointed
+from partloom.session import Rounds, checkpointed
 
 PART = ["object_id", "part_idx"]
 
@@ -169,33 +169,28 @@ def fill_holes(scores: DataFrame, points: DataFrame, cfg: FusionConfig = FusionC
         summed = reached.groupBy(*keys).agg(F.count(F.lit(1)).alias("_support"), F.sum("_s").alias("_sum"))
         return summed.join(candidates, keys, "left_semi")
 
-    news = checkpointed(sent(seeds).withColumn("_seed", F.lit(True)), "support")
-    log = news
-    filled = spark.createDataFrame([], empty)
+    names = "object_id bigint, part_idx bigint, point_idx bigint"
+    log = Rounds(spark, "support", f"{names}, _support bigint, _sum double")
+    fills = Rounds(spark, "fills", f"{names}, fill_score double")
+    news = log.add(sent(seeds), 0)
     for turn in range(1, max(cfg.hole_fill_max_iterations, 1) + 1):
         # Only cells that were sent something since the last round can have become full.
-        totals = log.join(news.select(*keys), keys, "left_semi").groupBy(*keys).agg(
+        from_seed = F.col("turn") == 0
+        totals = log.read().join(news.select(*keys), keys, "left_semi").groupBy(*keys).agg(
             F.sum("_support").alias("_support"),
             F.sum("_sum").alias("_sum"),
-            F.sum(F.when(F.col("_seed"), F.col("_support"))).alias("_seed_support"),
-            F.sum(F.when(F.col("_seed"), F.col("_sum"))).alias("_seed_sum"),
+            F.sum(F.when(from_seed, F.col("_support"))).alias("_seed_support"),
+            F.sum(F.when(from_seed, F.col("_sum"))).alias("_seed_sum"),
         )
         mean = F.coalesce(F.col("_seed_sum") / F.col("_seed_support"), F.col("_sum") / F.col("_support"))
-        added = checkpointed(
-            totals.join(candidates, keys)
-            .filter(F.col("_support") >= F.col("_need"))
-            .join(filled.select(*keys), keys, "left_anti")
-            .select(*keys, mean.alias("fill_score"), F.lit(turn).alias("round")),
-            "fills",
-        )
+        full = totals.join(candidates, keys).filter(F.col("_support") >= F.col("_need"))
+        if turn > 1:
+            full = full.join(fills.read().select(*keys), keys, "left_anti")
+        added = fills.add(full.select(*keys, mean.alias("fill_score")), turn)
         if added.isEmpty():
             break
-        filled = filled.unionByName(added)
-        news = checkpointed(
-            sent(added.select(*keys, F.col("fill_score").alias("_s"))).withColumn("_seed", F.lit(False)), "support"
-        )
-        log = log.unionByName(news)
-    return filled
+        news = log.add(sent(added.select(*keys, F.col("fill_score").alias("_s"))), turn)
+    return fills.read().withColumnRenamed("turn", "round")
 
 
 def merge_fills(scores: DataFrame, fills: DataFrame) -> DataFrame:

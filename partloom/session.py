@@ -58,3 +58,20 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """Stored `df`, marked for broadcast if it really has at most `max_rows` rows; otherwise joins shuffle."""
     stored = checkpointed(df, "small")
     return F.broadcast(stored) if stored.limit(max_rows + 1).count() <= max_rows else stored
+
+
+class Rounds:
+    """A table that grows by one folder per round of a loop and is always read as one scan."""
+
+    def __init__(self, spark: SparkSession, name: str, schema: str):
+        self.spark, self.schema = spark, schema
+        self.path = scratch_path(spark, name)
+
+    def add(self, df: DataFrame, turn: int) -> DataFrame:
+        """Writes the rows of a round and returns them as stored."""
+        df.write.parquet(f"{self.path}/turn={turn}")
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/turn={turn}")
+
+    def read(self) -> DataFrame:
+        """Rows of all rounds so far, with their `turn`; at least one round must have been added."""
+        return self.spark.read.schema(f"{self.schema}, turn int").parquet(self.path)

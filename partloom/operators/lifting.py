@@ -52,14 +52,8 @@ def normalize_points(active: DataFrame) -> DataFrame:
 
 
 def project_points(points: DataFrame, cameras: DataFrame, width: int, height: int) -> DataFrame:
-    """`u`, `v`, `depth` of every point in every view; `u` and `v` are null unless depth > 1e-6.
-
-    `cameras` either serves all objects (a fixed handful of views, broadcast) or has an `object_id`.
-    """
-    if "object_id" in cameras.columns:
-        paired = points.join(cameras, "object_id")
-    else:
-        paired = points.join(F.broadcast(cameras), F.lit(True))
+    """`u`, `v`, `depth` of every point in every view of its object; `u` and `v` are null unless depth > 1e-6."""
+    paired = points.join(cameras, "object_id")
 
     def along(axis: str) -> Column:
         x, y, z = (F.col(a) for a in AXES)

@@ -29,32 +29,18 @@ def align_arrays(pairs: DataFrame) -> DataFrame:
     )
 
 
-def formal_binary(preds: DataFrame, cfg: MetricConfig = MetricConfig(), keys: Sequence[str] = ("sample_id",)) -> DataFrame:
-    """IoU, precision, recall and F1 per sample."""
+def sample_metrics(preds: DataFrame, cfg: MetricConfig = MetricConfig(), keys: Sequence[str] = ("sample_id",)) -> DataFrame:
+    """Thresholded and soft metrics per sample from one pre-aggregated pass; unused ones are pruned away.
+
+    All but `mae` clip both sides to 0..1 for the soft metrics.
+    """
     hit, truth = F.col("prob") >= cfg.score_threshold, F.col("target") > cfg.support_eps
-    counts = preds.groupBy(*keys).agg(
+    p, t = clamp(F.col("prob")), clamp(F.col("target"))
+    support, gap = t > cfg.support_eps, F.abs(p - t)
+    sums = preds.groupBy(*keys).agg(
         F.count_if(hit & truth).cast("double").alias("_tp"),
         F.count_if(hit & ~truth).cast("double").alias("_fp"),
         F.count_if(~hit & truth).cast("double").alias("_fn"),
-    )
-    tp, fp, fn = F.col("_tp"), F.col("_fp"), F.col("_fn")
-    rated = counts.withColumns(
-        {
-            "iou": floored_ratio(tp, tp + fp + fn, 1.0),
-            "precision": floored_ratio(tp, tp + fp, 1.0),
-            "recall": floored_ratio(tp, tp + fn, 1.0),
-        }
-    )
-    p, r = F.col("precision"), F.col("recall")
-    return rated.withColumn("f1", floored_ratio(2.0 * p * r, p + r, 1e-8)).drop("_tp", "_fp", "_fn")
-
-
-def formal_soft(preds: DataFrame, cfg: MetricConfig = MetricConfig(), keys: Sequence[str] = ("sample_id",)) -> DataFrame:
-    """Soft IoU, errors and score margins per sample; `mae` alone uses unclipped values."""
-    p, t = clamp(F.col("prob")), clamp(F.col("target"))
-    support = t > cfg.support_eps
-    gap = F.abs(p - t)
-    sums = preds.groupBy(*keys).agg(
         F.sum(F.least(p, t)).alias("_inter"),
         F.sum(F.greatest(p, t)).alias("_union"),
         F.sum(t).alias("_mass"),
@@ -65,13 +51,19 @@ def formal_soft(preds: DataFrame, cfg: MetricConfig = MetricConfig(), keys: Sequ
         F.avg(F.when(~support, p)).alias("_outside"),
         F.avg(F.abs(F.col("prob") - F.col("target"))).alias("mae"),
     )
-    zero = F.lit(0.0)
-    heavy = F.col("_mass") > 1e-8
+    tp, fp, fn = F.col("_tp"), F.col("_fp"), F.col("_fn")
+    precision, recall = floored_ratio(tp, tp + fp, 1.0), floored_ratio(tp, tp + fn, 1.0)
+    zero, heavy = F.lit(0.0), F.col("_mass") > 1e-8
     inside, outside = F.coalesce("_inside", zero), F.coalesce("_outside", zero)
+    weighted = F.col("_weighted") / F.when(heavy, F.col("_mass")).otherwise(1.0)
     return sums.select(
         *keys,
+        floored_ratio(tp, tp + fp + fn, 1.0).alias("iou"),
+        precision.alias("precision"),
+        recall.alias("recall"),
+        floored_ratio(2.0 * precision * recall, precision + recall, 1e-8).alias("f1"),
         floored_ratio(F.col("_inter"), F.col("_union"), 1e-8).alias("weighted_iou"),
-        F.when(heavy, F.col("_weighted") / F.when(heavy, F.col("_mass")).otherwise(1.0)).otherwise(F.col("_plain")).alias("weighted_mae"),
+        F.when(heavy, weighted).otherwise(F.col("_plain")).alias("weighted_mae"),
         F.coalesce("_support", zero).alias("support_mae"),
         inside.alias("support_score_mean"),
         outside.alias("background_score_mean"),
@@ -80,6 +72,19 @@ def formal_soft(preds: DataFrame, cfg: MetricConfig = MetricConfig(), keys: Sequ
     )
 
 
+BINARY_METRICS = ("iou", "precision", "recall", "f1")
+
+
+def formal_binary(preds: DataFrame, cfg: MetricConfig = MetricConfig()) -> DataFrame:
+    """IoU, precision, recall and F1 per sample."""
+    return sample_metrics(preds, cfg).select("sample_id", *BINARY_METRICS)
+
+
+def formal_soft(preds: DataFrame, cfg: MetricConfig = MetricConfig()) -> DataFrame:
+    """Soft IoU, errors and score margins per sample."""
+    return sample_metrics(preds, cfg).drop(*BINARY_METRICS)
+
+
 def _tie_groups(preds: DataFrame, eps: float) -> DataFrame:
     """Rows and positives per (sample, score)."""
     return preds.groupBy("sample_id", "prob").agg(
@@ -134,8 +139,7 @@ def roc_auc(preds: DataFrame, eps: float = 1e-6) -> DataFrame:
 def formal_metrics(preds: DataFrame, cfg: MetricConfig = MetricConfig()) -> DataFrame:
     """All per-sample metrics."""
     return (
-        formal_binary(preds, cfg)
-        .join(formal_soft(preds, cfg), "sample_id")
+        sample_metrics(preds, cfg)
         .join(average_precision(preds, cfg.support_eps), "sample_id")
         .join(roc_auc(preds, cfg.support_eps), "sample_id")
     )
@@ -149,43 +153,49 @@ def formal_summary(per_sample: DataFrame, cfg: MetricConfig = MetricConfig()) ->
     ).withColumns({"score_threshold": F.lit(cfg.score_threshold), "support_eps": F.lit(cfg.support_eps)})
 
 
-def _labelled(preds: DataFrame, threshold: float, positive: float) -> DataFrame:
-    return preds.withColumns(
-        {
-            "_hit": (F.col("prob") >= threshold).cast("double"),
-            "_label": (clamp(F.col("target")) > positive).cast("double"),
-        }
+def category_sums(preds: DataFrame, *, threshold: float, positive_threshold: float, keys: Sequence[str] = ()) -> DataFrame:
+    """Sums per category (of each key): the one pass over points that all micro metrics come from."""
+    hit = (F.col("prob") >= threshold).cast("double")
+    label = (clamp(F.col("target")) > positive_threshold).cast("double")
+    return preds.groupBy(*keys, "category").agg(
+        F.sum(hit * label).alias("_inter"),
+        F.sum(F.greatest(hit, label)).alias("_union"),
+        F.sum(F.abs(F.col("prob") - label)).alias("_error"),
+        F.sum(hit).alias("_hits"),
+        F.sum(label).alias("_labels"),
+        F.sum("prob").alias("_prob"),
+        F.max("prob").alias("_top"),
+        F.count(F.lit(1)).cast("double").alias("_n"),
     )
 
 
 def basic_metrics(
     preds: DataFrame, *, threshold: float = 0.5, positive_threshold: float = 0.5, keys: Sequence[str] = ()
 ) -> DataFrame:
-    """Micro metrics over all points (of each key): one pre-aggregated pass."""
-    hit, label = F.col("_hit"), F.col("_label")
-    rows = _labelled(preds, threshold, positive_threshold)
-    aggregates = [
-        floored_ratio(F.sum(hit * label), F.sum(F.greatest(hit, label)), 1.0).alias("iou"),
-        F.avg(F.abs(F.col("prob") - label)).alias("mae"),
-        F.avg(hit).alias("pred_pos"),
-        F.avg(label).alias("truth_pos"),
-        F.avg("prob").alias("prob_mean"),
-        F.max("prob").alias("prob_max"),
+    """Micro metrics over all points (of each key) and the mean IoU over categories."""
+    sums = category_sums(preds, threshold=threshold, positive_threshold=positive_threshold, keys=keys)
+
+    def share(name: str) -> Column:
+        return F.sum(name) / F.greatest(F.sum("_n"), F.lit(1.0))
+
+    return sums.groupBy(*keys).agg(
+        floored_ratio(F.sum("_inter"), F.sum("_union"), 1.0).alias("iou"),
+        F.avg(floored_ratio(F.col("_inter"), F.col("_union"), 1.0)).alias("miou"),
+        share("_error").alias("mae"),
+        share("_hits").alias("pred_pos"),
+        share("_labels").alias("truth_pos"),
+        share("_prob").alias("prob_mean"),
+        F.max("_top").alias("prob_max"),
         F.lit(1.0).alias("valid_ratio"),
-    ]
-    return rows.groupBy(*keys).agg(*aggregates)
+    )
 
 
 def category_iou(
     preds: DataFrame, *, threshold: float = 0.5, positive_threshold: float = 0.5, keys: Sequence[str] = ()
 ) -> DataFrame:
     """Pooled IoU per category."""
-    hit, label = F.col("_hit"), F.col("_label")
-    return (
-        _labelled(preds, threshold, positive_threshold)
-        .groupBy(*keys, "category")
-        .agg(floored_ratio(F.sum(hit * label), F.sum(F.greatest(hit, label)), 1.0).alias("iou"))
-    )
+    sums = category_sums(preds, threshold=threshold, positive_threshold=positive_threshold, keys=keys)
+    return sums.select(*keys, "category", floored_ratio(F.col("_inter"), F.col("_union"), 1.0).alias("iou"))
 
 
 def category_miou(per_category: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -244,7 +254,6 @@ def protocol_report(preds: DataFrame, split: str = "split", *, threshold: float
     sims = similarity(preds, keys).groupBy(split).agg(F.avg("sim").alias("sim"), F.count(F.lit(1)).alias("samples"))
     return (
         basic_metrics(preds, **bounds, keys=keys)
-        .join(category_miou(category_iou(preds, **bounds, keys=keys), keys), split)
         .join(basic_auc(preds, positive_threshold=positive_threshold, keys=keys), split)
         .join(sims, split)
     )

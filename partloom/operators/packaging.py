@@ -172,11 +172,12 @@ def dataset_index(completed: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def build_summary(requested: DataFrame, failed: DataFrame, samples: DataFrame) -> DataFrame:
-    lost = failed.agg(F.count(F.lit(1)).alias("num_failed"))
-    whole = requested.agg(F.count(F.lit(1)).alias("num_requested"))
-    parts = samples.agg(F.count(F.lit(1)).alias("num_part_samples"))
-    joined = whole.join(F.broadcast(lost), F.lit(True)).join(F.broadcast(parts), F.lit(True))
-    return joined.withColumn("num_completed", F.col("num_requested") - F.col("num_failed"))
+    lost = failed.agg(F.count(F.lit(1)).alias("n"))
+    parts = samples.agg(F.count(F.lit(1)).alias("n"))
+    whole = requested.agg(F.count(F.lit(1)).alias("num_requested")).withColumns(
+        {"num_failed": lost.scalar(), "num_part_samples": parts.scalar()}
+    )
+    return whole.withColumn("num_completed", F.col("num_requested") - F.col("num_failed"))
 
 
 def benchmark_subset(requested: DataFrame, failed: DataFrame, samples: DataFrame) -> DataFrame:
@@ -187,6 +188,8 @@ def benchmark_subset(requested: DataFrame, failed: DataFrame, samples: DataFrame
 
 def first_nonempty_source(candidates: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     """Distinct values of the first source, by `priority`, that has any."""
-    best = candidates.groupBy(*group).agg(F.min("priority").alias("_p"))
-    kept = candidates.join(best, list(group)) if group else candidates.join(F.broadcast(best), F.lit(True))
-    return kept.filter(F.col("priority") == F.col("_p")).select(*group, "priority", value).distinct()
+    distinct = candidates.select(*group, "priority", value).distinct()
+    if not group:
+        return distinct.filter(F.col("priority") == candidates.agg(F.min("priority").alias("p")).scalar())
+    best = candidates.groupBy(*group).agg(F.min("priority").alias("priority"))
+    return distinct.join(best, [*group, "priority"], "left_semi")

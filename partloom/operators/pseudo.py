@@ -42,7 +42,7 @@ def pseudo_sample(rows: DataFrame, key: str, ratio: float, seed: int = 42) -> Da
         return rows
     hashed = rows.withColumn("_hash", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))))
     size = rows.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * F.lit(ratio))).alias("_size"))
-    sized = hashed.join(F.broadcast(size), F.lit(True))
+    sized = hashed.withColumn("_size", size.scalar())
     bucket = F.conv(F.substring("_hash", 1, 4), 16, 10).cast("bigint")
     return smallest_k(sized, [], [F.col("_hash"), F.col(key)], bucket, F.col("_size")).drop("_hash", "_size")
 
@@ -190,7 +190,7 @@ def loss_report(
         floored_ratio(F.col("_focal"), F.col("_n"), 1.0).alias("focal_loss"),
         "truth_pos",
     )
-    joined = terms.join(F.broadcast(_dice(rows, one)), F.lit(True))
+    joined = terms.withColumn("dice_loss", _dice(rows, one).scalar())
     total = lambda_bce * F.col("bce_loss") + lambda_focal * F.col("focal_loss") + lambda_dice * F.col("dice_loss")
     return joined.withColumn("loss", total)
 
@@ -247,7 +247,7 @@ def mixed_loss_report(
         F.when(F.col("_mixed"), 0.0).otherwise(F.col("_pw")).alias("pos_weight"),
         floored_ratio(F.col("_truth"), F.col("_all"), 1.0).alias("truth_pos"),
     )
-    joined = terms.join(F.broadcast(_dice(rows, F.col("_valid"))), F.lit(True))
+    joined = terms.withColumn("dice_loss", _dice(rows, F.col("_valid")).scalar())
     loss = lambda_bce * F.col("bce_loss") + lambda_focal * F.col("focal_loss") + lambda_dice * F.col("dice_loss")
     return joined.withColumn("loss", loss)
 

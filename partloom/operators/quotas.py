@@ -135,18 +135,14 @@ def stage_totals(categories: DataFrame) -> DataFrame:
 def approval_gate(passed: DataFrame, approvals: DataFrame, max_objects: int | None = None) -> DataFrame:
     """Approved objects in approval order. `approvals` has `object_id` and its list position `pos`.
 
-    An empty approval list is an error, raised by the one-row check that the result joins.
+    An empty approval list is an error.
     """
-    checked = approvals.agg(F.count(F.lit(1)).alias("_n")).select(
-        F.when(F.col("_n") == 0, F.raise_error(F.lit("approval file contains no approved_object_ids")))
-        .otherwise(F.lit(True))
-        .alias("_ok")
-    )
+    empty = F.raise_error(F.lit("approval file contains no approved_object_ids"))
+    checked = approvals.agg(F.when(F.count(F.lit(1)) == 0, empty).otherwise(F.lit(True)).alias("ok"))
     listed = approvals.select("object_id", F.col("pos").alias("approval_pos"))
     if max_objects is not None:
         listed = listed.filter(F.col("approval_pos") < max_objects)
-    # One row by construction, so the cross join adds no data.
-    return passed.join(listed, "object_id").join(F.broadcast(checked), F.lit(True)).filter("_ok").drop("_ok")
+    return passed.filter(checked.scalar()).join(listed, "object_id")
 
 
 def approval_template(candidates: DataFrame) -> DataFrame:

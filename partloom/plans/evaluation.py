@@ -126,7 +126,7 @@ _BASIC_NAMES = ("iou", "mae", "pred_pos", "truth_pos", "prob_mean", "prob_max",
 
 @query("basic_metrics", views("fx_labelled") + f"SELECT {_picked(*_BASIC_NAMES)} FROM (SELECT {_BASIC} FROM fx_labelled )")
 def basic_metrics(spark, d):
-    return rounded(met.basic_metrics(t.predictions(spark, d)))
+    return rounded(met.basic_metrics(t.predictions(spark, d)).drop("miou"))
 
 
 @query(
@@ -137,8 +137,7 @@ SELECT category, sum(hit * label_) / greatest(sum(greatest(hit, label_)), 1) AS
 )
 def category_miou(spark, d):
     per_category = met.category_iou(t.predictions(spark, d))
-    # The mean is one row.
-    return rounded(per_category.join(F.broadcast(met.category_miou(per_category)), F.lit(True)), "category")
+    return rounded(per_category.withColumn("miou", met.category_miou(per_category).scalar()), "category")
 
 
 SQL["fx_auc"] = """

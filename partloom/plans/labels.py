@@ -23,7 +23,7 @@ def normalized(spark, d):
 
 
 def projected(spark, d):
-    return lifting.project_points(normalized(spark, d), t.cameras(spark), SIZE, SIZE)
+    return lifting.project_points(normalized(spark, d), t.cameras(spark, d), SIZE, SIZE)
 
 
 def pixels(spark, d):

@@ -179,9 +179,10 @@ def dataset_index(spark, d):
     text = F.col("object_id").cast("string")
     completed = requested.join(failed, "object_id", "left_anti").withColumn("object_id", text)
     index = pack.dataset_index(completed, packaged(spark, d).withColumn("object_id", text))
-    summary = pack.build_summary(requested, failed, index)
-    return index.join(F.broadcast(summary), F.lit(True)).select(
-        "part_sample_id", "object_dir", "part_instances_path", "num_part_samples", "num_completed", "num_failed"
+    names = ("num_part_samples", "num_completed", "num_failed")
+    summary = pack.build_summary(requested, failed, index).select(F.struct(*names).alias("s")).scalar()
+    return index.withColumn("_s", summary).select(
+        "part_sample_id", "object_dir", "part_instances_path", *[f"_s.{n}" for n in names]
     )
 
 

@@ -279,15 +279,14 @@ SQL["fx_cameras"] = "SELECT * FROM (SELECT CAST(yaw_deg AS DOUBLE) AS yaw_deg, *
 ) + "))"
 
 
-def view_table(spark: SparkSession) -> DataFrame:
-    rows = ", ".join(f"('{v}', {y}D, {p}D, {r}D, {f}D)" for v, y, p, r, f in VIEWS)
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS v(view_id, yaw_deg, pitch_deg, radius, fov_deg)")
-
-
-def cameras(spark: SparkSession) -> DataFrame:
+def cameras(spark: SparkSession, d: str) -> DataFrame:
+    """The three views of every object, posed."""
     from partloom.operators.cameras import look_at
 
-    return look_at(view_table(spark))
+    names_of = ("view_id", "yaw_deg", "pitch_deg", "radius", "fov_deg")
+    specs = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names_of, view)]) for view in VIEWS])
+    objects = points(spark, d).select("object_id").distinct()
+    return look_at(objects.select("object_id", F.explode(specs).alias("_v")).select("object_id", "_v.*"))
 
 
 # Points as cameras see them: unit-box points of `normalize_points`, projected with half-even pixels.

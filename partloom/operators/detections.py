@@ -47,7 +47,12 @@ def mask_selection(detections: DataFrame, cfg: DetectionConfig = DetectionConfig
     tried, so neither yields rows.
     """
     tried = running_sums(
-        detections, ["object_id", "part_name"], ["seq"], id_chunk("seq"), {"_before": F.col("has_mask").cast("bigint")}
+        detections,
+        ["object_id", "part_name"],
+        ["seq"],
+        id_chunk("seq"),
+        {"_before": F.col("has_mask").cast("bigint")},
+        needed=lambda start: start("_before") < cfg.max_masks_per_part,
     )
     masks = tried.filter(F.col("has_mask") & (F.col("_before") < cfg.max_masks_per_part))
     successful = part_order(detections).join(

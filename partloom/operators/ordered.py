@@ -8,11 +8,11 @@ sums are small, and only the inside of a chunk is windowed.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from partloom.session import checkpointed
+from partloom.session import broadcast_if_small, checkpointed
 
 CHUNK_ROWS = 65_536
 
@@ -40,14 +40,19 @@ def running_sums(
     *,
     inclusive: bool = False,
     descending: bool = False,
+    needed: Callable[[Callable[[str], Column]], Column] | None = None,
 ) -> DataFrame:
     """Adds one running sum per entry of `sums`, over the rows of a key before (or up to) each row.
 
-    `chunk` must not fall along `order` (not rise, if `descending`).
+    `chunk` must not fall along `order` (not rise, if `descending`). `needed` tells from the sums at the
+    start of a chunk (and the keys) whether any of its rows is wanted: other chunks are dropped before
+    anything is sorted, and before the shuffle if the list of needed chunks turns out short.
     """
     names = list(sums)
     work = df.withColumns({"_chunk": chunk, **{f"_v_{n}": e for n, e in sums.items()}})
     offsets = chunk_offsets(work, keys, names, descending=descending).drop(*[f"_t_{n}" for n in names])
+    if needed is not None:
+        offsets = broadcast_if_small(offsets.filter(needed(lambda n: F.col(f"_o_{n}"))))
     inside = (
         Window.partitionBy(*keys, "_chunk")
         .orderBy(*order)
@@ -61,16 +66,12 @@ def running_sums(
 
 
 def smallest_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], chunk: Column, k: Column) -> DataFrame:
-    """Rows of each key whose position in `order` is at most `k`, a column of the row's key.
+    """Rows of each key whose position in `order` is at most `k`: a literal, a scalar, or one of the keys.
 
-    Chunks wholly below the cut are kept and chunks wholly above are dropped without any sort.
+    Chunks wholly above the cut are dropped without any sort.
     """
-    work = df.withColumns({"_chunk": chunk, "_v_n": F.lit(1), "_k": k})
-    offsets = chunk_offsets(work, keys, ["n"])
-    joined = work.join(offsets, [*keys, "_chunk"]).filter(F.col("_o_n") < F.col("_k"))
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    ranked = joined.withColumn("_rank", F.col("_o_n") + F.row_number().over(inside))
-    return ranked.filter(F.col("_rank") <= F.col("_k")).drop("_chunk", "_v_n", "_k", "_o_n", "_t_n", "_rank")
+    placed = running_sums(df, keys, order, chunk, {"_place": F.lit(1)}, needed=lambda start: start("_place") < k)
+    return placed.filter(F.col("_place") < k).drop("_place")
 
 
 def global_row_number(df: DataFrame, order: Sequence[Column | str], name: str = "row_number") -> DataFrame:

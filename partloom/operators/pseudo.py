@@ -42,9 +42,8 @@ def pseudo_sample(rows: DataFrame, key: str, ratio: float, seed: int = 42) -> Da
         return rows
     hashed = rows.withColumn("_hash", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))))
     size = rows.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * F.lit(ratio))).alias("_size"))
-    sized = hashed.withColumn("_size", size.scalar())
     bucket = F.conv(F.substring("_hash", 1, 4), 16, 10).cast("bigint")
-    return smallest_k(sized, [], [F.col("_hash"), F.col(key)], bucket, F.col("_size")).drop("_hash", "_size")
+    return smallest_k(hashed, [], [F.col("_hash"), F.col(key)], bucket, size.scalar()).drop("_hash")
 
 
 def manifest_offsets(manifests: DataFrame) -> DataFrame:

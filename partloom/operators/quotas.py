@@ -83,10 +83,11 @@ def quota_selection(
     bounded = rows.join(broadcast_if_small(open_quotas), "category_name")
     counted = running_sums(
         bounded,
-        ["category_name"],
+        ["category_name", "selection_quota"],
         order,
         chunk,
         {"_seen": F.lit(1), "_passed": (F.col("outcome") == "pass").cast("bigint")},
+        needed=lambda start: start("_passed") < F.col("selection_quota"),
     )
     return counted.filter(F.col("_passed") < F.col("selection_quota")).select(
         *bounded.columns,
@@ -137,12 +138,12 @@ def approval_gate(passed: DataFrame, approvals: DataFrame, max_objects: int | No
 
     An empty approval list is an error.
     """
-    empty = F.raise_error(F.lit("approval file contains no approved_object_ids"))
-    checked = approvals.agg(F.when(F.count(F.lit(1)) == 0, empty).otherwise(F.lit(True)).alias("ok"))
+    if approvals.isEmpty():
+        raise ValueError("approval file contains no approved_object_ids")
     listed = approvals.select("object_id", F.col("pos").alias("approval_pos"))
     if max_objects is not None:
         listed = listed.filter(F.col("approval_pos") < max_objects)
-    return passed.filter(checked.scalar()).join(listed, "object_id")
+    return passed.join(listed, "object_id")
 
 
 def approval_template(candidates: DataFrame) -> DataFrame:

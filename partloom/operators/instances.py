@@ -109,7 +109,7 @@ def category_groups(instances: DataFrame, order: str) -> DataFrame:
     )
     # Categories are a small table (hundreds), so one window over them is fine.
     place = Window.orderBy("first_seen")
-    return grouped.withColumn("category_pos", F.row_number().over(place) - 1)
+    return grouped.withColumn("category_pos", (F.row_number().over(place) - 1).cast("bigint"))
 
 
 def category_slice(groups: DataFrame, start: int, limit: int | None) -> DataFrame:

@@ -486,13 +486,56 @@ def prune_duplicates(spark, d):
 FILL = FusionConfig(hole_fill_knn_k=8, hole_fill_max_distance_factor=1.6, hole_fill_min_support_ratio=0.5)
 
 
-@query("hole_fill")
+def sql_fill_rounds(cells: str, k: int, factor: float, ratio: float) -> str:
+    """Hole filling as recursion over the whole state: every round carries all cells on.
+
+    `cells` is a view of (`object_id, part_idx, point_idx, score, visible_count`). The views end in `st`, whose
+    last turn is the filled state.
+    """
+    return f""", near AS MATERIALIZED (SELECT object_id, point_idx, neighbor_idx FROM fx_knn JOIN fx_spacing USING (object_id)
+  WHERE rank <= {k} AND distance <= local_spacing * {factor}),
+need AS (SELECT object_id, point_idx, greatest(2, ceil(count(*) * {ratio})) AS need FROM near GROUP BY ALL HAVING count(*) >= 2),
+unsure AS (SELECT object_id, point_idx FROM {cells} GROUP BY ALL HAVING max(visible_count) <= 0 OR max(score) < 0.3),
+start AS MATERIALIZED (SELECT c.*, n.need, u.point_idx IS NOT NULL AS unsure FROM {cells} c LEFT JOIN need n USING (object_id, point_idx)
+  LEFT JOIN unsure u USING (object_id, point_idx)),
+st AS (SELECT object_id, part_idx, point_idx, need, score::DOUBLE AS s, score > 0 AS lit, score > 0 AS seed,
+    unsure AND score <= 0 AND need IS NOT NULL AS open, 0 AS turn, 0 AS filled FROM start
+  UNION ALL SELECT c.object_id, c.part_idx, c.point_idx, c.need,
+    CASE WHEN NOT c.lit AND c.open AND a.sup >= c.need THEN coalesce(a.seed_sum / a.seed_sup, a.total / a.sup) ELSE c.s END,
+    c.lit OR coalesce(c.open AND a.sup >= c.need, false), c.seed, c.open, c.turn + 1,
+    CASE WHEN NOT c.lit AND c.open AND a.sup >= c.need THEN c.turn + 1 ELSE c.filled END
+  FROM st c LEFT JOIN (SELECT b.object_id, b.part_idx, n.point_idx, count(*) AS sup, sum(b.s) AS total, sum(b.s) FILTER (b.seed) AS seed_sum,
+      nullif(count(*) FILTER (b.seed), 0) AS seed_sup
+    FROM st b JOIN near n ON n.object_id = b.object_id AND n.neighbor_idx = b.point_idx WHERE b.lit GROUP BY ALL) a
+    ON a.object_id = c.object_id AND a.part_idx = c.part_idx AND a.point_idx = c.point_idx WHERE c.turn < 32)
+"""
+
+
+@query(
+    "hole_fill",
+    views("fx_spacing", "fx_scores").replace("WITH ", "WITH RECURSIVE ", 1)
+    + sql_fill_rounds("fx_scores", 8, 1.6, 0.5)
+    + f"SELECT object_id, part_idx, point_idx, {q6('s')} AS fill_score, filled AS round FROM st WHERE turn = 32 AND filled > 0",
+)
 def hole_fill(spark, d):
     fills = fusion.fill_holes(stored_scores(spark, d), t.points(spark, d), FILL)
     return fills.withColumn("fill_score", r6("fill_score"))
 
 
-@query("fused_labels")
+@query(
+    "fused_labels",
+    views("fx_spacing", "fx_rivals").replace("WITH ", "WITH RECURSIVE ", 1)
+    + _PRUNED.rstrip()
+    + """,
+cells AS MATERIALIZED (SELECT s.* FROM fx_scores s JOIN final f USING (object_id) WHERE list_contains(f.kept, s.part_idx))"""
+    + sql_fill_rounds("cells", 32, 7.0, 0.3)
+    + f"""SELECT object_id, point_idx, c.visible_count, best_part, {q6('max_score')} AS max_score, filled, c.visible_count <= 0 AS invisible,
+  max_score < 0.3 AS low_confidence, c.visible_count <= 0 OR max_score < 0.3 AS unknown, u.point_idx IS NOT NULL AS initial_unknown
+FROM (SELECT object_id, point_idx, max(s) AS max_score, arg_max(part_idx, [s, -part_idx]) AS best_part, bool_or(filled > 0) AS filled
+  FROM st WHERE turn = 32 GROUP BY ALL) b
+JOIN (SELECT object_id, point_idx, max(visible_count) AS visible_count FROM cells GROUP BY ALL) c USING (object_id, point_idx)
+LEFT JOIN unsure u USING (object_id, point_idx)""",
+)
 def fused_labels(spark, d):
     return fusion.fuse_labels(stored_scores(spark, d), t.points(spark, d)).withColumn("max_score", r6("max_score"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from partloom.config import LiftConfig
 from partloom.functions.numeric import half_even, sigmoid
+from partloom.operators.skew import split_join
 
 AXES = ("x", "y", "z")
 
@@ -44,7 +45,7 @@ def normalize_points(active: DataFrame) -> DataFrame:
     box = active.groupBy("object_id").agg(*bounds)
     box = box.select("object_id", *[pick(f"_{e}_{a}").alias(f"_{e}_{a}") for e in ("lo", "hi") for a in AXES])
     extent = F.greatest(*[F.col(f"_hi_{a}") - F.col(f"_lo_{a}") for a in AXES], F.lit(1e-6))
-    sized = active.join(box.withColumn("side", extent), "object_id")
+    sized = split_join(active, box.withColumn("side", extent), ["object_id"], ["point_idx"])
     side = F.col("side")
     moved = {a: F.col(a) / side - (F.col(f"_lo_{a}") / side + F.col(f"_hi_{a}") / side) * 0.5 for a in AXES}
     scaled = {f"s{i}": F.col(f"s{i}") / side for i in range(3)}
@@ -53,7 +54,7 @@ def normalize_points(active: DataFrame) -> DataFrame:
 
 def project_points(points: DataFrame, cameras: DataFrame, width: int, height: int) -> DataFrame:
     """`u`, `v`, `depth` of every point in every view of its object; `u` and `v` are null unless depth > 1e-6."""
-    paired = points.join(cameras, "object_id")
+    paired = split_join(points, cameras, ["object_id"], ["point_idx"])
 
     def along(axis: str) -> Column:
         x, y, z = (F.col(a) for a in AXES)
@@ -175,9 +176,9 @@ def part_votes(owners: DataFrame, mask_pixels: DataFrame) -> DataFrame:
 def part_scores(points: DataFrame, parts: DataFrame, votes: DataFrame, visible: DataFrame) -> DataFrame:
     """Votes over visible views for every (part, point) pair; unseen points divide by 1.
 
-    `parts` lists the few parts of each object, so the pairs are an equi-join on the object.
+    `parts` lists the few parts of each object, so the pairs are an equi-join on the object, hot objects cut.
     """
-    pairs = points.select("object_id", "point_idx").join(parts, "object_id")
+    pairs = split_join(points.select("object_id", "point_idx"), parts, ["object_id"], ["point_idx"])
     joined = pairs.join(votes, ["object_id", "part_idx", "point_idx"], "left").join(
         visible, ["object_id", "point_idx"], "left"
     )
@@ -329,7 +330,7 @@ def source_projection(points: DataFrame, poses: DataFrame) -> DataFrame:
         for j, a in enumerate(AXES)
     }
     depth = F.nullif(F.col("cz"), F.lit(0.0))
-    return points.join(poses, "object_id").withColumns(camera).withColumns(
+    return split_join(points, poses, ["object_id"], ["point_idx"]).withColumns(camera).withColumns(
         {
             "u": F.col("cx_px") - F.col("fx") * F.col("cx") / depth,
             "v": F.col("cy_px") - F.col("fy") * F.col("cy") / depth,

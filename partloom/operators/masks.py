@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from partloom.config import GeometryConfig, RuleFilterConfig
 from partloom.functions.numeric import half_even
+from partloom.operators.skew import split_join
 
 
 def masked_pixels(pixels: DataFrame, mask: DataFrame) -> DataFrame:
@@ -97,7 +98,9 @@ def mask_geometry(frames: DataFrame, mask: DataFrame, cfg: GeometryConfig = Geom
         "touches_right": F.col("x") >= F.col("image_width") - F.col("border_margin_px"),
     }
     extents = (
-        mask.join(sized.select("object_id", "image_width", "image_height", "border_margin_px"), "object_id")
+        split_join(
+            mask, sized.select("object_id", "image_width", "image_height", "border_margin_px"), ["object_id"], ["y", "x"]
+        )
         .groupBy("object_id")
         .agg(
             F.count(F.lit(1)).alias("mask_pixels"),

@@ -10,6 +10,7 @@ from partloom import fixed_values as fixed
 from partloom.config import MetricConfig
 from partloom.functions.numeric import clamp, floored_ratio, score_bucket
 from partloom.operators.ordered import global_row_number, id_chunk, running_sums
+from partloom.operators.skew import split_join
 
 NAN = float("nan")
 
@@ -233,13 +234,13 @@ def similarity(preds: DataFrame, keys: Sequence[str] = (), eps: float = 1e-8) ->
     The sums of a sample are found first and joined back, then the minima are summed: both passes
     pre-aggregate, so a huge sample is no hot task.
     """
-    clipped = preds.select(*keys, "sample_id", clamp(F.col("prob")).alias("_p"), clamp(F.col("target")).alias("_t"))
+    clipped = preds.select(*keys, "sample_id", "pos", clamp(F.col("prob")).alias("_p"), clamp(F.col("target")).alias("_t"))
     mass = clipped.groupBy(*keys, "sample_id").agg(F.sum("_p").alias("_ps"), F.sum("_t").alias("_ts"))
     has_p, has_t = F.col("_ps") > eps, F.col("_ts") > eps
     norm_p = F.when(has_p, F.col("_p") / F.when(has_p, F.col("_ps")).otherwise(1.0)).otherwise(0.0)
     norm_t = F.when(has_t, F.col("_t") / F.when(has_t, F.col("_ts")).otherwise(1.0)).otherwise(0.0)
     shared = (
-        clipped.join(mass, [*keys, "sample_id"])
+        split_join(clipped, mass, [*keys, "sample_id"], ["pos"])
         .groupBy(*keys, "sample_id")
         .agg(F.sum(F.least(norm_p, norm_t)).alias("_sim"), F.first("_ps").alias("_ps"), F.first("_ts").alias("_ts"))
     )

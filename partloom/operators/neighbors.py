@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from partloom.operators.ordered import exact_median
+from partloom.operators.skew import split_join
 from partloom.functions.numeric import size_bucket
 from partloom.session import checkpointed
 
@@ -44,7 +45,7 @@ def _search(queries: DataFrame, members: DataFrame, k: int) -> DataFrame:
     """The `k` nearest members of each query place within the 27 cells around it, and whether they are proven."""
     levels = queries.select("object_id", "_level").distinct()
     data = (
-        members.join(levels, "object_id")
+        split_join(members, levels, ["object_id"], ["point_idx"])
         .withColumns({f"_c{a}": _cell(a, F.col("_level")) for a in "xyz"})
         .select(
             "object_id", "_level", "_cx", "_cy", "_cz",
@@ -85,7 +86,7 @@ def nearest_neighbors(points: DataFrame, k: int) -> DataFrame:
         F.greatest(*[F.max(a) - F.min(a) for a in "xyz"]).alias("_extent"),
     )
     side = F.when(F.col("_extent") > 0, F.col("_extent")).otherwise(F.lit(1.0))
-    located = base.join(box, "object_id").withColumns(
+    located = split_join(base, box, ["object_id"], ["point_idx"]).withColumns(
         {
             f"_f{a}": F.least(
                 F.floor((F.col(a) - F.col(f"_lo{a}")) / side * (1 << FINEST)), F.lit((1 << FINEST) - 1)
@@ -102,7 +103,7 @@ def nearest_neighbors(points: DataFrame, k: int) -> DataFrame:
         "_cellsize", F.col("_side") / F.pow(F.lit(2.0), F.col("_level"))
     )
     sizes = members.groupBy("object_id").agg(F.count(F.lit(1)).alias("_members"))
-    open_queries = queries.join(sizes, "object_id").withColumn("_need", F.least("_members", F.lit(wanted))).drop("_members")
+    open_queries = split_join(queries, sizes, ["object_id"], ["x", "y", "z"]).withColumn("_need", F.least("_members", F.lit(wanted))).drop("_members")
 
     done: DataFrame | None = None
     for _ in range(FINEST + 1):
@@ -118,7 +119,7 @@ def nearest_neighbors(points: DataFrame, k: int) -> DataFrame:
         if open_queries.isEmpty():
             break
     return (
-        base.join(done.filter(F.col("rank") > 1), PLACE)
+        split_join(base, done.filter(F.col("rank") > 1), PLACE, ["point_idx"])
         .select("object_id", "point_idx", (F.col("rank") - 1).alias("rank"), "neighbor_idx", "distance")
     )
 
@@ -133,6 +134,5 @@ def local_spacing(neighbors: DataFrame) -> DataFrame:
 
 def within_radius(neighbors: DataFrame, spacing: DataFrame, factor: float = 7.0) -> DataFrame:
     """Neighbours no farther than `factor` local spacings."""
-    return neighbors.join(spacing, "object_id").filter(
-        F.col("distance") <= F.col("local_spacing") * factor
-    )
+    spaced = split_join(neighbors, spacing, ["object_id"], ["point_idx"])
+    return spaced.filter(F.col("distance") <= F.col("local_spacing") * factor)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from partloom.functions.numeric import clamp
 from partloom.operators import pseudo as psd
+from partloom.operators.skew import split_join
 from partloom.plans import tables as t
 from partloom.plans.evaluation import rounded
 from partloom.plans.registry import query
@@ -279,7 +280,7 @@ SELECT {', '.join(f'{q6(c)} AS {c}' for c in ('bce_loss', 'focal_loss', 'dice_lo
 def mixed_loss_report(spark, d):
     rows = logits(spark, d)
     confidence = psd.pseudo_confidence(rows).select("sample_id", "confidence")
-    weighed = rows.join(confidence, "sample_id").select(
+    weighed = split_join(rows, confidence, ["sample_id"], ["pos"]).select(
         "sample_id", "is_pseudo", "logit", "heatmap", "confidence",
         (F.col("pos") < 50 + F.col("sample_id") % 10).alias("point_mask"),
         psd.ignore_mask(F.col("heatmap"), F.col("is_pseudo")).alias("ignored"),

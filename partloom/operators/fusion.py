@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from partloom.config import FusionConfig
 from partloom.operators.lifting import best_part
 from partloom.operators.neighbors import local_spacing, nearest_neighbors, within_radius
+from partloom.operators.skew import hot_keys, split_join
 from partloom.session import Rounds, checkpointed
 
 PART = ["object_id", "part_idx"]
@@ -161,11 +162,14 @@ def fill_holes(scores: DataFrame, points: DataFrame, cfg: FusionConfig = FusionC
         .select(*keys, "_need")
     )
 
+    # The lowest points of a heap of copies are neighbours of the whole heap.
+    hubs = ["object_id", "neighbor_idx"]
+    busy = checkpointed(hot_keys(near, hubs))
+
     def sent(sources: DataFrame) -> DataFrame:
         """Support and score sums that `sources` send to the candidates that have them as neighbours."""
-        reached = sources.select("object_id", "part_idx", F.col("point_idx").alias("neighbor_idx"), "_s").join(
-            near, ["object_id", "neighbor_idx"]
-        )
+        given = sources.select("object_id", "part_idx", F.col("point_idx").alias("neighbor_idx"), "_s")
+        reached = split_join(near, given, hubs, ["point_idx"], hot=busy)
         summed = reached.groupBy(*keys).agg(F.count(F.lit(1)).alias("_support"), F.sum("_s").alias("_sum"))
         return summed.join(candidates, keys, "left_semi")
 

@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, functions as F
 HOT_ROWS = 1_000_000
 
 
+def hot_keys(rows: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Keys with more than `hot_rows` rows, and into how many pieces to cut them."""
+    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > hot_rows)
+    return counted.select(*keys, F.ceil(F.col("_rows") / hot_rows).alias("_pieces"))
+
+
 def split_join(
     rows: DataFrame,
     records: DataFrame,
@@ -17,16 +23,17 @@ def split_join(
     how: str = "inner",
     *,
     hot_rows: int = HOT_ROWS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """`rows` joined to `records` on `keys`, with hot keys cut into pieces of about `hot_rows` rows.
 
     A plain join sends a whole group to one task, and an aggregation by finer keys would stay there with
     it. Here the rows of a hot key go to a piece by a hash of `spread`, and its records are repeated per
     piece. Hot keys are found by a pre-aggregated count; there can be only one per `hot_rows` rows (a
-    million in 10^12 rows), so their list is safe to broadcast. Keys that are not hot join as usual.
+    million in 10^12 rows), so their list is safe to broadcast. Keys that are not hot join as usual. Pass
+    stored `hot_keys` as `hot` when the same rows are joined again and again.
     """
-    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > hot_rows)
-    hot = F.broadcast(counted.select(*keys, F.ceil(F.col("_rows") / hot_rows).alias("_pieces")))
+    hot = F.broadcast(hot_keys(rows, keys, hot_rows) if hot is None else hot)
     piece = F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_pieces")), F.lit(0).cast("bigint"))
     every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_pieces", F.lit(1).cast("bigint")) - 1))
     cut_rows = rows.join(hot, list(keys), "left").withColumn("_piece", piece).drop("_pieces")

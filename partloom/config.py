@@ -60,6 +60,9 @@ class LiftConfig:
     labeled_alpha: float = 1.0
     visualization_yaws_deg: tuple[float, ...] = (30.0, 150.0, 270.0)
     visualization_pitches_deg: tuple[float, ...] = (15.0, -10.0, 20.0)
+    visualization_radius: float | None = None
+    visualization_fov_deg: float | None = None
+    visualization_resolution: int | None = None
 
 
 @dataclass(frozen=True)

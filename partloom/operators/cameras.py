@@ -124,12 +124,29 @@ def standard_views(objects: DataFrame, cfg: RenderConfig = RenderConfig()) -> Da
     )
 
 
-def default_camera(source_views: DataFrame, *, order: str) -> DataFrame:
-    """Visualisation camera per object: mean radius and field of view, resolution of the first view."""
-    return source_views.groupBy("object_id").agg(
-        F.avg(F.coalesce("radius", F.lit(2.0))).alias("radius"),
-        F.avg(F.coalesce("fov_deg", F.lit(40.0))).alias("fov_deg"),
-        F.min_by(F.coalesce("resolution", F.lit(512)), F.col(order)).alias("resolution"),
+def default_camera(
+    source_views: DataFrame, *, order: str, objects: DataFrame | None = None, cfg: LiftConfig = LiftConfig()
+) -> DataFrame:
+    """Visualisation camera per object: mean radius and field of view, resolution of the first view.
+
+    Configured values win. With `objects`, those without any source view get the defaults.
+    """
+    # What an absent field, or an object without views, reads as.
+    absent = {"radius": 2.0, "fov_deg": 40.0, "resolution": 512}
+    found = source_views.groupBy("object_id").agg(
+        F.avg(F.coalesce("radius", F.lit(absent["radius"]))).alias("radius"),
+        F.avg(F.coalesce("fov_deg", F.lit(absent["fov_deg"]))).alias("fov_deg"),
+        F.min_by(F.coalesce("resolution", F.lit(absent["resolution"])), F.col(order)).alias("resolution"),
+    )
+    if objects is not None:
+        found = objects.select("object_id").distinct().join(found, "object_id", "left")
+    set_values = {
+        "radius": cfg.visualization_radius,
+        "fov_deg": cfg.visualization_fov_deg,
+        "resolution": cfg.visualization_resolution,
+    }
+    return found.withColumns(
+        {n: F.coalesce(n, F.lit(absent[n])) if v is None else F.lit(v) for n, v in set_values.items()}
     )
 
 

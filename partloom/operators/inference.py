@@ -24,18 +24,20 @@ def pluggable_scorer(df: DataFrame, infer: Infer, result: StructType, retry: Ret
     status = [StructField("attempts", IntegerType()), StructField("status", StringType()), StructField("error", StringType())]
     schema = StructType([*df.schema.fields, *result.fields, *status])
     names = [f.name for f in result.fields]
+    # Plain numbers, so that workers need nothing but this function.
+    most, wait = retry.max_attempts, retry.backoff_seconds
 
     def call(row: dict) -> dict:
         error = ""
-        for attempt in range(1, retry.max_attempts + 1):
+        for attempt in range(1, most + 1):
             try:
                 answer = infer(row)
                 return {**{n: answer.get(n) for n in names}, "attempts": attempt, "status": "completed", "error": None}
             except Exception as exc:  # noqa: BLE001
                 error = str(exc)
-                if attempt < retry.max_attempts:
-                    time.sleep(retry.backoff_seconds * attempt)
-        return {**{n: None for n in names}, "attempts": retry.max_attempts, "status": "failed", "error": error}
+                if attempt < most:
+                    time.sleep(wait * attempt)
+        return {**{n: None for n in names}, "attempts": most, "status": "failed", "error": error}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -174,6 +174,25 @@ def candidate_summary(results: DataFrame) -> DataFrame:
     )
 
 
+def review_list(results: DataFrame) -> DataFrame:
+    """What a reviewer sees of each candidate: decision, reasons and the paths of its files."""
+
+    def path(tail: str) -> Column:
+        return F.concat("object_id", F.lit(tail))
+
+    return results.select(
+        "object_id",
+        "category_name",
+        "passed",
+        "short_reason",
+        "reasons",
+        path("/candidate/masked_instance.png").alias("masked_view_path"),
+        path("/source/image.png").alias("source_image_path"),
+        path("/source/instance_mask.png").alias("source_mask_path"),
+        path("/candidate/candidate_meta.json").alias("candidate_meta_path"),
+    )
+
+
 def summed_area(pixels: DataFrame, tile: int = 256) -> DataFrame:
     """`total` of `v` over all pixels above and to the left, the pixel itself included.
 

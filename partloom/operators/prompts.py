@@ -24,9 +24,14 @@ def keep_first(rows: DataFrame, keys: Sequence[str], pos: str, count: int) -> Da
     return rows.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= count)
 
 
-def normalize_parts(parts: DataFrame, max_parts: int, keys: Sequence[str] = ("object_id",)) -> DataFrame:
-    """Part names as slugs, blanks dropped, first of equal slugs kept, cut to `max_parts` in order."""
-    named = parts.filter(names.strip(F.col("part_name")) != "")
+def normalize_parts(
+    parts: DataFrame, max_parts: int, keys: Sequence[str] = ("object_id",), *, drop_blank: bool = True
+) -> DataFrame:
+    """Part names as slugs, blanks dropped, first of equal slugs kept, cut to `max_parts` in order.
+
+    On export names are canonicalised once more without the blank check: a blank then reads `unknown`.
+    """
+    named = parts.filter(names.strip(F.col("part_name")) != "") if drop_blank else parts
     unique = first_per_slug(named, keys, names.slug_ws(F.col("part_name")), "pos")
     kept = keep_first(unique, keys, "pos", max_parts)
     prompt = names.base_part_prompt(F.col("category_name"), F.col("slug"))

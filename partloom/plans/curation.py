@@ -324,6 +324,27 @@ def candidate_summary(spark, d):
     )
 
 
+@query(
+    "review_list",
+    views("fx_attempts")
+    + """SELECT object_id, category_name, 'slot ' || selection_slot_index AS short_reason, '' AS reasons, true AS passed,
+  object_id || '/candidate/masked_instance.png' AS masked_view_path, object_id || '/source/image.png' AS source_image_path,
+  object_id || '/source/instance_mask.png' AS source_mask_path, object_id || '/candidate/candidate_meta.json' AS candidate_meta_path
+FROM fx_attempts WHERE outcome = 'pass'""",
+)
+def review_list(spark, d):
+    """Selected candidates as a reviewer sees them."""
+    chosen = screened(spark, d)[1].filter("outcome = 'pass'")
+    judged = chosen.withColumns(
+        {
+            "passed": F.lit(True),
+            "short_reason": F.concat(F.lit("slot "), F.col("selection_slot_index").cast("string")),
+            "reasons": F.array().cast("array<string>"),
+        }
+    )
+    return msk.review_list(judged).withColumn("reasons", F.array_join("reasons", ","))
+
+
 @query(
     "box_mean",
     views("fx_pixels")

@@ -12,6 +12,8 @@ from partloom.plans import tables as t
 from partloom.plans.registry import query
 from partloom.plans.scalars import object_files
 from partloom.plans.tables import SQL, views
+from partloom.session import scratch_path
+from partloom.sources import writers
 
 # Prompted parts of an object (one per event type) and the parts that have scores.
 SQL["fx_prompted"] = """
@@ -207,7 +209,10 @@ def run_status(spark, d):
         F.col("user_id").alias("object_id"), F.col("event_type").alias("stage"), F.col("event_id").alias("version"),
         status.alias("status"), F.col("props").alias("settings"),
     )
-    return pack.run_status(log, ["object_id", "stage"])
+    path = scratch_path(spark, "status")
+    for kind in ("planned", "running", "completed"):
+        writers.append_status(log.filter(F.col("status") == kind), path)
+    return pack.run_status(spark.read.parquet(path), ["object_id", "stage"])
 
 
 @query(

@@ -25,6 +25,11 @@ def read_bucketed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("bucket")
 
 
+def append_status(log: DataFrame, path: str) -> None:
+    """Adds rows to a status log by stage; `packaging.run_status` reads the current state from it."""
+    log.write.mode("append").partitionBy("stage").parquet(path)
+
+
 def write_json_documents(df: DataFrame, path: str, *, mode: str = "errorifexists") -> None:
     """One JSON document per row and line."""
     df.write.mode(mode).json(path)

@@ -135,3 +135,42 @@ def test_reading_a_negative_id_fails(spark):
 
     with pytest.raises(Exception, match="non-negative"):
         spark.createDataFrame([(-1,)], "i bigint").select(names.object_id(F.col("i"))).collect()
+
+
+def test_default_cameras(spark):
+    from partloom.config import LiftConfig
+    from partloom.operators import cameras as cam
+
+    seen = spark.createDataFrame([(1, 0, 1.0, None, 256), (1, 1, None, 60.0, 128)], "object_id bigint, pos int, radius double, fov_deg double, resolution int")
+    objects = spark.createDataFrame([(1,), (2,)], "object_id bigint")
+    got = {r["object_id"]: tuple(r)[1:] for r in cam.default_camera(seen, order="pos", objects=objects).collect()}
+    assert got == {1: (1.5, 50.0, 256), 2: (2.0, 40.0, 512)}
+    fixed = cam.default_camera(seen, order="pos", cfg=LiftConfig(visualization_radius=3.0)).first()
+    assert fixed["radius"] == 3.0 and fixed["fov_deg"] == 50.0
+    with pytest.raises(ValueError):
+        cam.visibility_views(objects, LiftConfig(visualization_yaws_deg=(1.0,)))
+
+
+def test_standard_views_must_fit(spark):
+    from partloom.config import RenderConfig
+    from partloom.operators import cameras as cam
+
+    objects = spark.createDataFrame([(1,)], "object_id bigint")
+    assert [r["canonical_view"] for r in cam.standard_views(objects, RenderConfig(num_views=2)).collect()] == ["front", "right"]
+    with pytest.raises(ValueError):
+        cam.standard_views(objects, RenderConfig(num_views=7))
+    with pytest.raises(ValueError):
+        cam.standard_views(objects, RenderConfig(yaws_deg=(0.0,)))
+
+
+def test_pre_rotation_of_parallel_targets(spark):
+    from partloom.operators import cameras as cam
+
+    df = spark.createDataFrame([(0.0, 0.0, 2.0), (0.0, 0.0, -1.0), (1.0, 1.0, 1.0)], "tx double, ty double, tz double")
+    rows = [tuple(r)[3:] for r in cam.pre_rotation(df).collect()]
+    assert rows[0] == (1, 0, 0, 0, 1, 0, 0, 0, 1)
+    assert rows[1] == (1, 0, 0, 0, -1, 0, 0, 0, -1)
+    # +Z goes to the target direction.
+    assert all(math.isclose(rows[2][i], 1 / math.sqrt(3)) for i in (2, 5, 8))
+    with pytest.raises(Exception, match="non-zero"):
+        cam.pre_rotation(spark.createDataFrame([(0.0, 0.0, 0.0)], "tx double, ty double, tz double")).collect()

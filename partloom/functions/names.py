@@ -54,19 +54,22 @@ def humanize(text: Column) -> Column:
     return or_unknown(collapse(F.replace(text, F.lit("_"), F.lit(" "))))
 
 
-def _numbered(pattern: str, number: Column, what: str) -> Column:
+def _numbered(prefix: str, number: Column, width: int, what: str) -> Column:
+    """`prefix` and the number with leading zeros; padding is much cheaper than a format call."""
     number = number.cast("bigint")
+    digits = number.cast("string")
+    padded = F.lpad(digits, F.greatest(F.length(digits), F.lit(width)), F.lit("0"))
     return F.when(number < 0, F.raise_error(F.lit(f"{what} must be non-negative"))).otherwise(
-        F.format_string(pattern, number)
+        F.concat(F.lit(prefix), padded)
     )
 
 
 def object_id(index: Column) -> Column:
-    return _numbered("object_%06d", index, "index")
+    return _numbered("object_", index, 6, "index")
 
 
 def stable_object_id(annotation_id: Column) -> Column:
-    return _numbered("lvis_ann_%08d", annotation_id, "annotation_id")
+    return _numbered("lvis_ann_", annotation_id, 8, "annotation_id")
 
 
 def is_stable_object_id(value: Column) -> Column:

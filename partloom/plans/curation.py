@@ -93,7 +93,7 @@ def category_quotas(spark, d):
 
 def screened(spark, d):
     """Category table with quotas, and the attempted rows. Outcomes are stored once and read from there."""
-    outcomes = checkpointed(t.outcomes(spark, d), "outcomes")
+    outcomes = checkpointed(t.outcomes(spark, d).drop("object_id"), "outcomes")
     quotas = checkpointed(quo.category_quotas(t.decided(outcomes), QUOTAS), "quotas")
     return quotas, quo.quota_selection(outcomes, quotas, ["annotation_id"], t.annotation_chunk())
 
@@ -334,7 +334,7 @@ FROM fx_attempts WHERE outcome = 'pass'""",
 )
 def review_list(spark, d):
     """Selected candidates as a reviewer sees them."""
-    chosen = screened(spark, d)[1].filter("outcome = 'pass'")
+    chosen = ins.stable_object_ids(screened(spark, d)[1].filter("outcome = 'pass'"))
     judged = chosen.withColumns(
         {
             "passed": F.lit(True),

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import math
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -97,11 +98,19 @@ def _spans(text: Column, kind: str, rank: int, pattern: str, group: int, keep, h
     return F.when(hint, found).otherwise(F.expr(f"CAST(array() AS {SPAN_TYPE})"))
 
 
+def _long(least: int, value: Column) -> Column:
+    return F.length(value) >= least
+
+
+def _long_match(least: int, m: Column) -> Column:
+    return F.length(m["value"]) >= least
+
+
 def base_spans(text: Column) -> Column:
     """Spans of the fixed kinds, by start, then kind. A null text has none."""
     text = F.coalesce(text, F.lit(""))
     by_kind = [
-        _spans(text, kind, rank, pattern, group, lambda m, least=least: F.length(m["value"]) >= least, text.rlike(HINTS[kind]))
+        _spans(text, kind, rank, pattern, group, partial(_long_match, least), text.rlike(HINTS[kind]))
         for rank, (kind, pattern, group, least) in enumerate(BASE_KINDS)
     ]
     return F.array_sort(F.concat(*by_kind))
@@ -116,7 +125,7 @@ def labelled_strings(docs: DataFrame, max_strings: int = 20_000, least_length: i
     any_hint = "|".join(f"(?:{h})" for h in HINTS.values())
     values = F.concat(
         *[
-            F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda v, least=least: F.length(v) >= least)
+            F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), partial(_long, least))
             for _, pattern, group, least in BASE_KINDS
         ]
     )

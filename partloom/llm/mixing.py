@@ -18,7 +18,7 @@ from partloom.session import checkpointed
 
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
-CHUNK_WORDS = 4_000_000
+CHUNK_WORDS = 250_000
 
 
 def source_targets(totals: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from partloom.llm import mixing, secrets
+from partloom.llm import mixing, quality, secrets
 from partloom.llm.text import table
 from partloom.plans.registry import Plan, Query
+from partloom.session import checkpointed
 
 LLM_QUERIES: dict[str, Query] = {}
 
@@ -63,3 +64,12 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", count("assign"), count("access"), count("hex"),
         F.sha2(secrets.span_text("base_spans"), 256).alias("base_sha256"), secrets.span_text("spans").alias("spans"),
     )
+
+
+@query("op10_quality_rules")
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = checkpointed(quality.text_statistics(table(spark, sf_dir, "documents")), "quality")
+    junk = quality.learn_from_labels(stats, table(spark, sf_dir, "labels"))
+    return quality.judge(stats, junk).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule"
+    )

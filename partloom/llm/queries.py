@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from partloom.llm import language_crf, mixing, quality, secrets
+from partloom.llm import language_crf, mixing, pieces, quality, secrets
 from partloom.llm.text import held_out, table
 from partloom.plans.registry import Plan, Query
 from partloom.session import checkpointed
@@ -82,3 +82,19 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_crf.train(language_crf.training_documents(docs.filter(~out)))
     labelled = language_crf.predict(docs.select("doc_id", "text"), model)
     return labelled.select("doc_id", out.alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
+
+
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query("op3_sentencepiece")
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = pieces.load_vocabulary(PIECE_MODEL)
+    coded = pieces.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+    both = pieces.decode_documents(coded, vocabulary)
+    return both.select(
+        "doc_id",
+        F.size("piece_ids").cast("bigint").alias("n_pieces"),
+        F.sha2(F.array_join("piece_ids", ","), 256).alias("ids_sha256"),
+        F.col("text").eqNullSafe(F.col("decoded_text")).alias("round_trip"),
+    )

@@ -53,7 +53,7 @@ def log_probabilities(pieces: list[tuple[str, float, int]]) -> list[tuple[str, f
     log-probabilities of Zipf's law: the r-th of N pieces has 1 / (r * H(N)).
     """
     ranks = [-score for _, score, _ in pieces]
-    if len(set(ranks)) < len(ranks) or any(r < 0 or r != int(r) for r in ranks):
+    if any(r < 0 or r != int(r) for r in ranks):
         return pieces
     log_sum = math.log(sum(1.0 / r for r in range(1, len(ranks) + 1)) or 1.0)
     return [(piece, -math.log(-score + 1.0) - log_sum, number) for piece, score, number in pieces]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from partloom.llm import language_crf, mixing, pieces, quality, secrets
+from partloom.llm import language_crf, mixing, pieces, quality, secrets, token_shards
 from partloom.llm.text import held_out, table
 from partloom.plans.registry import Plan, Query
 from partloom.session import checkpointed
@@ -98,3 +98,15 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("piece_ids", ","), 256).alias("ids_sha256"),
         F.col("text").eqNullSafe(F.col("decoded_text")).alias("round_trip"),
     )
+
+
+BYTE_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+# Fixed value: how the vocabulary of BYTE_RANKS cuts a text before merging.
+BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+BYTE_END = 50256
+
+
+@query("op5_token_shards")
+def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = token_shards.load_tokenizer(BYTE_RANKS, BYTE_PATTERN, BYTE_END)
+    return token_shards.write_shards(table(spark, sf_dir, "documents"), tokenizer).manifest

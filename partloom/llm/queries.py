@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from partloom.llm import language_crf, mixing, pieces, quality, secrets, token_shards
+from partloom.llm import language_crf, mixing, pieces, quality, secrets, token_shards, vector_dedup
 from partloom.llm.text import held_out, table
 from partloom.plans.registry import Plan, Query
 from partloom.session import checkpointed
@@ -110,3 +110,8 @@ BYTE_END = 50256
 def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = token_shards.load_tokenizer(BYTE_RANKS, BYTE_PATTERN, BYTE_END)
     return token_shards.write_shards(table(spark, sf_dir, "documents"), tokenizer).manifest
+
+
+@query("op9_vector_dedup")
+def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))

@@ -16,6 +16,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from partloom.session import checkpointed
+
 UNDETERMINED = "und"
 CACHE_WORDS = 400_000
 CELLS = 400_000
@@ -92,20 +94,20 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.nd
 
 
 def training_documents(docs: DataFrame, *, documents_per_language: int = 300, most_chars: int = 20_000) -> DataFrame:
-    """A bounded sample of labelled documents: per language the first in order of a hash of the text.
+    """A bounded sample of labelled documents: per language the distinct texts that come first in order of a hash.
 
     Rows without a text or a language are no examples, nor are texts above `most_chars`, so that the
-    sample has a proven bound. The number of languages is that of the labels.
+    sample has a proven bound. The number of languages is that of the labels. The hashes alone are ordered;
+    texts are only read for those below the cut.
     """
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= most_chars))
-    usable = usable.select("lang", "text")
-    languages = sorted(r["lang"] for r in usable.groupBy("lang").count().select("lang").collect())
-    order = F.xxhash64("text")
-    parts = [usable.filter(F.col("lang") == x).orderBy(order, "text").limit(documents_per_language) for x in languages]
-    out = usable.limit(0)
-    for part in parts:
-        out = out.unionByName(part)
-    return out
+    usable = usable.select("lang", "text", F.xxhash64("text").alias("_hash"))
+    hashes = checkpointed(usable.select("lang", "_hash").distinct(), "language-hashes")
+    wanted = F.lit(False)
+    for row in hashes.groupBy("lang").count().orderBy("lang").collect():
+        first = hashes.filter(F.col("lang") == row["lang"]).select("_hash").orderBy("_hash").limit(documents_per_language)
+        wanted = wanted | ((F.col("lang") == row["lang"]) & (F.col("_hash") <= first.agg(F.max("_hash")).first()[0]))
+    return usable.filter(wanted).dropDuplicates(["lang", "_hash"]).select("lang", "text")
 
 
 def train(

@@ -15,11 +15,13 @@ from dataclasses import dataclass
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import sentencepiece
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 SPACE = "▁"  # stands for a blank inside pieces
-MEMO_CHARS, MEMO_ENTRIES = 48, 500_000
+MEMO_CHARS, MEMO_ENTRIES = 32, 300_000
+BATCH_IDS = 500_000
 UNKNOWN_PENALTY = 10.0
 
 
@@ -71,7 +73,7 @@ class Codec:
         self.single = {p for p, _, _ in vocabulary.pieces if len(p) == 1}
         self.unknown = min((s for _, s, _ in vocabulary.pieces), default=0.0) - UNKNOWN_PENALTY
         self.byte_ids = vocabulary.byte_ids
-        self.memo: dict[str, list[int]] = {}
+        self.memo: dict[str, tuple[int, ...]] = {}
         # If no piece has a blank behind another character, no piece crosses the start of a word.
         whole = any(re.search(f"[^{SPACE}]{SPACE}", p) for p, _, _ in vocabulary.pieces)
         self.stretch = re.compile("(?s).+" if whole else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -95,7 +97,14 @@ class Codec:
                 if text[settled - 1] not in self.single and best[settled - 1] + self.unknown > best[settled]:
                     best[settled], back[settled] = best[settled - 1] + self.unknown, (1, -1)
 
-        if self.single or len(self.automaton):
+        if self.single.issuperset(text):
+            # Every character has a piece, so every prefix has a score when it is needed.
+            for end, (length, score, number) in self.automaton.iter(text):
+                total = best[end + 1 - length] + score
+                if total > best[end + 1]:
+                    best[end + 1], back[end + 1] = total, (length, number)
+            settled = n
+        elif self.single or len(self.automaton):
             for end, (length, score, number) in self.automaton.iter(text):
                 if settled < end:
                     settle(end)
@@ -121,8 +130,6 @@ class Codec:
             return []
         ids: list[int] = []
         memo = self.memo
-        if len(memo) > MEMO_ENTRIES:
-            memo.clear()
         # The sign for a blank may stand in the text itself: that one goes by its bytes.
         for number, part in enumerate((" " + text).split(SPACE)):
             if number:
@@ -130,8 +137,9 @@ class Codec:
             for stretch in self.stretch.findall(part.replace(" ", SPACE)):
                 known = memo.get(stretch)
                 if known is None:
-                    known = self._viterbi(stretch)
-                    if len(stretch) <= MEMO_CHARS:
+                    known = tuple(self._viterbi(stretch))
+                    # Frequent words come early; what comes after the memo is full is mostly rare.
+                    if len(memo) < MEMO_ENTRIES and len(stretch) <= MEMO_CHARS:
                         memo[stretch] = known
                 ids += known
         return ids
@@ -141,35 +149,64 @@ class Codec:
         return data.decode("utf-8", "replace")[1:]
 
 
-def encoded(text: Column, vocabulary: Vocabulary) -> Column:
-    """`array<int>` of the piece ids of each whole text; null for null, empty for an empty text."""
+_CODECS: dict[int, Codec] = {}
+
 
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = Codec(vocabulary)
-        for texts in batches:
-            yield pd.Series([None if t is None else np.array(codec.encode(t), dtype=np.int32) for t in texts], dtype=object)
+def _codec(vocabulary: Vocabulary) -> Codec:
+    """The codec of a worker, kept from task to task with what it remembers."""
+    key = hash(vocabulary)
+    if key not in _CODECS:
+        _CODECS.clear()
+        _CODECS[key] = Codec(vocabulary)
+    return _CODECS[key]
 
-    return encode(text)
+
+def encode_documents(docs: DataFrame, vocabulary: Vocabulary, *, check: bool = False) -> DataFrame:
+    """`docs` with `piece_ids`, an array of the ids of each whole `text`, and all other columns as they are.
+
+    Null for a null text, empty for an empty one. With `check`, `round_trip` says whether decoding the ids
+    gives the text again. Own columns of these names are replaced; repeated rows stay.
+    """
+    added = ["piece_ids", *(["round_trip"] if check else [])]
+    kept = docs.select(*[c for c in docs.columns if c not in added])
+    schema = T.StructType([*kept.schema.fields, T.StructField("piece_ids", T.ArrayType(T.IntegerType()))])
+    if check:
+        schema = schema.add("round_trip", T.BooleanType())
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(shared.value)
+        for batch in batches:
+            ids, same, start, size = [], [], 0, 0
+            texts = batch.column("text")
+            for i, text in enumerate(texts):
+                value = text.as_py()
+                own = None if value is None else np.array(codec.encode(value), dtype=np.int32)
+                ids.append(own)
+                if check:
+                    same.append(value is None or codec.decode(own.tolist()) == value)
+                size += 0 if own is None else len(own)
+                # What waits is bounded by ids, not by rows, however long the texts are.
+                if size >= BATCH_IDS or i == len(texts) - 1:
+                    arrays = [pa.array(ids, pa.list_(pa.int32())), *([pa.array(same, pa.bool_())] if check else [])]
+                    part = batch.slice(start, i + 1 - start)
+                    yield pa.RecordBatch.from_arrays([*part.columns, *arrays], names=[*part.schema.names, *added])
+                    ids, same, start, size = [], [], i + 1, 0
+
+    return kept.mapInArrow(encode, schema)
 
 
 def decoded(ids: Column, vocabulary: Vocabulary) -> Column:
     """The text of each list of ids, exactly the one that was encoded; null for null."""
 
     @F.pandas_udf("string")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = Codec(vocabulary)
-        for lists in batches:
-            yield pd.Series([None if x is None else codec.decode(x.tolist()) for x in lists], dtype=object)
+    def decode(lists: pd.Series) -> pd.Series:
+        codec = _codec(vocabulary)
+        return pd.Series([None if x is None else codec.decode(x.tolist()) for x in lists], dtype=object)
 
     return decode(ids)
 
 
-def encode_documents(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """`docs` with `piece_ids` of its `text`; other columns and repeated rows stay, an own `piece_ids` is replaced."""
-    return docs.withColumn("piece_ids", encoded(F.col("text"), vocabulary))
-
-
 def decode_documents(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """`docs` with `decoded_text` of its `piece_ids`."""
     return docs.withColumn("decoded_text", decoded(F.col("piece_ids"), vocabulary))

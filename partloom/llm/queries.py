@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from partloom.llm import language_crf, mixing, pieces, quality, secrets, token_shards, vector_dedup
+from partloom.llm import language_crf, mixing, pieces, quality, secrets, suffix_tree, token_shards, vector_dedup
 from partloom.llm.text import held_out, table
 from partloom.plans.registry import Plan, Query
 from partloom.session import checkpointed
@@ -90,13 +90,9 @@ PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 @query("op3_sentencepiece")
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = pieces.load_vocabulary(PIECE_MODEL)
-    coded = pieces.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
-    both = pieces.decode_documents(coded, vocabulary)
-    return both.select(
-        "doc_id",
-        F.size("piece_ids").cast("bigint").alias("n_pieces"),
-        F.sha2(F.array_join("piece_ids", ","), 256).alias("ids_sha256"),
-        F.col("text").eqNullSafe(F.col("decoded_text")).alias("round_trip"),
+    coded = pieces.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, check=True)
+    return coded.select(
+        "doc_id", F.size("piece_ids").cast("bigint").alias("n_pieces"), F.xxhash64("piece_ids").alias("ids_hash"), "round_trip"
     )
 
 
@@ -115,3 +111,11 @@ def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_vector_dedup")
 def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op8_lm_scoring")
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = held_out(F.col("doc_id"), 5, 1)
+    scored = suffix_tree.score_documents(docs, ~out)
+    return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

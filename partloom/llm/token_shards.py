@@ -87,13 +87,13 @@ def permuted(index: np.ndarray, size: int, key: str) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _token_arrays(batches: Iterator[pa.RecordBatch], tokenizer: Tokenizer) -> Iterator[tuple[int | None, np.ndarray]]:
-    encoding = _encoding(tokenizer)
-    end = np.array([tokenizer.end_id], dtype=np.uint32)
+def _token_lists(batches: Iterator[pa.RecordBatch], tokenizer: Tokenizer) -> Iterator[tuple[int | None, list[int]]]:
+    encode = _encoding(tokenizer).encode_ordinary
     for batch in batches:
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-            tokens = encoding.encode_to_numpy(text.as_py() or "", disallowed_special=())
-            yield doc_id, np.concatenate([tokens, end])
+            tokens = encode(text.as_py() or "")
+            tokens.append(tokenizer.end_id)
+            yield doc_id, tokens
 
 
 def write_shards(
@@ -121,7 +121,7 @@ def write_shards(
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = sum(len(ids) for _, ids in _token_arrays(batches, tokenizer))
+        tokens = sum(len(ids) for _, ids in _token_lists(batches, tokenizer))
         yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "n": [-(-tokens // length)]})
 
     # One number per input partition.
@@ -145,23 +145,23 @@ def write_shards(
 
         def flush() -> pa.RecordBatch:
             index = np.array([o[0] for o in out], dtype=np.int64)
-            full = [np.concatenate([o[4], np.full(length - len(o[4]), tokenizer.end_id)]) for o in out]
+            full = [np.concatenate([o[4], np.full(length - len(o[4]), tokenizer.end_id, dtype=TOKEN_TYPE)]) for o in out]
             done = pa.RecordBatch.from_arrays(
                 [
                     pa.array(permuted(index, total, key)),
                     pa.array([o[1] for o in out], pa.list_(pa.int64())),
                     pa.array([o[2] for o in out], pa.list_(pa.int64())),
                     pa.array([o[3] for o in out], pa.int64()),
-                    pa.array([t.astype(TOKEN_TYPE).tobytes() for t in full], pa.binary()),
+                    pa.array([t.tobytes() for t in full], pa.binary()),
                 ],
                 names=["slot", "doc_ids", "starts", "n_tokens", "tokens"],
             )
             out.clear()
             return done
 
-        for doc_id, ids in _token_arrays(batches, tokenizer):
+        for doc_id, ids in _token_lists(batches, tokenizer):
             marks.append((doc_id, size))
-            waiting.append(ids)
+            waiting.append(np.array(ids, dtype=TOKEN_TYPE))
             size += len(ids)
             if size >= length:
                 joined = np.concatenate(waiting)

@@ -1,22 +1,23 @@
-"""Language-model scores from a probabilistic suffix tree over the letters of words.
+"""Language-model scores from a probabilistic suffix tree over tokens.
 
-Contexts of up to `depth` symbols are states of the tree if they are frequent enough and if their next-symbol
-distribution differs enough from that of the context that is one symbol shorter. Each distribution is
-smoothed with that of its parent. A word is scored symbol by symbol with the longest state that ends its
-history; histories begin anew with each word, so a word type is scored once, however often it occurs. Whole
-words are the longest contexts: their own counts are smoothed with what the letters say.
+States are contexts of one or two tokens. A context is a state if it has a fixed share of all tokens and its
+next-token distribution differs enough from that of the context that is one token shorter. A state lists
+the next tokens that are frequent after it, smoothed with its parent; all others have the parent's
+probability, scaled to the rest. The root covers every token: tokens without training counts are one unknown
+symbol with the mass of first occurrences (Witten and Bell).
 
-All counts cover all training texts. What reaches the driver is bounded at any size: contexts of at least a
-fixed share of all symbols.
+All counts cover all training texts. Thresholds are shares of all tokens, so that they mean the same at every
+size, and what reaches the driver or every task has a proven bound: at most `1 / share` entries.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
@@ -25,267 +26,336 @@ from partloom.llm.text import LOWER, UPPER
 from partloom.session import checkpointed
 
 LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
-START, STOP = "\x02", "\x03"  # around every word; words of texts may hold them, that only shares their counts
-UNKNOWN = ""
 FLUSH_ENTRIES = 500_000
+END = b""  # the token at the end of every text; words are never empty
+
+
+@dataclass(frozen=True)
+class Shares:
+    """Shares of all tokens that decide what the tree holds."""
+
+    head: float = 2e-6  # a word with an own number in every task
+    listed: float = 1e-5  # a word that states may list
+    single: float = 5e-5  # a context of one token
+    double: float = 5e-4  # each token of a context of two
+    entry: float = 1e-6  # context and next token together
 
 
 @dataclass(frozen=True)
 class SuffixTree:
-    """`states`: context -> (log10 probabilities of listed symbols, log10 of the factor for the parent's others)."""
+    """Tokens are numbered by frequency. `factor1[a]` and `factor2` are log10 factors for what a state does not list.
 
-    states: dict[str, tuple[dict[str, float], float]]
-    depth: int
-    stop_text: float  # log10 probability that a text ends at a token
-    go_on: float
+    States of two tokens are `codes2 = a * double + b` in order; entries are `(state code) * listed + next`.
+    """
+
+    root: np.ndarray
+    singles: int
+    doubles: int
+    listed: int
+    factor1: np.ndarray  # nan: no state
+    entries1: np.ndarray
+    values1: np.ndarray
+    codes2: np.ndarray
+    factor2: np.ndarray
+    entries2: np.ndarray
+    values2: np.ndarray
 
 
 def tokens_of(text: str | None) -> list[bytes]:
-    """Words with A-Z in lower case; `split` of bytes cuts at the six ASCII white-space characters."""
-    return (text or "").encode().translate(LOWERED).split()
+    """Words with A-Z in lower case and the end; `split` of bytes cuts at the six ASCII white-space characters."""
+    tokens = (text or "").encode().translate(LOWERED).split()
+    tokens.append(END)
+    return tokens
 
 
-def _batch(columns: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:
+def _batch(columns: dict[str, tuple[object, pa.DataType]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns.values()], names=list(columns))
 
 
 def vocabulary(docs: DataFrame, trained: Column) -> DataFrame:
-    """`(word, c, n)`: occurrences in training texts and in all texts; the empty word is the end of a text."""
+    """`(word, c, n)`: occurrences in training texts and in all texts. Counts are summed per task before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = {True: Counter(), False: Counter()}
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for known, counter in counts.items():
-                words, numbers = list(counter), list(counter.values())
-                for at in range(0, len(words), 50_000):
-                    part = numbers[at : at + 50_000]
-                    yield _batch(
-                        {
-                            "word": (words[at : at + 50_000], pa.binary()),
-                            "c": (part if known else [0] * len(part), pa.int64()),
-                            "n": (part, pa.int64()),
-                        }
-                    )
-                counter.clear()
+        def flush(known: bool) -> Iterator[pa.RecordBatch]:
+            words, numbers = list(counts[known]), list(counts[known].values())
+            for at in range(0, len(words), 50_000):
+                part = numbers[at : at + 50_000]
+                own = part if known else [0] * len(part)
+                yield _batch({"word": (words[at : at + 50_000], pa.binary()), "c": (own, pa.int64()), "n": (part, pa.int64())})
+            counts[known].clear()
 
         for batch in batches:
             for text, known in zip(batch.column("text"), batch.column("trained").to_pylist()):
-                counter = counts[known]
-                counter.update(tokens_of(text.as_py()))
-                counter[b""] += 1
-                if len(counter) > FLUSH_ENTRIES:
-                    yield from flush()
-        yield from flush()
+                counts[known].update(tokens_of(text.as_py()))
+                if len(counts[known]) > FLUSH_ENTRIES:
+                    yield from flush(known)
+        for known in counts:
+            yield from flush(known)
 
     rows = docs.select("text", F.coalesce(trained, F.lit(False)).alias("trained"))
     counted = rows.mapInArrow(count, "word binary, c bigint, n bigint")
     return counted.groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
-def context_counts(words: DataFrame, depth: int) -> DataFrame:
-    """`(context, next, c)` of all symbol contexts of up to `depth`, from `(word, c)`."""
+def _contexts(ids: np.ndarray, first: np.ndarray, singles: int, doubles: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the contexts of one and two tokens before each token; -1 where there is none. `first` marks starts."""
+    before = np.concatenate([[-1], ids[:-1]])
+    before[first] = -1
+    earlier = np.concatenate([[-1], before[:-1]])
+    earlier[first] = -1
+    one = np.where(before < singles, before, -1)
+    two = np.where((before >= 0) & (before < doubles) & (earlier >= 0) & (earlier < doubles), earlier * doubles + before, -1)
+    return one, two
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, int] = defaultdict(int)
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            keys = list(counts)
-            for at in range(0, len(keys), 50_000):
-                part = keys[at : at + 50_000]
+def _numbered(texts: pa.Array, ids: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Token numbers of a batch, -1 for words outside the head, and where each text begins."""
+    flat: list[int] = []
+    starts = []
+    for text in texts:
+        starts.append(len(flat))
+        flat += [ids.get(w, -1) for w in tokens_of(text.as_py())]
+    return np.array(flat, dtype=np.int64), np.array(starts, dtype=np.int64)
+
+
+def context_counts(docs: DataFrame, trained: Column, ids, singles: int, doubles: int, listed: int) -> DataFrame:
+    """`(depth, code, c)`: how often each listed token follows each context in training texts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = ids.value
+        waiting: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {1: [], 2: []}
+
+        def merged(depth: int) -> tuple[np.ndarray, np.ndarray]:
+            codes = np.concatenate([c for c, _ in waiting[depth]]) if waiting[depth] else np.zeros(0, dtype=np.int64)
+            counts = np.concatenate([n for _, n in waiting[depth]]) if waiting[depth] else np.zeros(0, dtype=np.int64)
+            order = np.argsort(codes, kind="stable")
+            codes, counts = codes[order], counts[order]
+            firsts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, dtype=np.int64)
+            return codes[firsts], np.add.reduceat(counts, firsts) if len(codes) else counts
+
+        def flush(depth: int) -> Iterator[pa.RecordBatch]:
+            codes, counts = merged(depth)
+            waiting[depth] = []
+            for at in range(0, len(codes), 50_000):
+                part = codes[at : at + 50_000]
                 yield _batch(
                     {
-                        "context": ([k[:-1] for k in part], pa.string()),
-                        "next": ([k[-1] for k in part], pa.string()),
-                        "c": ([counts[k] for k in part], pa.int64()),
+                        "depth": (np.full(len(part), depth, dtype=np.int32), pa.int32()),
+                        "code": (part, pa.int64()),
+                        "c": (counts[at : at + 50_000], pa.int64()),
                     }
                 )
-            counts.clear()
 
         for batch in batches:
-            for word, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist()):
-                symbols = START + word.decode() + STOP
-                for i in range(1, len(symbols)):
-                    for j in range(max(0, i - depth), i + 1):
-                        counts[symbols[j : i + 1]] += c
-                if len(counts) > FLUSH_ENTRIES:
-                    yield from flush()
-        yield from flush()
-
-    counted = words.filter((F.col("c") > 0) & (F.length("word") > 0)).select("word", "c")
-    return counted.mapInArrow(count, "context string, next string, c bigint").groupBy("context", "next").agg(F.sum("c").alias("c"))
-
-
-def train(words: DataFrame, *, depth: int = 6, least_share: float = 5e-6, smoothing: float = 0.5) -> SuffixTree:
-    """The tree of a stored vocabulary `(word, c, n)`.
-
-    A context needs `least_share` of all symbols, so there are at most `1 / least_share` of each length. It
-    is a state if `N * KL(own || parent's)` is above what its extra parameters cost by the Bayesian
-    information criterion. Without training words every symbol is unknown and equally likely.
+            texts = batch.column("text")
+            for low in range(0, len(texts), 1000):
+                flat, starts = _numbered(texts.slice(low, 1000), numbers)
+                contexts = _contexts(flat, starts, singles, doubles)
+                for depth, context in enumerate(contexts, 1):
+                    use = (context >= 0) & (flat >= 0) & (flat < listed)
+                    waiting[depth].append(np.unique(context[use] * listed + flat[use], return_counts=True))
+                    if sum(len(c) for c, _ in waiting[depth]) > 4 * FLUSH_ENTRIES:
+                        waiting[depth] = [merged(depth)]
+                        if len(waiting[depth][0][0]) > 2 * FLUSH_ENTRIES:
+                            yield from flush(depth)
+        for depth in waiting:
+            yield from flush(depth)
+
+    rows = docs.filter(F.coalesce(trained, F.lit(False))).select("text")
+    counted = rows.mapInArrow(count, "depth int, code bigint, c bigint")
+    return counted.groupBy("depth", "code").agg(F.sum("c").alias("c"))
+
+
+def build(
+    root_counts: np.ndarray, tokens: int, kinds: int, pairs: dict[int, int], triples: dict[int, int], singles: int, doubles: int, listed: int
+) -> SuffixTree:
+    """The tree from counts of tokens, pairs and triples; `root_counts` are those of the numbered tokens.
+
+    A context becomes a state if `N * KL(own || parent's)`, over the tokens it lists and the rest, is above
+    what the listed probabilities cost by the Bayesian information criterion.
     """
-    counts = checkpointed(context_counts(words, depth), "contexts")
-    total = counts.filter(F.col("context") == "").agg(F.sum("c")).first()[0] or 0
-    sizes = counts.groupBy("context").agg(F.sum("c").alias("_n")).filter(F.col("_n") >= max(1.0, least_share * total))
-    next_counts: dict[str, dict[str, int]] = defaultdict(dict)
-    for row in counts.join(sizes, "context").select("context", "next", "c").toLocalIterator():
-        next_counts[row["context"]][row["next"]] = row["c"]
-    ends = words.filter(F.length("word") == 0).agg(F.sum("c")).first()[0] or 0
-    tokens = words.agg(F.sum("c")).first()[0] or 0
-    stop = (ends + smoothing) / (tokens + 2 * smoothing)
-    return build(next_counts, total, depth, smoothing, math.log10(stop), math.log10(1 - stop))
-
-
-def build(next_counts: dict[str, dict[str, int]], total: int, depth: int, smoothing: float, stop: float, go_on: float) -> SuffixTree:
-    root = next_counts.get("", {})
-    mass = total + smoothing * (len(root) + 1)
-    linear: dict[str, dict[str, float]] = {"": {x: (c + smoothing) / mass for x, c in root.items()}}
-    linear[""][UNKNOWN] = smoothing / mass
-    rest: dict[str, float] = {"": 0.0}
-    penalty = 0.5 * math.log(max(total, 2))
-
-    def probability(context: str, symbol: str) -> float:
-        factor = 1.0
-        while symbol not in linear[context]:
-            if context == "":
-                return factor * linear[""][UNKNOWN]
-            factor *= rest[context]
-            context = parent(context)
-        return factor * linear[context][symbol]
-
-    def parent(context: str) -> str:
-        context = context[1:]
-        while context not in linear:
-            context = context[1:]
-        return context
-
-    for context in sorted((c for c in next_counts if c), key=lambda c: (len(c), c)):
-        own = next_counts[context]
-        n = sum(own.values())
-        above = parent(context)
-        expected = {x: probability(above, x) for x in own}
-        gain = sum(c * math.log(c / n / expected[x]) for x, c in own.items())
-        if gain <= penalty * len(own):
-            continue
-        # Witten-Bell: as much weight for the parent as there are different next symbols.
-        kinds = len(own)
-        linear[context] = {x: (c + kinds * expected[x]) / (n + kinds) for x, c in own.items()}
-        rest[context] = kinds / (n + kinds)
-    states = {
-        c: ({x: math.log10(p) for x, p in d.items()}, math.log10(rest[c]) if rest[c] > 0 else 0.0) for c, d in linear.items()
-    }
-    return SuffixTree(states, depth, stop, go_on)
-
-
-def word_score(word: str, tree: SuffixTree) -> float:
-    """log10 probability of one word and its end mark."""
-    symbols = START + word + STOP
-    states, total = tree.states, 0.0
-    for i in range(1, len(symbols)):
-        symbol = symbols[i]
-        j = max(0, i - tree.depth)
-        while True:
-            state = states.get(symbols[j:i])
-            if state is not None:
-                listed = state[0].get(symbol)
-                if listed is not None:
-                    total += listed
-                    break
-                if j == i:
-                    total += state[0][UNKNOWN]
-                    break
-                total += state[1]
-            j += 1
-    return total
-
-
-def scored_vocabulary(words: DataFrame, tree: SuffixTree) -> DataFrame:
-    """Adds `score`, the log10 probability of each token, to `(word, c, n)`.
-
-    With N training words of V kinds a word has `(c + V * letters) / (N + V)`, where `letters` is its
-    probability under the tree: the more kinds there are, the more is left for new ones.
+    unknown = kinds / (tokens + kinds) if kinds else 1.0
+    linear_root = np.where(root_counts > 0, root_counts / max(1.0, float(tokens + kinds)), unknown)
+    penalty = 0.5 * math.log(max(tokens, 2))
+
+    def grouped(counts: dict[int, int]) -> dict[int, list[tuple[int, int]]]:
+        out: dict[int, list[tuple[int, int]]] = {}
+        for code in sorted(counts):
+            out.setdefault(code // listed, []).append((code % listed, counts[code]))
+        return out
+
+    linear: dict[tuple[int, ...], tuple[dict[int, float], float]] = {}
+
+    def probability(state: tuple[int, ...], token: int) -> float:
+        if state and state in linear:
+            entries, factor = linear[state]
+            return entries[token] if token in entries else factor * probability(state[1:], token)
+        return probability(state[1:], token) if state else float(linear_root[token])
+
+    def consider(state: tuple[int, ...], total: int, followers: list[tuple[int, int]]) -> None:
+        parent = state[1:]
+        total = max(total, sum(c for _, c in followers))
+        expected = {x: probability(parent, x) for x, _ in followers}
+        rest, rest_expected = total - sum(c for _, c in followers), max(1e-12, 1 - sum(expected.values()))
+        gain = sum(c * math.log(c / total / expected[x]) for x, c in followers)
+        gain += rest * math.log(rest / total / rest_expected) if rest > 0 else 0.0
+        if gain <= penalty * len(followers):
+            return
+        weight = len(followers) + 1.0
+        entries = {x: (c + weight * expected[x]) / (total + weight) for x, c in followers}
+        linear[state] = (entries, max(1e-12, 1 - sum(entries.values())) / rest_expected)
+
+    for a, followers in grouped(pairs).items():
+        consider((a,), int(root_counts[a]), followers)
+    for ab, followers in grouped(triples).items():
+        a, b = divmod(ab, doubles)
+        consider((a, b), pairs.get(a * listed + b, 0), followers)
+
+    factor1 = np.full(singles + 1, np.nan)
+    listed1, listed2, states2 = [], [], []
+    for state, (entries, factor) in linear.items():
+        if len(state) == 1:
+            factor1[state[0]] = math.log10(factor)
+            listed1 += [(state[0] * listed + x, math.log10(p)) for x, p in entries.items()]
+        else:
+            code = state[0] * doubles + state[1]
+            states2.append((code, math.log10(factor)))
+            listed2 += [(code * listed + x, math.log10(p)) for x, p in entries.items()]
+
+    def arrays(rows: list[tuple[int, float]]) -> tuple[np.ndarray, np.ndarray]:
+        rows.sort()
+        return np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.float64)
+
+    return SuffixTree(np.log10(linear_root), singles, doubles, listed, factor1, *arrays(listed1), *arrays(states2), *arrays(listed2))
+
+
+def _found(table: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(table):
+        return np.zeros(len(codes), dtype=bool), np.zeros(len(codes), dtype=np.int64)
+    place = np.minimum(np.searchsorted(table, codes), len(table) - 1)
+    return table[place] == codes, place
+
+
+def token_scores(tree: SuffixTree, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """log10 probability of each token after the longest state of its history.
+
+    For a token outside the head (-1) it is the part that the states give; its own probability at the root is
+    to be added.
     """
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = [word_score(w.decode(), tree) if w else tree.stop_text for w in batch.column("word").to_pylist()]
-            yield batch.append_column("letters", pa.array(values, pa.float64()))
-
-    letters = words.mapInArrow(score, "word binary, c bigint, n bigint, letters double")
-    known = words.filter((F.col("c") > 0) & (F.length("word") > 0)).agg(F.sum("c"), F.count(F.lit(1))).first()
-    total, kinds = float(known[0] or 0), float(known[1] or 1)
-    own = F.log10((F.col("c") + kinds * F.pow(F.lit(10.0), F.col("letters"))) / (total + kinds))
-    new = F.col("letters") + math.log10(kinds / (total + kinds))
-    word = F.when(F.col("c") > 0, own).otherwise(new) + tree.go_on
-    return letters.select("word", "c", "n", F.when(F.length("word") == 0, F.col("letters")).otherwise(word).alias("score"))
-
-
-def score_documents(docs: DataFrame, trained: Column, *, depth: int = 6, least_share: float = 5e-6, head_share: float = 1e-6) -> DataFrame:
+    one, two = _contexts(ids, starts, tree.singles, tree.doubles)
+    value = np.where(ids >= 0, tree.root[np.maximum(ids, 0)] if len(tree.root) else 0.0, 0.0)
+    may = (ids >= 0) & (ids < tree.listed)
+    factor = tree.factor1[one]  # the last element stands for no context
+    at = np.flatnonzero(~np.isnan(factor))
+    value[at] += factor[at]
+    at = at[may[at]]
+    hit, place = _found(tree.entries1, one[at] * tree.listed + ids[at])
+    value[at[hit]] = tree.values1[place[hit]]
+    at = np.flatnonzero(two >= 0)
+    state, place = _found(tree.codes2, two[at])
+    at = at[state]
+    value[at] += tree.factor2[place[state]]
+    at = at[may[at]]
+    hit, place = _found(tree.entries2, two[at] * tree.listed + ids[at])
+    value[at[hit]] = tree.values2[place[hit]]
+    return value
+
+
+def score_documents(docs: DataFrame, trained: Column, shares: Shares = Shares()) -> DataFrame:
     """One row per row of `docs(doc_id, text)`, with a model learned from the rows where `trained` holds.
 
     Returns `doc_id, n_tokens, n_known, train_tokens, base_score, score`. A null text is empty: it has one
     token, the end. Repeated rows are texts of their own, each counted and scored. `base_score` sums
-    `log10((c + 0.5) / (N + 0.5 * (V + 1)))`; without training rows all counts are zero.
+    `log10((c + 0.5) / (N + 0.5 * (V + 1)))`; without training rows all counts are zero and every token is
+    the unknown symbol, with probability 1 under the tree.
 
-    Words that are at least `head_share` of all tokens go to every task, at most `1 / head_share` of them;
-    all other words meet their scores in a join, summed per text and word beforehand.
+    Frequent words go to every task; all others meet their root probability in a join, summed per text and
+    word beforehand.
     """
     words = checkpointed(vocabulary(docs, trained), "words")
-    tree = train(words, depth=depth, least_share=least_share)
-    scored = checkpointed(scored_vocabulary(words, tree), "scored-words")
-    totals = scored.agg(F.sum("c"), F.sum(F.when(F.col("c") > 0, 1).otherwise(0)), F.sum("n")).first()
-    train_tokens, distinct, all_tokens = (int(x or 0) for x in totals)
-    mass = train_tokens + 0.5 * (distinct + 1)
+    known = F.col("c") > 0
+    totals = words.agg(F.sum("c"), F.sum(known.cast("bigint")), F.sum("n")).first()
+    tokens, kinds, all_tokens = (int(x or 0) for x in totals)
+    mass = tokens + 0.5 * (kinds + 1)
     base = F.log10((F.col("c") + 0.5) / F.lit(mass))
-    values = scored.select("word", base.alias("base"), "score", (F.col("c") > 0).cast("int").alias("known"), "n")
-    often = F.col("n") >= head_share * all_tokens
-    head = {bytes(r["word"]): (r["base"], r["score"], r["known"]) for r in values.filter(often).toLocalIterator()}
-    session = docs.sparkSession.sparkContext
-    shared = session.broadcast(head)
-
-    def parts(batches: Iterator[pa.RecordBatch], rare: bool) -> Iterator[pa.RecordBatch]:
-        known, part, number = shared.value, TaskContext.get().partitionId(), 0
+    unknown = math.log10(kinds / (tokens + kinds)) if kinds else 0.0
+    root = F.when(known, F.log10(F.col("c") / F.lit(float(max(1, tokens + kinds))))).otherwise(F.lit(unknown))
+    often = F.col("n") >= shares.head * all_tokens
+    # At most 1 / shares.head words.
+    head = words.filter(often).select("word", "c", base.alias("base")).orderBy(F.desc("c"), "word").collect()
+    counts = np.array([r["c"] for r in head], dtype=np.int64)
+    context = docs.sparkSession.sparkContext
+    ids = context.broadcast({bytes(r["word"]): i for i, r in enumerate(head)})
+    singles, doubles, listed = (int((counts >= max(1.0, x * tokens)).sum()) for x in (shares.single, shares.double, shares.listed))
+    found = context_counts(docs, trained, ids, singles, doubles, max(1, listed)).filter(F.col("c") >= max(2.0, shares.entry * tokens))
+    entries: dict[int, dict[int, int]] = {1: {}, 2: {}}
+    for r in found.collect():
+        entries[r["depth"]][r["code"]] = r["c"]
+    tree = context.broadcast(build(counts, tokens, kinds, entries[1], entries[2], singles, doubles, max(1, listed)))
+    bases = context.broadcast((np.array([r["base"] for r in head], dtype=np.float64), counts > 0))
+
+    def main(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number = TaskContext.get().partitionId(), 0
+        own_base, own_known = bases.value
+        for batch in batches:
+            for low in range(0, batch.num_rows, 1000):
+                piece = batch.slice(low, 1000)
+                flat, starts = _numbered(piece.column("text"), ids.value)
+                inside = flat >= 0
+                place = np.maximum(flat, 0)
+                values = token_scores(tree.value, flat, starts)
+                empty = not len(own_base)
+                sums = [
+                    np.add.reduceat(x, starts)
+                    for x in (
+                        np.zeros(len(flat), dtype=np.int64) if empty else (inside & own_known[place]).astype(np.int64),
+                        np.zeros(len(flat)) if empty else np.where(inside, own_base[place], 0.0),
+                        values,
+                    )
+                ]
+                yield _batch(
+                    {
+                        "doc_id": (piece.column("doc_id"), pa.int64()),
+                        "row": ((part << 40) + number + np.arange(len(starts)), pa.int64()),
+                        "n_tokens": (np.diff(np.append(starts, len(flat))), pa.int64()),
+                        "n_known": (sums[0], pa.int64()),
+                        "base_score": (sums[1], pa.float64()),
+                        "score": (sums[2], pa.float64()),
+                    }
+                )
+                number += len(starts)
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number = TaskContext.get().partitionId(), 0
+        numbers = ids.value
         for batch in batches:
-            if rare:
-                rows, words_, counts = [], [], []
-                for text in batch.column("text"):
-                    for word, c in Counter(w for w in tokens_of(text.as_py()) if w not in known).items():
-                        rows.append(part << 40 | number)
-                        words_.append(word)
-                        counts.append(c)
-                    number += 1
-                yield _batch({"row": (rows, pa.int64()), "word": (words_, pa.binary()), "count": (counts, pa.int64())})
-            else:
-                out = []
-                for text in batch.column("text"):
-                    tokens = tokens_of(text.as_py())
-                    tokens.append(b"")
-                    found = [known[w] for w in tokens if w in known]
-                    out.append((part << 40 | number, len(tokens), sum(f[2] for f in found), math.fsum(f[0] for f in found), math.fsum(f[1] for f in found)))
-                    number += 1
-                names = ("row", "n_tokens", "n_known", "base_score", "score")
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-                columns = list(zip(*out)) or [()] * 5
-                arrays = [pa.array(list(c), k) for c, k in zip(columns, kinds)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names=["doc_id", *names])
+            rows_, words_, counts_ = [], [], []
+            for text in batch.column("text"):
+                for word, c in Counter(w for w in tokens_of(text.as_py()) if w not in numbers).items():
+                    rows_.append((part << 40) + number)
+                    words_.append(word)
+                    counts_.append(c)
+                number += 1
+            yield _batch({"row": (rows_, pa.int64()), "word": (words_, pa.binary()), "count": (counts_, pa.int64())})
 
     # Both branches read the same input partitions, so a row has the same number in each.
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    main = rows.mapInArrow(
-        lambda b: parts(b, False), "doc_id bigint, row bigint, n_tokens bigint, n_known bigint, base_score double, score double"
-    )
-    rare_words = rows.mapInArrow(lambda b: parts(b, True), "row bigint, word binary, count bigint")
-    found = rare_words.join(values.filter(~often).select("word", "base", "score", "known"), "word")
-    rest = found.groupBy("row").agg(
-        F.sum(F.col("count") * F.col("known")).alias("_known"),
-        F.sum(F.col("count") * F.col("base")).alias("_base"),
-        F.sum(F.col("count") * F.col("score")).alias("_score"),
+    scored = rows.mapInArrow(main, "doc_id bigint, row bigint, n_tokens bigint, n_known bigint, base_score double, score double")
+    values = words.filter(~often).select("word", base.alias("_b"), root.alias("_r"), known.cast("bigint").alias("_k"))
+    seldom = rows.mapInArrow(rare, "row bigint, word binary, count bigint").join(values, "word")
+    rest = seldom.groupBy("row").agg(
+        F.sum(F.col("count") * F.col("_k")).alias("_known"),
+        F.sum(F.col("count") * F.col("_b")).alias("_base"),
+        F.sum(F.col("count") * F.col("_r")).alias("_root"),
     )
-    both = main.join(rest, "row", "left")
+    both = scored.join(rest, "row", "left")
     return both.select(
         "doc_id",
         "n_tokens",
         (F.col("n_known") + F.coalesce("_known", F.lit(0))).cast("bigint").alias("n_known"),
-        F.lit(train_tokens).cast("bigint").alias("train_tokens"),
+        F.lit(tokens).cast("bigint").alias("train_tokens"),
         (F.col("base_score") + F.coalesce("_base", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("_score", F.lit(0.0))).alias("score"),
+        (F.col("score") + F.coalesce("_root", F.lit(0.0))).alias("score"),
     )

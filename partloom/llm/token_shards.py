@@ -11,8 +11,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +55,9 @@ def load_tokenizer(path: str, pattern: str, end_id: int) -> Tokenizer:
         return Tokenizer(file.read(), pattern, end_id)
 
 
+@lru_cache(maxsize=1)
 def _encoding(tokenizer: Tokenizer) -> tiktoken.Encoding:
+    """Built once per worker and kept from task to task."""
     lines = (line.split() for line in tokenizer.ranks.splitlines() if line)
     ranks = {base64.b64decode(token): int(rank) for token, rank in lines}
     return tiktoken.Encoding("shards", pat_str=tokenizer.pattern, mergeable_ranks=ranks, special_tokens={})
@@ -152,7 +156,7 @@ def write_shards(
                     pa.array([o[1] for o in out], pa.list_(pa.int64())),
                     pa.array([o[2] for o in out], pa.list_(pa.int64())),
                     pa.array([o[3] for o in out], pa.int64()),
-                    pa.array([t.tobytes() for t in full], pa.binary()),
+                    pa.array([t.astype(TOKEN_TYPE, copy=False).tobytes() for t in full], pa.binary()),
                 ],
                 names=["slot", "doc_ids", "starts", "n_tokens", "tokens"],
             )
@@ -161,7 +165,7 @@ def write_shards(
 
         for doc_id, ids in _token_lists(batches, tokenizer):
             marks.append((doc_id, size))
-            waiting.append(np.array(ids, dtype=TOKEN_TYPE))
+            waiting.append(np.frombuffer(array("H", ids), dtype=np.uint16))
             size += len(ids)
             if size >= length:
                 joined = np.concatenate(waiting)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from partloom.llm import language_crf, mixing, pieces, quality, secrets, suffix_tree, token_shards, vector_dedup
+from partloom.llm import jaccard_join, language_crf, mixing, pieces, quality, secrets, suffix_tree, token_shards, vector_dedup
 from partloom.llm.text import held_out, table
 from partloom.plans.registry import Plan, Query
 from partloom.session import checkpointed
@@ -119,3 +119,8 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = held_out(F.col("doc_id"), 5, 1)
     scored = suffix_tree.score_documents(docs, ~out)
     return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op2_jaccard_join")
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_documents(table(spark, sf_dir, "documents"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 
-from partloom.llm import jaccard_join, language_crf, mixing, pieces, quality, secrets, suffix_tree, token_shards, vector_dedup
+from partloom.llm import jaccard_join, language_crf, licenses, mixing, pieces, quality, secrets, suffix_tree, token_shards, vector_dedup
 from partloom.llm.text import held_out, table
 from partloom.plans.registry import Plan, Query
 from partloom.session import checkpointed
@@ -131,3 +131,14 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query("op4_licenses")
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scanned = licenses.scan(docs, licenses.train(docs))
+    families = F.array_sort(F.array_distinct(F.transform("licenses", lambda x: x["family"])))
+    places = F.transform("licenses", lambda x: F.concat_ws(":", x["line"], x["family"]))
+    return scanned.select(
+        "doc_id", F.size("licenses").cast("bigint").alias("n_licenses"), F.array_join(families, ",").alias("families"), F.array_join(places, ",").alias("places")
+    )

@@ -25,19 +25,26 @@ from partloom.llm.suffix_tree import LOWERED
 from partloom.session import checkpointed
 
 MEMO_WORDS = 400_000
+SLICE_SHINGLES = 100_000
+HELD_KEYS = 2_000_000
 U64 = np.uint64
 
 
 @dataclass(frozen=True)
 class Join:
-    """`percent`: least Jaccard similarity. `slack`: segments per unit that is needed, for large and small sets."""
+    """`percent`: least Jaccard similarity.
+
+    A band has `slack + small_slack / largest size` segments per unit that is needed: the choice must be wide
+    where a passage that many texts share is a large part of a set. Sets up to `small` shingles are indexed
+    with their one-deletion neighbours and their empty segments, so that they never lack units.
+    """
 
     width: int = 5
     percent: int = 75
     growth: float = 1.5
-    slack: float = 1.15
+    slack: float = 1.2
+    small_slack: float = 60.0
     small: int = 64
-    small_slack: float = 1.5
     filter_bits: int = 1 << 24  # bound of the bitmaps that tasks get
 
     def unit_need(self, larger: int, smaller: int) -> int:
@@ -54,7 +61,7 @@ class Join:
     def segments(self, high: int) -> int:
         """Number of segments of the band whose largest set has `high` shingles."""
         need = self.unit_need(high * 100 // self.percent, high)
-        return int(np.ceil(need * (self.small_slack if high <= self.small else self.slack)))
+        return int(np.ceil(need * min(2.5, self.slack + self.small_slack / high)))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -117,29 +124,44 @@ class Segmenter:
             out.append((band - 1, self.join.segments(high), True, self.join.unit_need(size, high)))
         return out
 
-    def deletions(self, band: int) -> bool:
-        return self.lows[band + 1] - 1 <= self.join.small
-
-    def keys(self, shingles: np.ndarray, band: int, segments: int, deletions: bool):
-        """Segments in use with their sizes and keys, and `(segment, key)` of each one-deletion neighbour."""
+    def keys(self, sets: list[np.ndarray], nodes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """`key, node, meta` rows of a slice of sets, worked on together.
+
+        `meta` is `segment << 3 | several << 2 | left << 1 | below`; `left` marks a one-deletion neighbour,
+        `several` a segment that has them. A negative `meta` describes a set in a role: see `_described`.
+        """
+        roles = [(i, *role) for i, s in enumerate(sets) for role in self.roles(len(s))]
+        lengths = np.array([len(sets[r[0]]) for r in roles])
+        band, segments, need = (np.array([r[i] for r in roles], dtype=np.int64) for i in (1, 2, 4))
+        below = np.array([r[3] for r in roles], dtype=np.int64)
+        owner = np.array([nodes[r[0]] for r in roles], dtype=np.int64)
+        small = np.array([self.lows[r[1] + 1] - 1 <= self.join.small for r in roles])
+        tokens = np.concatenate([sets[r[0]] for r in roles])
+        role = np.repeat(np.arange(len(roles)), lengths)
+        base = np.concatenate([[0], np.cumsum(segments)])
         with np.errstate(over="ignore"):
-            at = (_mixed(shingles + U64(band * 2654435761 + 1)) >> U64(11)) % U64(segments)
-            at = at.astype(np.int64)
-            sums = np.zeros(segments, dtype=U64)
-            np.add.at(sums, at, shingles)
-            sizes = np.bincount(at, minlength=segments)
-            used = np.flatnonzero(sizes)
-
-            def key(total: np.ndarray, segment: np.ndarray, size: np.ndarray) -> np.ndarray:
-                place = (segment.astype(U64) << U64(24)) + size.astype(U64) + (U64(band) << U64(52))
+            salt = band.astype(U64) * U64(2654435761) + U64(1)
+            at = base[role] + ((_mixed(tokens + salt[role]) >> U64(11)) % segments.astype(U64)[role]).astype(np.int64)
+            sums = np.zeros(base[-1], dtype=U64)
+            np.add.at(sums, at, tokens)
+            sizes = np.bincount(at, minlength=base[-1])
+            of = np.repeat(np.arange(len(roles)), segments)
+            segment = np.arange(base[-1]) - base[of]
+
+            def key(total: np.ndarray, where: np.ndarray, size: np.ndarray) -> np.ndarray:
+                place = (segment[where].astype(U64) << U64(24)) + size.astype(U64) + (band[of[where]].astype(U64) << U64(52))
                 return _mixed(total ^ _mixed(place + U64(0x9E3779B97F4A7C15))).view(np.int64)
 
-            whole = key(sums[used], used, sizes[used])
-            if not deletions:
-                return used, sizes[used], whole, used[:0], whole[:0]
-            several = sizes[at] > 1
-            left = key(sums[at[several]] - shingles[several], at[several], sizes[at[several]] - 1)
-            return used, sizes[used], whole, at[several], left
+            several = (sizes > 1) & small[of]
+            used = np.flatnonzero((sizes > 0) | small[of])
+            gone = several[at]
+            whole, left = key(sums[used], used, sizes[used]), key(sums[at[gone]] - tokens[gone], at[gone], sizes[at[gone]] - 1)
+        units = np.bincount(of[used], minlength=len(roles)) + np.bincount(of[several], minlength=len(roles))
+        described = -1 - (2 * (need - units + (1 << 28)) + below)
+        meta = np.concatenate(
+            [segment[used] << 3 | several[used] << 2 | below[of[used]], segment[at[gone]] << 3 | 6 | below[of[at[gone]]], described]
+        )
+        return np.concatenate([whole, left, owner]), np.concatenate([owner[of[used]], owner[of[at[gone]]], owner]), meta.astype(np.int32)
 
 
 def _arrow(columns: dict[str, tuple[object, pa.DataType]]) -> pa.RecordBatch:
@@ -147,127 +169,116 @@ def _arrow(columns: dict[str, tuple[object, pa.DataType]]) -> pa.RecordBatch:
 
 
 def _sets(docs: DataFrame, join: Join) -> DataFrame:
-    """Per row: `doc_id, n, node, twin`, the units it can ask for in both roles and those it needs."""
+    """Per row: `doc_id, n, node, twin`, the size of its set and two numbers that stand for it."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, segmenter = Shingler(join), Segmenter(join)
+        shingler = Shingler(join)
         for batch in batches:
-            rows = []
-            for text in batch.column("text"):
-                shingles = shingler.shingles(text.as_py())
-                row = [len(shingles), *_identity(shingles), 0, 0, 0, 0]
-                for band, segments, below, need in segmenter.roles(len(shingles)) if len(shingles) else []:
-                    deletions = segmenter.deletions(band)
-                    used, sizes, *_ = segmenter.keys(shingles, band, segments, False)
-                    row[3 + 2 * below] = len(used) + (int((sizes > 1).sum()) if deletions else 0)
-                    row[4 + 2 * below] = need
-                rows.append(row)
-            columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(7)]
-            names = ["n", "node", "twin", "units0", "need0", "units1", "need1"]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", *names])
-
-    return docs.mapInArrow(
-        describe, "doc_id bigint, n bigint, node bigint, twin bigint, units0 bigint, need0 bigint, units1 bigint, need1 bigint"
-    )
+            rows = [(len(s), *_identity(s)) for s in (shingler.shingles(text.as_py()) for text in batch.column("text"))]
+            columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n", "node", "twin"])
+
+    return docs.mapInArrow(describe, "doc_id bigint, n bigint, node bigint, twin bigint")
 
 
 def _keys(docs: DataFrame, join: Join) -> DataFrame:
-    """`(key, node, meta)`: all keys of every distinct set a task sees. `meta` holds `below`, `left`, `several`, segment."""
+    """`(key, node, meta)`: all keys of every distinct set that a task sees."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, segmenter = Shingler(join), Segmenter(join)
         seen: set[int] = set()
-        waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        sets: list[np.ndarray] = []
+        nodes: list[int] = []
         size = 0
+
+        def rows() -> pa.RecordBatch:
+            key, node, meta = segmenter.keys(sets, nodes)
+            return _arrow({"key": (key, pa.int64()), "node": (node, pa.int64()), "meta": (meta, pa.int32())})
+
         for batch in batches:
             for text in batch.column("text"):
                 shingles = shingler.shingles(text.as_py())
-                if not len(shingles):
-                    continue
-                node, _ = _identity(shingles)
-                if node in seen:
+                if not len(shingles) or (node := _identity(shingles)[0]) in seen:
                     continue
                 seen.add(node)
-                for band, segments, below, _ in segmenter.roles(len(shingles)):
-                    deletes = segmenter.deletions(band)
-                    used, sizes, whole, where, left = segmenter.keys(shingles, band, segments, deletes)
-                    meta = np.concatenate([used << 3 | (sizes > 1) * 4 * deletes | int(below), where << 3 | 1 << 2 | 2 | int(below)])
-                    keys = np.concatenate([whole, left])
-                    waiting.append((keys, np.full(len(keys), node, dtype=np.int64), meta.astype(np.int32)))
-                    size += len(keys)
-                if size > 50_000:
-                    parts = [np.concatenate([w[i] for w in waiting]) for i in range(3)]
-                    yield _arrow({"key": (parts[0], pa.int64()), "node": (parts[1], pa.int64()), "meta": (parts[2], pa.int32())})
-                    waiting, size = [], 0
-        if waiting:
-            parts = [np.concatenate([w[i] for w in waiting]) for i in range(3)]
-            yield _arrow({"key": (parts[0], pa.int64()), "node": (parts[1], pa.int64()), "meta": (parts[2], pa.int32())})
+                sets.append(shingles)
+                nodes.append(node)
+                size += len(shingles)
+                if size > SLICE_SHINGLES:
+                    yield rows()
+                    sets, nodes, size = [], [], 0
+        if sets:
+            yield rows()
 
     return docs.mapInArrow(emit, "key bigint, node bigint, meta int")
 
 
 def _shared_only(keys: DataFrame) -> DataFrame:
-    """Rows whose key another set has too. Rows come in order of key, so only neighbours are looked at."""
+    """Rows whose key another set has too, and the descriptions.
+
+    A task keeps the keys it has seen, like any aggregation by key. Of a key that is known to be shared it
+    keeps one row, so a key of very many sets takes no more memory than one of two.
+    """
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None  # the last row, and whether its key is known to be shared
-        shared_before = False
+        state = [np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=bool)]
+        waiting: list[list[np.ndarray]] = []
+        size = 0
 
-        def sifted(key: np.ndarray, node: np.ndarray, meta: np.ndarray, last: bool):
-            nonlocal held, shared_before
+        def sifted() -> list[np.ndarray]:
+            """Rows to hand on; `state` becomes what later rows are to be compared with. Its last column: handed on."""
+            nonlocal state
+            key, node, meta, done = (np.concatenate([state[i], *(w[i] for w in waiting)]) for i in range(4))
+            order = np.lexsort((meta, node, key))
+            key, node, meta, done = key[order], node[order], meta[order], done[order]
             same = key[1:] == key[:-1]
-            other = same & (node[1:] != node[:-1])
-            # A run of one key is shared if any step in it changes the set.
-            run = np.concatenate([[0], np.cumsum(~same)])
-            hit = np.zeros(run[-1] + 1, dtype=bool)
-            hit[run[1:][other]] = True
-            hit[0] |= shared_before
-            good = hit[run]
-            fresh = np.concatenate([[True], ~(same & (node[1:] == node[:-1]) & (meta[1:] == meta[:-1]))])
-            out = good & fresh
-            if last:
-                held = None
-                return key[out], node[out], meta[out]
-            # A run that goes on is decided with the next batch; its rows so far wait.
-            start = int(np.searchsorted(run, run[-1]))
-            shared_before = False
-            if bool(hit[-1]):
-                held = [key[-1:], node[-1:], meta[-1:]]
-                shared_before = True
-                out[-1] = False
-            else:
-                held = [key[start:], node[start:], meta[start:]]
-                # One set alone so far: one row of each kind is enough to wait for another set.
-                _, firsts = np.unique(held[2], return_index=True)
-                held = [h[firsts] for h in held]
-                out[start:] = False
-            return key[out], node[out], meta[out]
-
-        def packed(parts) -> pa.RecordBatch:
+            twin = same & (node[1:] == node[:-1])
+            run = np.concatenate([[0], np.cumsum(~same)]) if len(key) else np.zeros(0, dtype=np.int64)
+            shared = np.zeros(run[-1] + 1 if len(key) else 0, dtype=bool)
+            shared[run[done]] = True
+            shared[run[1:][same & ~twin]] = True
+            fresh = np.concatenate([[True], ~(twin & (meta[1:] == meta[:-1]))]) if len(key) else done
+            out = shared[run] & fresh & ~done
+            first = np.concatenate([[True], ~same]) if len(key) else done
+            rest = (first & shared[run]) | (~shared[run] & fresh)
+            state = [key[rest], node[rest], meta[rest], shared[run][rest]]
+            return [key[out], node[out], meta[out]]
+
+        def packed(parts: list[np.ndarray]) -> pa.RecordBatch:
             return _arrow({"key": (parts[0], pa.int64()), "node": (parts[1], pa.int64()), "meta": (parts[2], pa.int32())})
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
             own = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "meta")]
-            if held is not None:
-                own = [np.concatenate([h, o]) for h, o in zip(held, own)]
-            yield packed(sifted(*own, last=False))
-        if held is not None:
-            yield packed(sifted(*held, last=True))
+            description = own[2] < 0
+            if description.any():
+                yield packed([o[description] for o in own])
+                own = [o[~description] for o in own]
+            waiting.append([*own, np.zeros(len(own[0]), dtype=bool)])
+            size += len(own[0])
+            if size > max(HELD_KEYS, len(state[0])):
+                yield packed(sifted())
+                waiting, size = [], 0
+        yield packed(sifted())
+
+    return keys.repartition("key").mapInArrow(keep, "key bigint, node bigint, meta int")
+
 
-    return keys.repartition("key").sortWithinPartitions("key", "node", "meta").mapInArrow(keep, "key bigint, node bigint, meta int")
+def _described(shared: DataFrame) -> DataFrame:
+    """`(node, below, more)`: how many more units a set needs in a role than it has."""
+    code = -1 - F.col("meta")
+    found = shared.filter("meta < 0").select("node", F.pmod(code, F.lit(2)).alias("below"), (F.shiftright(code, 1) - (1 << 28)).alias("more"))
+    return found.dropDuplicates(["node", "below"])
 
 
-def _chosen(shared: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What each set asks for, `(key, node, left, wide)`, and the indexed rows `(key, node, left)`.
+def _chosen(shared: DataFrame, needs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What each set asks for, `(key, node, n, left, wide)`, and the indexed rows `(key, node, n, left)`.
 
     A unit costs as many sets as would answer it. The second unit of a segment also asks its one-deletion
     neighbours. Units whose keys nobody shares are free and not even listed here; of the others the cheapest
     are taken until the need is met.
     """
     meta = F.col("meta")
-    rows = shared.select(
+    rows = shared.filter("meta >= 0").select(
         "key",
         "node",
         meta.bitwiseAND(1).alias("below"),
@@ -296,15 +307,6 @@ def _chosen(shared: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         "node", "below", "segment", "i.*"
     )
     side = Window.partitionBy("node", "below")
-    needs = nodes.select(
-        "node",
-        F.explode(
-            F.array(
-                F.struct(F.lit(0).alias("below"), (F.col("need0") - F.col("units0")).alias("more")),
-                F.struct(F.lit(1).alias("below"), (F.col("need1") - F.col("units1")).alias("more")),
-            )
-        ).alias("n"),
-    ).select("node", "n.*")
     ranked = items.withColumn("listed", F.count(F.lit(1)).over(side)).withColumn(
         "rank", F.row_number().over(side.orderBy("cost", "unit", "segment"))
     )
@@ -312,7 +314,10 @@ def _chosen(shared: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     taken = ranked.join(needs, ["node", "below"]).filter(F.col("rank") <= F.col("more") + F.col("listed"))
     wanted = taken.groupBy("node", "below", "segment").agg(F.max("unit").alias("unit"))
     asked = rows.join(wanted, ["node", "below", "segment"]).filter(~F.col("left") | (F.col("unit") == 2))
-    return asked.select("key", "node", "left", (F.col("unit") == 2).alias("wide")), indexed
+    sizes = nodes.select("node", "n")
+    asked = checkpointed(asked.join(sizes, "node").select("key", "node", "n", "left", (F.col("unit") == 2).alias("wide")), "asked")
+    met = indexed.join(asked.select("key").distinct(), "key", "left_semi")
+    return asked, checkpointed(met.join(sizes, "node").select("key", "node", "n", "left"), "indexed")
 
 
 def _bitmap(values: DataFrame, place: Column, bits: int) -> np.ndarray:
@@ -404,26 +409,27 @@ def similar_documents(docs: DataFrame, join: Join = Join(), *, hub_rounds: int =
     sets = checkpointed(_sets(docs, join), "sets")
     usable = sets.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     nodes = checkpointed(
-        usable.groupBy("node", "twin").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("units0", "need0", "units1", "need1")]),
+        usable.groupBy("node", "twin").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n")),
         "nodes",
     )
     shared = checkpointed(_shared_only(_keys(named, join)), "shared-keys")
-    asked, indexed = _chosen(shared, nodes)
-    asked = checkpointed(asked, "asked")
-    indexed = checkpointed(indexed.join(asked.select("key").distinct(), "key", "left_semi"), "indexed")
-    leftovers = checkpointed(nodes.filter("units0 < need0 or units1 < need1").select("node"), "leftover-nodes")
+    needs = checkpointed(_described(shared), "needs")
+    asked, indexed = _chosen(shared, needs, nodes)
+    leftovers = checkpointed(needs.filter("more > 0").select("node").distinct(), "leftover-nodes")
     # Texts of one id are one document.
     links = checkpointed(_same_id(usable), "links-by-id")
+    fitting = f"100 * least(n, other_n) >= {join.percent} * greatest(n, other_n)"
     labels: DataFrame | None = None
     tested: DataFrame | None = None
     for turn in range(hub_rounds + 1):
         open_asked, open_indexed = (asked, indexed) if labels is None else _open_keys(asked, indexed, labels)
         if turn < hub_rounds:
-            hubs = open_indexed.groupBy("key").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("other"))
-            met = open_asked.join(hubs, "key").filter("node <> other")
+            hub = F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(turn))).alias("hub")
+            hubs = open_indexed.groupBy("key").agg(hub).select("key", F.col("hub.node").alias("other"), F.col("hub.n").alias("other_n"))
+            met = open_asked.join(hubs, "key").filter(f"node <> other and {fitting}")
         else:
-            others = open_indexed.select("key", F.col("node").alias("other"), F.col("left").alias("other_left"), F.col("label").alias("other_label"))
-            met = open_asked.join(others, "key").filter("label <> other_label and (not other_left or (wide and not left))")
+            others = open_indexed.select("key", *[F.col(c).alias(f"other{suffix}") for c, suffix in (("node", ""), ("n", "_n"), ("left", "_left"), ("label", "_label"))])
+            met = open_asked.join(others, "key").filter(f"label <> other_label and (not other_left or (wide and not left)) and {fitting}")
         pairs = met.select(*_ordered(F.col("node"), F.col("other"))).distinct()
         if turn == hub_rounds and leftovers.limit(1).count():
             pairs = pairs.unionAll(_leftover_pairs(named, nodes, leftovers, join)).distinct()

@@ -6,7 +6,7 @@ one shingle, 0: not at all) and the units add up to U + 1, at least one segment
 pair is indexed with all its segments and, in the bands of small sets, with what is left of each without one
 shingle. The other set picks its units by cost, the number of sets that would answer: keys that no other set
 has cost nothing, so most sets find in the first count that they have no partner and are done. Candidates are
-then verified on their whole sets.
+then verified on their whole sets, unless small sketches of both show already that they differ in too much.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -27,6 +28,8 @@ from partloom.session import checkpointed
 MEMO_WORDS = 400_000
 SLICE_SHINGLES = 100_000
 HELD_KEYS = 2_000_000
+CROWD, CROWD_BLOCK = 64, 1024  # sets of a key from which it is crowded, and sets in a block
+PLACES = 256  # of a sketch, with four bits each
 U64 = np.uint64
 
 
@@ -107,6 +110,18 @@ def _identity(shingles: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
+def _sketch(shingles: np.ndarray) -> np.ndarray:
+    """Four bits of the sum of the shingles at each of 256 places, as 16 numbers.
+
+    Sets differ in at least as many shingles as there are places with different bits.
+    """
+    sums = np.zeros(PLACES, dtype=U64)
+    with np.errstate(over="ignore"):
+        np.add.at(sums, (shingles >> U64(7)).astype(np.int64) % PLACES, _mixed(shingles + U64(1)))
+    bits = (_mixed(sums) >> U64(60)).astype(U64).reshape(-1, 16)
+    return np.bitwise_or.reduce(bits << (np.arange(16, dtype=U64) * U64(4)), axis=1).view(np.int64)
+
+
 class Segmenter:
     """Roles of a set in its bands, and the keys of its segments."""
 
@@ -169,16 +184,17 @@ def _arrow(columns: dict[str, tuple[object, pa.DataType]]) -> pa.RecordBatch:
 
 
 def _sets(docs: DataFrame, join: Join) -> DataFrame:
-    """Per row: `doc_id, n, node, twin`, the size of its set and two numbers that stand for it."""
+    """Per row: `doc_id, n, node, twin, sketch`: the size of its set, two numbers that stand for it, and its sketch."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(join)
         for batch in batches:
-            rows = [(len(s), *_identity(s)) for s in (shingler.shingles(text.as_py()) for text in batch.column("text"))]
+            rows = [(len(s), *_identity(s), _sketch(s)) for s in (shingler.shingles(text.as_py()) for text in batch.column("text"))]
             columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n", "node", "twin"])
+            sketches = pa.array([r[3] for r in rows], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, sketches], names=["doc_id", "n", "node", "twin", "sketch"])
 
-    return docs.mapInArrow(describe, "doc_id bigint, n bigint, node bigint, twin bigint")
+    return docs.mapInArrow(describe, "doc_id bigint, n bigint, node bigint, twin bigint, sketch array<bigint>")
 
 
 def _keys(docs: DataFrame, join: Join) -> DataFrame:
@@ -271,7 +287,7 @@ def _described(shared: DataFrame) -> DataFrame:
 
 
 def _chosen(shared: DataFrame, needs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What each set asks for, `(key, node, n, left, wide)`, and the indexed rows `(key, node, n, left)`.
+    """What each set asks for, `(key, node, left, wide)`, and the indexed rows `(key, node, left)`, both with `n` and `sketch`.
 
     A unit costs as many sets as would answer it. The second unit of a segment also asks its one-deletion
     neighbours. Units whose keys nobody shares are free and not even listed here; of the others the cheapest
@@ -314,10 +330,10 @@ def _chosen(shared: DataFrame, needs: DataFrame, nodes: DataFrame) -> tuple[Data
     taken = ranked.join(needs, ["node", "below"]).filter(F.col("rank") <= F.col("more") + F.col("listed"))
     wanted = taken.groupBy("node", "below", "segment").agg(F.max("unit").alias("unit"))
     asked = rows.join(wanted, ["node", "below", "segment"]).filter(~F.col("left") | (F.col("unit") == 2))
-    sizes = nodes.select("node", "n")
-    asked = checkpointed(asked.join(sizes, "node").select("key", "node", "n", "left", (F.col("unit") == 2).alias("wide")), "asked")
+    known = nodes.select("node", "n", "sketch")
+    asked = checkpointed(asked.select("key", "node", "left", (F.col("unit") == 2).alias("wide")), "asked")
     met = indexed.join(asked.select("key").distinct(), "key", "left_semi")
-    return asked, checkpointed(met.join(sizes, "node").select("key", "node", "n", "left"), "indexed")
+    return asked.join(known, "node"), checkpointed(met, "indexed").join(known, "node")
 
 
 def _bitmap(values: DataFrame, place: Column, bits: int) -> np.ndarray:
@@ -369,6 +385,50 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, join: Join) -
     return both.filter(F.col("_shared") * 100 >= union * join.percent).select("a", "b")
 
 
+def _crowd_pairs(asked: DataFrame, indexed: DataFrame, join: Join) -> DataFrame:
+    """Candidates `(node, other)` from keys with many sets.
+
+    Sets that crowded keys connect are one crowd. Its sketches are compared in blocks, each pair of blocks in
+    a group of its own, so a crowd may be of any size; only pairs that pass are written.
+    """
+    rows = asked.select("key", "node").unionAll(indexed.select("key", "node"))
+    hubs = rows.groupBy("key").agg(F.min("node").alias("a"))
+    crowd = checkpointed(connected_components(rows.join(hubs, "key").select("a", F.col("node").alias("b"))), "crowds")
+    known = asked.select("node", "n", "label", "sketch").unionAll(indexed.select("node", "n", "label", "sketch")).dropDuplicates(["node"])
+    members = checkpointed(known.join(crowd, "node"), "crowd-members")
+    blocks = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / CROWD_BLOCK).alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
+    dealt = members.join(blocks, "component").withColumn("own", own).withColumn("other", other)
+    dealt = dealt.select("component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "n", "label", "sketch")
+
+    def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        _, low, high = key
+        own_block = group["own"].to_numpy()
+        n, node, label = (group[c].to_numpy() for c in ("n", "node", "label"))
+        sketch = np.stack(group["sketch"].to_numpy()).view(U64)
+        left, right = np.flatnonzero(own_block == low), np.flatnonzero(own_block == high)
+        found_a, found_b = [], []
+        for i in left:
+            j = right[(node[right] > node[i]) if low == high else np.ones(len(right), dtype=bool)]
+            j = j[(label[j] != label[i]) & (100 * np.minimum(n[j], n[i]) >= join.percent * np.maximum(n[j], n[i]))]
+            x = sketch[j] ^ sketch[i]
+            x = (x | x >> U64(1) | x >> U64(2) | x >> U64(3)) & U64(0x1111111111111111)
+            j = j[np.bitwise_count(x).sum(axis=1) <= (n[j] + n[i]) * (100 - join.percent) // (100 + join.percent)]
+            found_a.append(np.full(len(j), node[i], dtype=np.int64))
+            found_b.append(node[j])
+        empty = np.zeros(0, dtype=np.int64)
+        return pd.DataFrame({"node": np.concatenate([empty, *found_a]), "other": np.concatenate([empty, *found_b])})
+
+    return dealt.groupBy("component", "low", "high").applyInPandas(compare, "node bigint, other bigint")
+
+
+def _sketch_difference(a: str, b: str) -> str:
+    """Number of places where two sketches differ, as SQL."""
+    x = [f"({a}[{i}] ^ {b}[{i}])" for i in range(PLACES // 16)]
+    return " + ".join(f"bit_count(({v} | shiftright({v}, 1) | shiftright({v}, 2) | shiftright({v}, 3)) & 1229782938247303441)" for v in x)
+
+
 def _ordered(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -409,7 +469,7 @@ def similar_documents(docs: DataFrame, join: Join = Join(), *, hub_rounds: int =
     sets = checkpointed(_sets(docs, join), "sets")
     usable = sets.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     nodes = checkpointed(
-        usable.groupBy("node", "twin").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n")),
+        usable.groupBy("node", "twin").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.first("sketch").alias("sketch")),
         "nodes",
     )
     shared = checkpointed(_shared_only(_keys(named, join)), "shared-keys")
@@ -418,18 +478,26 @@ def similar_documents(docs: DataFrame, join: Join = Join(), *, hub_rounds: int =
     leftovers = checkpointed(needs.filter("more > 0").select("node").distinct(), "leftover-nodes")
     # Texts of one id are one document.
     links = checkpointed(_same_id(usable), "links-by-id")
-    fitting = f"100 * least(n, other_n) >= {join.percent} * greatest(n, other_n)"
+    fitting = (
+        f"100 * least(n, other_n) >= {join.percent} * greatest(n, other_n)"
+        f" and {_sketch_difference('sketch', 'other_sketch')} <= (n + other_n) * {100 - join.percent} div {100 + join.percent}"
+    )
     labels: DataFrame | None = None
     tested: DataFrame | None = None
     for turn in range(hub_rounds + 1):
         open_asked, open_indexed = (asked, indexed) if labels is None else _open_keys(asked, indexed, labels)
         if turn < hub_rounds:
-            hub = F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(turn))).alias("hub")
-            hubs = open_indexed.groupBy("key").agg(hub).select("key", F.col("hub.node").alias("other"), F.col("hub.n").alias("other_n"))
+            hub = F.min_by(F.struct("node", "n", "sketch"), F.xxhash64("node", F.lit(turn))).alias("hub")
+            hubs = open_indexed.groupBy("key").agg(hub).select("key", F.col("hub.node").alias("other"), F.col("hub.n").alias("other_n"), F.col("hub.sketch").alias("other_sketch"))
             met = open_asked.join(hubs, "key").filter(f"node <> other and {fitting}")
         else:
-            others = open_indexed.select("key", *[F.col(c).alias(f"other{suffix}") for c, suffix in (("node", ""), ("n", "_n"), ("left", "_left"), ("label", "_label"))])
-            met = open_asked.join(others, "key").filter(f"label <> other_label and (not other_left or (wide and not left)) and {fitting}")
+            full = open_indexed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > CROWD)
+            crowded = checkpointed(full.select("key"), "crowded-keys")
+            few_asked, few_indexed = (x.join(crowded, "key", "left_anti") for x in (open_asked, open_indexed))
+            others = few_indexed.select("key", *[F.col(c).alias(f"other{suffix}") for c, suffix in (("node", ""), ("n", "_n"), ("sketch", "_sketch"), ("left", "_left"), ("label", "_label"))])
+            met = few_asked.join(others, "key").filter(f"label <> other_label and (not other_left or (wide and not left)) and {fitting}")
+            crowds = _crowd_pairs(open_asked.join(crowded, "key"), open_indexed.join(crowded, "key"), join)
+            met = met.select("node", "other").unionAll(crowds)
         pairs = met.select(*_ordered(F.col("node"), F.col("other"))).distinct()
         if turn == hub_rounds and leftovers.limit(1).count():
             pairs = pairs.unionAll(_leftover_pairs(named, nodes, leftovers, join)).distinct()

@@ -101,8 +101,8 @@ def _service(epoch: Column, start: Column) -> Column:
     left = F.floor(F.col("target")).cast("bigint") - begin
     return F.struct(
         epoch.alias("epoch"),
-        (begin / F.col("target")).alias("start"),
-        ((begin + F.col("size")) / F.col("target")).alias("finish"),
+        F.try_divide(begin, F.col("target")).alias("start"),
+        F.try_divide(begin + F.col("size"), F.col("target")).alias("finish"),
         F.greatest(F.lit(0).cast("bigint"), F.least(F.col("size"), left)).alias("words"),
     )
 

@@ -101,6 +101,7 @@ FALLBACK_INSTRUCTIONS = (
 TEXT_SUFFIXES = (
     ".cff", ".css", ".html", ".json", ".md", ".py", ".sh", ".svg", ".toml", ".ts", ".tsx", ".txt", ".yaml", ".yml",
 )
+RELEASE_METADATA = ("LICENSE", "CITATION.cff")
 FORBIDDEN_DIRS = ("__pycache__", ".pytest_cache", "artifacts", "checkpoints", "outputs")
 FORBIDDEN_SUFFIXES = (".ckpt", ".pem", ".pth", ".pt", ".safetensors")
 IGNORED_DIRS = (".git", "dist", "node_modules", "playwright-report", "test-results")

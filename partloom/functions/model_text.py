@@ -252,10 +252,9 @@ def decision_reasons(recognizable: Column, clear: Column, cropped: Column, inter
 
 
 def normalize_instruction(text: Column) -> Column:
-    """One clean line: no list marks, no leading `1.` `2.` `3.` (each once, in this order, twice), no quotes."""
+    """One clean line: no list marks, no leading `1.` `2.` `3.` (each once, in this order, without gaps), no quotes."""
     line = F.regexp_replace(collapse(text), r"^[-*]+", "")
-    for _ in range(2):
-        line = strip(F.regexp_replace(line, r"^(1\.)?(2\.)?(3\.)?", ""))
+    line = strip(F.regexp_replace(line, r"^(1\.)?(2\.)?(3\.)?", ""))
     return F.regexp_replace(line, r'^[ \t\n\r"]+|[ \t\n\r"]+$', "")
 
 

@@ -23,9 +23,11 @@ def file_inventory(listing: DataFrame, ignored: Sequence[str] = fixed.IGNORED_DI
 def release_audit(files: DataFrame, required: DataFrame | None = None) -> DataFrame:
     """One (`path`, `violation`) row per broken rule.
 
-    `files` needs `path`, `size`, `content` (null when the bytes are not UTF-8). `required` lists paths that
-    must exist. Text rules apply to text suffixes only.
+    `files` needs `path`, `size`, `content` (null when the bytes are not UTF-8). `required` lists paths of files
+    or folders that must exist. Text rules apply to text suffixes only. Where there is a column `is_link`, a
+    link is a violation and nothing else of it is looked at.
     """
+    linked = F.coalesce("is_link", F.lit(False)) if "is_link" in files.columns else F.lit(False)
     inventory = file_inventory(files)
     is_text = F.col("suffix").isin(*fixed.TEXT_SUFFIXES)
     content = F.coalesce("content", F.lit(""))
@@ -40,13 +42,29 @@ def release_audit(files: DataFrame, required: DataFrame | None = None) -> DataFr
         ),
         lambda v: v.isNotNull(),
     )
-    found = inventory.select("path", F.explode(broken).alias("violation"))
+    judged = F.when(linked, F.array(F.lit("symbolic link is not allowed"))).otherwise(broken)
+    found = inventory.select("path", F.explode(judged).alias("violation"))
     if required is None:
         return found
-    missing = required.join(files.select("path"), "path", "left_anti")
+    missing = required.join(existing_paths(files), "path", "left_anti")
     return found.unionByName(missing.select("path", F.lit("missing required path").alias("violation")))
 
 
+def existing_paths(files: DataFrame) -> DataFrame:
+    """All files and the folders above them."""
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    return files.select(F.explode(above).alias("path")).distinct()
+
+
+def metadata_audit(files: DataFrame, names: Sequence[str] = fixed.RELEASE_METADATA, strict: bool = False) -> DataFrame:
+    """One row (`level`, `message`) if metadata files are missing at the top: an error if `strict`, else a warning."""
+    here = files.filter(F.col("path").isin(*names)).agg(F.collect_set("path").alias("_here"))
+    missing = F.filter(F.array(*[F.lit(n) for n in names]), lambda n: ~F.array_contains("_here", n))
+    message = F.concat(F.lit("missing publication metadata: "), F.array_join(missing, ", "))
+    return here.filter(F.size(missing) > 0).select(F.lit("error" if strict else "warning").alias("level"), message.alias("message"))
+
+
 def manifest_audit(rows: DataFrame, path_columns: Sequence[str], content: str | None = None) -> DataFrame:
     """Adds `absolute_paths` (how many path columns start with `/`) and the SHA-256 of the row's content."""
     absolute = sum((F.coalesce(F.col(c).startswith("/"), F.lit(False)).cast("int") for c in path_columns), F.lit(0))

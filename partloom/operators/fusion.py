@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from partloom.config import FusionConfig
-from partloom.operators.lifting import best_part
+from partloom.operators.lifting import add_pointless_objects, best_part
 from partloom.operators.neighbors import local_spacing, nearest_neighbors, within_radius
 from partloom.operators.skew import hot_keys, split_join
 from partloom.session import Rounds, checkpointed
@@ -13,10 +13,16 @@ from partloom.session import Rounds, checkpointed
 PART = ["object_id", "part_idx"]
 
 
+def is_positive() -> Column:
+    """Whether a score counts for its part; NaN and infinite scores don't, though they compare as above 0."""
+    score = F.col("score")
+    return F.coalesce((score > 0) & ~F.isnan(score) & (score < float("inf")), F.lit(False))
+
+
 def part_counts(scores: DataFrame) -> DataFrame:
     """Positive points per part."""
     return scores.groupBy("object_id", "part_idx", "part_name").agg(
-        F.count_if(F.col("score") > 0).alias("point_count")
+        F.count_if(is_positive()).alias("point_count")
     )
 
 
@@ -26,7 +32,7 @@ def part_overlap(scores: DataFrame) -> DataFrame:
     The parts of one point are few, so the pairs come from a short array per point; the shuffle moves
     one row per point and then only pre-aggregated pair counts, however many points an object has.
     """
-    positive = scores.filter(F.col("score") > 0)
+    positive = scores.filter(is_positive())
     held = positive.groupBy("object_id", "point_idx").agg(F.sort_array(F.collect_list("part_idx")).alias("_parts"))
     pairs = (
         held.filter(F.size("_parts") > 1)
@@ -84,20 +90,25 @@ def prune_duplicates(scores: DataFrame, cfg: FusionConfig = FusionConfig()) -> D
     counts = checkpointed(counts)
     pairs = checkpointed(duplicate_pairs(counts, part_overlap(scores), cfg))
     parts = counts.select(*PART)
-    settled = parts.join(pairs, PART, "left_anti").withColumn("kept", F.lit(True))
-    open_parts = parts.join(pairs, PART, "left_semi")
+    kinds = {f.name: f.dataType.simpleString() for f in counts.schema.fields}
+    fates_log = Rounds(scores.sparkSession, "fates", f"object_id {kinds['object_id']}, part_idx {kinds['part_idx']}, kept boolean")
+    fates_log.add(parts.join(pairs, PART, "left_anti").withColumn("kept", F.lit(True)), 0)
+    waiting = checkpointed(parts.join(pairs, PART, "left_semi"))
+    turn = 0
     while True:
+        # What is settled is one stored table, and what is open is what it doesn't hold: plans stay as they are.
+        settled = fates_log.read().drop("turn")
+        open_parts = waiting.join(settled, PART, "left_anti")
         fates = pairs.join(settled.withColumnRenamed("part_idx", "base_idx"), ["object_id", "base_idx"], "left")
         judged = (
             open_parts.join(fates, PART)
             .groupBy(*PART)
             .agg(F.bool_or(F.coalesce("kept", F.lit(False))).alias("_dropped"), F.bool_or(F.col("kept").isNull()).alias("_waits"))
         )
-        now = checkpointed(judged.filter(F.col("_dropped") | ~F.col("_waits")).select(*PART, (~F.col("_dropped")).alias("kept")))
+        turn += 1
+        now = fates_log.add(judged.filter(F.col("_dropped") | ~F.col("_waits")).select(*PART, (~F.col("_dropped")).alias("kept")), turn)
         if now.isEmpty():
             break
-        settled = settled.unionByName(now)
-        open_parts = open_parts.join(now, PART, "left_anti")
     blame = (
         pairs.join(
             settled.filter("kept").select("object_id", F.col("part_idx").alias("base_idx")), ["object_id", "base_idx"], "left_semi"
@@ -153,11 +164,11 @@ def fill_holes(scores: DataFrame, points: DataFrame, cfg: FusionConfig = FusionC
         .select("object_id", "point_idx", need.alias("_need"))
     )
     unknown = initial_unknown(scores, cfg.score_threshold)
-    seeds = scores.filter(F.col("score") > 0).select(*keys, F.col("score").alias("_s"))
+    seeds = scores.filter(is_positive()).select(*keys, F.col("score").alias("_s"))
     # Every candidate that can ever fill: unknown, not a seed of the part, with a support bound.
     candidates = checkpointed(
         scores.join(unknown, ["object_id", "point_idx"], "left_semi")
-        .filter(F.col("score") <= 0)
+        .filter(~is_positive())
         .join(totals, ["object_id", "point_idx"])
         .select(*keys, "_need")
     )
@@ -220,13 +231,20 @@ def fuse_labels(scores: DataFrame, points: DataFrame, cfg: FusionConfig = Fusion
     """The whole fusion of part scores: prune, fill, merge, then best part and unknown mask per point."""
     kept = checkpointed(keep_parts(scores, prune_duplicates(scores, cfg)))
     merged = checkpointed(merge_fills(kept, fill_holes(kept, points, cfg)))
-    labels = unknown_mask(best_part(merged), cfg.score_threshold)
+    labels = unknown_mask(add_pointless_objects(points, best_part(merged)), cfg.score_threshold)
     before = initial_unknown(kept, cfg.score_threshold).withColumn("initial_unknown", F.lit(True))
     healed = merged.groupBy("object_id", "point_idx").agg(F.bool_or("filled").alias("filled"))
     return (
-        labels.join(healed, ["object_id", "point_idx"])
+        labels.join(healed, ["object_id", "point_idx"], "left")
         .join(before, ["object_id", "point_idx"], "left")
-        .withColumn("initial_unknown", F.coalesce("initial_unknown", F.lit(False)))
+        .withColumns(
+            {
+                "filled": F.coalesce("filled", F.lit(False)),
+                "invisible": F.coalesce("invisible", F.lit(False)),
+                # A point of an object without parts has no score and is unknown from the start.
+                "initial_unknown": F.coalesce("initial_unknown", F.col("best_part") < 0),
+            }
+        )
     )
 
 

@@ -17,7 +17,9 @@ from partloom.functions.numeric import size_bucket
 from partloom.session import checkpointed
 
 PLACE = ["object_id", "x", "y", "z"]
-FINEST = 16
+# A cell of the finest level is 2^-40 of the object: points that lie a million times farther out than the rest
+# still leave the rest 2^20 cells a side.
+FINEST = 40
 
 
 def _cell(axis: str, level: Column) -> Column:

@@ -108,19 +108,23 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, chunk: Column,
     return wanted.groupBy(*keys).agg(F.avg(value).alias(name))
 
 
+RUN_ROWS, RUNS = 4096, 1024
+
+
 def decayed_series(df: DataFrame, key: str, order: str, value: str, decay: float) -> DataFrame:
     """Exponential moving average along `order` per key, the first value as seed.
 
-    `order` must number the rows of a key 1, 2, 3, …  Runs of rows are summed on their own; the state a
-    run starts from is the decayed sum of the earlier runs, as far back as the decay leaves anything of
-    them in double precision.
+    `order` must number the rows of a key 1, 2, 3, …  A run of rows turns the state before it into the state
+    after it by `state -> factor * state + tail`. Such maps compose, so runs are put together by the thousand
+    until a key has one; going back down, every run gets the exact state it starts from, however far back
+    that comes from.
     """
     if not 0 < decay < 1:
         raise ValueError("decay must lie between 0 and 1")
     # Longest run whose weights stay far inside the range of a double.
-    width = max(1, min(4096, int(math.log(1e-100) / math.log(decay))))
-    reach = math.ceil(math.log(1e-18) / (width * math.log(decay)))
+    width = max(1, min(RUN_ROWS, int(math.log(1e-100) / math.log(decay))))
     position = (F.col(order) - 1) % width + 1
+    base = F.lit(decay)
     rows = df.withColumns(
         {
             "_run": F.floor((F.col(order) - 1) / width).cast("bigint"),
@@ -128,20 +132,39 @@ def decayed_series(df: DataFrame, key: str, order: str, value: str, decay: float
             "_w": F.col(value) * F.when(F.col(order) == 1, 1.0).otherwise(1.0 - decay),
         }
     )
-    base = F.lit(decay)
-    carried = (
-        rows.groupBy(key, "_run")
-        .agg(F.sum(F.col("_w") * F.pow(base, width - F.col("_age"))).alias("_tail"))
-        .withColumn("_ahead", F.explode(F.sequence(F.lit(1), F.lit(reach))))
-        .select(
-            key,
-            (F.col("_run") + F.col("_ahead")).alias("_run"),
-            (F.col("_tail") * F.pow(base, float(width) * (F.col("_ahead") - 1))).alias("_part"),
-        )
-        .groupBy(key, "_run")
-        .agg(F.sum("_part").alias("_carry"))
+    # A run that others follow is full.
+    maps = rows.groupBy(key, "_run").agg(F.sum(F.col("_w") * F.pow(base, width - F.col("_age"))).alias("tail")).select(
+        key, "_run", F.lit(decay**width).alias("factor"), "tail"
     )
+    levels: list[DataFrame] = []
+    while True:
+        parent = id_chunk("_run", RUNS).alias("_parent")
+        bundle = F.sort_array(F.collect_list(F.struct(F.col("_run").alias("run"), "factor", "tail")))
+        level = checkpointed(maps.groupBy(key, parent).agg(bundle.alias("_maps")), "runs")
+        levels.append(level)
+        if (level.agg(F.max("_parent")).first()[0] or 0) == 0:
+            break
+        whole = F.aggregate(
+            "_maps",
+            F.struct(F.lit(1.0).alias("factor"), F.lit(0.0).alias("tail")),
+            lambda s, m: F.struct((s["factor"] * m["factor"]).alias("factor"), (s["tail"] * m["factor"] + m["tail"]).alias("tail")),
+        )
+        maps = level.select(key, F.col("_parent").alias("_run"), whole.alias("_m")).select(key, "_run", "_m.factor", "_m.tail")
+    starts = levels[-1].select(key, F.col("_parent"), F.lit(0.0).alias("_start"))
+    for level in reversed(levels):
+        none = F.expr("CAST(array() AS array<struct<run:bigint,start:double>>)")
+        walk = F.aggregate(
+            "_maps",
+            F.struct(F.col("_start").alias("state"), none.alias("out")),
+            lambda s, m: F.struct(
+                (m["factor"] * s["state"] + m["tail"]).alias("state"),
+                F.array_append(s["out"], F.struct(m["run"].alias("run"), s["state"].alias("start"))).alias("out"),
+            ),
+        )
+        inner = level.join(starts, [key, "_parent"]).select(key, F.explode(walk["out"]).alias("_o"))
+        starts = inner.select(key, F.col("_o.run").alias("_parent"), F.col("_o.start").alias("_start"))
+    carried = starts.select(key, F.col("_parent").alias("_run"), F.col("_start").alias("_carry"))
     inside = Window.partitionBy(key, "_run").orderBy(order)
     grown = F.sum(F.col("_w") * F.pow(base, -F.col("_age"))).over(inside)
-    state = F.pow(base, F.col("_age")) * (F.coalesce("_carry", F.lit(0.0)) + grown)
-    return rows.join(carried, [key, "_run"], "left").withColumn("ema", state).drop("_run", "_age", "_w", "_carry")
+    state = F.pow(base, F.col("_age")) * (F.col("_carry") + grown)
+    return rows.join(carried, [key, "_run"]).withColumn("ema", state).drop("_run", "_age", "_w", "_carry")

@@ -22,17 +22,23 @@ def split_join(
     spread: Sequence[str],
     how: str = "inner",
     *,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
     hot: DataFrame | None = None,
 ) -> DataFrame:
-    """`rows` joined to `records` on `keys`, with hot keys cut into pieces of about `hot_rows` rows.
+    """`rows` joined to `records` on `keys`, with known hot keys cut into pieces.
 
-    A plain join sends a whole group to one task, and an aggregation by finer keys would stay there with
-    it. Here the rows of a hot key go to a piece by a hash of `spread`, and its records are repeated per
+    Without `hot` and `hot_rows` this is a plain join: small records are broadcast, and adaptive execution
+    splits skewed partitions, while `rows` is evaluated once. Counting hot keys first means evaluating `rows`
+    again, so it is done on request only.
+
+    A plain join of large sides sends a whole group to one task, and an aggregation by finer keys would stay
+    there with it. With `hot` the rows of a hot key go to a piece by a hash of `spread`, and its records are repeated per
     piece. Hot keys are found by a pre-aggregated count; there can be only one per `hot_rows` rows (a
     million in 10^12 rows), so their list is safe to broadcast. Keys that are not hot join as usual. Pass
     stored `hot_keys` as `hot` when the same rows are joined again and again.
     """
+    if hot is None and hot_rows is None:
+        return rows.join(records, list(keys), how)
     hot = F.broadcast(hot_keys(rows, keys, hot_rows) if hot is None else hot)
     piece = F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_pieces")), F.lit(0).cast("bigint"))
     every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_pieces", F.lit(1).cast("bigint")) - 1))

@@ -449,7 +449,7 @@ def answers(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL["fx_instructions"] = """
-SELECT conv_id, turn, role, CASE turn % 4 WHEN 0 THEN '- ' || text WHEN 1 THEN '1. ' || text
+SELECT conv_id, turn, role, CASE turn % 4 WHEN 0 THEN '- ' || text WHEN 1 THEN CASE WHEN conv_id % 2 = 0 THEN '1. 1. ' ELSE '1. ' END || text
   WHEN 2 THEN '  "' || text || '"' ELSE translate(text, 'aeiou', 'AEIOU') END AS raw
 FROM conversations"""
 
@@ -458,7 +458,7 @@ def raw_instructions(spark: SparkSession, d: str) -> DataFrame:
     turn, text = F.col("turn") % 4, F.col("text")
     raw = (
         F.when(turn == 0, F.concat(F.lit("- "), text))
-        .when(turn == 1, F.concat(F.lit("1. "), text))
+        .when(turn == 1, F.concat(F.when(F.col("conv_id") % 2 == 0, "1. 1. ").otherwise("1. "), text))
         .when(turn == 2, F.concat(F.lit('  "'), text, F.lit('"')))
         .otherwise(F.translate(text, "aeiou", "AEIOU"))
     )

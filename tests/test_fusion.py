@@ -142,3 +142,32 @@ def test_fused_points_that_no_view_saw_stay_unknown(spark):
     assert healed and all(r["initial_unknown"] for r in healed)
     assert all(r["unknown"] for r in fused if r["visible_count"] <= 0)
     assert any(r["visible_count"] <= 0 and r["max_score"] >= 0.3 for r in healed)
+
+
+def test_scores_that_are_no_numbers_count_for_nothing(spark):
+    rows = [(1, 0, "a", 0, float("nan"), 1), (1, 0, "a", 1, 0.5, 1), (1, 0, "a", 2, float("inf"), 1), (1, 1, "b", 0, 0.5, 1), (1, 1, "b", 1, 0.5, 1)]
+    scores = spark.createDataFrame(rows, SCHEMA)
+    assert {r["part_idx"]: r["point_count"] for r in fusion.part_counts(scores).collect()} == {0: 1, 1: 2}
+    assert [r["overlap_count"] for r in fusion.part_overlap(scores).collect()] == [1]
+
+
+def test_points_of_objects_without_parts_are_unknown(spark):
+    points = spark.createDataFrame([(o, i, float(i), float(o), 0.0) for o in (1, 2) for i in range(5)], "object_id bigint, point_idx bigint, x double, y double, z double")
+    scores = spark.createDataFrame([(1, 0, "a", i, 0.9, 1) for i in range(5)], SCHEMA)
+    got = fusion.fuse_labels(scores, points).collect()
+    assert len(got) == 10
+    for r in (r for r in got if r["object_id"] == 2):
+        assert (r["best_part"], r["max_score"], r["low_confidence"], r["unknown"], r["initial_unknown"], r["filled"]) == (-1, 0.0, True, True, True, False)
+
+
+def test_prune_follows_a_long_chain(spark):
+    """Parts that each duplicate the next: every round settles one, and plans don't grow with them."""
+    parts = 12
+    rows = [(1, p, f"p{p:03d}", i, 1.0, 1) for p in range(parts) for i in range(p, p + 40)]
+    cfg = FusionConfig()
+    got = {r["part_idx"]: r["kept"] for r in fusion.prune_duplicates(spark.createDataFrame(rows, SCHEMA), cfg).collect()}
+    names, matrix = [f"p{p:03d}" for p in range(parts)], np.zeros((parts, parts + 40))
+    for p in range(parts):
+        matrix[p, p : p + 40] = 1.0
+    kept = brute_prune(names, matrix, cfg)[0]
+    assert {p for p, k in got.items() if k} == set(kept)

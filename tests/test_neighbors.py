@@ -56,3 +56,20 @@ def test_spacing_skips_heaps_of_copies(spark):
     want = brute(rows, 1)
     for obj, spacing in found.items():
         assert np.isclose(spacing, np.median([v[0][0] for (o, _), v in want.items() if o == obj]))
+
+
+def test_one_far_point_does_not_coarsen_the_rest(spark):
+    """The cells follow the crowd: with a point a million extents away few more pairs are looked at."""
+    rng = np.random.default_rng(1)
+    cloud = [(1, i, *map(float, p)) for i, p in enumerate(rng.uniform(0, 1, (1500, 3)))]
+    rows = [*cloud, (1, 1500, 1e6, 1e6, 1e6)]
+    schema = "object_id bigint, point_idx bigint, x double, y double, z double"
+    got = {}
+    for r in neighbors.nearest_neighbors(spark.createDataFrame(rows, schema), 4).collect():
+        got.setdefault(r["point_idx"], {})[r["rank"]] = r["neighbor_idx"]
+    want = brute(rows, 4)
+    assert all([got[i][k + 1] for k in range(4)] == [n for _, n in want[(1, i)]] for i in range(1501))
+    xyz = np.array([r[2:] for r in rows])
+    lo, side = xyz.min(axis=0), (xyz.max(axis=0) - xyz.min(axis=0)).max()
+    finest = np.floor((xyz[:-1] - lo) / side * 2.0**neighbors.FINEST)
+    assert len(np.unique(finest, axis=0)) == 1500

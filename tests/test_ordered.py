@@ -81,3 +81,25 @@ def test_decayed_series_over_many_runs(spark):
         out = {(r["k"], r["i"]): r["ema"] for r in ordered.decayed_series(df, "k", "i", "v", decay).collect()}
         assert abs(out[("b", 1)] - 3.0) < 1e-12
         assert max(abs(out[("a", i + 1)] - w) for i, w in enumerate(want)) < 1e-9
+
+
+def test_decayed_series_keeps_what_came_long_ago(spark):
+    """A huge first value is felt after any number of runs."""
+    df = spark.range(50_000).select(F.lit("a").alias("k"), (F.col("id") + 1).alias("i"), F.when(F.col("id") == 0, 1e25).otherwise(0.0).alias("v"))
+    out = {r["i"]: r["ema"] for r in ordered.decayed_series(df, "k", "i", "v", 0.999).filter("i in (49000, 50000)").collect()}
+    for i, got in out.items():
+        assert abs(got / (1e25 * 0.999 ** (i - 1)) - 1) < 1e-9
+    assert len(out) == 2
+
+
+def test_decayed_series_joins_runs_by_levels(spark, monkeypatch):
+    """With two runs to a bundle there are many levels, and no row is added on the way."""
+    monkeypatch.setattr(ordered, "RUNS", 2)
+    values = [float((i * 37) % 11) for i in range(900)]
+    df = spark.createDataFrame([("a", i + 1, v) for i, v in enumerate(values)], "k string, i bigint, v double")
+    decay, state = 0.02, None
+    out = {r["i"]: r["ema"] for r in ordered.decayed_series(df, "k", "i", "v", decay).collect()}
+    assert len(out) == 900
+    for i, v in enumerate(values):
+        state = v if state is None else decay * state + (1 - decay) * v
+        assert abs(out[i + 1] - state) < 1e-9

@@ -174,3 +174,16 @@ def test_empty_pseudo_side_contributes_nothing(spark):
     real = pseudo.loss_report(df.filter("not is_pseudo")).first()
     assert mixed["bce_loss"] == pytest.approx(real["bce_loss"]) and mixed["focal_loss"] == pytest.approx(real["focal_loss"])
     assert mixed["pos_weight"] == 0.0
+
+
+def test_required_folders_links_and_metadata(spark):
+    files = spark.createDataFrame(
+        [("models/a/README.md", 3, "hi", False), ("README.md", 3, "hi", False), ("LICENSE", 1, "x", False), ("docs/l.md", 1, "see /mnt/x", True)],
+        "path string, size bigint, content string, is_link boolean",
+    )
+    required = spark.createDataFrame([("models/a",), ("models",), ("models/b",), ("README.md",)], "path string")
+    got = sorted(tuple(r) for r in audit.release_audit(files, required).collect())
+    assert got == [("docs/l.md", "symbolic link is not allowed"), ("models/b", "missing required path")]
+    assert [tuple(r) for r in audit.metadata_audit(files).collect()] == [("warning", "missing publication metadata: CITATION.cff")]
+    assert audit.metadata_audit(files, strict=True).first()["level"] == "error"
+    assert audit.metadata_audit(files, ("LICENSE",)).count() == 0

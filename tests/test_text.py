@@ -118,11 +118,13 @@ def test_decision_reasons(spark):
     ("raw", "clean"),
     [
         ("- Open  the\tdoor ", "Open the door"),
-        ("1. 2. Pull", "Pull"),
-        ("2. 1. Pull", "Pull"),
-        ("3.1.2. Pull", "Pull"),
+        ("1. 2. Pull", "2. Pull"),
+        ("1. 1. Grab it", "1. Grab it"),
+        ("- 1. Turn", "1. Turn"),
+        ("2. 1. Pull", "1. Pull"),
+        ("3.1.2. Pull", "1.2. Pull"),
         ('-- "Push it"', "Push it"),
-        ("1.1.1. Go", "1. Go"),
+        ("1.1.1. Go", "1.1. Go"),
         ("4. Stay", "4. Stay"),
         ("  ", ""),
     ],

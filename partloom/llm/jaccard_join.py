@@ -12,6 +12,7 @@ then verified on their whole sets, unless small sketches of both show already th
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +29,7 @@ from partloom.session import checkpointed
 MEMO_WORDS = 400_000
 SLICE_SHINGLES = 100_000
 HELD_KEYS = 2_000_000
-CROWD, CROWD_BLOCK = 64, 1024  # sets of a key from which it is crowded, and sets in a block
+CROWD, CROWD_BLOCK = 32, 1024  # sets of a key from which it is crowded, and sets in a block
 PLACES = 256  # of a sketch, with four bits each
 U64 = np.uint64
 
@@ -74,33 +75,36 @@ def _mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U64(31))
 
 
+class _WordHashes(dict):
+    """Hashes of words, remembered as long as there is room."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = xxhash.xxh64_intdigest(word)
+        if len(self) < MEMO_WORDS:
+            self[word] = value
+        return value
+
+
 class Shingler:
-    """Sets of hashed shingles; a worker remembers the hashes of words."""
+    """Sets of hashed shingles."""
 
     def __init__(self, join: Join):
         self.join = join
-        self.memo: dict[bytes, int] = {}
+        self.memo = _WordHashes()
 
     def shingles(self, text: str | None) -> np.ndarray:
         """Distinct shingle hashes in order; a shorter text is one shingle of all its words, none has none."""
         words = (text or "").encode().translate(LOWERED).split()
         memo = self.memo
-        hashes = []
-        for w in words:
-            h = memo.get(w)
-            if h is None:
-                h = xxhash.xxh64_intdigest(w)
-                if len(memo) < MEMO_WORDS:
-                    memo[w] = h
-            hashes.append(h)
+        hashes = array("Q", [memo[w] for w in words])
         n, width = len(hashes), min(self.join.width, len(hashes))
         if n == 0:
             return np.zeros(0, dtype=U64)
-        array = np.array(hashes, dtype=U64)
+        values = np.frombuffer(hashes, dtype=U64)
         with np.errstate(over="ignore"):
             out = np.full(n - width + 1, width, dtype=U64)
             for i in range(width):
-                out = out * U64(0x9E3779B97F4A7C15) + array[i : n - width + 1 + i]
+                out = out * U64(0x9E3779B97F4A7C15) + values[i : n - width + 1 + i]
         return np.unique(_mixed(out))
 
 
@@ -287,7 +291,7 @@ def _described(shared: DataFrame) -> DataFrame:
 
 
 def _chosen(shared: DataFrame, needs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What each set asks for, `(key, node, left, wide)`, and the indexed rows `(key, node, left)`, both with `n` and `sketch`.
+    """What each set asks for, `(key, node, n, left, wide)`, and the indexed rows `(key, node, n, left)`.
 
     A unit costs as many sets as would answer it. The second unit of a segment also asks its one-deletion
     neighbours. Units whose keys nobody shares are free and not even listed here; of the others the cheapest
@@ -330,10 +334,10 @@ def _chosen(shared: DataFrame, needs: DataFrame, nodes: DataFrame) -> tuple[Data
     taken = ranked.join(needs, ["node", "below"]).filter(F.col("rank") <= F.col("more") + F.col("listed"))
     wanted = taken.groupBy("node", "below", "segment").agg(F.max("unit").alias("unit"))
     asked = rows.join(wanted, ["node", "below", "segment"]).filter(~F.col("left") | (F.col("unit") == 2))
-    known = nodes.select("node", "n", "sketch")
-    asked = checkpointed(asked.select("key", "node", "left", (F.col("unit") == 2).alias("wide")), "asked")
+    sizes = nodes.select("node", "n")
+    asked = checkpointed(asked.join(sizes, "node").select("key", "node", "n", "left", (F.col("unit") == 2).alias("wide")), "asked")
     met = indexed.join(asked.select("key").distinct(), "key", "left_semi")
-    return asked.join(known, "node"), checkpointed(met, "indexed").join(known, "node")
+    return asked, checkpointed(met.join(sizes, "node").select("key", "node", "n", "left"), "indexed")
 
 
 def _bitmap(values: DataFrame, place: Column, bits: int) -> np.ndarray:
@@ -385,7 +389,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, join: Join) -
     return both.filter(F.col("_shared") * 100 >= union * join.percent).select("a", "b")
 
 
-def _crowd_pairs(asked: DataFrame, indexed: DataFrame, join: Join) -> DataFrame:
+def _crowd_pairs(asked: DataFrame, indexed: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
     """Candidates `(node, other)` from keys with many sets.
 
     Sets that crowded keys connect are one crowd. Its sketches are compared in blocks, each pair of blocks in
@@ -394,8 +398,8 @@ def _crowd_pairs(asked: DataFrame, indexed: DataFrame, join: Join) -> DataFrame:
     rows = asked.select("key", "node").unionAll(indexed.select("key", "node"))
     hubs = rows.groupBy("key").agg(F.min("node").alias("a"))
     crowd = checkpointed(connected_components(rows.join(hubs, "key").select("a", F.col("node").alias("b"))), "crowds")
-    known = asked.select("node", "n", "label", "sketch").unionAll(indexed.select("node", "n", "label", "sketch")).dropDuplicates(["node"])
-    members = checkpointed(known.join(crowd, "node"), "crowd-members")
+    known = asked.select("node", "label").unionAll(indexed.select("node", "label")).distinct()
+    members = checkpointed(known.join(crowd, "node").join(nodes.select("node", "n", "sketch"), "node"), "crowd-members")
     blocks = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / CROWD_BLOCK).alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
@@ -423,6 +427,15 @@ def _crowd_pairs(asked: DataFrame, indexed: DataFrame, join: Join) -> DataFrame:
     return dealt.groupBy("component", "low", "high").applyInPandas(compare, "node bigint, other bigint")
 
 
+def _close(pairs: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
+    """Pairs `(a, b)` whose sketches leave open that they are similar."""
+    info = nodes.select("node", "n", "sketch")
+    for end in "ab":
+        pairs = pairs.join(info.select(*[F.col(c).alias(t) for c, t in (("node", end), ("n", f"_n{end}"), ("sketch", f"_s{end}"))]), end)
+    differing = _sketch_difference("_sa", "_sb")
+    return pairs.filter(f"{differing} <= (_na + _nb) * {100 - join.percent} div {100 + join.percent}").select("a", "b")
+
+
 def _sketch_difference(a: str, b: str) -> str:
     """Number of places where two sketches differ, as SQL."""
     x = [f"({a}[{i}] ^ {b}[{i}])" for i in range(PLACES // 16)]
@@ -478,32 +491,29 @@ def similar_documents(docs: DataFrame, join: Join = Join(), *, hub_rounds: int =
     leftovers = checkpointed(needs.filter("more > 0").select("node").distinct(), "leftover-nodes")
     # Texts of one id are one document.
     links = checkpointed(_same_id(usable), "links-by-id")
-    fitting = (
-        f"100 * least(n, other_n) >= {join.percent} * greatest(n, other_n)"
-        f" and {_sketch_difference('sketch', 'other_sketch')} <= (n + other_n) * {100 - join.percent} div {100 + join.percent}"
-    )
+    fitting = f"100 * least(n, other_n) >= {join.percent} * greatest(n, other_n)"
     labels: DataFrame | None = None
     tested: DataFrame | None = None
     for turn in range(hub_rounds + 1):
         open_asked, open_indexed = (asked, indexed) if labels is None else _open_keys(asked, indexed, labels)
         if turn < hub_rounds:
-            hub = F.min_by(F.struct("node", "n", "sketch"), F.xxhash64("node", F.lit(turn))).alias("hub")
-            hubs = open_indexed.groupBy("key").agg(hub).select("key", F.col("hub.node").alias("other"), F.col("hub.n").alias("other_n"), F.col("hub.sketch").alias("other_sketch"))
+            hub = F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(turn))).alias("hub")
+            hubs = open_indexed.groupBy("key").agg(hub).select("key", F.col("hub.node").alias("other"), F.col("hub.n").alias("other_n"))
             met = open_asked.join(hubs, "key").filter(f"node <> other and {fitting}")
         else:
             full = open_indexed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > CROWD)
             crowded = checkpointed(full.select("key"), "crowded-keys")
             few_asked, few_indexed = (x.join(crowded, "key", "left_anti") for x in (open_asked, open_indexed))
-            others = few_indexed.select("key", *[F.col(c).alias(f"other{suffix}") for c, suffix in (("node", ""), ("n", "_n"), ("sketch", "_sketch"), ("left", "_left"), ("label", "_label"))])
+            others = few_indexed.select("key", *[F.col(c).alias(f"other{suffix}") for c, suffix in (("node", ""), ("n", "_n"), ("left", "_left"), ("label", "_label"))])
             met = few_asked.join(others, "key").filter(f"label <> other_label and (not other_left or (wide and not left)) and {fitting}")
-            crowds = _crowd_pairs(open_asked.join(crowded, "key"), open_indexed.join(crowded, "key"), join)
+            crowds = _crowd_pairs(open_asked.join(crowded, "key"), open_indexed.join(crowded, "key"), nodes, join)
             met = met.select("node", "other").unionAll(crowds)
         pairs = met.select(*_ordered(F.col("node"), F.col("other"))).distinct()
         if turn == hub_rounds and leftovers.limit(1).count():
             pairs = pairs.unionAll(_leftover_pairs(named, nodes, leftovers, join)).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = checkpointed(pairs, "pairs")
+        pairs = checkpointed(_close(pairs, nodes, join), "pairs")
         if pairs.limit(1).count():
             links = links.unionAll(checkpointed(_verified(pairs, named, nodes, join), "verified"))
         tested = pairs if tested is None else tested.unionAll(pairs)

@@ -26,7 +26,7 @@ from partloom.llm.components import connected_components
 from partloom.llm.suffix_tree import LOWERED
 from partloom.session import checkpointed
 
-MEMO_WORDS = 400_000
+MEMO_WORDS = 150_000
 SLICE_SHINGLES = 100_000
 HELD_KEYS = 2_000_000
 CROWD, CROWD_BLOCK = 32, 1024  # sets of a key from which it is crowded, and sets in a block

@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from partloom.session import checkpointed
 
 UNDETERMINED = "und"
-CACHE_WORDS = 400_000
-CELLS = 400_000
+CACHE_WORDS = 150_000
+CELLS = 120_000
 
 
 @dataclass(frozen=True)

@@ -20,7 +20,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 SPACE = "▁"  # stands for a blank inside pieces
-MEMO_CHARS, MEMO_ENTRIES = 32, 300_000
+MEMO_CHARS, MEMO_ENTRIES = 32, 150_000
 BATCH_IDS = 500_000
 UNKNOWN_PENALTY = 10.0
 

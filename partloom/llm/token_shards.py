@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -27,6 +28,8 @@ from partloom.session import checkpointed, scratch_path
 
 ROUNDS = 8
 TOKEN_TYPE = np.dtype("<u2")
+SPACE_RULE = r"|\s+(?!\S)|\s+"
+SPACES = re.compile(r"\s\s")
 PIECE_ROWS = 64  # sequences handed on at once, about 128 KB
 
 
@@ -55,7 +58,7 @@ def load_tokenizer(path: str, pattern: str, end_id: int) -> Tokenizer:
         return Tokenizer(file.read(), pattern, end_id)
 
 
-@lru_cache(maxsize=1)
+@lru_cache(maxsize=2)
 def _encoding(tokenizer: Tokenizer) -> tiktoken.Encoding:
     """Built once per worker and kept from task to task."""
     lines = (line.split() for line in tokenizer.ranks.splitlines() if line)
@@ -92,10 +95,15 @@ def permuted(index: np.ndarray, size: int, key: str) -> np.ndarray:
 
 
 def _token_lists(batches: Iterator[pa.RecordBatch], tokenizer: Tokenizer) -> Iterator[tuple[int | None, list[int]]]:
-    encode = _encoding(tokenizer).encode_ordinary
+    encode = quick = _encoding(tokenizer).encode_ordinary
+    if tokenizer.pattern.endswith(SPACE_RULE):
+        # The look-ahead only matters where white space stands side by side, and costs a third of the time.
+        simple = replace(tokenizer, pattern=tokenizer.pattern.removesuffix(SPACE_RULE) + r"|\s+")
+        quick = _encoding(simple).encode_ordinary
     for batch in batches:
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-            tokens = encode(text.as_py() or "")
+        for doc_id, value in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+            text = value.as_py() or ""
+            tokens = (encode if SPACES.search(text) else quick)(text)
             tokens.append(tokenizer.end_id)
             yield doc_id, tokens
 

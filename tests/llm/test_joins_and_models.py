@@ -153,7 +153,7 @@ def test_shards_hold_all_tokens_in_slots(spark):
 
     tokenizer = token_shards.load_tokenizer(BYTE_RANKS, BYTE_PATTERN, BYTE_END)
     encode = token_shards._encoding(tokenizer).encode_ordinary
-    rows = [(i, "some words é of text %d " % i * (i % 9), 1) for i in range(60)] + [(None, "no id", 1), (70, None, 1), (71, "long " * 5000, 1)]
+    rows = [(i, "some words é of text %d " % i * (i % 9), 1) for i in range(60)] + [(None, "no id", 1), (70, None, 1), (71, "long " * 5000, 1), (72, "two  blanks \n\n\t and\u2003\u2003more ", 1)]
     docs = spark.createDataFrame(rows, DOCS + ", slot int").repartition(3, "doc_id")
     shards = token_shards.write_shards(docs, tokenizer, length=16, shard_records=50)
     manifest = shards.manifest.collect()

@@ -245,12 +245,10 @@ def prompt_reuse(spark, d):
 )
 def pluggable_scorer(spark, d):
     """A caller's function that fails now and then: some rows succeed on the second try, some never do."""
-    tries: dict[int, int] = {}
 
-    def infer(row: dict) -> dict:
-        key = int(row["event_id"])
-        tries[key] = tries.get(key, 0) + 1
-        if key % 50 == 0 or (key % 20 == 10 and tries[key] == 1):
+    def infer(row: dict, attempt: int) -> dict:
+        key = row["event_id"]
+        if key % 50 == 0 or (key % 20 == 10 and attempt == 1):
             raise ValueError(f"no answer for {key}")
         return {"score": row["value"] / 500, "accepted": bool(row["value"] >= 50)}
 

@@ -2,7 +2,7 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from partloom.config import RetryConfig
 from partloom.operators import audit, inference, packaging, pseudo
@@ -187,3 +187,17 @@ def test_required_folders_links_and_metadata(spark):
     assert [tuple(r) for r in audit.metadata_audit(files).collect()] == [("warning", "missing publication metadata: CITATION.cff")]
     assert audit.metadata_audit(files, strict=True).first()["level"] == "error"
     assert audit.metadata_audit(files, ("LICENSE",)).count() == 0
+
+
+def test_scorer_keeps_large_ids_and_gives_up_on_other_errors(spark):
+    df = spark.createDataFrame([(2**60 + 1, None), (None, 1.0)], "id bigint, v double")
+
+    def infer(row, attempt):
+        if row["id"] is None:
+            raise TypeError("no id")
+        if attempt == 1:
+            raise KeyError("later")
+        return {"same": row["id"]}
+
+    out = inference.pluggable_scorer(df, infer, StructType([StructField("same", LongType())]), RetryConfig(3, 0.0)).collect()
+    assert {(r["id"], r["same"], r["attempts"], r["status"]) for r in out} == {(2**60 + 1, 2**60 + 1, 2, "completed"), (None, None, 1, "failed")}

@@ -93,19 +93,24 @@ def global_row_number(df: DataFrame, order: Sequence[Column | str], name: str =
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, chunk: Column, name: str = "median") -> DataFrame:
     """Median of `value` per key (mean of the two middle values for an even count).
 
-    Only the one or two chunks that hold the middle are ranked.
+    Equal values are counted first, so a value that fills most of a group is one row; only the one or two
+    chunks that hold the middle are looked at.
     """
-    work = df.select(*keys, value).withColumns({"_chunk": chunk, "_v_n": F.lit(1)})
+    work = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_v_n")).withColumn("_chunk", chunk)
     offsets = chunk_offsets(work, keys, ["n"])
     sizes = offsets.groupBy(*keys).agg(F.sum("_t_n").alias("_n"))
     spans = offsets.join(sizes, list(keys)).withColumns(
         {"_low": F.floor((F.col("_n") + 1) / 2), "_high": F.floor((F.col("_n") + 2) / 2)}
     )
     middle = spans.filter((F.col("_o_n") < F.col("_high")) & (F.col("_o_n") + F.col("_t_n") >= F.col("_low")))
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(value)
-    ranked = work.join(middle, [*keys, "_chunk"]).withColumn("_rank", F.col("_o_n") + F.row_number().over(inside))
-    wanted = ranked.filter((F.col("_rank") == F.col("_low")) | (F.col("_rank") == F.col("_high")))
-    return wanted.groupBy(*keys).agg(F.avg(value).alias(name))
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = work.join(middle, [*keys, "_chunk"]).withColumn("_upto", F.col("_o_n") + F.sum("_v_n").over(inside))
+
+    def at(place: str) -> Column:
+        here = (F.col("_upto") >= F.col(place)) & (F.col("_upto") - F.col("_v_n") < F.col(place))
+        return F.max(F.when(here, F.col(value)))
+
+    return ranked.groupBy(*keys).agg(((at("_low") + at("_high")) / 2).alias(name))
 
 
 RUN_ROWS, RUNS = 4096, 1024

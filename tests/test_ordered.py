@@ -103,3 +103,10 @@ def test_decayed_series_joins_runs_by_levels(spark, monkeypatch):
     for i, v in enumerate(values):
         state = v if state is None else decay * state + (1 - decay) * v
         assert abs(out[i + 1] - state) < 1e-9
+
+
+def test_exact_median_of_one_value_is_one_row(spark):
+    df = spark.range(20_001).select(F.lit("k").alias("k"), F.when(F.col("id") < 9_000, 0.25).when(F.col("id") < 10_001, 0.5).otherwise(0.75).alias("v"))
+    assert [r["median"] for r in ordered.exact_median(df, ["k"], "v", size_bucket(F.col("v"))).collect()] == [0.5]
+    even = df.limit(0).unionByName(spark.createDataFrame([("k", 1.0), ("k", 3.0)], "k string, v double"))
+    assert [r["median"] for r in ordered.exact_median(even, ["k"], "v", size_bucket(F.col("v"))).collect()] == [2.0]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from partloom.config import FusionConfig
-from partloom.operators.lifting import add_pointless_objects, best_part
+from partloom.operators.lifting import add_pointless_objects, ambiguity, best_part
 from partloom.operators.neighbors import local_spacing, nearest_neighbors, within_radius
 from partloom.operators.skew import hot_keys, split_join
 from partloom.session import Rounds, checkpointed
@@ -228,18 +228,26 @@ def unknown_mask(best: DataFrame, threshold: float = 0.3) -> DataFrame:
 
 
 def fuse_labels(scores: DataFrame, points: DataFrame, cfg: FusionConfig = FusionConfig()) -> DataFrame:
-    """The whole fusion of part scores: prune, fill, merge, then best part and unknown mask per point."""
+    """The whole fusion of part scores: prune, fill, merge, then best part, ambiguity and unknown mask per point.
+
+    `filled_parts` lists the parts whose score a point got from its neighbours. Every point has a row: those
+    of objects without parts have best part -1 and are unknown.
+    """
     kept = checkpointed(keep_parts(scores, prune_duplicates(scores, cfg)))
     merged = checkpointed(merge_fills(kept, fill_holes(kept, points, cfg)))
-    labels = unknown_mask(add_pointless_objects(points, best_part(merged)), cfg.score_threshold)
+    labels = unknown_mask(add_pointless_objects(points, ambiguity(merged)), cfg.score_threshold)
     before = initial_unknown(kept, cfg.score_threshold).withColumn("initial_unknown", F.lit(True))
-    healed = merged.groupBy("object_id", "point_idx").agg(F.bool_or("filled").alias("filled"))
+    healed = merged.groupBy("object_id", "point_idx").agg(
+        F.bool_or("filled").alias("filled"), F.array_sort(F.collect_list(F.when(F.col("filled"), F.col("part_idx")))).alias("filled_parts")
+    )
     return (
         labels.join(healed, ["object_id", "point_idx"], "left")
         .join(before, ["object_id", "point_idx"], "left")
         .withColumns(
             {
                 "filled": F.coalesce("filled", F.lit(False)),
+                "filled_parts": F.coalesce("filled_parts", F.expr("CAST(array() AS array<bigint>)")),
+                "ambiguous": F.coalesce("ambiguous", F.lit(False)),
                 "invisible": F.coalesce("invisible", F.lit(False)),
                 # A point of an object without parts has no score and is unknown from the start.
                 "initial_unknown": F.coalesce("initial_unknown", F.col("best_part") < 0),

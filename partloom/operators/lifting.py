@@ -215,23 +215,18 @@ def best_part(scores: DataFrame) -> DataFrame:
 
 
 def ambiguity(scores: DataFrame, margin: float = 0.05) -> DataFrame:
-    """Best minus second best score below `margin`; the second is 0 with a single part.
+    """Best part and score with the second best score (0 with a single part), `ambiguous` if they differ by less than `margin`.
 
-    The two largest scores come from one mergeable pass: the best (score, part) pair, then the maximum of
-    the others, found by joining the winner back.
+    The parts of a point are few: its two best come from one short array, in one pass over the scores.
     """
-    winners = best_part(scores)
-    others = (
-        scores.join(winners.select("object_id", "point_idx", "best_part"), ["object_id", "point_idx"])
-        .groupBy("object_id", "point_idx")
-        .agg(
-            F.max(F.when(F.col("part_idx") != F.col("best_part"), F.col("score"))).alias("_second"),
-        )
-        .select("object_id", "point_idx", F.coalesce("_second", F.lit(0.0)).alias("second_score"))
-    )
-    return winners.join(others, ["object_id", "point_idx"]).withColumn(
-        "ambiguous", (F.col("max_score") - F.col("second_score")) < margin
-    )
+    pair = F.struct(F.col("score").alias("score"), (-F.col("part_idx")).alias("back"))
+    two = F.slice(F.sort_array(F.collect_list(pair), asc=False), 1, 2)
+    top = scores.groupBy("object_id", "point_idx").agg(two.alias("_t"), F.max("visible_count").alias("visible_count"))
+    best, second = F.col("_t")[0], F.try_element_at("_t", F.lit(2))
+    return top.select(
+        "object_id", "point_idx", "visible_count",
+        (-best["back"]).alias("best_part"), best["score"].alias("max_score"), F.coalesce(second["score"], F.lit(0.0)).alias("second_score"),
+    ).withColumn("ambiguous", (F.col("max_score") - F.col("second_score")) < margin)
 
 
 def add_pointless_objects(points: DataFrame, best: DataFrame) -> DataFrame:

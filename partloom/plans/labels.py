@@ -530,14 +530,17 @@ def hole_fill(spark, d):
 cells AS MATERIALIZED (SELECT s.* FROM fx_scores s JOIN final f USING (object_id) WHERE list_contains(f.kept, s.part_idx))"""
     + sql_fill_rounds("cells", 32, 7.0, 0.3)
     + f"""SELECT object_id, point_idx, c.visible_count, best_part, {q6('max_score')} AS max_score, filled, c.visible_count <= 0 AS invisible,
-  max_score < 0.3 AS low_confidence, c.visible_count <= 0 OR max_score < 0.3 AS unknown, u.point_idx IS NOT NULL AS initial_unknown
-FROM (SELECT object_id, point_idx, max(s) AS max_score, arg_max(part_idx, [s, -part_idx]) AS best_part, bool_or(filled > 0) AS filled
+  max_score < 0.3 AS low_confidence, c.visible_count <= 0 OR max_score < 0.3 AS unknown, u.point_idx IS NOT NULL AS initial_unknown,
+  max_score - coalesce(second_score, 0) < 0.05 AS ambiguous, coalesce(filled_parts, '') AS filled_parts
+FROM (SELECT object_id, point_idx, max(s) AS max_score, arg_max(part_idx, [s, -part_idx]) AS best_part, bool_or(filled > 0) AS filled,
+    list_sort(list(s), 'DESC')[2] AS second_score, string_agg(part_idx, ',' ORDER BY part_idx) FILTER (filled > 0) AS filled_parts
   FROM st WHERE turn = 32 GROUP BY ALL) b
 JOIN (SELECT object_id, point_idx, max(visible_count) AS visible_count FROM cells GROUP BY ALL) c USING (object_id, point_idx)
 LEFT JOIN unsure u USING (object_id, point_idx)""",
 )
 def fused_labels(spark, d):
-    return fusion.fuse_labels(stored_scores(spark, d), t.points(spark, d)).withColumn("max_score", r6("max_score"))
+    fused = fusion.fuse_labels(stored_scores(spark, d), t.points(spark, d)).drop("second_score")
+    return fused.withColumns({"max_score": r6("max_score"), "filled_parts": F.array_join("filled_parts", ",")})
 
 
 @query(

@@ -26,6 +26,13 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.filter(F.col("u") > F.col("v")).distinct()
 
 
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Whether every outer node has one edge and no centre is an outer node: then the centres are the components."""
+    if edges.groupBy("u").count().filter("count > 1").limit(1).count():
+        return False
+    return not edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").limit(1).count()
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """`(node, component)` for every node of `links(a, b)`; the component is its smallest node.
 
@@ -35,14 +42,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     edges = checkpointed(
         links.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links"
     )
-    before = None
-    while True:
+    while not _is_forest_of_stars(edges):
         edges = checkpointed(_star(_star(edges, True), False), "stars")
-        # A forest of stars is where the steps change nothing: the same edges in number and sum of hashes.
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

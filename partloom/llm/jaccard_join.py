@@ -26,7 +26,7 @@ from partloom.llm.components import connected_components
 from partloom.llm.suffix_tree import LOWERED
 from partloom.session import checkpointed
 
-MEMO_WORDS = 150_000
+MEMO_WORDS = 400_000
 SLICE_SHINGLES = 100_000
 HELD_KEYS = 2_000_000
 CROWD, CROWD_BLOCK = 32, 1024  # sets of a key from which it is crowded, and sets in a block
@@ -46,8 +46,8 @@ class Join:
     width: int = 5
     percent: int = 75
     growth: float = 1.5
-    slack: float = 1.2
-    small_slack: float = 60.0
+    slack: float = 1.1
+    small_slack: float = 40.0
     small: int = 64
     filter_bits: int = 1 << 24  # bound of the bitmaps that tasks get
 
@@ -465,7 +465,7 @@ def _leftover_pairs(docs: DataFrame, nodes: DataFrame, leftovers: DataFrame, joi
     return others.join(own, "shingle").filter("x <> y").select(*_ordered(F.col("x"), F.col("y"))).distinct()
 
 
-def similar_documents(docs: DataFrame, join: Join = Join(), *, hub_rounds: int = 2) -> DataFrame:
+def similar_documents(docs: DataFrame, join: Join = Join(), *, hub_rounds: int = 1) -> DataFrame:
     """One row per row of `docs(doc_id, text)`: `doc_id, n_shingles, component_id`.
 
     Words are lower-cased (A-Z) and cut at ASCII white space; a set has all distinct shingles of the whole

@@ -271,7 +271,8 @@ def _label_documents(model: LanguageModel):
         for texts in batches:
             yield labeller.documents(texts)
 
-    return label
+    # Else a filter on the result would evaluate the model once for itself and once more for the column.
+    return label.asNondeterministic()
 
 
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:

@@ -29,7 +29,7 @@ from partloom.session import checkpointed
 MEMO_WORDS = 400_000
 SLICE_SHINGLES = 100_000
 HELD_KEYS = 2_000_000
-CROWD, CROWD_BLOCK = 32, 1024  # sets of a key from which it is crowded, and sets in a block
+CROWD, CROWD_BLOCK = 16, 1024  # sets of a key from which it is crowded, and sets in a block
 PLACES = 256  # of a sketch, with four bits each
 U64 = np.uint64
 
@@ -507,13 +507,16 @@ def similar_documents(docs: DataFrame, join: Join = Join(), *, hub_rounds: int =
             others = few_indexed.select("key", *[F.col(c).alias(f"other{suffix}") for c, suffix in (("node", ""), ("n", "_n"), ("left", "_left"), ("label", "_label"))])
             met = few_asked.join(others, "key").filter(f"label <> other_label and (not other_left or (wide and not left)) and {fitting}")
             crowds = _crowd_pairs(open_asked.join(crowded, "key"), open_indexed.join(crowded, "key"), nodes, join)
-            met = met.select("node", "other").unionAll(crowds)
         pairs = met.select(*_ordered(F.col("node"), F.col("other"))).distinct()
         if turn == hub_rounds and leftovers.limit(1).count():
             pairs = pairs.unionAll(_leftover_pairs(named, nodes, leftovers, join)).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = checkpointed(_close(pairs, nodes, join), "pairs")
+        pairs = _close(pairs, nodes, join)
+        if turn == hub_rounds:
+            # The sketches of crowds have been compared already.
+            pairs = pairs.unionAll(crowds.select(*_ordered(F.col("node"), F.col("other")))).distinct()
+        pairs = checkpointed(pairs, "pairs")
         if pairs.limit(1).count():
             links = links.unionAll(checkpointed(_verified(pairs, named, nodes, join), "verified"))
         tested = pairs if tested is None else tested.unionAll(pairs)

@@ -1,17 +1,19 @@
 """Language-model scores from a probabilistic suffix tree over tokens.
 
-States are contexts of one or two tokens. A context is a state if it has a fixed share of all tokens and its
-next-token distribution differs enough from that of the context that is one token shorter. A state lists
-the next tokens that are frequent after it, smoothed with its parent; all others have the parent's
-probability, scaled to the rest. The root covers every token: tokens without training counts are one unknown
-symbol with the mass of first occurrences (Witten and Bell).
-
-All counts cover all training texts. Thresholds are shares of all tokens, so that they mean the same at every
-size, and what reaches the driver or every task has a proven bound: at most `1 / share` entries.
+States are contexts of one to three tokens. A context is a state if its next-token distribution differs enough
+from that of the context that is one token shorter. A state lists the next tokens seen at least twice after
+it, smoothed with its parent; all others have the parent's probability, scaled to the rest. The root covers
+every token: tokens without training counts are one unknown symbol with the mass of first occurrences
+(Witten and Bell).
+
+All counts cover all training texts, and the tree grows with them: states and entries are Spark tables. Hashes
+of 64 bits stand for words and sequences of words. What reaches the driver or every task is only a cache of the
+most frequent, at most one per share of all tokens, and bitmaps of fixed size.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -32,18 +34,17 @@ END = b""  # the token at the end of every text; words are never empty
 
 @dataclass(frozen=True)
 class Shares:
-    """Shares of all tokens that decide what the tree holds."""
+    """What the tree holds, and what every task gets of it."""
 
-    head: float = 2e-6  # a word with an own number in every task
-    listed: float = 1e-5  # a word that states may list
-    single: float = 5e-5  # a context of one token
-    double: float = 5e-4  # each token of a context of two
-    entry: float = 1e-6  # context and next token together
+    head: float = 2e-6  # share of all tokens from which a word or sequence has its value in every task
+    least: int = 2  # occurrences of a context and next token together
+    depth: int = 3  # tokens of the longest context
+    filter_bits: int = 1 << 26  # bound of each bitmap that tasks get
 
 
 @dataclass(frozen=True)
 class SuffixTree:
-    """Tokens are numbered by frequency. `factor1[a]` and `factor2` are log10 factors for what a state does not list.
+    """A tree of depth two in memory. Tokens are numbered by frequency. `factor1[a]` and `factor2` are log10 factors for what a state does not list.
 
     States of two tokens are `codes2 = a * double + b` in order; entries are `(state code) * listed + next`.
     """
@@ -73,17 +74,21 @@ def _batch(columns: dict[str, tuple[object, pa.DataType]]) -> pa.RecordBatch:
 
 
 def vocabulary(docs: DataFrame, trained: Column) -> DataFrame:
-    """`(word, c, n)`: occurrences in training texts and in all texts. Counts are summed per task before the shuffle."""
+    """`(word, gram, c, n)`: hash, occurrences in training texts and in all texts. Counts are summed per task before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = {True: Counter(), False: Counter()}
 
+        hashes = _WordHashes()
+
         def flush(known: bool) -> Iterator[pa.RecordBatch]:
             words, numbers = list(counts[known]), list(counts[known].values())
             for at in range(0, len(words), 50_000):
                 part = numbers[at : at + 50_000]
                 own = part if known else [0] * len(part)
-                yield _batch({"word": (words[at : at + 50_000], pa.binary()), "c": (own, pa.int64()), "n": (part, pa.int64())})
+                names = words[at : at + 50_000]
+                grams = [hashes[w] for w in names]
+                yield _batch({"word": (names, pa.binary()), "gram": (grams, pa.int64()), "c": (own, pa.int64()), "n": (part, pa.int64())})
             counts[known].clear()
 
         for batch in batches:
@@ -95,8 +100,8 @@ def vocabulary(docs: DataFrame, trained: Column) -> DataFrame:
             yield from flush(known)
 
     rows = docs.select("text", F.coalesce(trained, F.lit(False)).alias("trained"))
-    counted = rows.mapInArrow(count, "word binary, c bigint, n bigint")
-    return counted.groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+    counted = rows.mapInArrow(count, "word binary, gram bigint, c bigint, n bigint")
+    return counted.groupBy("word", "gram").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
 def _contexts(ids: np.ndarray, first: np.ndarray, singles: int, doubles: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,68 +115,132 @@ def _contexts(ids: np.ndarray, first: np.ndarray, singles: int, doubles: int) ->
     return one, two
 
 
-def _numbered(texts: pa.Array, ids: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Token numbers of a batch, -1 for words outside the head, and where each text begins."""
+class _WordHashes(dict):
+    """Hashes of words, remembered as long as there is room."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= FLUSH_ENTRIES:
+            self.clear()
+        value = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True)
+        return value
+
+
+def _hashed(texts: pa.Array, hashes: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens of a batch, and where each text begins."""
     flat: list[int] = []
     starts = []
     for text in texts:
         starts.append(len(flat))
-        flat += [ids.get(w, -1) for w in tokens_of(text.as_py())]
+        flat += [hashes[w] for w in tokens_of(text.as_py())]
     return np.array(flat, dtype=np.int64), np.array(starts, dtype=np.int64)
 
 
-def context_counts(docs: DataFrame, trained: Column, ids, singles: int, doubles: int, listed: int) -> DataFrame:
-    """`(depth, code, c)`: how often each listed token follows each context in training texts."""
+def _longer(grams: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the `n` tokens that end at each place, from those of the `n - 1` tokens."""
+    u = np.uint64
+    with np.errstate(over="ignore"):
+        x = np.concatenate([grams[:1], grams[:-1]]).view(u) * u(0x9E3779B97F4A7C15) + ids.view(u) + u(n)
+        x = (x ^ (x >> u(30))) * u(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> u(27))) * u(0x94D049BB133111EB)
+        return (x ^ (x >> u(31))).view(np.int64)
+
+
+def _depths(starts: np.ndarray, size: int) -> np.ndarray:
+    """Places of tokens in their texts, from 0."""
+    return np.arange(size) - np.repeat(starts, np.diff(np.append(starts, size)))
+
+
+def _bitmap(values: DataFrame, name: str, bits: int) -> np.ndarray:
+    """Bits of hashes: a filter of bounded size in front of an exact join. Full, it lets all pass."""
+    place = values.select(F.pmod(name, F.lit(bits)).alias("p"))
+    words = place.groupBy(F.expr("p div 64").alias("w")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("p", F.lit(64)).cast("int"))).alias("b")
+    )
+    out = np.zeros(bits // 64, dtype=np.int64)
+    for batch in words.toArrow().to_batches():
+        out[batch.column("w").to_numpy()] = batch.column("b").to_numpy()
+    return out
+
+
+def _marked(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    places = hashes % (len(bitmap) * 64)
+    return (bitmap[places >> 6] >> (places & 63)) & 1 > 0
+
+
+def gram_counts(docs: DataFrame, trained: Column, n: int, shorter) -> DataFrame:
+    """`(gram, context, parent, c)`: how often `n` tokens follow each other in training texts.
+
+    `context` are all tokens but the last, `parent` all but the first. Neither is rarer than the whole, so
+    what the bitmap `shorter` of the frequent ones does not know is not frequent itself and not counted.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = ids.value
-        waiting: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {1: [], 2: []}
-
-        def merged(depth: int) -> tuple[np.ndarray, np.ndarray]:
-            codes = np.concatenate([c for c, _ in waiting[depth]]) if waiting[depth] else np.zeros(0, dtype=np.int64)
-            counts = np.concatenate([n for _, n in waiting[depth]]) if waiting[depth] else np.zeros(0, dtype=np.int64)
-            order = np.argsort(codes, kind="stable")
-            codes, counts = codes[order], counts[order]
-            firsts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, dtype=np.int64)
-            return codes[firsts], np.add.reduceat(counts, firsts) if len(codes) else counts
-
-        def flush(depth: int) -> Iterator[pa.RecordBatch]:
-            codes, counts = merged(depth)
-            waiting[depth] = []
-            for at in range(0, len(codes), 50_000):
-                part = codes[at : at + 50_000]
-                yield _batch(
-                    {
-                        "depth": (np.full(len(part), depth, dtype=np.int32), pa.int32()),
-                        "code": (part, pa.int64()),
-                        "c": (counts[at : at + 50_000], pa.int64()),
-                    }
-                )
+        hashes, waiting = _WordHashes(), []
+
+        def merged() -> np.ndarray:
+            rows = np.concatenate(waiting, axis=1)
+            rows = rows[:, np.argsort(rows[0], kind="stable")]
+            firsts = np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1]]))
+            return np.vstack([rows[:3, firsts], np.add.reduceat(rows[3], firsts)])
+
+        def flush(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for at in range(0, rows.shape[1], 50_000):
+                yield _batch({k: (v[at : at + 50_000], pa.int64()) for k, v in zip(("gram", "context", "parent", "c"), rows)})
 
         for batch in batches:
             texts = batch.column("text")
             for low in range(0, len(texts), 1000):
-                flat, starts = _numbered(texts.slice(low, 1000), numbers)
-                contexts = _contexts(flat, starts, singles, doubles)
-                for depth, context in enumerate(contexts, 1):
-                    use = (context >= 0) & (flat >= 0) & (flat < listed)
-                    waiting[depth].append(np.unique(context[use] * listed + flat[use], return_counts=True))
-                    if sum(len(c) for c, _ in waiting[depth]) > 4 * FLUSH_ENTRIES:
-                        waiting[depth] = [merged(depth)]
-                        if len(waiting[depth][0][0]) > 2 * FLUSH_ENTRIES:
-                            yield from flush(depth)
-        for depth in waiting:
-            yield from flush(depth)
+                ids, starts = _hashed(texts.slice(low, 1000), hashes)
+                grams = ids
+                for k in range(2, n):
+                    grams = _longer(grams, ids, k)
+                at = np.flatnonzero(_depths(starts, len(ids)) >= n - 1)
+                seen = _marked(shorter.value, grams)
+                at = at[seen[at] & seen[at - 1]]
+                found, first, c = np.unique(_longer(grams, ids, n)[at], return_index=True, return_counts=True)
+                at = at[first]
+                waiting.append(np.vstack([found, grams[at - 1], grams[at], c]).astype(np.int64))
+                if sum(x.shape[1] for x in waiting) > 4 * FLUSH_ENTRIES:
+                    waiting = [merged()]
+                    if waiting[0].shape[1] > 2 * FLUSH_ENTRIES:
+                        yield from flush(waiting.pop())
+        if waiting and sum(x.shape[1] for x in waiting):
+            yield from flush(merged())
 
     rows = docs.filter(F.coalesce(trained, F.lit(False))).select("text")
-    counted = rows.mapInArrow(count, "depth int, code bigint, c bigint")
-    return counted.groupBy("depth", "code").agg(F.sum("c").alias("c"))
+    counted = rows.mapInArrow(count, "gram bigint, context bigint, parent bigint, c bigint")
+    return counted.groupBy("gram", "context", "parent").agg(F.sum("c").alias("c"))
+
+
+def _level(counts: DataFrame, shorter: DataFrame, penalty: float, n: int) -> tuple[DataFrame, DataFrame]:
+    """States `(gram, c, value)` of `n - 1` tokens, and `(gram, c, p, value)` of `n` tokens, both stored.
+
+    `shorter` has `gram, c, p` for one token less: the probability `p` of the last token after the others, by
+    the longest state. As no part of a sequence is rarer than the whole, each context and parent is there.
+    """
+    expected = checkpointed(counts.join(shorter.select(F.col("gram").alias("parent"), F.col("p").alias("e")), "parent").drop("parent"), f"expected-{n}")
+    sums = expected.groupBy("context").agg(
+        F.count(F.lit(1)).alias("k"), F.sum("c").alias("listed"), F.sum("e").alias("mass"), F.sum(F.col("c") * F.log(F.col("c") / F.col("e"))).alias("g")
+    )
+    both = sums.join(shorter.select(F.col("gram").alias("context"), F.col("c").alias("total")), "context")
+    both = both.withColumn("total", F.greatest("total", "listed")).withColumns(
+        {"rest": F.col("total") - F.col("listed"), "left": F.greatest(F.lit(1e-12), 1 - F.col("mass")), "weight": F.col("k") + 1.0}
+    )
+    gain = F.col("g") - F.col("listed") * F.log(F.col("total").cast("double"))
+    gain += F.when(F.col("rest") > 0, F.col("rest") * F.log(F.col("rest") / F.col("total") / F.col("left"))).otherwise(0.0)
+    own = (F.col("listed") + F.col("weight") * F.col("mass")) / (F.col("total") + F.col("weight"))
+    factor = F.log10(F.greatest(F.lit(1e-12), 1 - own) / F.col("left"))
+    states = checkpointed(both.filter(gain > penalty * F.col("k")).select("context", "total", "weight", factor.alias("factor")), f"states-{n}")
+    p = F.coalesce((F.col("c") + F.col("weight") * F.col("e")) / (F.col("total") + F.col("weight")), F.col("e"))
+    entries = expected.join(states, "context", "left").select("gram", "c", "e", "factor", p.alias("p"))
+    entries = entries.select("gram", "c", "p", (F.log10(F.col("p") / F.col("e")) - F.col("factor")).alias("value"))
+    return states.select(F.col("context").alias("gram"), F.col("total").alias("c"), F.col("factor").alias("value")), checkpointed(entries, f"entries-{n}")
 
 
 def build(
     root_counts: np.ndarray, tokens: int, kinds: int, pairs: dict[int, int], triples: dict[int, int], singles: int, doubles: int, listed: int
 ) -> SuffixTree:
-    """The tree from counts of tokens, pairs and triples; `root_counts` are those of the numbered tokens.
+    """The tree in memory, for few tokens, from counts of tokens, pairs and triples; `root_counts` are those of the numbered tokens.
 
     A context becomes a state if `N * KL(own || parent's)`, over the tokens it lists and the rest, is above
     what the listed probabilities cost by the Bayesian information criterion.
@@ -271,9 +340,12 @@ def score_documents(docs: DataFrame, trained: Column, shares: Shares = Shares())
     `log10((c + 0.5) / (N + 0.5 * (V + 1)))`; without training rows all counts are zero and every token is
     the unknown symbol, with probability 1 under the tree.
 
-    Frequent words go to every task; all others meet their root probability in a join, summed per text and
-    word beforehand.
+    The score of a text is a sum over its words and sequences of words: the root probability of each word, the
+    factor of each sequence that is a state, and for each that a state lists what its probability is above
+    the product of the parent's and the factor. Values of frequent ones go to every task; all others are met
+    in one join.
     """
+    spark = docs.sparkSession
     words = checkpointed(vocabulary(docs, trained), "words")
     known = F.col("c") > 0
     totals = words.agg(F.sum("c"), F.sum(known.cast("bigint")), F.sum("n")).first()
@@ -281,45 +353,60 @@ def score_documents(docs: DataFrame, trained: Column, shares: Shares = Shares())
     mass = tokens + 0.5 * (kinds + 1)
     base = F.log10((F.col("c") + 0.5) / F.lit(mass))
     unknown = math.log10(kinds / (tokens + kinds)) if kinds else 0.0
-    root = F.when(known, F.log10(F.col("c") / F.lit(float(max(1, tokens + kinds))))).otherwise(F.lit(unknown))
-    often = F.col("n") >= shares.head * all_tokens
-    # At most 1 / shares.head words.
-    head = words.filter(often).select("word", "c", base.alias("base")).orderBy(F.desc("c"), "word").collect()
-    counts = np.array([r["c"] for r in head], dtype=np.int64)
-    context = docs.sparkSession.sparkContext
-    ids = context.broadcast({bytes(r["word"]): i for i, r in enumerate(head)})
-    singles, doubles, listed = (int((counts >= max(1.0, x * tokens)).sum()) for x in (shares.single, shares.double, shares.listed))
-    found = context_counts(docs, trained, ids, singles, doubles, max(1, listed)).filter(F.col("c") >= max(2.0, shares.entry * tokens))
-    entries: dict[int, dict[int, int]] = {1: {}, 2: {}}
-    for r in found.collect():
-        entries[r["depth"]][r["code"]] = r["c"]
-    tree = context.broadcast(build(counts, tokens, kinds, entries[1], entries[2], singles, doubles, max(1, listed)))
-    bases = context.broadcast((np.array([r["base"] for r in head], dtype=np.float64), counts > 0))
+    root = F.col("c") / F.lit(float(max(1, tokens + kinds)))
+    send = spark.sparkContext.broadcast
+
+    level = words.filter(F.col("c") >= shares.least).groupBy("gram").agg(F.max("c").alias("c")).withColumn("p", root)
+    bitmaps = [send(_bitmap(level, "gram", shares.filter_bits))]
+    values = []
+    for n in range(2, shares.depth + 2):
+        counts = checkpointed(gram_counts(docs, trained, n, bitmaps[-1]).filter(F.col("c") >= shares.least), f"grams-{n}")
+        bitmaps.append(send(_bitmap(counts, "gram", shares.filter_bits)))
+        states, level = _level(counts, level, 0.5 * math.log(max(tokens, 2)), n)
+        values += [states, level.filter(F.col("value").isNotNull()).select("gram", "c", "value")]
+    zero = F.lit(0).cast("bigint")
+    single = words.select(
+        "gram", F.col("n").alias("c"), F.when(known, F.log10(root)).otherwise(F.lit(unknown)).alias("value"), known.cast("bigint").alias("known"), base.alias("base")
+    )
+    for more in values:
+        single = single.unionByName(more.withColumns({"known": zero, "base": F.lit(0.0)}))
+    table = checkpointed(single.groupBy("gram").agg(F.max("c").alias("c"), *[F.sum(x).alias(x) for x in ("known", "base", "value")]), "values")
+    often = F.col("c") >= shares.head * all_tokens
+    # At most 1 / shares.head of each length.
+    hot = table.filter(often).drop("c").toArrow()
+    columns = [hot.column(x).to_numpy() for x in ("gram", "known", "base", "value")]
+    order = np.argsort(columns[0])
+    cache = send([x[order] for x in columns])
+
+    def grams_of(texts: pa.Array, hashes: dict[bytes, int]) -> tuple[int, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Number of tokens, starts of texts, and for each length the places and hashes that may have a value."""
+        ids, starts = _hashed(texts, hashes)
+        depths = _depths(starts, len(ids))
+        found, grams = [(np.arange(len(ids)), ids)], ids
+        for n in range(2, shares.depth + 2):
+            grams = _longer(grams, ids, n)
+            at = np.flatnonzero(depths >= n - 1)
+            at = at[_marked(bitmaps[n - 1].value, grams[at])]
+            found.append((at, grams[at]))
+        return len(ids), starts, found
 
     def main(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number = TaskContext.get().partitionId(), 0
-        own_base, own_known = bases.value
+        part, number, hashes = TaskContext.get().partitionId(), 0, _WordHashes()
         for batch in batches:
             for low in range(0, batch.num_rows, 1000):
                 piece = batch.slice(low, 1000)
-                flat, starts = _numbered(piece.column("text"), ids.value)
-                inside = flat >= 0
-                place = np.maximum(flat, 0)
-                values = token_scores(tree.value, flat, starts)
-                empty = not len(own_base)
-                sums = [
-                    np.add.reduceat(x, starts)
-                    for x in (
-                        np.zeros(len(flat), dtype=np.int64) if empty else (inside & own_known[place]).astype(np.int64),
-                        np.zeros(len(flat)) if empty else np.where(inside, own_base[place], 0.0),
-                        values,
-                    )
-                ]
+                size, starts, found = grams_of(piece.column("text"), hashes)
+                sums = [np.zeros(size, dtype=np.int64), np.zeros(size), np.zeros(size)]
+                for at, grams in found:
+                    hit, place = _found(cache.value[0], grams)
+                    for total, own in zip(sums, cache.value[1:]):
+                        total[at[hit]] += own[place[hit]]
+                sums = [np.add.reduceat(x, starts) for x in sums]
                 yield _batch(
                     {
                         "doc_id": (piece.column("doc_id"), pa.int64()),
                         "row": ((part << 40) + number + np.arange(len(starts)), pa.int64()),
-                        "n_tokens": (np.diff(np.append(starts, len(flat))), pa.int64()),
+                        "n_tokens": (np.diff(np.append(starts, size)), pa.int64()),
                         "n_known": (sums[0], pa.int64()),
                         "base_score": (sums[1], pa.float64()),
                         "score": (sums[2], pa.float64()),
@@ -328,28 +415,21 @@ def score_documents(docs: DataFrame, trained: Column, shares: Shares = Shares())
                 number += len(starts)
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number = TaskContext.get().partitionId(), 0
-        numbers = ids.value
+        part, number, hashes = TaskContext.get().partitionId(), 0, _WordHashes()
         for batch in batches:
-            rows_, words_, counts_ = [], [], []
-            for text in batch.column("text"):
-                for word, c in Counter(w for w in tokens_of(text.as_py()) if w not in numbers).items():
-                    rows_.append((part << 40) + number)
-                    words_.append(word)
-                    counts_.append(c)
-                number += 1
-            yield _batch({"row": (rows_, pa.int64()), "word": (words_, pa.binary()), "count": (counts_, pa.int64())})
-
-    # Both branches read the same input partitions, so a row has the same number in each.
+            for low in range(0, batch.num_rows, 1000):
+                size, starts, found = grams_of(batch.column("text").slice(low, 1000), hashes)
+                rows_ = (part << 40) + number + np.repeat(np.arange(len(starts)), np.diff(np.append(starts, size)))
+                for at, grams in found:
+                    use = ~_found(cache.value[0], grams)[0]
+                    yield _batch({"row": (rows_[at[use]], pa.int64()), "gram": (grams[use], pa.int64())})
+                number += len(starts)
+
+    # Both branches read the same columns of the same input partitions, so a row has the same number in each.
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     scored = rows.mapInArrow(main, "doc_id bigint, row bigint, n_tokens bigint, n_known bigint, base_score double, score double")
-    values = words.filter(~often).select("word", base.alias("_b"), root.alias("_r"), known.cast("bigint").alias("_k"))
-    seldom = rows.mapInArrow(rare, "row bigint, word binary, count bigint").join(values, "word")
-    rest = seldom.groupBy("row").agg(
-        F.sum(F.col("count") * F.col("_k")).alias("_known"),
-        F.sum(F.col("count") * F.col("_b")).alias("_base"),
-        F.sum(F.col("count") * F.col("_r")).alias("_root"),
-    )
+    seldom = rows.mapInArrow(rare, "row bigint, gram bigint").join(table.filter(~often).drop("c"), "gram")
+    rest = seldom.groupBy("row").agg(F.sum("known").alias("_known"), F.sum("base").alias("_base"), F.sum("value").alias("_value"))
     both = scored.join(rest, "row", "left")
     return both.select(
         "doc_id",
@@ -357,5 +437,5 @@ def score_documents(docs: DataFrame, trained: Column, shares: Shares = Shares())
         (F.col("n_known") + F.coalesce("_known", F.lit(0))).cast("bigint").alias("n_known"),
         F.lit(tokens).cast("bigint").alias("train_tokens"),
         (F.col("base_score") + F.coalesce("_base", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("_root", F.lit(0.0))).alias("score"),
+        (F.col("score") + F.coalesce("_value", F.lit(0.0))).alias("score"),
     )

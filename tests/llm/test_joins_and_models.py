@@ -276,3 +276,27 @@ def test_scores_without_training_rows(spark):
     r = suffix_tree.score_documents(docs, F.lit(False)).first()
     assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["score"]) == (3, 0, 0, 0.0) and r["base_score"] == pytest.approx(0.0)
     assert suffix_tree.score_documents(docs.limit(0), F.lit(True)).count() == 0
+
+
+def test_tree_grows_with_the_input(spark):
+    """Every sequence seen twice counts, as in the tree in memory over all counts, whatever its share of the tokens."""
+    rng = random.Random(12)
+    phrases = [" ".join(f"w{rng.randint(0, 3000)}" for _ in range(6)) for _ in range(400)]
+    rows = [(i, " ".join(rng.choice(phrases) for _ in range(8))) for i in range(1500)]
+    texts = [t.encode().split() + [b""] for _, t in rows]
+    ids = {w: i for i, (w, _) in enumerate(collections.Counter(w for t in texts for w in t).most_common())}
+    numbered, v = [[ids[w] for w in t] for t in texts], len(ids)
+    root = collections.Counter(x for t in numbered for x in t)
+    pairs = collections.Counter(p for t in numbered for p in zip(t, t[1:]))
+    triples = collections.Counter(p for t in numbered for p in zip(t, t[1:], t[2:]))
+    tree = suffix_tree.build(
+        np.array([root[i] for i in range(v)]), sum(root.values()), v,
+        {a * v + b: c for (a, b), c in pairs.items() if c > 1}, {(a * v + b) * v + x: c for (a, b, x), c in triples.items() if c > 1}, v, v, v,
+    )
+    want = {i: suffix_tree.token_scores(tree, np.array(t), np.array([0])).sum() for i, t in enumerate(numbered)}
+    docs = spark.createDataFrame(rows, DOCS)
+    for head in (1e-3, 1.0):
+        got = {r["doc_id"]: r["score"] for r in suffix_tree.score_documents(docs, F.lit(True), suffix_tree.Shares(head=head, depth=2)).collect()}
+        assert got == pytest.approx(want, abs=1e-6)
+    deep = {r["doc_id"]: r["score"] for r in suffix_tree.score_documents(docs, F.lit(True)).collect()}
+    assert sum(deep.values()) > sum(want.values())

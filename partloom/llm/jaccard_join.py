@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from partloom.llm.components import connected_components
 from partloom.llm.suffix_tree import LOWERED
@@ -552,7 +552,22 @@ def _open_keys(asked: DataFrame, indexed: DataFrame, labels: DataFrame) -> tuple
 def one_per_group(docs: DataFrame, join: Join = Join()) -> DataFrame:
     """`docs` without near-duplicates: of each component the document with the smallest id stays.
 
-    Rows with a null id all stay. Of repeated rows of one id each stays.
+    Rows with a null id all stay. Of repeated rows of one id one of each set of shingles stays.
     """
-    groups = similar_documents(docs, join).filter("doc_id is not null and doc_id = component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_semi").unionByName(docs.filter(F.col("doc_id").isNull()))
+    groups = similar_documents(docs, join).filter("doc_id is not null and doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
+    groups = checkpointed(groups, "kept")
+    rest = docs.filter(F.col("doc_id").isNull())
+    if not groups.filter("_rows > 1").limit(1).count():
+        return docs.join(groups, "doc_id", "left_semi").unionByName(rest)
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(join)
+        for batch in batches:
+            names = [_identity(shingler.shingles(text.as_py())) for text in batch.column("text")]
+            added = {"_node": pa.array([int(n[0]) for n in names], pa.int64()), "_twin": pa.array([int(n[1]) for n in names], pa.int64())}
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added.values()], names=[*batch.schema.names, *added])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("_node", T.LongType()), T.StructField("_twin", T.LongType())])
+    repeated = docs.join(groups.filter("_rows > 1"), "doc_id", "left_semi").mapInArrow(name, schema)
+    first = repeated.groupBy("doc_id", "_node", "_twin").agg(F.min(F.struct(*docs.columns)).alias("_first")).select("_first.*")
+    return docs.join(groups.filter("_rows = 1"), "doc_id", "left_semi").unionByName(first).unionByName(rest)

@@ -56,7 +56,8 @@ def mix(
 ) -> DataFrame:
     """What the mix takes of each document.
 
-    `docs` has `doc_id`, `text` and `source`; other columns are ignored. Returns one row per document with
+    `docs` has `doc_id`, `text` and `source`; of other columns only `_row`, a unique number of each row, is
+    kept if there is one. Rows without an id are then shuffled by their texts. Returns one row per document with
     `doc_id, source, size, source_size, target, served` and `taken`. `served` lists the words taken in each
     epoch with the virtual times at which the document starts and ends; `taken` is their sum. The document
     at the end of the budget is taken in part. Sizes are words; null and blank texts have size 0 and
@@ -66,8 +67,10 @@ def mix(
     A source of any size is cut into chunks of about `chunk_words` words by the leading digits of its
     shuffle key. Only the totals of chunks are added up in order; a window sorts the inside of one chunk.
     """
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = checkpointed(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("_key")), "mix")
+    row = [c for c in ("_row",) if c in docs.columns]
+    unnamed = F.md5(F.coalesce(F.col("text"), F.lit(""))) if row else F.lit("")
+    key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), unnamed)))
+    sized = checkpointed(docs.select(*row, "doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("_key")), "mix")
     totals = checkpointed(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
     # Of a source with few words per chunk there are few chunks; 2^28 at most.
     parts = F.greatest(F.lit(1), F.least(F.ceil(F.col("source_size") / chunk_words), F.lit(1 << 28))).cast("bigint")
@@ -82,7 +85,7 @@ def mix(
         F.col("source").alias("_s"), F.col("_chunk").alias("_c"), F.coalesce(F.sum("_words").over(earlier), F.lit(0)).alias("_offset")
     )
     joined = placed.join(offsets, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_chunk") == F.col("_c")))
-    inside = Window.partitionBy("source", "_chunk").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "_chunk").orderBy("_key", "doc_id", "size", *row).rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("_offset") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     served = F.filter(
         F.transform(F.sequence(F.lit(0), F.lit(max_epochs - 1)), lambda epoch: _service(epoch, F.col("_start"))),
@@ -92,7 +95,7 @@ def mix(
         joined.withColumn("_start", start)
         .withColumn("served", served)
         .withColumn("taken", F.aggregate("served", F.lit(0).cast("bigint"), lambda total, s: total + s["words"]))
-        .select("doc_id", "source", "size", "source_size", "target", "served", "taken")
+        .select(*row, "doc_id", "source", "size", "source_size", "target", "served", "taken")
     )
 
 
@@ -110,11 +113,12 @@ def _service(epoch: Column, start: Column) -> Column:
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The mixed corpus: whole documents with all their columns, repeated per epoch, in order of virtual time.
 
-    A document that the end of the budget cuts is there if at least half of it fits. `docs` has no repeated
-    `doc_id`; if it has, each copy comes as often as the mix takes the id in all. Rows with a null `doc_id`
-    can't be told apart and are left out.
+    A document that the end of the budget cuts is there if at least half of it fits. Every row is a document of
+    its own, also with a null or repeated `doc_id`.
     """
-    served = mix(docs, **settings).select("doc_id", F.col("size").alias("_size"), F.explode("served").alias("_s"))
-    taken = served.filter(F.col("_s.words") * 2 >= F.col("_size")).select("doc_id", F.col("_s.finish").alias("_finish"))
-    ordered = docs.join(taken, "doc_id").repartitionByRange("_finish", "doc_id").sortWithinPartitions("_finish", "doc_id")
-    return ordered.select(*docs.columns)
+    # The number is stored with the row, so that it is the same on both sides of the join.
+    stored = checkpointed(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
+    served = mix(stored, **settings).select("_row", F.col("size").alias("_size"), F.explode("served").alias("_s"))
+    taken = served.filter(F.col("_s.words") * 2 >= F.col("_size")).select("_row", F.col("_s.finish").alias("_finish"))
+    order = ["_finish", "doc_id", "_row"]
+    return stored.join(taken, "_row").repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)

@@ -8,7 +8,7 @@ import string
 import pytest
 from pyspark.sql import functions as F
 
-from partloom.llm import licenses, mixing, pieces, quality, secrets
+from partloom.llm import jaccard_join, licenses, mixing, pieces, quality, secrets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id bigint, text string, source string"
@@ -66,6 +66,21 @@ def test_mixed_documents_are_whole_and_in_order(spark):
     assert all(count[i] == 3 for i in range(90, 100)) and 68 <= sum(count[i] for i in range(90)) <= 72
 
 
+def test_mixed_documents_keep_null_and_repeated_ids(spark):
+    rows = [(None if i < 30 else 7 if i < 60 else i, f"t{i} " + "word " * 9, "a") for i in range(120)]
+    count = collections.Counter(r["text"] for r in mixing.mixed_documents(spark.createDataFrame(rows, DOCS)).collect())
+    assert count == collections.Counter(t for _, t, _ in rows)
+
+
+def test_one_of_equal_sets_of_an_id_stays(spark):
+    text = "a clean text of more than five words"
+    rows = [(1, text, "s"), (1, text, "s"), (1, text.upper(), "s"), (1, "another text that is not at all alike", "s"), (2, "the only row of this id", "s")]
+    rows += [(None, text, "s"), (None, text, "s"), (3, text + " " + text, "s")]
+    kept = [(r["doc_id"], r["text"].lower()) for r in jaccard_join.one_per_group(spark.createDataFrame(rows, DOCS)).collect()]
+    assert sum(d is None for d, _ in kept) == 2
+    assert sorted(x for x in kept if x[0] in (1, 2)) == [(1, text), (1, rows[3][1]), (2, rows[4][1])]
+
+
 # ---- secrets
 
 KEYWORDS = "password|passwd|secret|token|api_?key"

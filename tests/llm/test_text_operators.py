@@ -4,6 +4,7 @@ import collections
 import random
 import re
 import string
+import textwrap
 
 import pytest
 from pyspark.sql import functions as F
@@ -221,6 +222,24 @@ def test_licenses_by_paragraph(spark):
     assert got[3] == [(1, "MIT")] and got[4] == [(1, "unknown")] and got[5] == got[6] == got[7] == []
 
 
+def test_wrapped_licenses_and_two_in_one_line(spark):
+    rng = random.Random(9)
+    plain = [" ".join("".join(rng.choices("abcdeimt", k=rng.randint(2, 7))) for _ in range(30)) for _ in range(200)]
+    model = licenses.train(spark.createDataFrame([(i, t) for i, t in enumerate(plain)], "doc_id int, text string"))
+    texts = {
+        0: "\n".join([plain[0], "", *textwrap.wrap(licenses.EXCERPTS["MIT"][0], 40), "", plain[1]]),
+        1: "\n".join("# " + x for x in textwrap.wrap(licenses.EXCERPTS["BSD"][0], 60)),
+        2: "\n".join(textwrap.wrap(licenses.EXCERPTS["GPL"][0], 70)),
+        3: "\n".join(textwrap.wrap(licenses.EXCERPTS["LGPL"][0], 70)),
+        4: "Licensed under the MIT License or Apache License 2.0",
+        5: "\n".join(plain[:30]),
+    }
+    rows = spark.createDataFrame(list(texts.items()), "doc_id int, text string")
+    got = {r["doc_id"]: [x["family"] for x in r["licenses"]] for r in licenses.scan(rows, model).collect()}
+    assert got[0] == ["MIT"] and got[1] == ["BSD"] and got[2] == ["GPL"] and got[3] == ["LGPL"]
+    assert sorted(got[4]) == ["Apache-2.0", "MIT"] and got[5] == []
+
+
 def test_licenses_of_an_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id int, text string")
     assert licenses.scan(docs, licenses.train(docs)).count() == 0

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 
-from partloom.llm import jaccard_join, language_crf, licenses, mixing, pieces, quality, secrets, suffix_tree, token_shards, vector_dedup
+from partloom.llm import conversation_trie, jaccard_join, language_crf, licenses, mixing, pieces, quality, secrets, suffix_tree, token_shards, vector_dedup
 from partloom.llm.text import held_out, table
 from partloom.plans.registry import Plan, Query
 from partloom.session import checkpointed
@@ -142,3 +142,46 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned.select(
         "doc_id", F.size("licenses").cast("bigint").alias("n_licenses"), F.array_join(families, ",").alias("families"), F.array_join(places, ",").alias("places")
     )
+
+
+# CRC-32 of a decimal number: each character, then eight shifts.
+CRC_SQL = """xor(4294967295, list_reduce(
+        list_concat([4294967295::BIGINT], flatten(list_transform(range(1, length(conv_id::VARCHAR) + 1),
+            lambda i: list_concat([ascii(substr(conv_id::VARCHAR, i::INT, 1))::BIGINT], [-1, -1, -1, -1, -1, -1, -1, -1]::BIGINT[])))),
+        lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END))"""
+
+
+@query(
+    "op11_conversation_trie",
+    rf"""
+    WITH turned AS (
+        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, id) AS pos
+        FROM (SELECT conv_id, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id, length(coalesce(text, '')) AS chars
+              FROM conversations WHERE conv_id IS NOT NULL)),
+    convs AS (SELECT conv_id, {CRC_SQL} % 6 AS h FROM (SELECT DISTINCT conv_id FROM turned)),
+    rebuilt AS (
+        SELECT c.conv_id, 0 AS part, b.pos, b.id, b.chars FROM convs c JOIN turned b ON b.conv_id = c.conv_id - c.conv_id % 100 AND b.pos <= c.h
+        UNION ALL SELECT c.conv_id, 1, t.pos, t.id, t.chars FROM convs c JOIN turned t ON t.conv_id = c.conv_id AND t.pos > c.h),
+    placed AS (
+        SELECT conv_id, chars, row_number() OVER w AS depth, md5(string_agg(id, '') OVER w) AS node
+        FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos)),
+    steps AS (
+        SELECT conv_id, depth, node, coalesce(lag(node) OVER (PARTITION BY conv_id ORDER BY depth), 'root') AS parent, chars FROM placed
+        UNION ALL SELECT conv_id, 0, 'root', NULL, 0 FROM convs),
+    lengths AS (SELECT conv_id, max(depth) AS len FROM steps GROUP BY conv_id),
+    nodes AS (
+        SELECT node, min(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, min(parent) AS parent, min(chars) AS chars,
+            string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE depth = len) AS ends
+        FROM steps JOIN lengths USING (conv_id) GROUP BY node),
+    children AS (SELECT parent AS node, count(*) AS n_children FROM nodes GROUP BY parent),
+    described AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children ON children.node = nodes.node),
+    subtrees AS (
+        SELECT s.node, sum((t.n_convs - 1) * t.chars)::BIGINT AS saved_tokens, sum((t.n_children = 0)::INT)::BIGINT AS n_leaves
+        FROM described t JOIN steps s ON s.conv_id = t.conv_id AND s.depth <= t.depth GROUP BY s.node)
+    SELECT d.conv_id, d.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, d.n_convs, d.n_children::BIGINT AS n_children,
+        n_leaves, saved_tokens, sha256(coalesce(d.ends, '')) AS ends_sha256
+    FROM described d JOIN subtrees USING (node) LEFT JOIN described p ON p.node = d.parent""",
+)
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rebuilt = conversation_trie.branched(conversation_trie.turn_sequences(table(spark, sf_dir, "conversations")))
+    return conversation_trie.prefix_trie(rebuilt).drop("turn_id")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 
-from partloom.llm import conversation_trie, jaccard_join, language_crf, licenses, mixing, pieces, quality, secrets, suffix_tree, token_shards, vector_dedup
+from partloom.llm import conversation_trie, jaccard_join, language_crf, licenses, mixing, pieces, quality, secrets, suffix_tree, token_shards, vector_dedup, whitening
 from partloom.llm.text import held_out, table
 from partloom.plans.registry import Plan, Query
 from partloom.session import checkpointed
@@ -185,3 +185,8 @@ CRC_SQL = """xor(4294967295, list_reduce(
 def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     rebuilt = conversation_trie.branched(conversation_trie.turn_sequences(table(spark, sf_dir, "conversations")))
     return conversation_trie.prefix_trie(rebuilt).drop("turn_id")
+
+
+@query("op12_embedding_whitening")
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(table(spark, sf_dir, "embeddings"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 
-from partloom.llm import conversation_trie, jaccard_join, language_crf, licenses, mixing, pieces, quality, secrets, suffix_tree, token_shards, vector_dedup, whitening
+from partloom.llm import conversation_trie, jaccard_join, language_crf, licenses, mixing, nb_svm, pieces, quality, secrets, suffix_tree, token_shards, vector_dedup, whitening
 from partloom.llm.text import held_out, table
 from partloom.plans.registry import Plan, Query
 from partloom.session import checkpointed
@@ -190,3 +190,11 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_embedding_whitening")
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened_components(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_quality_classifier")
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = held_out(F.col("doc_id"), 5, 0)
+    model = nb_svm.train(nb_svm.training_rows(docs.filter(~out), table(spark, sf_dir, "labels"), "quality"))
+    return nb_svm.score(docs, model).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

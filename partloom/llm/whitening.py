@@ -122,20 +122,24 @@ def _rayleigh(matrix, shift, known_values, known, floor, rng) -> tuple[float, np
     d = len(matrix)
     near = known[np.abs(known_values - shift) <= 1e-3 * max(abs(shift), floor)] if len(known) else known
     x = rng.standard_normal(d)
+    best = None
     for turn in range(40):
         x -= near.T @ (near @ x)
         x /= np.linalg.norm(x)
         quotient = float(x @ matrix @ x)
-        if turn > 2 and np.linalg.norm(matrix @ x - quotient * x) <= floor:
-            return quotient, x
+        residual = float(np.linalg.norm(matrix @ x - quotient * x))
+        if best is not None and residual >= 0.5 * best[0]:
+            break  # as good as rounding allows
+        if turn > 2 and residual <= floor:
+            best = (residual, quotient, x.copy())
         at = shift if turn < 2 else quotient
         try:
             x = np.linalg.solve(matrix - at * np.eye(d), x)
         except np.linalg.LinAlgError:
             x = np.linalg.solve(matrix - (at + floor) * np.eye(d), x)
         if not np.isfinite(x).all():
-            return None
-    return None
+            break
+    return None if best is None else best[1:]
 
 
 # ---- passes over the vectors

@@ -14,13 +14,14 @@ COLUMNS = {
     "op8_lm_scoring": "doc_id held_out n_tokens n_known train_tokens base_score score",
     "op9_vector_dedup": "vec_id n_links component_id kept",
     "op10_quality_rules": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
+    "op13_quality_classifier": "doc_id held_out score predicted",
     "op12_embedding_whitening": "vec_id component n deviation whitened explained identity_error",
     "op11_conversation_trie": "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256",
 }
 
 
 def test_all_operators_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in LLM_QUERIES if n != "pipeline") == list(range(1, 13))
+    assert sorted(int(n[2:].split("_")[0]) for n in LLM_QUERIES if n != "pipeline") == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", [n for n in LLM_QUERIES if n != "pipeline"])

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from partloom.session import Rounds, broadcast_if_small, checkpointed
 
-BURST = 1024
+BURST = 256
 NO_ENDS = hashlib.sha256(b"").hexdigest()
 PIECE_CHARS = 1 << 20
 BATCH_NODES = 50_000

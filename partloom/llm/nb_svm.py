@@ -21,19 +21,21 @@ from pyspark.sql import DataFrame, functions as F
 from partloom.llm.text import LOWER, UPPER
 from partloom.session import checkpointed
 
-MEMO_WORDS = 300_000
-SLICE_WORDS = 200_000
+MEMO_WORDS = 200_000
+SLICE_WORDS = 100_000
 U64 = np.uint64
 LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
 @dataclass(frozen=True)
 class Settings:
-    """`sample` rows of each class at most are fitted, and a quarter of that for the curve; ratios come from all other rows."""
+    """Bounds of what is learned from, in rows of each class: `labelled` documents are looked up, `sample` of them fit
+    the machine, a quarter of that the curve; the ratios come from all that are not for the curve."""
 
     buckets: int = 1 << 18
     word_grams: int = 2
     shape_grams: int = 3
+    labelled: int = 20_000
     sample: int = 3000
     cost: float = 1.0
     epochs: int = 30
@@ -332,7 +334,13 @@ def score(docs: DataFrame, model: Classifier) -> DataFrame:
     return rows.mapInArrow(scored, "doc_id bigint, score double")
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """`(doc_id, text, label)` of the documents with a label; several labels of a document count as their rounded mean."""
-    known = labels.filter(F.col(label).isNotNull()).groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("label"))
-    return docs.select("doc_id", "text").join(known, "doc_id")
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, settings: Settings = Settings()) -> DataFrame:
+    """`(doc_id, text, label)` of labelled documents; several labels of a document count as their rounded mean.
+
+    At most `settings.labelled` ids of each class are looked up, the first by a hash. With that bound they go to every
+    task, so no text is shuffled.
+    """
+    known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("label"))
+    known = checkpointed(known, "svm-labels")
+    taken = [known.filter(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.labelled) for c in (0, 1)]
+    return docs.select("doc_id", "text").join(F.broadcast(taken[0].unionAll(taken[1])), "doc_id")

@@ -102,6 +102,15 @@ def test_several_labels_of_a_document(spark):
     assert {(r["doc_id"], r["label"]) for r in got} == {(1, 1), (3, 0)}
 
 
+def test_labelled_rows_are_bounded_by_class(spark):
+    docs = spark.range(300).selectExpr("id AS doc_id", "'t' AS text")
+    labels = spark.range(300).selectExpr("id AS doc_id", "CAST(id % 3 > 0 AS INT) AS quality")
+    frame = nb_svm.training_rows(docs, labels, "quality", nb_svm.Settings(labelled=40))
+    got = frame.groupBy("label").count().collect()
+    assert {r["label"]: r["count"] for r in got} == {0: 40, 1: 40}
+    assert frame.exceptAll(nb_svm.training_rows(docs.repartition(3), labels.repartition(5), "quality", nb_svm.Settings(labelled=40))).count() == 0
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     found = LLM_QUERIES["op13_quality_classifier"].plan(spark, d).filter("held_out")

@@ -55,12 +55,15 @@ def humanize(text: Column) -> Column:
 
 
 def _numbered(prefix: str, number: Column, width: int, what: str) -> Column:
-    """`prefix` and the number with leading zeros; padding is much cheaper than a format call."""
-    number = number.cast("bigint")
-    digits = number.cast("string")
+    """`prefix` and the number with leading zeros; padding is much cheaper than a format call.
+
+    The number is a whole number or its digits as text, of any length.
+    """
+    text = number.cast("string")
+    digits = F.ltrim(text, F.lit("0"))
     padded = F.lpad(digits, F.greatest(F.length(digits), F.lit(width)), F.lit("0"))
-    return F.when(number < 0, F.raise_error(F.lit(f"{what} must be non-negative"))).otherwise(
-        F.concat(F.lit(prefix), padded)
+    return F.when(text.rlike("^[0-9]+$"), F.concat(F.lit(prefix), padded)).when(
+        text.isNotNull(), F.raise_error(F.lit(f"{what} must be non-negative"))
     )
 
 

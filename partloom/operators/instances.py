@@ -54,9 +54,13 @@ def record_limit(instances: DataFrame, order: Sequence[str | Column], limit: int
     return instances.orderBy(*order).limit(limit)
 
 
-def source_meta(instances: DataFrame, split_name: str, *, num_polygons: Column, first_polygon_len: Column) -> DataFrame:
-    """Per-object source record with its polygon summary and planned file paths."""
-    count = F.coalesce(num_polygons, F.lit(0))
+def source_meta(instances: DataFrame, split_name: str) -> DataFrame:
+    """Per-object source record with its polygon summary and planned file paths.
+
+    `segmentation` is as scanned: a run-length record or an absent one counts no polygons, and a first polygon that
+    is no list has no points.
+    """
+    count, first_polygon_len = F.coalesce("segmentation.num_polygons", F.lit(0)), F.col("segmentation.first_polygon_len")
     return instances.select(
         "object_id",
         F.lit(split_name).alias("split_name"),

@@ -70,7 +70,7 @@ def category_quotas(categories: DataFrame, cfg: QuotaConfig = QuotaConfig()) ->
 
 
 def quota_selection(
-    rows: DataFrame, quotas: DataFrame, order: Sequence[str | Column], chunk: Column
+    rows: DataFrame, quotas: DataFrame, order: Sequence[str | Column], chunk: Column, earlier: DataFrame | None = None
 ) -> DataFrame:
     """Attempted rows only, in the order they are tried.
 
@@ -78,21 +78,39 @@ def quota_selection(
     `pass`). A category stops once its quota is filled. Adds `image_attempt_index` and
     `selection_slot_index` (the slot the row competes for). `rows` is read twice: pass a stored table if it
     is costly. Quotas are broadcast after a look at their number, so rows are not shuffled by category.
+
+    `earlier` holds `category_records` of a run that stopped, with `selected_object_ids`; `rows` then needs an
+    `object_id`. A category goes on from as many slots as it has picks, if that leaves any. The walk starts at its
+    first row again: picked rows come out as `already_selected`, which count as attempts and take no slot, and
+    rejected rows are tried again.
     """
     open_quotas = quotas.filter(F.col("selection_quota") > 0).select("category_name", "selection_quota")
-    bounded = rows.join(broadcast_if_small(open_quotas), "category_name")
+    outcome, start = F.col("outcome"), F.lit(0)
+    keys, tried = ["category_name", "selection_quota"], rows
+    if earlier is not None:
+        picks = earlier.select("category_name", F.coalesce("selected_object_ids", F.array()).alias("_picks"))
+        open_quotas = open_quotas.join(picks.select("category_name", F.size("_picks").alias("_filled")), "category_name", "left")
+        open_quotas = open_quotas.withColumn("_filled", F.coalesce("_filled", F.lit(0))).filter(F.col("_filled") < F.col("selection_quota"))
+        # Quotas bound the picks of a category, so their arrays are short; a category may hold any number of rows.
+        picked = picks.select("category_name", F.explode("_picks").alias("object_id")).distinct().withColumn("_picked", F.lit(True))
+        tried = rows.join(picked, ["category_name", "object_id"], "left").withColumn(
+            "outcome", F.when(F.col("_picked"), F.lit("already_selected")).otherwise(F.col("outcome"))
+        )
+        tried, start, keys = tried.select(*rows.columns), F.col("_filled"), [*keys, "_filled"]
+    bounded = tried.join(broadcast_if_small(open_quotas), "category_name")
     counted = running_sums(
         bounded,
-        ["category_name", "selection_quota"],
+        keys,
         order,
         chunk,
-        {"_seen": F.lit(1), "_passed": (F.col("outcome") == "pass").cast("bigint")},
-        needed=lambda start: start("_passed") < F.col("selection_quota"),
+        {"_seen": F.lit(1), "_passed": (outcome == "pass").cast("bigint")},
+        needed=lambda before: start + before("_passed") < F.col("selection_quota"),
     )
-    return counted.filter(F.col("_passed") < F.col("selection_quota")).select(
-        *bounded.columns,
+    return counted.filter(start + F.col("_passed") < F.col("selection_quota")).select(
+        *rows.columns,
+        "selection_quota",
         (F.col("_seen") + 1).alias("image_attempt_index"),
-        (F.col("_passed") + 1).alias("selection_slot_index"),
+        (start + F.col("_passed") + 1).cast("bigint").alias("selection_slot_index"),
     )
 
 
@@ -112,6 +130,13 @@ def selection_counters(attempts: DataFrame) -> DataFrame:
     )
 
 
+def selected_ids(attempts: DataFrame) -> DataFrame:
+    """`(category_name, selected_object_ids)` in order of slots; the quota of a category bounds its list."""
+    slot = F.struct("selection_slot_index", "object_id")
+    listed = attempts.filter(F.col("outcome") == "pass").groupBy("category_name").agg(F.sort_array(F.collect_list(slot)).alias("_s"))
+    return listed.select("category_name", F.transform("_s", lambda s: s["object_id"]).alias("selected_object_ids"))
+
+
 def category_records(categories: DataFrame, counters: DataFrame) -> DataFrame:
     """Every category with its decision, quota and counters; rejected categories are complete at once."""
     names = [c for c in counters.columns if c not in ("category_name", "selection_quota")]
@@ -123,6 +148,37 @@ def category_records(categories: DataFrame, counters: DataFrame) -> DataFrame:
     )
 
 
+REJECTS = ("num_missing_images", "num_geometry_rejects", "num_llm_rejects")
+
+
+def resumable_records(categories: DataFrame, attempts: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
+    """`category_records` with `selected_object_ids`, from which a later run can go on.
+
+    With the records of an `earlier` run rejects add up, as rejected rows were tried again, the number of attempts is
+    that of the last walk of the category, and its picks follow the earlier ones.
+    """
+    counters = selection_counters(attempts).join(selected_ids(attempts), "category_name", "left").withColumnRenamed("num_selected_objects", "_new")
+    joined = categories.join(counters.drop("selection_quota"), "category_name", "left")
+    zero, none = F.lit(0).cast("bigint"), F.expr("CAST(array() AS array<string>)")
+    picks = F.coalesce("selected_object_ids", none)
+    if earlier is not None:
+        old = earlier.select("category_name", *[F.col(c).alias(f"_old_{c}") for c in ("selected_object_ids", "num_image_attempts", *REJECTS)])
+        joined = joined.join(old, "category_name", "left")
+        picks = F.concat(F.coalesce("_old_selected_object_ids", none), picks)
+        sums = {c: F.coalesce(c, zero) + F.coalesce(f"_old_{c}", zero) for c in REJECTS}
+        walked = F.coalesce("num_image_attempts", "_old_num_image_attempts", zero)
+    else:
+        sums = {c: F.coalesce(c, zero) for c in REJECTS}
+        walked = F.coalesce("num_image_attempts", zero)
+    merged = joined.withColumns({**sums, "num_image_attempts": walked, "selected_object_ids": picks})
+    merged = merged.withColumn("num_selected_objects", F.size("selected_object_ids").cast("bigint"))
+    open_slots = F.col("interactive_object") & (F.col("num_selected_objects") < F.col("selection_quota"))
+    return merged.select(
+        *categories.columns, "num_image_attempts", *REJECTS, "num_selected_objects", "selected_object_ids",
+        F.when(open_slots, F.lit("text_completed")).otherwise(F.lit("completed")).alias("quota_state"),
+    )
+
+
 def stage_totals(categories: DataFrame) -> DataFrame:
     return categories.agg(
         F.count(F.lit(1)).alias("num_categories_in_batch"),

@@ -138,6 +138,77 @@ def candidate_screening(spark, d):
     return quo.category_records(quotas.drop("num_available_images"), quo.selection_counters(chosen))
 
 
+# A first run that stopped: a third of the images, half of each quota.
+SQL["fx_first_run"] = """
+SELECT * FROM (SELECT o.*, half, coalesce(count(*) FILTER (outcome = 'pass') OVER (PARTITION BY category_name ORDER BY annotation_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS picked_before
+  FROM fx_outcomes o JOIN (SELECT category_name, selection_quota::BIGINT // 2 AS half FROM fx_quotas ) q USING (category_name)
+  WHERE image_id % 3 = 0 AND half > 0) WHERE picked_before < half"""
+
+SQL["fx_first_records"] = """
+SELECT category_name, list(object_id ORDER BY annotation_id) FILTER (outcome = 'pass') AS picks, count(*) AS attempts,
+  count(*) FILTER (outcome = 'missing_image') AS missing, count(*) FILTER (outcome = 'geometry_reject') AS geometry,
+  count(*) FILTER (outcome = 'model_reject') AS model FROM fx_first_run GROUP BY category_name"""
+
+SQL["fx_second_run"] = """
+SELECT * FROM (SELECT *, coalesce(count(*) FILTER (now = 'pass') OVER (PARTITION BY category_name ORDER BY annotation_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS picked_before
+  FROM (SELECT o.*, selection_quota::BIGINT AS quota, coalesce(len(picks), 0) AS filled,
+      CASE WHEN list_contains(coalesce(picks, []), object_id) THEN 'already_selected' ELSE outcome END AS now
+    FROM fx_outcomes o JOIN fx_quotas q USING (category_name) LEFT JOIN fx_first_records f USING (category_name))
+  WHERE filled < quota) WHERE filled + picked_before < quota"""
+
+
+def resumed(spark, d):
+    """Categories with quotas, the records of a first run that stopped half-way, and the attempts of the run that goes on."""
+    outcomes = checkpointed(t.outcomes(spark, d), "outcomes")
+    quotas = checkpointed(quo.category_quotas(t.decided(outcomes), QUOTAS), "quotas")
+    half = quotas.withColumn("selection_quota", t.div(F.col("selection_quota"), 2))
+    order, chunk = ["annotation_id"], t.annotation_chunk()
+    first = quo.quota_selection(outcomes.filter("image_id % 3 = 0"), half, order, chunk)
+    records = checkpointed(quo.resumable_records(half, first), "quota-records")
+    return quotas, records, quo.quota_selection(outcomes, quotas, order, chunk, records)
+
+
+@query(
+    "quota_resume",
+    views("fx_second_run")
+    + """SELECT annotation_id, object_id, category_name, now AS outcome, quota AS selection_quota,
+  row_number() OVER (PARTITION BY category_name ORDER BY annotation_id) AS image_attempt_index,
+  filled + picked_before + 1 AS selection_slot_index FROM fx_second_run""",
+)
+def quota_resume(spark, d):
+    """Attempts of a run that goes on from half-filled categories."""
+    return resumed(spark, d)[2].select(
+        "annotation_id", "object_id", "category_name", "outcome", "selection_quota", "image_attempt_index", "selection_slot_index"
+    )
+
+
+@query(
+    "resumed_categories",
+    views("fx_second_run", "fx_first_records")
+    + """SELECT category_name, interactive_object, selection_quota::BIGINT AS selection_quota,
+  coalesce(s.attempts, f.attempts, 0) AS num_image_attempts, coalesce(s.missing, 0) + coalesce(f.missing, 0) AS num_missing_images,
+  coalesce(s.geometry, 0) + coalesce(f.geometry, 0) AS num_geometry_rejects, coalesce(s.model, 0) + coalesce(f.model, 0) AS num_llm_rejects,
+  len(list_concat(coalesce(f.picks, []), coalesce(s.picks, []))) AS num_selected_objects,
+  array_to_string(list_concat(coalesce(f.picks, []), coalesce(s.picks, [])), ',') AS selected_object_ids,
+  CASE WHEN interactive_object AND len(list_concat(coalesce(f.picks, []), coalesce(s.picks, []))) < selection_quota
+    THEN 'text_completed' ELSE 'completed' END AS quota_state
+FROM fx_quotas q LEFT JOIN fx_first_records f USING (category_name) LEFT JOIN (
+  SELECT category_name, list(object_id ORDER BY annotation_id) FILTER (now = 'pass') AS picks, count(*) AS attempts,
+    count(*) FILTER (now = 'missing_image') AS missing, count(*) FILTER (now = 'geometry_reject') AS geometry,
+    count(*) FILTER (now = 'model_reject') AS model FROM fx_second_run GROUP BY category_name) s USING (category_name)""",
+)
+def resumed_categories(spark, d):
+    """Category records after both runs, with every picked object."""
+    quotas, records, attempts = resumed(spark, d)
+    merged = quo.resumable_records(quotas, checkpointed(attempts, "attempts"), records)
+    return merged.select(
+        "category_name", "interactive_object", "selection_quota", "num_image_attempts", *quo.REJECTS, "num_selected_objects",
+        F.array_join("selected_object_ids", ",").alias("selected_object_ids"), "quota_state",
+    )
+
+
 @query(
     "dense_ids",
     views("fx_instances")
@@ -157,29 +228,6 @@ def record_limit(spark, d):
     return ins.record_limit(t.instances(spark, d).select("annotation_id", "category_name"), ["annotation_id"], 100)
 
 
-@query(
-    "source_meta",
-    views("fx_instances")
-    + """SELECT annotation_id, object_id, 'lvis_val' AS split_name,
-  'data/images/' || CASE WHEN coco_url = '' THEN printf('%012d.jpg', image_id) ELSE image_id || '.jpg' END AS original_image_path,
-  CAST(num_polygons AS BIGINT) AS num_polygons,
-  CAST(CASE WHEN num_polygons > 0 THEN first_polygon_len // 2 ELSE 0 END AS BIGINT) AS first_polygon_points,
-  image_width AS width, x + w AS right_edge FROM fx_instances""",
-)
-def source_meta(spark, d):
-    located = t.instances(spark, d).withColumn(
-        "image_path", names.image_path(F.col("coco_url"), F.col("image_id"), IMAGES_ROOT)
-    )
-    meta = ins.source_meta(
-        located, "lvis_val", num_polygons=F.col("num_polygons"), first_polygon_len=F.col("first_polygon_len")
-    )
-    return meta.select(
-        "annotation_id", "object_id", "split_name", "original_image_path", "segmentation_summary.num_polygons",
-        "segmentation_summary.first_polygon_points", "image_size.width",
-        (F.get("bbox_xywh", F.lit(0)) + F.get("bbox_xywh", F.lit(2))).alias("right_edge"),
-    )
-
-
 @query(
     "object_index",
     views("fx_instances")

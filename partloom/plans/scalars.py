@@ -38,7 +38,7 @@ def sql_slug_ascii(text: str) -> str:
 @query(
     "ids",
     views("fx_annotations")
-    + """SELECT annotation_id, printf('object_%06d', image_id) AS object_id, printf('lvis_ann_%08d', annotation_id) AS stable_id
+    + """SELECT annotation_id, printf('object_%06d', image_id) AS object_id, 'lvis_ann_' || ltrim(annotation_id, '0') AS stable_id
 FROM fx_annotations""",
 )
 def ids(spark, d):

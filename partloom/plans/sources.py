@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from partloom.operators import fusion, lifting
+from partloom.functions import names
+from partloom.operators import fusion, instances as ins, lifting
 from partloom.plans import labels, tables as t
+from partloom.plans.curation import IMAGES_ROOT
 from partloom.plans.registry import query
 from partloom.plans.tables import views
 from partloom.session import scratch_path
@@ -13,32 +15,79 @@ from partloom.sources import documents, schemas, writers
 from partloom.streaming import progress
 
 
-@query(
-    "scan_annotations",
-    views("fx_instances")
-    + """SELECT annotation_id, image_id, category_id, category_name, coco_url, x, y, w, h, area FROM fx_instances""",
-)
-def scan_annotations(spark, d):
-    """Annotation documents of a few dozen annotations each, scanned back into three tables and joined."""
-    from partloom.operators.instances import join_instances
+def annotation_documents(spark, d):
+    """Annotation documents of a few dozen annotations each, written from the instances and scanned back.
 
+    Segmentations are polygons, run lengths or absent: the first polygon of an annotation has as many numbers as its
+    `first_polygon_len` says, the others are triangles.
+    """
     joined = t.instances(spark, d)
     # Many documents share a run of images, so that an image with very many annotations makes none of them large.
     run, share = t.div(F.col("image_id"), 1 << 19), F.pmod(F.xxhash64("annotation_id"), F.lit(1 << 14))
-    docs = joined.groupBy(run.alias("run"), share.alias("share")).agg(
+    first = F.transform(F.sequence(F.lit(1), F.greatest("first_polygon_len", F.lit(1))), lambda i: (i * 2).cast("double") / 4)
+    triangle = F.array(*[F.lit(v) for v in (0.0, 0.0, 8.0, 0.0, 0.0, 8.5)])
+    polygons = F.when(F.col("num_polygons") == 0, F.slice(F.array(triangle), 1, 0)).otherwise(
+        F.concat(F.array(first), F.array_repeat(triangle, (F.col("num_polygons") - 1).cast("int")))
+    )
+    runs = F.struct(F.array("num_polygons", "first_polygon_len").alias("counts"), F.array("image_height", "image_width").alias("size"))
+    segmentation = F.when(F.col("segmentation_kind") == "polygons", F.to_variant_object(polygons)).when(
+        F.col("segmentation_kind") == "run_lengths", F.to_variant_object(runs)
+    )
+    docs = joined.withColumn("segmentation", segmentation).groupBy(run.alias("run"), share.alias("share")).agg(
         F.collect_set(
             F.struct(F.col("image_id").alias("id"), "coco_url", F.col("image_width").alias("width"), F.col("image_height").alias("height"))
         ).alias("images"),
         F.collect_set(F.struct(F.col("category_id").alias("id"), F.col("category_name").alias("name"))).alias("categories"),
         F.collect_list(
-            F.struct(F.col("annotation_id").alias("id"), "image_id", "category_id", F.array("x", "y", "w", "h").alias("bbox"), "area")
+            F.struct(F.col("annotation_id").alias("id"), "image_id", "category_id", F.array("x", "y", "w", "h").alias("bbox"), "area", "segmentation")
         ).alias("annotations"),
     )
     path = scratch_path(spark, "annotations")
     writers.write_json_documents(docs.drop("run", "share"), path)
-    read = documents.scan_annotations(spark, path, one_document=False)
-    return join_instances(read.annotations, read.categories, read.images).select(
-        "annotation_id", "image_id", "category_id", "category_name", "coco_url", "x", "y", "w", "h", "area"
+    return documents.scan_annotations(spark, path, one_document=False, identifier="string")
+
+
+@query(
+    "scan_annotations",
+    views("fx_instances")
+    + """SELECT annotation_id, image_id, category_id, category_name, coco_url, x, y, w, h, area, segmentation_kind,
+  CASE WHEN segmentation_kind = 'polygons' THEN num_polygons ELSE 0 END AS num_polygons,
+  CASE WHEN segmentation_kind = 'run_lengths' THEN num_polygons + first_polygon_len END AS run_total,
+  CASE WHEN segmentation_kind = 'polygons' AND num_polygons > 0
+    THEN CAST(first_polygon_len * (first_polygon_len + 1) / 4 + 16.5 * (num_polygons - 1) AS DOUBLE)
+    WHEN segmentation_kind = 'polygons' THEN 0.0::DOUBLE END AS coordinate_sum FROM fx_instances""",
+)
+def scan_annotations(spark, d):
+    """Annotation documents scanned into three tables and joined, with what their segmentations hold."""
+    read = annotation_documents(spark, d)
+    zero = F.lit(0.0)
+    coordinates = F.aggregate(F.flatten("segmentation.polygons"), zero, lambda a, v: a + v)
+    runs = F.aggregate("segmentation.counts", F.lit(0).cast("bigint"), lambda a, v: a + v)
+    return ins.join_instances(read.annotations, read.categories, read.images).select(
+        "annotation_id", "image_id", "category_id", "category_name", "coco_url", "x", "y", "w", "h", "area",
+        F.col("segmentation.kind").alias("segmentation_kind"), "segmentation.num_polygons", runs.alias("run_total"), coordinates.alias("coordinate_sum"),
+    )
+
+
+@query(
+    "source_meta",
+    views("fx_instances")
+    + """SELECT annotation_id, object_id, 'lvis_val' AS split_name,
+  'data/images/' || CASE WHEN coco_url = '' THEN printf('%012d.jpg', image_id) ELSE image_id || '.jpg' END AS original_image_path,
+  CASE WHEN segmentation_kind = 'polygons' THEN num_polygons ELSE 0 END AS num_polygons,
+  CASE WHEN segmentation_kind = 'polygons' AND num_polygons > 0 THEN first_polygon_len // 2 ELSE 0 END AS first_polygon_points,
+  image_width AS width, x + w AS right_edge FROM fx_instances""",
+)
+def source_meta(spark, d):
+    """Source records from scanned documents, their polygons counted where they are polygons."""
+    read = annotation_documents(spark, d)
+    located = ins.stable_object_ids(ins.join_instances(read.annotations, read.categories, read.images)).withColumn(
+        "image_path", names.image_path(F.col("coco_url"), F.col("image_id"), IMAGES_ROOT)
+    )
+    return ins.source_meta(located, "lvis_val").select(
+        "annotation_id", "object_id", "split_name", "original_image_path", "segmentation_summary.num_polygons",
+        "segmentation_summary.first_polygon_points", "image_size.width",
+        (F.get("bbox_xywh", F.lit(0)) + F.get("bbox_xywh", F.lit(2))).alias("right_edge"),
     )
 
 
@@ -50,11 +99,11 @@ def scan_annotations(spark, d):
 def scan_manifest(spark, d):
     """Manifests of up to 50 rows each, written as documents and scanned back."""
     rows = t.manifest(spark, d)
-    names = ["sample_id", "object_id", "category_name", "part_name", "target_index", "object_split", "instruction_split", "category_split"]
-    packs = rows.groupBy("pack").agg(F.collect_list(F.struct(*names)).alias("rows"))
+    fields = ["sample_id", "object_id", "category_name", "part_name", "target_index", "object_split", "instruction_split", "category_split"]
+    packs = rows.groupBy("pack").agg(F.collect_list(F.struct(*fields)).alias("rows"))
     path = scratch_path(spark, "manifest")
     writers.write_json_documents(packs.select("rows"), path)
-    return documents.scan_manifest(spark, path, one_document=False).select(*names)
+    return documents.scan_manifest(spark, path, one_document=False).select(*fields)
 
 
 @query(

@@ -15,8 +15,9 @@ from partloom.functions.numeric import clamp
 SQL: dict[str, str] = {}
 
 FRAME_WIDTH, FRAME_HEIGHT = 640, 480
-# Annotation ids follow (order, line, part, supplier); they are unique up to 2^20 parts and 2^16 suppliers.
-ANNOTATIONS_PER_ORDER = 8 * (1 << 20) * (1 << 16)
+# Annotation ids are the digits of (order, line, part, supplier), each padded to the width of its type: as text they
+# sort like the four numbers, at any size of these.
+ID_WIDTHS = {"l_orderkey": 19, "l_linenumber": 2, "l_partkey": 19, "l_suppkey": 19}
 
 
 def views(*wanted: str) -> str:
@@ -77,23 +78,24 @@ def div(value: Column, by: int) -> Column:
 # --- annotations and instances -------------------------------------------------------------------
 
 SQL["fx_annotations"] = """
-SELECT ((l_orderkey * 8 + l_linenumber) * 1048576 + l_partkey) * 65536 + l_suppkey AS annotation_id,
-  l_orderkey AS image_id, l_partkey AS category_id,
+SELECT lpad(l_orderkey::VARCHAR, 19, '0') || lpad(l_linenumber::VARCHAR, 2, '0') || lpad(l_partkey::VARCHAR, 19, '0')
+    || lpad(l_suppkey::VARCHAR, 19, '0') AS annotation_id,
+  l_suppkey AS supplier_id, l_orderkey AS image_id, l_partkey AS category_id,
   CAST((l_partkey * 7) % 640 AS DOUBLE) AS x, CAST((l_suppkey * 11) % 480 AS DOUBLE) AS y,
   20 + l_quantity * 4 AS w, CAST(20 + l_linenumber * 20 AS DOUBLE) AS h,
   (20 + l_quantity * 4) * (20 + l_linenumber * 20) AS area,
-  l_linenumber % 4 AS num_polygons, CAST(l_quantity AS BIGINT) AS first_polygon_len
+  CASE WHEN l_suppkey % 5 = 0 THEN 'run_lengths' WHEN l_suppkey % 7 = 0 THEN 'none' ELSE 'polygons' END AS segmentation_kind,
+  CAST(l_linenumber % 4 AS BIGINT) AS num_polygons, CAST(l_quantity AS BIGINT) AS first_polygon_len
 FROM lineitem"""
 
 
 def annotations(spark: SparkSession, d: str) -> DataFrame:
     line = table(spark, d, "lineitem")
     width, height = 20 + F.col("l_quantity") * 4, (20 + F.col("l_linenumber") * 20).cast("double")
-    ident = (
-        ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * (1 << 20) + F.col("l_partkey")) * (1 << 16)
-    ) + F.col("l_suppkey")
+    ident = F.concat(*[F.lpad(F.col(c).cast("string"), width, "0") for c, width in ID_WIDTHS.items()])
     return line.select(
         ident.alias("annotation_id"),
+        F.col("l_suppkey").alias("supplier_id"),
         F.col("l_orderkey").alias("image_id"),
         F.col("l_partkey").alias("category_id"),
         ((F.col("l_partkey") * 7) % FRAME_WIDTH).cast("double").alias("x"),
@@ -101,7 +103,8 @@ def annotations(spark: SparkSession, d: str) -> DataFrame:
         width.alias("w"),
         height.alias("h"),
         (width * height).alias("area"),
-        (F.col("l_linenumber") % 4).alias("num_polygons"),
+        F.when(F.col("l_suppkey") % 5 == 0, "run_lengths").when(F.col("l_suppkey") % 7 == 0, "none").otherwise("polygons").alias("segmentation_kind"),
+        (F.col("l_linenumber") % 4).cast("bigint").alias("num_polygons"),
         F.col("l_quantity").cast("bigint").alias("first_polygon_len"),
     )
 
@@ -125,7 +128,7 @@ def images(spark: SparkSession, d: str) -> DataFrame:
 SQL["fx_instances"] = """
 SELECT a.*, p_name AS category_name, CAST(640 AS BIGINT) AS image_width, CAST(480 AS BIGINT) AS image_height,
   CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'http://images.example.com/val/' || o_orderkey || '.jpg/' END AS coco_url,
-  printf('lvis_ann_%08d', annotation_id) AS object_id
+  'lvis_ann_' || ltrim(annotation_id, '0') AS object_id
 FROM fx_annotations a JOIN part ON p_partkey = category_id JOIN orders ON o_orderkey = image_id"""
 
 
@@ -137,21 +140,21 @@ def instances(spark: SparkSession, d: str) -> DataFrame:
 
 def annotation_chunk() -> Column:
     """Order-preserving chunk of annotations: 1,024 images each."""
-    return div(F.col("annotation_id"), ANNOTATIONS_PER_ORDER * 1024)
+    return div(F.col("image_id"), 1024)
 
 
 SQL["fx_outcomes"] = """
 SELECT annotation_id, image_id, object_id, category_name,
   CASE WHEN image_id % 13 = 0 THEN 'missing_image'
        WHEN area < 4096 THEN 'geometry_reject'
-       WHEN (category_id * 31 + annotation_id % 65536) % 4 = 0 THEN 'pass'
+       WHEN (category_id * 31 + supplier_id) % 4 = 0 THEN 'pass'
        ELSE 'model_reject' END AS outcome
 FROM fx_instances"""
 
 
 def outcomes(spark: SparkSession, d: str) -> DataFrame:
     """What trying each instance would give: image missing, geometry or model reject, or a pass."""
-    pick = (F.col("category_id") * 31 + F.col("annotation_id") % 65536) % 4
+    pick = (F.col("category_id") * 31 + F.col("supplier_id")) % 4
     outcome = (
         F.when(F.col("image_id") % 13 == 0, "missing_image")
         .when(F.col("area") < 4096, "geometry_reject")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from partloom.session import scratch_path
 from partloom.sources import schemas
 
 
@@ -16,27 +18,72 @@ class Annotations:
     images: DataFrame
 
 
-def scan_annotations(spark: SparkSession, path: str, *, one_document: bool = True) -> Annotations:
+def typed_segmentation(value: Column) -> Column:
+    """A segmentation of either kind (VARIANT) as one struct: `polygons`, `run_lengths` or `none` by its `kind`.
+
+    Run lengths are a list of counts or an encoded text. Polygons that are no lists of numbers read as null, and what
+    is neither a list nor a record is `none`.
+    """
+
+    def at(path: str, kind: str) -> Column:
+        return F.try_variant_get(value, path, kind)
+
+    parts, record, counts = at("$", "array<variant>"), at("$", "map<string,variant>"), at("$.counts", "array<bigint>")
+    first = F.try_variant_get(F.get(parts, F.lit(0)), "$", "array<variant>")
+    kind = F.when(parts.isNotNull(), "polygons").when(record.isNotNull(), "run_lengths").otherwise("none")
+    return F.struct(
+        kind.alias("kind"),
+        F.when(parts.isNotNull(), F.size(parts)).otherwise(0).cast("bigint").alias("num_polygons"),
+        at("$", "array<array<double>>").alias("polygons"),
+        F.when(first.isNotNull(), F.size(first)).otherwise(0).cast("bigint").alias("first_polygon_len"),
+        counts.alias("counts"),
+        F.when(counts.isNull(), at("$.counts", "string")).alias("encoded_counts"),
+        at("$.size", "array<bigint>").alias("size"),
+    ).cast(schemas.SEGMENTATION)
+
+
+def scan_annotations(spark: SparkSession, path: str, *, one_document: bool = True, identifier: str = "bigint") -> Annotations:
     """Three tables of an annotation document; missing arrays read as empty.
 
-    A single document cannot be split, so its scan is one task: save the three tables as Parquet and go on
-    from there. Data of any size comes as many documents, one per line (`one_document=False`), in which an
-    image or a category may be repeated.
+    The documents are read once, into one table of tagged records that is stored by kind; the three tables are its
+    folders. `identifier` is the type of annotation ids. A single document cannot be split, so its scan is one task.
+    Data of any size comes as many documents, one per line (`one_document=False`), in which an image or a category
+    may be repeated.
     """
-    reader = spark.read.schema(schemas.ANNOTATION_DOCUMENT)
-    docs = reader.option("multiLine", one_document).json(path)
+    read = schemas.annotation(identifier, "variant")
+    document = f"images array<{schemas.IMAGE}>, categories array<{schemas.CATEGORY}>, annotations array<{read}>"
+    docs = spark.read.schema(document).option("multiLine", one_document).json(path)
+    kinds = {"image": schemas.IMAGE, "category": schemas.CATEGORY, "annotation": schemas.annotation(identifier, schemas.SEGMENTATION)}
+
+    def tagged(kind: str, array: str, value: Callable[[Column], Column] = lambda r: r) -> Column:
+        def record(r: Column) -> Column:
+            own = [(value(r) if k == kind else F.lit(None)).cast(t).alias(k) for k, t in kinds.items()]
+            return F.struct(F.lit(kind).alias("kind"), *own)
+
+        return F.transform(F.coalesce(array, F.array()), record)
+
+    def typed(r: Column) -> Column:
+        fields = ("id", "image_id", "category_id", "bbox", "area")
+        return F.struct(*[r[f].alias(f) for f in fields], typed_segmentation(r["segmentation"]).alias("segmentation"))
+
+    every = F.concat(tagged("image", "images"), tagged("category", "categories"), tagged("annotation", "annotations", typed))
+    stored = scratch_path(spark, "annotations-tagged")
+    docs.select(F.inline(every)).write.partitionBy("kind").parquet(stored)
+    columns = ", ".join(f"{k} {t}" for k, t in kinds.items())
+    records = spark.read.schema(f"{columns}, kind string").parquet(stored)
 
-    def rows(array: str) -> DataFrame:
-        return docs.select(F.explode(array).alias("_r")).select("_r.*")
+    def rows(kind: str) -> DataFrame:
+        return records.filter(F.col("kind") == kind).select(f"{kind}.*")
 
-    boxed = rows("annotations").select(
+    boxed = rows("annotation").select(
         F.col("id").alias("annotation_id"),
         "image_id",
         "category_id",
         *[F.get("bbox", F.lit(i)).alias(n) for i, n in enumerate(("x", "y", "w", "h"))],
         F.coalesce("area", F.lit(0.0)).alias("area"),
+        "segmentation",
     )
-    return Annotations(boxed, rows("categories").dropDuplicates(["id"]), rows("images").dropDuplicates(["id"]))
+    return Annotations(boxed, rows("category").dropDuplicates(["id"]), rows("image").dropDuplicates(["id"]))
 
 
 def save_annotations(tables: Annotations, root: str) -> None:

@@ -1,10 +1,15 @@
 """Schemas of the input documents. Unknown keys are ignored, missing ones read as null."""
 
-ANNOTATION_DOCUMENT = """
-images array<struct<id:bigint,coco_url:string,width:bigint,height:bigint>>,
-categories array<struct<id:bigint,name:string>>,
-annotations array<struct<id:bigint,image_id:bigint,category_id:bigint,bbox:array<double>,area:double>>
-"""
+IMAGE = "struct<id:bigint,coco_url:string,width:bigint,height:bigint>"
+CATEGORY = "struct<id:bigint,name:string>"
+# A segmentation is a list of polygons, a run-length record, or absent; what it is shows only in each value.
+SEGMENTATION = """struct<kind:string,num_polygons:bigint,polygons:array<array<double>>,first_polygon_len:bigint,
+counts:array<bigint>,encoded_counts:string,size:array<bigint>>"""
+
+
+def annotation(identifier: str, segmentation: str) -> str:
+    return f"struct<id:{identifier},image_id:bigint,category_id:bigint,bbox:array<double>,area:double,segmentation:{segmentation}>"
+
 
 MANIFEST_ROW = """struct<sample_id:bigint,object_id:string,geo_cache_path:string,vlm_cache_path:string,
 vlm_cache_index:bigint,target_index:bigint,category_name:string,part_name:string,instruction:string,

@@ -102,6 +102,75 @@ def test_selection_stops_at_quota_in_a_hot_category(spark):
     assert found == walk(rows, quotas)
 
 
+def walk_on(rows, quotas, state):
+    """A second run row by row: `state` has (picks, attempts, rejects) per category and is updated."""
+    out = []
+    full = {c for c in quotas if len(state[c][0]) >= quotas[c]}
+    tried = {}
+    for category, seq, outcome in sorted(rows, key=lambda r: r[1]):
+        picks, _, rejects = state[category]
+        if category in full or len(picks) >= quotas[category]:
+            continue
+        tried[category] = state[category][1] = tried.get(category, 0) + 1
+        name = f"o{seq}"
+        skipped = name in picks
+        out.append((category, seq, "already_selected" if skipped else outcome, tried[category], len(picks) + 1))
+        if not skipped and outcome == "pass":
+            picks.append(name)
+        elif not skipped:
+            rejects[outcome] = rejects.get(outcome, 0) + 1
+    return sorted(out)
+
+
+def test_selection_goes_on_from_half_filled_categories(spark):
+    kinds = ["pass", "model_reject", "geometry_reject", "missing_image"]
+    rows = [("hot" if i % 5 else f"c{i % 4}", i, kinds[(i * 7) % 4]) for i in range(2000)]
+    names = ["hot", "c0", "c1", "c2", "c3"]
+    first, second = dict(zip(names, (60, 3, 0, 2, 1000))), dict(zip(names, (250, 3, 5, 40, 1000)))
+    df = spark.createDataFrame([(c, i, o, f"o{i}", "x") for c, i, o in rows], "category_name string, seq bigint, outcome string, object_id string, _picks string")
+
+    def categories(quotas):
+        return spark.createDataFrame([(c, True, q) for c, q in quotas.items()], "category_name string, interactive_object boolean, selection_quota bigint")
+
+    state = {c: [[], 0, {}] for c in names}
+    part = [r for r in rows if r[1] % 3 == 0]
+    walk_on(part, first, state)
+    attempts = quo.quota_selection(df.filter("seq % 3 = 0"), categories(first), ["seq"], id_chunk("seq", 50))
+    records = quo.resumable_records(categories(first), attempts)
+    for _ in range(2):  # going on, then once more with nothing left to fill but what lacks passes
+        got = quo.quota_selection(df, categories(second), ["seq"], id_chunk("seq", 50), records)
+        found = sorted((r["category_name"], r["seq"], r["outcome"], r["image_attempt_index"], r["selection_slot_index"]) for r in got.collect())
+        assert got.columns == [*df.columns, "selection_quota", "image_attempt_index", "selection_slot_index"]
+        assert found == walk_on(rows, second, state)
+        records = quo.resumable_records(categories(second), got, records)
+        for r in records.collect():
+            picks, tried, rejects = state[r["category_name"]]
+            assert r["selected_object_ids"] == picks and r["num_selected_objects"] == len(picks) and r["num_image_attempts"] == tried
+            assert (r["num_missing_images"], r["num_geometry_rejects"], r["num_llm_rejects"]) == tuple(rejects.get(k, 0) for k in ("missing_image", "geometry_reject", "model_reject"))
+            assert r["quota_state"] == ("completed" if len(picks) >= second[r["category_name"]] else "text_completed")
+
+
+def test_keys_of_any_size_keep_their_order(spark, tmp_path):
+    """Queries on annotation ids with order keys beyond 2^40, part and supplier keys beyond 2^33."""
+    from partloom.plans import REGISTRY
+    from tests.compare import TABLES, compare, connect
+
+    for name in TABLES:
+        frame = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+        for column in frame.columns:
+            far = {"orderkey": 1 << 40, "partkey": 1 << 33, "suppkey": 1 << 34}.get(column.split("_")[-1])
+            if far:
+                frame = frame.withColumn(column, F.col(column) * 7 + F.lit(far))
+        frame.coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+        (tmp_path / f"{name}.parquet").rename(tmp_path / f"{name}.folder")
+        next((tmp_path / f"{name}.folder").glob("part-*")).rename(tmp_path / f"{name}.parquet")
+    con = connect(str(tmp_path))
+    for name in ("instances", "ids", "dense_ids", "record_limit", "category_groups", "quota_selection", "quota_resume", "approval_gate", "object_index"):
+        assert compare(spark, con, REGISTRY[name], str(tmp_path)) is None, name
+    largest = REGISTRY["ids"].plan(spark, str(tmp_path)).agg(F.max("annotation_id")).first()[0]
+    assert len(largest) == 59 and int(largest[:19]) > 1 << 40
+
+
 def test_quotas_by_largest_remainder(spark):
     rows = [("a", True, 100), ("b", True, 25), ("c", True, 25), ("d", False, 999), ("e", True, 0)]
     df = spark.createDataFrame(rows, "category_name string, interactive_object boolean, num_available_images bigint")

@@ -27,6 +27,27 @@ def test_one_annotation_document(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "saved" / "annotations")).count() == 2
 
 
+def test_segmentations_of_every_kind(spark, tmp_path):
+    values = {
+        1: [[0, 0, 4, 0.5, 4, 4], [1, 1, 2, 2]], 2: {"counts": [3, 4, 5], "size": [2, 6]}, 3: {"counts": "abc", "size": [2, 6]},
+        4: None, 5: [], 6: "text", 7: [1, 2, 3], 8: [[]], 9: {"size": [1, 1]},
+    }
+    rows = [{"id": i, "image_id": 1, "category_id": 2, "segmentation": v} for i, v in values.items()] + [{"id": 10, "image_id": 1, "category_id": 2}]
+    docs = [{"annotations": rows[:4], "images": [{"id": 1}], "categories": [{"id": 2, "name": "c"}]}, {"annotations": rows[4:], "images": [{"id": 1}]}]
+    (tmp_path / "a.json").write_text("\n".join(map(json.dumps, docs)))
+    read = documents.scan_annotations(spark, str(tmp_path / "a.json"), one_document=False)
+    got = {r["annotation_id"]: r["segmentation"] for r in read.annotations.collect()}
+    assert {i: s["kind"] for i, s in got.items()} == {
+        **dict.fromkeys((1, 5, 7, 8), "polygons"), **dict.fromkeys((2, 3, 9), "run_lengths"), **dict.fromkeys((4, 6, 10), "none")
+    }
+    assert got[1]["polygons"] == values[1] and got[2]["counts"] == [3, 4, 5] and got[2]["size"] == [2, 6]
+    assert got[3]["counts"] is None and got[3]["encoded_counts"] == "abc" and got[2]["encoded_counts"] is None
+    assert {i: (s["num_polygons"], s["first_polygon_len"]) for i, s in got.items() if s["kind"] == "polygons"} == {1: (2, 6), 5: (0, 0), 7: (3, 0), 8: (1, 0)}
+    # Documents are scanned once, into a stored table; the three tables only read that.
+    for table in (read.annotations, read.categories, read.images):
+        assert "a.json" not in table._jdf.queryExecution().toString() and table.count() > 0
+
+
 def test_manifest_guards(spark, tmp_path):
     (tmp_path / "good.json").write_text(json.dumps({"rows": [{"sample_id": 1, "object_id": "o", "target_index": 2}], "stage": "x"}, indent=1))
     (tmp_path / "bad.json").write_text(json.dumps({"rows": {"sample_id": 1}}))

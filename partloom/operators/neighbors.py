@@ -1,9 +1,10 @@
 """Exact nearest neighbours inside objects of any size and density.
 
-Points are hashed to nested cubic cells. A point looks first at the finest cell that already holds enough
-points; if the 27 cells around it cannot prove its k nearest, it looks again one level coarser. Crowded
-places are thus searched finely and empty places coarsely, and no object is ever paired with itself whole.
-Points at one place share their neighbours (ties go to the lower index), so a heap of copies is searched
+The places of an object are cut into cells by count: a cell with more than `LEAF` places is parted at the octiles
+of one axis, the axes in turn, until every cell holds few. Cells thus follow the crowd however far the points
+spread. A place looks first among its own cell, which bounds how far its k nearest can be; it then visits only those
+other cells that come nearer than that bound. They are found by going down the tree of cells with one bound per
+cell. Points at one place share their neighbours (ties go to the lower index), so a heap of copies is searched
 once, and only its lowest indices can be neighbours of anything.
 """
 
@@ -11,119 +12,156 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from partloom.functions.numeric import size_bucket
 from partloom.operators.ordered import exact_median
 from partloom.operators.skew import split_join
-from partloom.functions.numeric import size_bucket
-from partloom.session import checkpointed
+from partloom.session import Rounds, broadcast_if_small, checkpointed
 
 PLACE = ["object_id", "x", "y", "z"]
-# A cell of the finest level is 2^-40 of the object: points that lie a million times farther out than the rest
-# still leave the rest 2^20 cells a side.
-FINEST = 40
+CELL = ["object_id", "cell"]
+LEAF = 256  # most places of a cell that is not cut further
+CUTS = 7
+MARGIN = 1 + 1e-9  # a hair for rounding
+BOX = [f"{end}{a}" for a in "xyz" for end in ("lo", "hi")]
 
 
-def _cell(axis: str, level: Column) -> Column:
-    """Cell number at `level`, from the number at the finest level."""
-    return F.floor(F.col(f"_f{axis}") / F.pow(F.lit(2.0), FINEST - level)).cast("bigint")
+def _boxed(places: DataFrame) -> DataFrame:
+    """Number of places and their bounding box per cell."""
+    ends = [f(a).alias(f"{end}{a}") for a in "xyz" for end, f in (("lo", F.min), ("hi", F.max))]
+    return places.groupBy(*CELL).agg(F.count(F.lit(1)).alias("places"), *ends)
 
 
-def _start_levels(places: DataFrame, enough: int) -> DataFrame:
-    """For each finest cell the finest level whose cell holds `enough` places, else 0."""
-    fine = places.groupBy("object_id", "_fx", "_fy", "_fz").agg(F.count(F.lit(1)).alias("_n"))
-    nested = fine.withColumn("_level", F.explode(F.sequence(F.lit(1), F.lit(FINEST)))).withColumns(
-        {f"_c{a}": _cell(a, F.col("_level")) for a in "xyz"}
-    )
-    keys = ["object_id", "_level", "_cx", "_cy", "_cz"]
-    full = nested.groupBy(*keys).agg(F.sum("_n").alias("_held")).filter(F.col("_held") >= enough).drop("_held")
-    found = nested.join(full, keys, "left_semi").groupBy("object_id", "_fx", "_fy", "_fz").agg(F.max("_level").alias("_level"))
-    return (
-        fine.drop("_n")
-        .join(found, ["object_id", "_fx", "_fy", "_fz"], "left")
-        .withColumn("_level", F.coalesce("_level", F.lit(0)))
-    )
+def count_split(places: DataFrame, kind: str, leaf: int = LEAF) -> tuple[DataFrame, Rounds, int]:
+    """Places with their `cell`, the table of all cells by depth (`turn`), and its depth.
 
+    A cell is named by the digits of the way to it; the whole object is the cell with no digits. `places` are
+    distinct (`object_id, x, y, z`, the id of type `kind`), so some axis always parts a crowd. Only crowded cells are
+    read and written again at the next depth.
+    """
+    spark = places.sparkSession
+    columns = f"object_id {kind}, x double, y double, z double, cell string"
+    settled = Rounds(spark, "places", columns)
+    tree = Rounds(spark, "cells", f"object_id {kind}, cell string, places bigint, " + ", ".join(f"{c} double" for c in BOX))
+    active, depth = places.select(*PLACE, F.lit("").alias("cell")), 0
+    while True:
+        nodes = tree.add(_boxed(active), depth)
+        crowded = nodes.filter(F.col("places") > leaf)
+        if crowded.isEmpty():
+            settled.add(active, depth)
+            return settled.read().drop("turn"), tree, depth
+        crowded = broadcast_if_small(crowded.select(*CELL))
+        settled.add(active.join(crowded, CELL, "left_anti"), depth)
+        busy = active.join(crowded, CELL, "left_semi")
+        axis = "xyz"[depth % 3]
+        octiles = F.percentile_approx(axis, F.array(*[F.lit(i / (CUTS + 1)) for i in range(1, CUTS + 1)]), F.lit(1000))
+        # Where one value holds all octiles, the least value of the axis is a cut too.
+        cuts = busy.groupBy(*CELL).agg(F.array_distinct(octiles).alias("_cuts"), F.min(axis).alias("_least"))
+        cuts = cuts.select(*CELL, F.when(F.size("_cuts") > 1, F.col("_cuts")).otherwise(F.array_append("_cuts", F.col("_least"))).alias("_cuts"))
+        digit = F.size(F.filter("_cuts", lambda c: c < F.col(axis))).cast("string")
+        cut = busy.join(broadcast_if_small(cuts), CELL).withColumn("cell", F.concat("cell", digit))
+        depth += 1
+        active = checkpointed(cut.select(*PLACE, "cell"), "places-active")
+
+
+def _nearest(x: Column, y: Column, z: Column, members: Column, wanted: int) -> Column:
+    """The `wanted` nearest of an array of members, as (`distance, neighbor_idx`), ties by index."""
+
+    def hit(m: Column) -> Column:
+        dx, dy, dz = x - m["x"], y - m["y"], z - m["z"]
+        return F.struct(F.sqrt(dx * dx + dy * dy + dz * dz).alias("distance"), m["point_idx"].alias("neighbor_idx"))
+
+    return F.slice(F.array_sort(F.transform(members, hit)), 1, wanted)
+
+
+def _box_distance(axes: dict[str, tuple[Column, Column]], prefix: str = "") -> Column:
+    """Distance from a box (`low, high` per axis; a point if they agree) to the box of a cell."""
+    gaps = []
+    for a, (low, high) in axes.items():
+        gap = F.greatest(F.col(f"{prefix}lo{a}") - high, low - F.col(f"{prefix}hi{a}"), F.lit(0.0))
+        gaps.append(gap * gap)
+    return F.sqrt(gaps[0] + gaps[1] + gaps[2])
+
+
+def _reached(asking: DataFrame, tree: DataFrame, depth: int, leaves: DataFrame) -> DataFrame:
+    """For each asking cell (box and `reach`) the other leaf cells of its object that come within `reach`."""
+    own = {a: (F.col(f"_lo{a}"), F.col(f"_hi{a}")) for a in "xyz"}
+    start = asking.select("object_id", F.col("cell").alias("asker"), "reach", *[F.col(c).alias(f"_{c}") for c in BOX])
+    found, open_pairs = None, start.withColumn("cell", F.lit(""))
+    for d in range(1, depth + 1):
+        below = tree.filter(F.col("turn") == d).select("object_id", F.expr("left(cell, length(cell) - 1)").alias("_above"), "cell", *BOX)
+        pairs = open_pairs.withColumnRenamed("cell", "_above").join(below, ["object_id", "_above"])
+        near = checkpointed(pairs.filter(_box_distance(own) <= F.col("reach") * MARGIN).select(*open_pairs.columns), "reached")
+        hits = near.join(leaves, CELL, "left_semi").filter(F.col("cell") != F.col("asker")).select("object_id", "asker", "cell")
+        found = hits if found is None else found.unionAll(hits)
+        open_pairs = near
+    return found
+
+
+def nearest_neighbors(points: DataFrame, k: int, leaf: int = LEAF) -> DataFrame:
+    """The `k` nearest points of each point's object, as (`object_id, point_idx, rank, neighbor_idx, distance`).
 
-def _search(queries: DataFrame, members: DataFrame, k: int) -> DataFrame:
-    """The `k` nearest members of each query place within the 27 cells around it, and whether they are proven."""
-    levels = queries.select("object_id", "_level").distinct()
-    data = (
-        split_join(members, levels, ["object_id"], ["point_idx"])
-        .withColumns({f"_c{a}": _cell(a, F.col("_level")) for a in "xyz"})
-        .select(
-            "object_id", "_level", "_cx", "_cy", "_cz",
-            F.col("x").alias("_mx"), F.col("y").alias("_my"), F.col("z").alias("_mz"), F.col("point_idx").alias("neighbor_idx"),
-        )
-    )
-    shift = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
-    asked = queries.withColumns({f"_c{a}": _cell(a, F.col("_level")) for a in "xyz"})
+    `k` + 1 points are looked up and the first is dropped as the point itself, even if a copy of it with a
+    lower index stands there. Smaller objects give as many neighbours as they have. Points with a coordinate that is
+    null, NaN or infinite have no neighbours and are none.
+    """
+    wanted, leaf = k + 1, max(leaf, k + 1)
+    kind = points.select("object_id").schema[0].dataType.simpleString()
+    finite = F.lit(True)
     for a in "xyz":
-        asked = asked.withColumn("_s", shift).withColumn(f"_c{a}", F.col(f"_c{a}") + F.col("_s")).drop("_s")
-    dx, dy, dz = F.col("x") - F.col("_mx"), F.col("y") - F.col("_my"), F.col("z") - F.col("_mz")
-    paired = asked.join(data, ["object_id", "_level", "_cx", "_cy", "_cz"]).withColumn(
-        "distance", F.sqrt(dx * dx + dy * dy + dz * dz)
-    )
-    # A literal bound on the rank lets every map task drop all but its own k best before the shuffle.
-    place = Window.partitionBy(*PLACE)
-    ranked = (
-        paired.drop("_cx", "_cy", "_cz", "_mx", "_my", "_mz")
-        .withColumn("rank", F.row_number().over(place.orderBy("distance", "neighbor_idx")))
-        .filter(F.col("rank") <= k)
+        finite = finite & (F.abs(a) < float("inf"))
+    base = points.select("object_id", *[F.col(a).cast("double").alias(a) for a in "xyz"], "point_idx").filter(finite)
+    first = Window.partitionBy(*PLACE).orderBy("point_idx")
+    members = checkpointed(base.withColumn("_copy", F.row_number().over(first)).filter(F.col("_copy") <= wanted), "members")
+    placed, tree, depth = count_split(members.filter(F.col("_copy") == 1).select(*PLACE), kind, leaf)
+    if depth:
+        members = members.join(placed, PLACE)
+    else:
+        members = members.withColumn("cell", F.lit(""))
+    # A cell holds at most `leaf` places, each with at most `k` + 1 copies.
+    member = F.struct("x", "y", "z", "point_idx")
+    cells = members.groupBy(*CELL).agg(F.collect_list(member).alias("_members"), F.collect_list(F.when(F.col("_copy") == 1, member)).alias("_places"))
+    if depth:
+        cells = checkpointed(cells, "cell-members")
+    asked = cells.select(*CELL, "_members", F.explode("_places").alias("_p")).select(
+        *CELL, "_p.x", "_p.y", "_p.z", _nearest(F.col("_p.x"), F.col("_p.y"), F.col("_p.z"), F.col("_members"), wanted).alias("_hits")
     )
-    # Everything within one cell size has been seen; a hair is taken off for rounding.
-    enough = F.count(F.lit(1)).over(place) >= F.col("_need")
-    near = F.max("distance").over(place) <= F.col("_cellsize") * (1 - 1e-9)
-    return ranked.withColumn("_proven", (F.col("_level") == 0) | (enough & near))
+    if depth:
+        asked = _with_other_cells(checkpointed(asked, "own-cell"), cells, tree.read(), depth, wanted, leaf)
+    done = asked.select(*PLACE, F.posexplode("_hits").alias("rank", "_h")).filter(F.col("rank") > 0)
+    done = done.select(*PLACE, "rank", "_h.neighbor_idx", "_h.distance")
+    return split_join(base, done, PLACE, ["point_idx"]).select("object_id", "point_idx", "rank", "neighbor_idx", "distance")
 
 
-def nearest_neighbors(points: DataFrame, k: int) -> DataFrame:
-    """The `k` nearest points of each point's object, as (`object_id, point_idx, rank, neighbor_idx, distance`).
+def _with_other_cells(asked: DataFrame, cells: DataFrame, tree: DataFrame, depth: int, wanted: int, leaf: int) -> DataFrame:
+    """Hits of places in their own cells, merged with those in the other cells that are near enough to matter.
 
-    `k` + 1 points are looked up and the first is dropped as the point itself, even if a copy of it with a
-    lower index stands there. Smaller objects give as many neighbours as they have.
+    A cell with fewer members than wanted tells no bound; the nearest cell above it that holds enough places does:
+    all of these lie within its farthest corner.
     """
-    wanted = k + 1
-    base = points.select(*PLACE, "point_idx")
-    box = base.groupBy("object_id").agg(
-        *[F.min(a).alias(f"_lo{a}") for a in "xyz"],
-        F.greatest(*[F.max(a) - F.min(a) for a in "xyz"]).alias("_extent"),
-    )
-    side = F.when(F.col("_extent") > 0, F.col("_extent")).otherwise(F.lit(1.0))
-    located = split_join(base, box, ["object_id"], ["point_idx"]).withColumns(
-        {
-            f"_f{a}": F.least(
-                F.floor((F.col(a) - F.col(f"_lo{a}")) / side * (1 << FINEST)), F.lit((1 << FINEST) - 1)
-            ).cast("bigint")
-            for a in "xyz"
-        }
-    ).withColumn("_side", side).drop("_lox", "_loy", "_loz", "_extent")
-    first = Window.partitionBy(*PLACE).orderBy("point_idx")
-    members = checkpointed(
-        located.withColumn("_copy", F.row_number().over(first)).filter(F.col("_copy") <= wanted)
-    )
-    places = members.filter(F.col("_copy") == 1).drop("_copy", "point_idx")
-    queries = places.join(_start_levels(places, wanted), ["object_id", "_fx", "_fy", "_fz"]).withColumn(
-        "_cellsize", F.col("_side") / F.pow(F.lit(2.0), F.col("_level"))
-    )
-    sizes = members.groupBy("object_id").agg(F.count(F.lit(1)).alias("_members"))
-    open_queries = split_join(queries, sizes, ["object_id"], ["x", "y", "z"]).withColumn("_need", F.least("_members", F.lit(wanted))).drop("_members")
-
-    done: DataFrame | None = None
-    for _ in range(FINEST + 1):
-        hits = checkpointed(_search(open_queries, members, wanted), "neighbors")
-        settled = hits.filter("_proven").select(*PLACE, "rank", "neighbor_idx", "distance")
-        done = settled if done is None else done.unionByName(settled)
-        # A place always finds itself, so its first hit stands for it in the next round.
-        open_queries = (
-            hits.filter(~F.col("_proven") & (F.col("rank") == 1))
-            .drop("rank", "neighbor_idx", "distance", "_proven")
-            .withColumns({"_level": F.col("_level") - 1, "_cellsize": F.col("_cellsize") * 2})
-        )
-        if open_queries.isEmpty():
-            break
-    return (
-        split_join(base, done.filter(F.col("rank") > 1), PLACE, ["point_idx"])
-        .select("object_id", "point_idx", (F.col("rank") - 1).alias("rank"), "neighbor_idx", "distance")
-    )
+    leaves = tree.filter(F.col("places") <= leaf).select(*CELL, *BOX)
+    full = tree.filter((F.col("places") >= wanted) | (F.col("cell") == ""))
+    above = leaves.select(*CELL, F.explode(F.sequence(F.lit(0), F.length("cell"))).alias("_n"))
+    above = above.select(*CELL, F.expr("left(cell, _n)").alias("_up"))
+    named = full.select("object_id", F.col("cell").alias("_up"), F.struct(F.length("cell").alias("_n"), *BOX).alias("_box"))
+    cover = above.join(named, ["object_id", "_up"]).groupBy(*CELL).agg(F.max("_box").alias("_box")).select(*CELL, *[F.col(f"_box.{c}").alias(c) for c in BOX])
+    corner = F.lit(0.0)
+    for a in "xyz":
+        far = F.greatest(F.abs(F.col(a) - F.col(f"lo{a}")), F.abs(F.col(a) - F.col(f"hi{a}")))
+        corner = corner + far * far
+    known = F.when(F.size("_hits") >= wanted, F.element_at("_hits", -1)["distance"])
+    bounded = asked.join(cover, CELL).withColumn("_bound", F.least(known, F.sqrt(corner) * MARGIN)).drop(*BOX)
+    bounded = checkpointed(bounded, "bounds")
+    reach = bounded.groupBy(*CELL).agg(F.max("_bound").alias("reach")).join(leaves, CELL)
+    pairs = _reached(reach, tree, depth, leaves.select(*CELL))
+    visits = bounded.withColumnRenamed("cell", "asker").join(pairs, ["object_id", "asker"]).join(leaves, CELL)
+    near = _box_distance({a: (F.col(a), F.col(a)) for a in "xyz"}) <= F.col("_bound") * MARGIN
+    visits = visits.filter(near).select(*PLACE, "cell", "_bound").join(cells.select(*CELL, "_members"), CELL)
+    found = _nearest(F.col("x"), F.col("y"), F.col("z"), F.col("_members"), wanted)
+    within = F.filter(found, lambda h: h["distance"] <= F.col("_bound") * MARGIN)
+    more = visits.select(*PLACE, within.alias("_hits"))
+    every = bounded.select(*PLACE, "_hits").unionAll(more)
+    merged = F.slice(F.array_sort(F.flatten(F.collect_list("_hits"))), 1, wanted)
+    return every.groupBy(*PLACE).agg(merged.alias("_hits"))
 
 
 def local_spacing(neighbors: DataFrame) -> DataFrame:

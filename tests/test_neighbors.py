@@ -32,12 +32,12 @@ def clouds():
     return rows
 
 
-@pytest.mark.parametrize("k", [1, 8])
-def test_neighbors_match_all_pairs(spark, k):
+@pytest.mark.parametrize("k, leaf", [(1, 256), (8, 256), (1, 2), (8, 10), (4, 30)])
+def test_neighbors_match_all_pairs(spark, k, leaf):
     rows = clouds()
     df = spark.createDataFrame(rows, "object_id bigint, point_idx bigint, x double, y double, z double")
     found = {}
-    for r in neighbors.nearest_neighbors(df, k).collect():
+    for r in neighbors.nearest_neighbors(df, k, leaf).collect():
         found.setdefault((r["object_id"], r["point_idx"]), {})[r["rank"]] = (r["distance"], r["neighbor_idx"])
     want = brute(rows, k)
     for key, expected in want.items():
@@ -58,18 +58,45 @@ def test_spacing_skips_heaps_of_copies(spark):
         assert np.isclose(spacing, np.median([v[0][0] for (o, _), v in want.items() if o == obj]))
 
 
-def test_one_far_point_does_not_coarsen_the_rest(spark):
-    """The cells follow the crowd: with a point a million extents away few more pairs are looked at."""
+def test_cells_are_bounded_by_count(spark):
+    """However the points spread: far points, a dense cluster, a grid full of ties, points that share an axis."""
     rng = np.random.default_rng(1)
-    cloud = [(1, i, *map(float, p)) for i, p in enumerate(rng.uniform(0, 1, (1500, 3)))]
-    rows = [*cloud, (1, 1500, 1e6, 1e6, 1e6)]
+    clouds = {
+        1: np.concatenate([rng.uniform(0, 1, (700, 3)), [[1e30, 1e30, 1e30], [-1e300, 0, 0]]]),
+        2: np.concatenate([rng.normal(0, 1e-12, (500, 3)), rng.uniform(-1, 1, (100, 3))]),
+        3: np.stack(np.meshgrid(*[np.arange(9.0)] * 3), axis=-1).reshape(-1, 3),
+        4: np.stack([np.zeros(300), np.where(np.arange(300) < 299, 1.0, 0.0), np.arange(300.0)], axis=1),
+        5: rng.uniform(0, 1, (5, 3)),
+    }
+    rows = [(o, *map(float, p)) for o, xyz in clouds.items() for p in np.unique(xyz, axis=0)]
+    placed, tree, depth = neighbors.count_split(spark.createDataFrame(rows, "object_id bigint, x double, y double, z double"), "bigint", 20)
+    sizes = {(r["object_id"], r["cell"]): r["count"] for r in placed.groupBy("object_id", "cell").count().collect()}
+    assert max(sizes.values()) <= 20 and sum(sizes.values()) == len(rows) and depth <= 8
+    cells = {(r["object_id"], r["cell"]): r for r in tree.read().collect()}
+    for (obj, cell), r in cells.items():
+        inside = [n for (o, c), n in sizes.items() if o == obj and c.startswith(cell)]
+        assert r["places"] == sum(inside)
+
+
+@pytest.mark.parametrize("shape", ["far", "grid", "cluster"])
+def test_neighbors_in_trees_of_cells(spark, shape):
+    rng = np.random.default_rng(2)
+    xyz = {
+        "far": np.concatenate([rng.uniform(0, 1, (600, 3)), [[1e6, 1e6, 1e6], [1e18, 0, 0]]]),
+        "grid": np.stack(np.meshgrid(*[np.arange(8.0)] * 3), axis=-1).reshape(-1, 3),
+        "cluster": np.concatenate([rng.normal(0, 1e-9, (400, 3)), rng.uniform(-1, 1, (150, 3)), np.full((60, 3), 0.5)]),
+    }[shape]
+    rows = [(1, i, *map(float, p)) for i, p in enumerate(xyz)]
     schema = "object_id bigint, point_idx bigint, x double, y double, z double"
     got = {}
-    for r in neighbors.nearest_neighbors(spark.createDataFrame(rows, schema), 4).collect():
+    for r in neighbors.nearest_neighbors(spark.createDataFrame(rows, schema), 4, 16).collect():
         got.setdefault(r["point_idx"], {})[r["rank"]] = r["neighbor_idx"]
     want = brute(rows, 4)
-    assert all([got[i][k + 1] for k in range(4)] == [n for _, n in want[(1, i)]] for i in range(1501))
-    xyz = np.array([r[2:] for r in rows])
-    lo, side = xyz.min(axis=0), (xyz.max(axis=0) - xyz.min(axis=0)).max()
-    finest = np.floor((xyz[:-1] - lo) / side * 2.0**neighbors.FINEST)
-    assert len(np.unique(finest, axis=0)) == 1500
+    assert all([got[i][k + 1] for k in range(4)] == [n for _, n in want[(1, i)]] for i in range(len(rows)))
+
+
+def test_points_without_a_place_have_no_neighbors(spark):
+    rows = [(1, 0, 0.0, 0.0, 0.0), (1, 1, 1.0, 0.0, 0.0), (1, 2, float("nan"), 0.0, 0.0), (1, 3, None, 0.0, 0.0), (1, 4, float("inf"), 0.0, 0.0)]
+    got = neighbors.nearest_neighbors(spark.createDataFrame(rows, "object_id bigint, point_idx bigint, x double, y double, z double"), 3).collect()
+    assert {(r["point_idx"], r["neighbor_idx"], r["distance"]) for r in got} == {(0, 1, 1.0), (1, 0, 1.0)}
+    assert neighbors.nearest_neighbors(spark.createDataFrame([], "object_id bigint, point_idx bigint, x double, y double, z double"), 3).count() == 0

@@ -8,7 +8,7 @@ from partloom.config import FusionConfig
 from partloom.operators.lifting import add_pointless_objects, ambiguity, best_part
 from partloom.operators.neighbors import local_spacing, nearest_neighbors, within_radius
 from partloom.operators.skew import hot_keys, split_join
-from partloom.session import Rounds, checkpointed
+from partloom.session import Flagged, checkpointed
 
 PART = ["object_id", "part_idx"]
 
@@ -80,35 +80,14 @@ def duplicate_pairs(counts: DataFrame, overlap: DataFrame, cfg: FusionConfig) ->
 def prune_duplicates(scores: DataFrame, cfg: FusionConfig = FusionConfig()) -> DataFrame:
     """Decision per part: `kept`, and for a dropped part the first kept part that drops it.
 
-    Greedy rule: parts in the order (points, name, index); a part goes if an earlier KEPT part duplicates
-    it. Each round settles all parts whose earlier duplicates are settled, so the number of rounds is the
-    longest chain of duplicates, not the number of parts.
+    Greedy rule: parts in the order (points, name, index); a part goes if an earlier KEPT part duplicates it.
     """
     counts = part_counts(scores)
     if not cfg.duplicate_part_prune_enabled:
         return counts.select(*counts.columns, F.lit(True).alias("kept"), F.lit(None).cast("bigint").alias("base_idx"))
     counts = checkpointed(counts)
     pairs = checkpointed(duplicate_pairs(counts, part_overlap(scores), cfg))
-    parts = counts.select(*PART)
-    kinds = {f.name: f.dataType.simpleString() for f in counts.schema.fields}
-    fates_log = Rounds(scores.sparkSession, "fates", f"object_id {kinds['object_id']}, part_idx {kinds['part_idx']}, kept boolean")
-    fates_log.add(parts.join(pairs, PART, "left_anti").withColumn("kept", F.lit(True)), 0)
-    waiting = checkpointed(parts.join(pairs, PART, "left_semi"))
-    turn = 0
-    while True:
-        # What is settled is one stored table, and what is open is what it doesn't hold: plans stay as they are.
-        settled = fates_log.read().drop("turn")
-        open_parts = waiting.join(settled, PART, "left_anti")
-        fates = pairs.join(settled.withColumnRenamed("part_idx", "base_idx"), ["object_id", "base_idx"], "left")
-        judged = (
-            open_parts.join(fates, PART)
-            .groupBy(*PART)
-            .agg(F.bool_or(F.coalesce("kept", F.lit(False))).alias("_dropped"), F.bool_or(F.col("kept").isNull()).alias("_waits"))
-        )
-        turn += 1
-        now = fates_log.add(judged.filter(F.col("_dropped") | ~F.col("_waits")).select(*PART, (~F.col("_dropped")).alias("kept")), turn)
-        if now.isEmpty():
-            break
+    settled = settle_rivals(counts.select(*PART), pairs.select(*PART, "base_idx"))
     blame = (
         pairs.join(
             settled.filter("kept").select("object_id", F.col("part_idx").alias("base_idx")), ["object_id", "base_idx"], "left_semi"
@@ -120,6 +99,37 @@ def prune_duplicates(scores: DataFrame, cfg: FusionConfig = FusionConfig()) -> D
     return counts.join(settled, PART).join(blame, PART, "left")
 
 
+def settle_rivals(parts: DataFrame, rivals: DataFrame) -> DataFrame:
+    """`kept` per part, where a part is kept if none of its rivals (`base_idx`, all earlier in some order) is kept.
+
+    A part waits for literals: rivals, each plain or negated, none of which may hold. A part that waits for one literal
+    only is as much as that literal's negation, so who waits for such a part can wait for the other instead. Every
+    round replaces settled and such rivals at once, which doubles the reach of a chain: its rounds follow the
+    logarithm of its length. What is settled in a round is stored with what is still open.
+    """
+    start = rivals.distinct().groupBy(*PART).agg(F.collect_set(F.struct("base_idx", F.lit(False).alias("negated"))).alias("waits"))
+    first = parts.join(start, PART, "left").select(*PART, F.col("waits").isNull().alias("_free"), "waits")
+    state = Flagged(first.select(*PART, F.when(F.col("_free"), F.lit(True)).alias("kept"), "waits", (~F.col("_free")).alias("open")), "open", "rivals")
+    done = state.read().filter("kept is not null").select(*PART, "kept")
+    while state.any():
+        waiting = state.flagged().filter(F.size("waits") == 1).select(*PART, "kept", F.get("waits", F.lit(0)).alias("_for"))
+        known = done.withColumn("_for", F.lit(None).cast(waiting.schema["_for"].dataType)).unionAll(waiting).withColumnRenamed("part_idx", "base_idx")
+        each = state.flagged().select(*PART, F.explode("waits").alias("_w")).select(*PART, "_w.base_idx", "_w.negated")
+        met = each.join(known, ["object_id", "base_idx"], "left")
+        # A plain rival that holds drops the part; one that doesn't is no longer waited for.
+        holds = F.col("kept") != F.col("negated")
+        instead = F.struct(F.col("_for.base_idx").alias("base_idx"), (F.col("_for.negated") == F.col("negated")).alias("negated"))
+        same = F.struct("base_idx", "negated")
+        left = F.when(F.col("kept").isNull(), F.when(F.col("_for").isNotNull(), instead).otherwise(same))
+        judged = met.groupBy(*PART).agg(F.coalesce(F.bool_or(holds), F.lit(False)).alias("_hit"), F.collect_set(left).alias("waits"))
+        # A literal and its negation: one of them holds.
+        either = F.size(F.array_distinct(F.transform("waits", lambda w: w["base_idx"]))) < F.size("waits")
+        kept = F.when(F.col("_hit") | either, F.lit(False)).when(F.size("waits") == 0, F.lit(True))
+        state = Flagged(judged.select(*PART, kept.alias("kept"), "waits", kept.isNull().alias("open")), "open", "rivals")
+        done = done.unionAll(state.read().filter("kept is not null").select(*PART, "kept"))
+    return done
+
+
 def keep_parts(scores: DataFrame, decisions: DataFrame) -> DataFrame:
     return scores.join(decisions.filter("kept").select(*PART), PART, "left_semi")
 
@@ -137,75 +147,77 @@ def initial_unknown(scores: DataFrame, threshold: float = 0.3) -> DataFrame:
 def fill_holes(scores: DataFrame, points: DataFrame, cfg: FusionConfig = FusionConfig()) -> DataFrame:
     """Scores given to unknown points by their neighbours, as (`object_id, part_idx, point_idx, fill_score, round`).
 
-    Seeds are points with a score above 0. A round fills every candidate with enough support, all at once
-    on the state before the round. Only the points filled last are sent to their neighbours and only what
-    they reach is judged again, so a round costs what it adds. `scores` is read several times: pass a
-    stored table.
+    Seeds are points with a score above 0. A round fills every candidate with enough support, all at once on the state
+    before the round. The state holds one row per cell that anything was sent to: its support and sums so far, and
+    the round that filled it. A round sends only the cells filled last to their neighbours, adds what arrives to the
+    state and judges it, in one aggregation. `scores` is read twice: pass a stored table.
     """
     keys = [*PART, "point_idx"]
-    empty = "object_id bigint, part_idx bigint, point_idx bigint, fill_score double, round int"
-    spark = scores.sparkSession
     if not cfg.hole_fill_enabled:
-        return spark.createDataFrame([], empty)
-    # The looked-up lists stay on the shared folder, so the rounds never search again.
-    neighbors = checkpointed(nearest_neighbors(points, cfg.hole_fill_knn_k))
-    near = checkpointed(
-        within_radius(neighbors, local_spacing(neighbors), cfg.hole_fill_max_distance_factor).select(
-            "object_id", "point_idx", "neighbor_idx"
-        )
-    )
-    need = F.greatest(
-        F.lit(cfg.hole_fill_min_support_neighbors), F.ceil(F.col("_total") * cfg.hole_fill_min_support_ratio)
-    )
-    totals = (
-        near.groupBy("object_id", "point_idx")
-        .agg(F.count(F.lit(1)).alias("_total"))
-        .filter(F.col("_total") >= cfg.hole_fill_min_support_neighbors)
-        .select("object_id", "point_idx", need.alias("_need"))
-    )
-    unknown = initial_unknown(scores, cfg.score_threshold)
-    seeds = scores.filter(is_positive()).select(*keys, F.col("score").alias("_s"))
-    # Every candidate that can ever fill: unknown, not a seed of the part, with a support bound.
-    candidates = checkpointed(
-        scores.join(unknown, ["object_id", "point_idx"], "left_semi")
-        .filter(~is_positive())
-        .join(totals, ["object_id", "point_idx"])
-        .select(*keys, "_need")
-    )
-
+        return scores.sparkSession.createDataFrame([], "object_id bigint, part_idx bigint, point_idx bigint, fill_score double, round int")
+    near = _open_neighbors(scores, points, cfg)
     # The lowest points of a heap of copies are neighbours of the whole heap.
     hubs = ["object_id", "neighbor_idx"]
     busy = checkpointed(hot_keys(near, hubs))
+    busy = None if busy.isEmpty() else busy
+    zero, nothing = F.lit(0).cast("bigint"), F.lit(None)
 
-    def sent(sources: DataFrame) -> DataFrame:
-        """Support and score sums that `sources` send to the candidates that have them as neighbours."""
+    def sent(sources: DataFrame, seeds: bool) -> DataFrame:
+        """What `sources` send to the open cells that have them as neighbours."""
         given = sources.select("object_id", "part_idx", F.col("point_idx").alias("neighbor_idx"), "_s")
-        reached = split_join(near, given, hubs, ["point_idx"], hot=busy)
-        summed = reached.groupBy(*keys).agg(F.count(F.lit(1)).alias("_support"), F.sum("_s").alias("_sum"))
-        return summed.join(candidates, keys, "left_semi")
-
-    names = "object_id bigint, part_idx bigint, point_idx bigint"
-    log = Rounds(spark, "support", f"{names}, _support bigint, _sum double")
-    fills = Rounds(spark, "fills", f"{names}, fill_score double")
-    news = log.add(sent(seeds), 0)
+        reached = split_join(near, given, hubs, ["point_idx"], hot=busy).filter(F.array_contains("_parts", F.col("part_idx")))
+        one = F.lit(1).cast("bigint")
+        return reached.select(
+            *keys, "_need", one.alias("_support"), F.col("_s").alias("_sum"),
+            (one if seeds else zero).alias("_seeds"), (F.col("_s") if seeds else F.lit(0.0)).alias("_seed_sum"),
+            nothing.cast("int").alias("round"), nothing.cast("double").alias("fill_score"),
+        )
+
+    arrivals = sent(scores.filter(is_positive()).select(*keys, F.col("score").alias("_s")), True)
+    state = None
     for turn in range(1, max(cfg.hole_fill_max_iterations, 1) + 1):
-        # Only cells that were sent something since the last round can have become full.
-        from_seed = F.col("turn") == 0
-        totals = log.read().join(news.select(*keys), keys, "left_semi").groupBy(*keys).agg(
-            F.sum("_support").alias("_support"),
-            F.sum("_sum").alias("_sum"),
-            F.sum(F.when(from_seed, F.col("_support"))).alias("_seed_support"),
-            F.sum(F.when(from_seed, F.col("_sum"))).alias("_seed_sum"),
+        rows = arrivals if state is None else arrivals.unionByName(state.read().drop("news"))
+        summed = rows.groupBy(*keys).agg(
+            F.max("_need").alias("_need"), *[F.sum(c).alias(c) for c in ("_support", "_sum", "_seeds", "_seed_sum")],
+            F.min("round").alias("round"), F.min("fill_score").alias("fill_score"),
+        )
+        news = F.col("round").isNull() & (F.col("_support") >= F.col("_need"))
+        mean = F.when(F.col("_seeds") > 0, F.col("_seed_sum") / F.col("_seeds")).otherwise(F.col("_sum") / F.col("_support"))
+        judged = summed.withColumn("news", news).withColumns(
+            {"round": F.when(F.col("news"), F.lit(turn)).otherwise(F.col("round")), "fill_score": F.when(F.col("news"), mean).otherwise(F.col("fill_score"))}
         )
-        mean = F.coalesce(F.col("_seed_sum") / F.col("_seed_support"), F.col("_sum") / F.col("_support"))
-        full = totals.join(candidates, keys).filter(F.col("_support") >= F.col("_need"))
-        if turn > 1:
-            full = full.join(fills.read().select(*keys), keys, "left_anti")
-        added = fills.add(full.select(*keys, mean.alias("fill_score")), turn)
-        if added.isEmpty():
+        before, state = state, Flagged(judged, "news", "fill-state")
+        if before is not None:
+            before.free()
+        if not state.any():
             break
-        news = log.add(sent(added.select(*keys, F.col("fill_score").alias("_s"))), turn)
-    return fills.read().withColumnRenamed("turn", "round")
+        arrivals = sent(state.flagged().select(*keys, F.col("fill_score").alias("_s")), False)
+    return state.read().filter(F.col("round").isNotNull()).select(*keys, "fill_score", "round")
+
+
+def _open_neighbors(scores: DataFrame, points: DataFrame, cfg: FusionConfig) -> DataFrame:
+    """Neighbours of the unknown points that can ever be filled, stored once for all rounds.
+
+    Each row names the `_parts` that have no score at the point (the parts of an object are few) and the support that a
+    cell of it `_need`s.
+    """
+    neighbors = checkpointed(nearest_neighbors(points, cfg.hole_fill_knn_k), "neighbors")
+    close = within_radius(neighbors, local_spacing(neighbors), cfg.hole_fill_max_distance_factor)
+    listed = close.groupBy("object_id", "point_idx").agg(F.collect_list("neighbor_idx").alias("_near"))
+    total = F.size("_near")
+    need = F.greatest(F.lit(cfg.hole_fill_min_support_neighbors), F.ceil(total * cfg.hole_fill_min_support_ratio))
+    unknown = (F.col("_visible") <= 0) | (F.col("_best") < cfg.score_threshold)
+    open_points = (
+        scores.groupBy("object_id", "point_idx")
+        .agg(
+            F.max("score").alias("_best"), F.max("visible_count").alias("_visible"),
+            F.collect_set(F.when(~is_positive(), F.col("part_idx"))).alias("_parts"),
+        )
+        .filter(unknown & (F.size("_parts") > 0))
+        .select("object_id", "point_idx", "_parts")
+    )
+    joined = listed.filter(total >= cfg.hole_fill_min_support_neighbors).join(open_points, ["object_id", "point_idx"])
+    return checkpointed(joined.select("object_id", "point_idx", "_parts", need.alias("_need"), F.explode("_near").alias("neighbor_idx")), "open-neighbors")
 
 
 def merge_fills(scores: DataFrame, fills: DataFrame) -> DataFrame:

@@ -75,3 +75,34 @@ class Rounds:
     def read(self) -> DataFrame:
         """Rows of all rounds so far, with their `turn`; at least one round must have been added."""
         return self.spark.read.schema(f"{self.schema}, turn int").parquet(self.path)
+
+
+class Flagged:
+    """A stored table whose rows carry a boolean `flag` and lie in one folder per value.
+
+    Whether any row is flagged is then a question to the file system, not a job.
+    """
+
+    def __init__(self, df: DataFrame, flag: str, name: str):
+        self.spark, self.flag, self.schema = df.sparkSession, flag, df.schema
+        self.path = scratch_path(self.spark, name)
+        df.write.partitionBy(flag).parquet(self.path)
+
+    def any(self) -> bool:
+        return self._files().exists(self._file(f"{self.path}/{self.flag}=true"))
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+    def flagged(self) -> DataFrame:
+        return self.read().filter(F.col(self.flag))
+
+    def free(self) -> None:
+        """Deletes the table; call it once nothing reads it any more."""
+        self._files().delete(self._file(self.path), True)
+
+    def _file(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _files(self):
+        return self._file(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())

@@ -171,3 +171,53 @@ def test_prune_follows_a_long_chain(spark):
         matrix[p, p : p + 40] = 1.0
     kept = brute_prune(names, matrix, cfg)[0]
     assert {p for p, k in got.items() if k} == set(kept)
+
+
+def settle_by_hand(parts, rivals):
+    kept = {}
+    for p in sorted(parts):
+        kept[p] = not any(kept[b] for b in rivals.get(p, ()))
+    return kept
+
+
+@pytest.mark.parametrize("shape", ["chain", "band", "random"])
+def test_rivals_settle_in_few_rounds(spark, shape, monkeypatch):
+    """Rounds follow the logarithm of a chain: 200 parts that each wait for the one before take at most 10."""
+    rng = np.random.default_rng(3)
+    n = 200 if shape == "chain" else 120
+    rivals = {
+        "chain": {p: [p - 1] for p in range(1, n)},
+        "band": {p: list(range(max(0, p - 7), p)) for p in range(1, n)},
+        "random": {p: sorted(set(rng.integers(0, p, rng.integers(1, 4)).tolist())) for p in range(1, n) if rng.random() < 0.9},
+    }[shape]
+    rounds = []
+
+    class Counted(fusion.Flagged):
+        def __init__(self, *args):
+            rounds.append(args)
+            super().__init__(*args)
+
+    monkeypatch.setattr(fusion, "Flagged", Counted)
+    parts = spark.createDataFrame([(1, p) for p in range(n)], "object_id bigint, part_idx bigint")
+    pairs = spark.createDataFrame([(1, p, b) for p, own in rivals.items() for b in own], "object_id bigint, part_idx bigint, base_idx bigint")
+    got = {r["part_idx"]: r["kept"] for r in fusion.settle_rivals(parts, pairs).collect()}
+    assert got == settle_by_hand(range(n), rivals)
+    assert len(rounds) - 1 <= (10 if shape == "chain" else 40)
+
+
+def test_a_round_of_filling_is_three_jobs(spark):
+    """One exchange, one small side sent to all tasks, one write; whether to go on is no job."""
+    cfg = FusionConfig(hole_fill_knn_k=8, hole_fill_max_distance_factor=2.5)
+    names, matrix, visible, xyz = scene(1)
+    df = spark.createDataFrame(long_scores({0: (names, matrix, visible, xyz)}), SCHEMA)
+    points = spark.createDataFrame([(0, i, *map(float, p)) for i, p in enumerate(xyz)], "object_id bigint, point_idx bigint, x double, y double, z double")
+    context, tracker = spark.sparkContext, spark.sparkContext.statusTracker()
+
+    def jobs(turns):
+        group = f"fill-{turns}"
+        context.setJobGroup(group, group)
+        fusion.fill_holes(df, points, FusionConfig(**{**vars(cfg), "hole_fill_max_iterations": turns})).count()
+        context.setJobGroup("rest", "rest")
+        return len(tracker.getJobIdsForGroup(group))
+
+    assert jobs(3) - jobs(2) <= 3

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from partloom.config import GeometryConfig, RuleFilterConfig
 from partloom.functions.numeric import half_even
@@ -16,67 +16,75 @@ def masked_pixels(pixels: DataFrame, mask: DataFrame) -> DataFrame:
     return joined.withColumn("v", F.when(F.col("_on"), F.col("v")).otherwise(F.lit(0.0))).drop("_on")
 
 
-def image_gradient(pixels: DataFrame) -> DataFrame:
-    """Central differences inside, one-sided at the edges, along both axes.
+TILE = 64
+TILED = ["object_id", "_ty", "_tx"]
 
-    Each pixel sends its value to its four neighbours and to itself, and one grouped sum puts the
-    stencil together. An image thus spreads over tasks by pixel, however large it is.
-    """
-    sides = F.array(
-        F.struct(F.lit(0).alias("dy"), F.lit(0).alias("dx")),
-        F.struct(F.lit(0).alias("dy"), F.lit(1).alias("dx")),
-        F.struct(F.lit(0).alias("dy"), F.lit(-1).alias("dx")),
-        F.struct(F.lit(1).alias("dy"), F.lit(0).alias("dx")),
-        F.struct(F.lit(-1).alias("dy"), F.lit(0).alias("dx")),
-    )
-    sent = pixels.select("object_id", "y", "x", "v", F.explode(sides).alias("s")).select(
-        "object_id",
-        (F.col("y") + F.col("s.dy")).alias("y"),
-        (F.col("x") + F.col("s.dx")).alias("x"),
-        (-F.col("s.dy")).alias("fy"),
-        (-F.col("s.dx")).alias("fx"),
-        "v",
-    )
 
-    def sent_from(fy: int, fx: int) -> Column:
-        return F.max(F.when((F.col("fy") == fy) & (F.col("fx") == fx), F.col("v")))
+def _tile(column: str, tile: int) -> Column:
+    return F.floor(F.col(column) / tile).cast("bigint")
 
-    stencil = (
-        sent.groupBy("object_id", "y", "x")
-        .agg(
-            sent_from(0, 0).alias("v"),
-            sent_from(0, -1).alias("left"),
-            sent_from(0, 1).alias("right"),
-            sent_from(-1, 0).alias("up"),
-            sent_from(1, 0).alias("down"),
+
+def _tiled_gradient(pixels: DataFrame, tile: int, mask: DataFrame | None = None) -> DataFrame:
+    """Gradient per pixel, and whether it is in the mask (`_on`).
+
+    A tile gets the pixels along its four sides twice and the mask pixels inside it, so the shuffle is a little more
+    than the two tables; what follows runs inside the tile.
+    """
+
+    def beyond(column: str, rest: int, dy: int, dx: int) -> Column:
+        return F.when(F.pmod(F.col(column).cast("bigint"), F.lit(tile)) == rest, F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")))
+
+    inside = F.struct(F.lit(0).alias("dy"), F.lit(0).alias("dx"))
+    homes = F.array(inside, beyond("y", 0, -1, 0), beyond("y", tile - 1, 1, 0), beyond("x", 0, 0, -1), beyond("x", tile - 1, 0, 1))
+    off = F.lit(False)
+    dealt = pixels.select("object_id", "y", "x", "v", F.explode(F.filter(homes, lambda h: h.isNotNull())).alias("_h")).select(
+        "object_id", (_tile("y", tile) + F.col("_h.dy")).alias("_ty"), (_tile("x", tile) + F.col("_h.dx")).alias("_tx"), "y", "x", "v",
+        ((F.col("_h.dy") == 0) & (F.col("_h.dx") == 0)).alias("_own"), off.alias("_on"),
+    )
+    if mask is not None:
+        no_value = F.lit(None).cast(pixels.schema["v"].dataType)
+        marked = mask.select(
+            "object_id", _tile("y", tile).alias("_ty"), _tile("x", tile).alias("_tx"), F.col("y").cast(pixels.schema["y"].dataType).alias("y"),
+            F.col("x").cast(pixels.schema["x"].dataType).alias("x"), no_value.alias("v"), off.alias("_own"), F.lit(True).alias("_on"),
         )
+        dealt = dealt.unionByName(marked)
+    cells = (
+        dealt.repartition(*TILED)
+        .groupBy(*TILED, "y", "x")
+        .agg(F.max("v").alias("v"), F.bool_or("_own").alias("_own"), F.bool_or("_on").alias("_on"))
         .filter(F.col("v").isNotNull())
     )
 
+    def beside(axis: str, other: str, step: int) -> Column:
+        line = Window.partitionBy(*TILED, other).orderBy(axis)
+        near = F.lag if step < 0 else F.lead
+        return F.when(near(axis).over(line) == F.col(axis) + step, near("v").over(line))
+
+    stencil = cells.withColumns({"_left": beside("x", "y", -1), "_right": beside("x", "y", 1)}).withColumns(
+        {"_up": beside("y", "x", -1), "_down": beside("y", "x", 1)}
+    )
+
     def slope(before: str, after: str) -> Column:
         low, high = F.coalesce(before, "v"), F.coalesce(after, "v")
         both = F.col(before).isNotNull() & F.col(after).isNotNull()
         return (high - low) / F.when(both, F.lit(2.0)).otherwise(F.lit(1.0))
 
-    return stencil.select("object_id", "y", "x", "v", slope("up", "down").alias("gy"), slope("left", "right").alias("gx"))
+    return stencil.filter("_own").select("object_id", "y", "x", "v", slope("_up", "_down").alias("gy"), slope("_left", "_right").alias("gx"), "_on")
+
+
+def image_gradient(pixels: DataFrame, tile: int = TILE) -> DataFrame:
+    """Central differences inside, one-sided at the edges, along both axes.
+
+    Images are cut into tiles, so one of any size spreads over tasks and small ones stay whole.
+    """
+    return _tiled_gradient(pixels, tile).drop("_on")
 
 
-def masked_clarity(pixels: DataFrame, mask: DataFrame) -> DataFrame:
+def masked_clarity(pixels: DataFrame, mask: DataFrame, tile: int = TILE) -> DataFrame:
     """Mean gradient size over mask pixels and their number; 0 for an object without any."""
     size = F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy"))
-    inside = image_gradient(pixels).join(mask.select("object_id", "y", "x"), ["object_id", "y", "x"], "left_semi")
-    scored = inside.groupBy("object_id").agg(
-        F.avg(size).alias("clarity_score"), F.count(F.lit(1)).alias("mask_pixels")
-    )
-    return (
-        pixels.select("object_id")
-        .distinct()
-        .join(scored, "object_id", "left")
-        .select(
-            "object_id",
-            F.coalesce("clarity_score", F.lit(0.0)).alias("clarity_score"),
-            F.coalesce("mask_pixels", F.lit(0)).alias("mask_pixels"),
-        )
+    return _tiled_gradient(pixels, tile, mask).groupBy("object_id").agg(
+        F.coalesce(F.avg(F.when(F.col("_on"), size)), F.lit(0.0)).alias("clarity_score"), F.count_if(F.col("_on")).alias("mask_pixels")
     )
 
 

@@ -9,48 +9,55 @@ from partloom.operators import cameras as cam, detections as det, fusion, liftin
 from partloom.plans import tables as t
 from partloom.plans.registry import query
 from partloom.plans.tables import SQL, q6, r6, views
-from partloom.session import checkpointed
+from partloom.session import SharedStages
 
 SIZE = t.VIEW_RESOLUTION
 
 
-def active(spark, d):
-    return lifting.activate_geometry(t.points(spark, d))
+class Lifted:
+    """Stages of the lifting of one input, each computed once for all that a query takes from it."""
 
+    def __init__(self, spark, d):
+        self.spark, self.d, self.stage = spark, d, SharedStages()
 
-def normalized(spark, d):
-    return lifting.normalize_points(active(spark, d))
+    def points(self):
+        return self.stage(t.points(self.spark, self.d), "points")
 
+    def objects(self):
+        return self.stage(self.points().select("object_id").distinct(), "objects")
 
-def projected(spark, d):
-    return lifting.project_points(normalized(spark, d), t.cameras(spark, d), SIZE, SIZE)
+    def active(self):
+        return lifting.activate_geometry(self.points())
 
+    def normalized(self):
+        return lifting.normalize_points(self.active())
 
-def pixels(spark, d):
-    return lifting.to_pixels(projected(spark, d), SIZE, SIZE)
+    def projected(self):
+        return lifting.project_points(self.normalized(), t.cameras(self.objects()), SIZE, SIZE)
 
+    def pixels(self):
+        return lifting.to_pixels(self.projected(), SIZE, SIZE)
 
-def owners(spark, d):
-    return lifting.pixel_owners(pixels(spark, d))
+    def owners(self):
+        return self.stage(lifting.pixel_owners(self.pixels()), "owners")
 
+    def masks(self):
+        return t.part_masks(self.objects())
 
-def parts(spark, d):
-    index = F.sequence(F.lit(0), F.lit(3))
-    listed = t.points(spark, d).select("object_id").distinct().withColumn("part_idx", F.explode(index))
-    part = F.col("part_idx").cast("bigint")
-    return listed.select("object_id", part.alias("part_idx"), F.concat(F.lit("part_"), part.cast("string")).alias("part_name"))
+    def parts(self):
+        index = F.sequence(F.lit(0), F.lit(3))
+        listed = self.objects().withColumn("part_idx", F.explode(index))
+        part = F.col("part_idx").cast("bigint")
+        return listed.select("object_id", part.alias("part_idx"), F.concat(F.lit("part_"), part.cast("string")).alias("part_name"))
 
+    def visible(self):
+        return lifting.visible_counts(self.owners(), lifting.masked_views(self.masks()))
 
-def scores(spark, d):
-    seen = owners(spark, d)
-    masks = t.part_masks(spark, d)
-    visible = lifting.visible_counts(seen, lifting.masked_views(masks))
-    return lifting.part_scores(t.points(spark, d), parts(spark, d), lifting.part_votes(seen, masks), visible)
+    def votes(self):
+        return lifting.part_votes(self.owners(), self.masks())
 
-
-def stored_scores(spark, d):
-    """Scores as the lifting stage leaves them: a table that later stages read several times."""
-    return checkpointed(scores(spark, d), "scores")
+    def scores(self):
+        return self.stage(lifting.part_scores(self.points(), self.parts(), self.votes(), self.visible()), "scores")
 
 
 # --- detections ----------------------------------------------------------------------------------
@@ -175,7 +182,7 @@ def view_shape_check(spark, d):
     + f", {q6('1 / (1 + exp(-opacity))')} AS opacity FROM fx_points",
 )
 def activate_geometry(spark, d):
-    return active(spark, d).select("object_id", "point_idx", *[r6(c).alias(c) for c in ("s0", "s1", "s2", "opacity")])
+    return Lifted(spark, d).active().select("object_id", "point_idx", *[r6(c).alias(c) for c in ("s0", "s1", "s2", "opacity")])
 
 
 _XYZS = ("x", "y", "z", "s0", "s1", "s2")
@@ -186,7 +193,7 @@ _XYZS = ("x", "y", "z", "s0", "s1", "s2")
     views("fx_norm") + f"SELECT object_id, point_idx, {', '.join(f'{q6(c)} AS {c}' for c in _XYZS)} FROM fx_norm",
 )
 def normalize_points(spark, d):
-    return normalized(spark, d).select("object_id", "point_idx", *[r6(c).alias(c) for c in _XYZS])
+    return Lifted(spark, d).normalized().select("object_id", "point_idx", *[r6(c).alias(c) for c in _XYZS])
 
 
 @query(
@@ -195,7 +202,7 @@ def normalize_points(spark, d):
     + f"SELECT object_id, point_idx, view_id, {q6('u')} AS u, {q6('v')} AS v, {q6('depth')} AS depth FROM fx_projected",
 )
 def project_points(spark, d):
-    return projected(spark, d).select("object_id", "point_idx", "view_id", *[r6(c).alias(c) for c in ("u", "v", "depth")])
+    return Lifted(spark, d).projected().select("object_id", "point_idx", "view_id", *[r6(c).alias(c) for c in ("u", "v", "depth")])
 
 
 SQL["fx_radius"] = """
@@ -209,7 +216,7 @@ FROM (SELECT *, greatest(s0, s1, s2) AS max_scale FROM fx_projected )"""
     + f"SELECT object_id, point_idx, view_id, {q6('max_scale')} AS max_scale, {q6('radius_px')} AS radius_px FROM fx_radius",
 )
 def projected_radius(spark, d):
-    sized = lifting.projected_radius(projected(spark, d), SIZE, SIZE)
+    sized = lifting.projected_radius(Lifted(spark, d).projected(), SIZE, SIZE)
     return sized.select("object_id", "point_idx", "view_id", r6("max_scale").alias("max_scale"), r6("radius_px").alias("radius_px"))
 
 
@@ -218,7 +225,7 @@ def projected_radius(spark, d):
     views("fx_owner") + f"SELECT object_id, view_id, px, py, point_idx, {q6('depth')} AS depth FROM fx_owner",
 )
 def zbuffer(spark, d):
-    return owners(spark, d).withColumn("depth", r6("depth"))
+    return Lifted(spark, d).owners().withColumn("depth", r6("depth"))
 
 
 @query(
@@ -239,7 +246,7 @@ def depth_buffer(spark, d):
         .withColumn("py", F.explode(side))
         .withColumns({"px": F.col("px").cast("bigint"), "py": F.col("py").cast("bigint")})
     )
-    return lifting.depth_buffer(pixels(spark, d), grid).withColumn("depth", r6(F.least("depth", F.lit(1e9))))
+    return lifting.depth_buffer(Lifted(spark, d).pixels(), grid).withColumn("depth", r6(F.least("depth", F.lit(1e9))))
 
 
 @query(
@@ -253,7 +260,7 @@ FROM (SELECT p.*, least(greatest(px + mx * step, 0), 15) AS qx, least(greatest(p
 LEFT JOIN fx_owner o ON o.object_id = p.object_id AND o.view_id = p.view_id AND o.px = qx AND o.py = qy GROUP BY ALL""",
 )
 def five_tap_visibility(spark, d):
-    sized = lifting.projected_radius(projected(spark, d), SIZE, SIZE)
+    sized = lifting.projected_radius(Lifted(spark, d).projected(), SIZE, SIZE)
     return lifting.five_tap_visibility(lifting.to_pixels(sized, SIZE, SIZE), SIZE, SIZE)
 
 
@@ -291,12 +298,12 @@ def source_projection(spark, d):
 
 @query("point_visibility", views("fx_visible") + "SELECT * FROM fx_visible")
 def point_visibility(spark, d):
-    return lifting.visible_counts(owners(spark, d), lifting.masked_views(t.part_masks(spark, d)))
+    return Lifted(spark, d).visible()
 
 
 @query("part_votes", views("fx_votes") + "SELECT * FROM fx_votes")
 def part_votes(spark, d):
-    return lifting.part_votes(owners(spark, d), t.part_masks(spark, d))
+    return Lifted(spark, d).votes()
 
 
 @query(
@@ -306,12 +313,13 @@ def part_votes(spark, d):
   {q6('avg(score)')} AS score_mean FROM fx_scores GROUP BY ALL""",
 )
 def part_scores(spark, d):
-    return lifting.vote_summary(scores(spark, d)).withColumn("score_mean", r6("score_mean"))
+    return lifting.vote_summary(Lifted(spark, d).scores()).withColumn("score_mean", r6("score_mean"))
 
 
 @query("best_part", views("fx_best") + f"SELECT object_id, point_idx, best_part, {q6('max_score')} AS max_score FROM fx_best")
 def best_part(spark, d):
-    best = lifting.add_pointless_objects(t.points(spark, d), lifting.best_part(scores(spark, d)))
+    lifted = Lifted(spark, d)
+    best = lifting.add_pointless_objects(lifted.points(), lifting.best_part(lifted.scores()))
     return best.select("object_id", "point_idx", "best_part", r6("max_score").alias("max_score"))
 
 
@@ -321,7 +329,7 @@ def best_part(spark, d):
     + f"SELECT object_id, point_idx, {q6('second_score')} AS second_score, max_score - second_score < 0.05 AS ambiguous FROM fx_best",
 )
 def ambiguity(spark, d):
-    return lifting.ambiguity(scores(spark, d)).select(
+    return lifting.ambiguity(Lifted(spark, d).scores()).select(
         "object_id", "point_idx", r6("second_score").alias("second_score"), "ambiguous"
     )
 
@@ -333,7 +341,7 @@ def ambiguity(spark, d):
   visible_count <= 0 OR max_score < 0.3 AS unknown FROM fx_best""",
 )
 def unknown_mask(spark, d):
-    return fusion.unknown_mask(lifting.best_part(scores(spark, d))).select(
+    return fusion.unknown_mask(lifting.best_part(Lifted(spark, d).scores())).select(
         "object_id", "point_idx", "invisible", "low_confidence", "unknown"
     )
 
@@ -354,7 +362,8 @@ SELECT object_id, view_id, px, py, """
     + ", CASE WHEN score > 0 THEN 255 ELSE 46 END::BIGINT AS alpha FROM c",
 )
 def visibility_pixels(spark, d):
-    return lifting.visibility_pixels(owners(spark, d), lifting.best_part(scores(spark, d)), parts(spark, d))
+    lifted = Lifted(spark, d)
+    return lifting.visibility_pixels(lifted.owners(), lifting.best_part(lifted.scores()), lifted.parts())
 
 
 @query(
@@ -443,7 +452,7 @@ WHERE a.score > 0 AND b.score > 0 GROUP BY ALL"""
 
 @query("part_overlap", views("fx_overlap") + "SELECT * FROM fx_overlap")
 def part_overlap(spark, d):
-    return fusion.part_overlap(scores(spark, d))
+    return fusion.part_overlap(Lifted(spark, d).scores())
 
 
 # Greedy pruning as recursion: parts are taken in order, and each joins the kept list or not.
@@ -479,7 +488,7 @@ final AS (SELECT object_id, arg_max(kept, place) AS kept FROM walk GROUP BY obje
 FROM fx_counts c JOIN final f USING (object_id) JOIN fx_rivals r ON r.object_id = c.object_id AND r.part_idx = c.part_idx""",
 )
 def prune_duplicates(spark, d):
-    return fusion.prune_duplicates(stored_scores(spark, d)).select("object_id", "part_idx", "point_count", "kept", "base_idx")
+    return fusion.prune_duplicates(Lifted(spark, d).scores()).select("object_id", "part_idx", "point_count", "kept", "base_idx")
 
 
 # Looser settings than the defaults, so that filling takes several rounds on few points.
@@ -518,7 +527,8 @@ st AS (SELECT object_id, part_idx, point_idx, need, score::DOUBLE AS s, score >
     + f"SELECT object_id, part_idx, point_idx, {q6('s')} AS fill_score, filled AS round FROM st WHERE turn = 32 AND filled > 0",
 )
 def hole_fill(spark, d):
-    fills = fusion.fill_holes(stored_scores(spark, d), t.points(spark, d), FILL)
+    lifted = Lifted(spark, d)
+    fills = fusion.fill_holes(lifted.scores(), lifted.points(), FILL)
     return fills.withColumn("fill_score", r6("fill_score"))
 
 
@@ -539,7 +549,8 @@ JOIN (SELECT object_id, point_idx, max(visible_count) AS visible_count FROM cell
 LEFT JOIN unsure u USING (object_id, point_idx)""",
 )
 def fused_labels(spark, d):
-    fused = fusion.fuse_labels(stored_scores(spark, d), t.points(spark, d)).drop("second_score")
+    lifted = Lifted(spark, d)
+    fused = fusion.fuse_labels(lifted.scores(), lifted.points()).drop("second_score")
     return fused.withColumns({"max_score": r6("max_score"), "filled_parts": F.array_join("filled_parts", ",")})
 
 
@@ -553,5 +564,5 @@ def fused_labels(spark, d):
 )
 def membership_summary(spark, d):
     """Labels taken over from elsewhere: unseen points come without a visible count, which reads as 1."""
-    taken = scores(spark, d).withColumn("visible_count", F.nullif("visible_count", F.lit(0).cast("bigint")))
+    taken = Lifted(spark, d).scores().withColumn("visible_count", F.nullif("visible_count", F.lit(0).cast("bigint")))
     return fusion.membership_summary(taken)

@@ -135,7 +135,7 @@ def scan_sidecars(spark, d):
 )
 def label_tables(spark, d):
     """Membership and unknown-mask tables, bucketed by object, written and read back."""
-    scored = labels.scores(spark, d)
+    scored = labels.Lifted(spark, d).scores()
     members, mask = scratch_path(spark, "membership"), scratch_path(spark, "unknown_mask")
     writers.write_bucketed(scored, members, "object_id", 8)
     stored = writers.read_bucketed(spark, members)

@@ -282,13 +282,12 @@ SQL["fx_cameras"] = "SELECT * FROM (SELECT CAST(yaw_deg AS DOUBLE) AS yaw_deg, *
 ) + "))"
 
 
-def cameras(spark: SparkSession, d: str) -> DataFrame:
+def cameras(objects: DataFrame) -> DataFrame:
     """The three views of every object, posed."""
     from partloom.operators.cameras import look_at
 
     names_of = ("view_id", "yaw_deg", "pitch_deg", "radius", "fov_deg")
     specs = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names_of, view)]) for view in VIEWS])
-    objects = points(spark, d).select("object_id").distinct()
     return look_at(objects.select("object_id", F.explode(specs).alias("_v")).select("object_id", "_v.*"))
 
 
@@ -329,9 +328,8 @@ FROM (SELECT DISTINCT object_id FROM fx_points ), fx_views , range(4) p(part_idx
 WHERE CASE WHEN part_idx < 3 THEN px % 3 = part_idx ELSE px % 3 = 0 AND py < 12 END"""
 
 
-def part_masks(spark: SparkSession, d: str) -> DataFrame:
+def part_masks(objects: DataFrame) -> DataFrame:
     """Pixels of four parts per object and view; the fourth part lies inside the first."""
-    objects = points(spark, d).select("object_id").distinct()
     side = F.sequence(F.lit(0), F.lit(VIEW_RESOLUTION - 1))
     grid = (
         objects.withColumn("view_id", F.explode(F.array(*[F.lit(v[0]) for v in VIEWS])))

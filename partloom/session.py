@@ -106,3 +106,22 @@ class Flagged:
 
     def _files(self):
         return self._file(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+
+class SharedStages:
+    """Stored results that several steps of one query need, keyed by plan.
+
+    Asked twice for the same plan, however it was put together, it computes and stores that once. It lives as long as
+    one query, so that later ones see later inputs.
+    """
+
+    def __init__(self) -> None:
+        self._stored: dict[int, list[tuple[DataFrame, DataFrame]]] = {}
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        known = self._stored.setdefault(df.semanticHash(), [])
+        for plan, result in known:
+            if plan.sameSemantics(df):
+                return result
+        known.append((df, checkpointed(df, name)))
+        return known[-1][1]

@@ -54,15 +54,39 @@ def test_mask_geometry_margin_is_half_even_and_empty_mask_is_infinite(spark):
     assert judged[2] == ["mask_too_small", "mask_aspect_too_large"]
 
 
-def test_gradient_matches_dense_arrays(spark):
+@pytest.mark.parametrize("tile", [64, 4, 1])
+def test_gradient_matches_dense_arrays(spark, tile):
     rng = np.random.default_rng(1)
-    image = rng.random((6, 9))
-    rows = [(1, y, x, float(image[y, x])) for y in range(6) for x in range(9)]
+    image = rng.random((9, 14))
+    rows = [(1, y, x, float(image[y, x])) for y in range(9) for x in range(14)]
     df = spark.createDataFrame(rows, "object_id bigint, y bigint, x bigint, v double")
     gy, gx = np.gradient(image)
-    for r in msk.image_gradient(df).collect():
+    got = msk.image_gradient(df, tile).collect()
+    assert len(got) == image.size
+    for r in got:
         assert math.isclose(r["gy"], gy[r["y"], r["x"]], abs_tol=1e-12)
         assert math.isclose(r["gx"], gx[r["y"], r["x"]], abs_tol=1e-12)
+    mask = spark.createDataFrame([(1, y, x) for y in range(3, 8) for x in range(2, 9)] * 2, "object_id bigint, y bigint, x bigint")
+    clear = msk.masked_clarity(df, mask, tile).first()
+    assert clear["mask_pixels"] == 35 and math.isclose(clear["clarity_score"], np.hypot(gy, gx)[3:8, 2:9].mean())
+
+
+def test_gradient_of_images_with_gaps(spark):
+    rows = [(1, 0, 0, 1.0), (1, 0, 1, 3.0), (1, 0, 3, 7.0), (1, 2, 0, 9.0), (2, 0, 0, 5.0), (2, 0, 1, None)]
+    got = {(r["object_id"], r["y"], r["x"]): (r["gy"], r["gx"]) for r in msk.image_gradient(spark.createDataFrame(rows, "object_id bigint, y bigint, x bigint, v double"), 2).collect()}
+    assert got == {(1, 0, 0): (0.0, 2.0), (1, 0, 1): (0.0, 2.0), (1, 0, 3): (0.0, 0.0), (1, 2, 0): (0.0, 0.0), (2, 0, 0): (0.0, 0.0)}
+
+
+def test_clarity_shuffles_pixels_and_mask_once(spark):
+    pixels = spark.range(4096).selectExpr("id % 3 AS object_id", "id div 64 AS y", "id % 64 AS x", "CAST(id AS DOUBLE) AS v")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = msk.masked_clarity(pixels, pixels.filter("v > 100"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    # Both by tile at once; then partial sums by object.
+    assert plan.count("Exchange hashpartitioning") == 2
 
 
 def test_box_mean_over_tiles(spark):

@@ -30,6 +30,7 @@ MEMO_WORDS = 400_000
 SLICE_SHINGLES = 100_000
 HELD_KEYS = 2_000_000
 CROWD, CROWD_BLOCK = 16, 1024  # sets of a key from which it is crowded, and sets in a block
+OFFERS = 2  # nearest sets of each block that a set of a crowd offers to first
 PLACES = 256  # of a sketch, with four bits each
 U64 = np.uint64
 
@@ -389,11 +390,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, join: Join) -
     return both.filter(F.col("_shared") * 100 >= union * join.percent).select("a", "b")
 
 
-def _crowd_pairs(asked: DataFrame, indexed: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
+def _crowd_pairs(asked: DataFrame, indexed: DataFrame, nodes: DataFrame, join: Join, offers: int | None) -> DataFrame:
     """Candidates `(node, other)` from keys with many sets.
 
     Sets that crowded keys connect are one crowd. Its sketches are compared in blocks, each pair of blocks in
-    a group of its own, so a crowd may be of any size; only pairs that pass are written.
+    a group of its own, so a crowd may be of any size; only pairs of different labels that pass are written. With
+    `offers` these are only the nearest so many of each set and block.
     """
     rows = asked.select("key", "node").unionAll(indexed.select("key", "node"))
     hubs = rows.groupBy("key").agg(F.min("node").alias("a"))
@@ -418,7 +420,11 @@ def _crowd_pairs(asked: DataFrame, indexed: DataFrame, nodes: DataFrame, join: J
             j = j[(label[j] != label[i]) & (100 * np.minimum(n[j], n[i]) >= join.percent * np.maximum(n[j], n[i]))]
             x = sketch[j] ^ sketch[i]
             x = (x | x >> U64(1) | x >> U64(2) | x >> U64(3)) & U64(0x1111111111111111)
-            j = j[np.bitwise_count(x).sum(axis=1) <= (n[j] + n[i]) * (100 - join.percent) // (100 + join.percent)]
+            differing = np.bitwise_count(x).sum(axis=1)
+            fits = differing <= (n[j] + n[i]) * (100 - join.percent) // (100 + join.percent)
+            j, differing = j[fits], differing[fits]
+            if offers and len(j) > offers:
+                j = j[np.argsort(differing, kind="stable")[:offers]]
             found_a.append(np.full(len(j), node[i], dtype=np.int64))
             found_b.append(node[j])
         empty = np.zeros(0, dtype=np.int64)
@@ -475,7 +481,8 @@ def similar_documents(docs: DataFrame, join: Join = Join(), *, hub_rounds: int =
     ids are one document with several texts. Hashes of 64 bits stand for shingles and sets.
 
     Links are not written out: inside a list of sets with one key, each asking set first meets one hub; only
-    sets that are still in different components afterwards meet each other.
+    sets that are still in different components afterwards meet each other. In a crowd each of them first offers to
+    its nearest sets only, as in Boruvka's method; what is still apart after that meets all the rest.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     named = docs.filter(F.col("doc_id").isNotNull())
@@ -494,33 +501,47 @@ def similar_documents(docs: DataFrame, join: Join = Join(), *, hub_rounds: int =
     fitting = f"100 * least(n, other_n) >= {join.percent} * greatest(n, other_n)"
     labels: DataFrame | None = None
     tested: DataFrame | None = None
-    for turn in range(hub_rounds + 1):
+    for turn in range(hub_rounds + 2):
         open_asked, open_indexed = (asked, indexed) if labels is None else _open_keys(asked, indexed, labels)
+        pairs, crowds, crowded = None, None, None
         if turn < hub_rounds:
             hub = F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(turn))).alias("hub")
             hubs = open_indexed.groupBy("key").agg(hub).select("key", F.col("hub.node").alias("other"), F.col("hub.n").alias("other_n"))
-            met = open_asked.join(hubs, "key").filter(f"node <> other and {fitting}")
+            pairs = open_asked.join(hubs, "key").filter(f"node <> other and {fitting}").select(*_ordered(F.col("node"), F.col("other"))).distinct()
         else:
             full = open_indexed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > CROWD)
             crowded = checkpointed(full.select("key"), "crowded-keys")
+            last = crowded.isEmpty() or turn > hub_rounds
+            if not crowded.isEmpty():
+                offers = OFFERS if turn == hub_rounds else None
+                crowds = _crowd_pairs(open_asked.join(crowded, "key"), open_indexed.join(crowded, "key"), nodes, join, offers)
+                crowds = crowds.select(*_ordered(F.col("node"), F.col("other")))
+        if turn == hub_rounds:
             few_asked, few_indexed = (x.join(crowded, "key", "left_anti") for x in (open_asked, open_indexed))
             others = few_indexed.select("key", *[F.col(c).alias(f"other{suffix}") for c, suffix in (("node", ""), ("n", "_n"), ("left", "_left"), ("label", "_label"))])
             met = few_asked.join(others, "key").filter(f"label <> other_label and (not other_left or (wide and not left)) and {fitting}")
-            crowds = _crowd_pairs(open_asked.join(crowded, "key"), open_indexed.join(crowded, "key"), nodes, join)
-        pairs = met.select(*_ordered(F.col("node"), F.col("other"))).distinct()
-        if turn == hub_rounds and leftovers.limit(1).count():
-            pairs = pairs.unionAll(_leftover_pairs(named, nodes, leftovers, join)).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = _close(pairs, nodes, join)
-        if turn == hub_rounds:
+            pairs = met.select(*_ordered(F.col("node"), F.col("other"))).distinct()
+            if leftovers.limit(1).count():
+                pairs = pairs.unionAll(_leftover_pairs(named, nodes, leftovers, join)).distinct()
+        if pairs is not None:
+            if tested is not None:
+                pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = _close(pairs, nodes, join)
+        if crowds is not None:
             # The sketches of crowds have been compared already.
-            pairs = pairs.unionAll(crowds.select(*_ordered(F.col("node"), F.col("other")))).distinct()
+            untested = crowds.join(tested, ["a", "b"], "left_anti") if tested is not None else crowds
+            pairs = (untested if pairs is None else pairs.unionAll(untested)).distinct()
+        if pairs is None:
+            break
         pairs = checkpointed(pairs, "pairs")
         if pairs.limit(1).count():
             links = links.unionAll(checkpointed(_verified(pairs, named, nodes, join), "verified"))
+            labels = checkpointed(connected_components(links), "labels")
+        elif labels is None:
+            labels = checkpointed(connected_components(links), "labels")
         tested = pairs if tested is None else tested.unionAll(pairs)
-        labels = checkpointed(connected_components(links), "labels")
+        if turn >= hub_rounds and last:
+            break
     known = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
     least = known.groupBy("label").agg(F.min("first_id").alias("component_id"))
     named_nodes = known.join(least, "label").select("node", "twin", "component_id")

@@ -105,11 +105,23 @@ def plan_hashing(rows: int, dimension: int, threshold: float, *, recall: float =
     return best
 
 
-def _find_root(parent: dict[int, int], x: int) -> int:
-    while parent[x] != x:
-        parent[x] = parent[parent[x]]
-        x = parent[x]
-    return x
+def unit(vectors: np.ndarray) -> np.ndarray:
+    """Rows of unit length, scaled by their largest entry first, so that no square over- or underflows."""
+    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+
+
+def _smallest_reachable(size: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each of `size` numbers the smallest that the pairs `(x, y)` connect it to."""
+    least = np.arange(size)
+    while True:
+        before = least.copy()
+        low = np.minimum(least[x], least[y])
+        np.minimum.at(least, least[x], low)
+        np.minimum.at(least, least[y], low)
+        least = least[least]
+        if (least == before).all():
+            return least
 
 
 def _first_shared(a: np.ndarray, b: np.ndarray, probes: int) -> np.ndarray:
@@ -135,10 +147,10 @@ def link_vectors(classes: DataFrame, dimension: int, threshold: float, hashing:
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                codes = buckets(np.stack(batch["vector"].to_numpy()).astype(np.float64), hashing)
+                codes = buckets(unit(np.stack(batch["vector"].to_numpy()).astype(np.float64)), hashing)
                 yield batch.assign(codes=list(codes))
 
-    schema = "class_id bigint, vector array<float>, copies bigint, codes array<bigint>"
+    schema = f"class_id bigint, vector {classes.schema['vector'].dataType.simpleString()}, copies bigint, codes array<bigint>"
     indexed = checkpointed(classes.select("class_id", "vector", "copies").mapInPandas(hashed, schema), "vector-codes")
     # A bucket that one vector has to itself needs no comparison. Large buckets are few: at most rows / block_rows per table.
     sizes = indexed.select(F.explode("codes").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
@@ -158,8 +170,7 @@ def link_vectors(classes: DataFrame, dimension: int, threshold: float, hashing:
         if len(left) and len(right):
             matrices = []
             for side in (left, right):
-                m = np.stack(side["vector"].to_numpy()).astype(np.float64)
-                matrices.append(m / np.linalg.norm(m, axis=1, keepdims=True))
+                matrices.append(unit(np.stack(side["vector"].to_numpy()).astype(np.float64)))
             ids = [side["class_id"].to_numpy() for side in (left, right)]
             codes = [np.stack(side["codes"].to_numpy()) for side in (left, right)]
             copies = [side["copies"].to_numpy() for side in (left, right)]
@@ -178,14 +189,9 @@ def link_vectors(classes: DataFrame, dimension: int, threshold: float, hashing:
         nodes, where = np.unique(np.concatenate([a[:, 0], b[:, 0]]), return_inverse=True)
         degree = np.zeros(len(nodes), dtype=np.int64)
         np.add.at(degree, where, np.concatenate([b[:, 1], a[:, 1]]))
-        parent = {x: x for x in nodes.tolist()}
-        edges = []
-        for x, y in zip(a[:, 0].tolist(), b[:, 0].tolist()):
-            rx, ry = _find_root(parent, x), _find_root(parent, y)
-            if rx != ry:
-                parent[max(rx, ry)] = min(rx, ry)
-                edges.append((x, y))
-        tree = np.array(edges, dtype=np.int64).reshape(-1, 2)
+        least = _smallest_reachable(len(nodes), where[: len(a)], where[len(a) :])
+        below = np.flatnonzero(least != np.arange(len(nodes)))
+        tree = np.stack([nodes[least[below]], nodes[below]], axis=1).astype(np.int64)
         return pd.DataFrame(
             {
                 "kind": np.concatenate([np.zeros(len(nodes), dtype=np.int32), np.ones(len(tree), dtype=np.int32)]),
@@ -204,20 +210,23 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.9, recall: float
     vectors, exact copies included; `component_id` is the smallest id reachable, `kept` marks it. Vectors that
     are null, empty, zero, or hold a null, NaN or infinite component link with nothing, nor do vectors of
     different length with each other. Exact copies are one class from the start. A repeated row, id and
-    vector alike, is the same vector and gets the same result. Null ids link with nothing.
+    vector alike, is the same vector and gets the same result; different vectors of one id are vectors of their own,
+    linked by nothing but their cosine. Null ids link with nothing. Floats are compared as they are, all other
+    numbers as doubles.
     """
     value = F.col("embedding")
-    as_floats = F.transform(value, lambda x: x.cast("float"))
+    element = vectors.schema["embedding"].dataType.elementType.simpleString()
+    numbers = F.transform(value, lambda x: x.cast("float" if element == "float" else "double"))
     usable = F.col("vec_id").isNotNull() & F.exists(value, lambda x: x != 0) & F.forall(
         value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     )
-    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.when(F.coalesce(usable, F.lit(False)), as_floats).alias("vector"))
+    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.when(F.coalesce(usable, F.lit(False)), numbers).alias("vector"))
     rows = rows.withColumn("_key", F.xxhash64("vector"))
     good = rows.filter(F.col("vector").isNotNull())
     distinct = good.groupBy("_key", "vector", "vec_id").agg(F.lit(1).alias("_one"))
-    classes = distinct.groupBy("_key", "vector").agg(F.min("vec_id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
-    # Ids may repeat over different vectors, so classes carry a number of their own where ids are not unique.
-    classes = checkpointed(classes, "vector-classes")
+    classes = distinct.groupBy("_key", "vector").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    # Ids may repeat over different vectors, so classes carry a number of their own, stored with them.
+    classes = checkpointed(classes.withColumn("class_id", F.monotonically_increasing_id()), "vector-classes")
     results = None
     for row in classes.groupBy(F.size("vector").alias("d")).count().orderBy("d").collect():
         same = classes.filter(F.size("vector") == row["d"])
@@ -228,15 +237,18 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.9, recall: float
         return plain.withColumn("kept", F.lit(True))
     stored = checkpointed(results, "vector-links")
     degrees = stored.filter("kind = 0").groupBy(F.col("a").alias("class_id")).agg(F.sum("b").alias("_degree"))
-    components = connected_components(stored.filter("kind = 1").select("a", "b"))
+    components = checkpointed(connected_components(stored.filter("kind = 1").select("a", "b")).withColumnRenamed("node", "class_id"), "vector-components")
+    # The smallest id of a component, from one row per class.
+    smallest = components.join(classes.select("class_id", "least"), "class_id").groupBy(F.col("component").alias("_c")).agg(F.min("least").alias("_least"))
+    named = components.join(smallest, F.col("component") == F.col("_c")).select("class_id", "_least")
     labelled = (
         classes.join(degrees, "class_id", "left")
-        .join(components.withColumnRenamed("node", "class_id"), "class_id", "left")
-        .select("_key", "vector", "class_id", "copies", "_degree", "component")
+        .join(named, "class_id", "left")
+        .select("_key", "vector", "class_id", "copies", "_degree", F.coalesce("_least", "least").alias("component"))
     )
     joined = rows.join(labelled, ["_key", "vector"], "left")
     in_class = F.col("class_id").isNotNull()
-    component = F.when(in_class, F.coalesce("component", "class_id")).otherwise(F.col("vec_id"))
+    component = F.when(in_class, F.col("component")).otherwise(F.col("vec_id"))
     links = F.when(in_class, F.col("copies") - 1 + F.coalesce("_degree", F.lit(0))).otherwise(0).cast("bigint")
     return joined.select("vec_id", links.alias("n_links"), component.alias("component_id")).withColumn(
         "kept", F.col("vec_id").eqNullSafe(F.col("component_id"))

@@ -107,6 +107,46 @@ def test_ids_that_are_null_or_repeated(spark):
 # ---- vectors
 
 
+def test_repeated_ids_and_tiny_doubles(spark):
+    """Vectors of one id are linked by their cosine alone, and doubles are not rounded to floats."""
+    doubles = "vec_id bigint, embedding array<double>, class_id string"
+    rows = [(5, [1.0, 0.0], "x"), (5, [0.0, 1.0], "x"), (6, [1.0, 0.1], "x"), (7, [1e-60, 0.0], "x"), (8, [0.0, 1e-60], "x"), (9, [1e-300, 1e-302], "x"), (10, [1e300, 1e290], "x")]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in vector_dedup.near_duplicates(spark.createDataFrame(rows, doubles)).collect())
+    # 5a, 6, 7, 9 and 10 point one way, 5b and 8 another.
+    assert got == [(5, 1, 5, True), (5, 4, 5, True), (6, 4, 5, False), (7, 4, 5, False), (8, 1, 5, False), (9, 4, 5, False), (10, 4, 5, False)]
+    assert vector_dedup.near_duplicates(spark.createDataFrame([(1, [0.0, 0.0], "x"), (2, [0.0, 0.0], "x"), (None, [1.0, 0.0], "x")], doubles)).filter("n_links > 0").count() == 0
+
+
+def test_smallest_reachable_numbers():
+    rng = np.random.default_rng(9)
+    for size, links in ((50, 30), (200, 150), (300, 600)):
+        x, y = rng.integers(0, size, links), rng.integers(0, size, links)
+        want = groups(range(size), zip(x.tolist(), y.tolist()))
+        assert vector_dedup._smallest_reachable(size, x, y).tolist() == [want[i] for i in range(size)]
+    path = np.arange(1000)
+    assert (vector_dedup._smallest_reachable(1001, path + 1, path) == 0).all()
+
+
+def test_recall_among_many_vectors(spark):
+    """Of all links among 20,000 vectors, many just above the threshold, at least nine in ten are found, and none below it."""
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((14_000, 64))
+    near = base[:6_000] / np.linalg.norm(base[:6_000], axis=1, keepdims=True)
+    side = rng.standard_normal(near.shape)
+    side -= (side * near).sum(axis=1, keepdims=True) * near
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cosine = rng.uniform(0.86, 0.96, (6_000, 1))
+    x = np.concatenate([base, cosine * near + np.sqrt(1 - cosine**2) * side]).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(8)
+    got = {r["vec_id"]: r["n_links"] for r in vector_dedup.near_duplicates(frame).collect()}
+    unit = x.astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    want = np.concatenate([(unit[at : at + 2000] @ unit.T >= 0.9).sum(axis=1) - 1 for at in range(0, len(x), 2000)])
+    found = np.array([got[i] for i in range(len(x))])
+    assert want.sum() > 5_000 and (found <= want).all() and found.sum() >= 0.9 * want.sum()
+
+
 def test_vectors_against_brute_force(spark):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((60, 20))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -25,14 +24,14 @@ def build_session(app: str = "partloom", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    A private folder is made only for a local master with no setting, as in unit tests: on a cluster
-    a machine-local folder would be lost with its executor.
+    Without the setting a local master, as in unit tests, uses a folder beside its warehouse; on a cluster it must be
+    set, since a folder of one machine would be lost with it.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        configured = tempfile.mkdtemp(prefix="partloom-")
+        configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/partloom-steps"
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured
 

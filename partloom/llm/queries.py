@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-import corpus_pipeline
-
 from partloom.llm import conversation_trie, jaccard_join, language_crf, licenses, mixing, nb_svm, pieces, quality, secrets, suffix_tree, token_shards, vector_dedup, whitening
 from partloom.llm.text import held_out, table
 from partloom.plans.registry import Plan, Query
@@ -128,11 +126,6 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_documents(table(spark, sf_dir, "documents"))
 
 
-@query("pipeline", corpus_pipeline.ORACLE_SQL)
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 @query("op4_licenses")
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

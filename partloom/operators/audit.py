@@ -65,6 +65,16 @@ def metadata_audit(files: DataFrame, names: Sequence[str] = fixed.RELEASE_METADA
     return here.filter(F.size(missing) > 0).select(F.lit("error" if strict else "warning").alias("level"), message.alias("message"))
 
 
+def release_report(files: DataFrame, required: DataFrame | None = None, *, strict: bool = False) -> DataFrame:
+    """All rules of a release in one report: (`level`, `message`).
+
+    Broken row rules are errors. The rule on the whole release, that its metadata is there, is an error if `strict`
+    and else a warning.
+    """
+    rows = release_audit(files, required).select(F.lit("error").alias("level"), F.concat("violation", F.lit(": "), "path").alias("message"))
+    return rows.unionByName(metadata_audit(files, strict=strict))
+
+
 def manifest_audit(rows: DataFrame, path_columns: Sequence[str], content: str | None = None) -> DataFrame:
     """Adds `absolute_paths` (how many path columns start with `/`) and the SHA-256 of the row's content."""
     absolute = sum((F.coalesce(F.col(c).startswith("/"), F.lit(False)).cast("int") for c in path_columns), F.lit(0))

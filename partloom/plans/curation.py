@@ -11,7 +11,8 @@ from partloom.operators.ordered import global_row_number
 from partloom.plans import tables as t
 from partloom.plans.registry import query
 from partloom.plans.tables import SQL, q6, r6, views
-from partloom.session import checkpointed
+from partloom.session import checkpointed, scratch_path
+from partloom.sources.commits import CommitStore
 
 IMAGES_ROOT = "data/images"
 # Masks of 8 x 8 images need other bounds than full frames for every reason to occur.
@@ -318,9 +319,9 @@ def clarity(spark, d):
 
 @query(
     "masked_pixels",
-    views("fx_masks")
-    + "SELECT p.object_id, p.y, p.x, " + q6("CASE WHEN m.x IS NULL THEN 0 ELSE v END") + """ AS v
-FROM fx_pixels p LEFT JOIN fx_masks m USING (object_id, y, x)""",
+    "SELECT object_id, y, x, " + q6("CASE WHEN (abs(x - 3.5) <= 2 AND abs(y - 3.5) <= 2 AND v > -0.15) OR v > 0.22 THEN v ELSE 0 END") + """ AS v
+FROM (SELECT vec_id AS object_id, (i - 1) // 8 AS y, (i - 1) % 8 AS x, v::DOUBLE AS v
+  FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings))""",
 )
 def masked_pixels(spark, d):
     shown = msk.masked_pixels(t.pixels(spark, d), t.masks(spark, d))
@@ -354,21 +355,33 @@ def rule_filter(spark, d):
     return judged.select("annotation_id", "touches_border", F.array_join("reasons", ",").alias("reasons"), "passed")
 
 
+CANDIDATE = "object_id string, category_name string, passed boolean, reasons array<string>, candidate_meta_path string"
+
+
 @query(
     "candidate_summary",
     views("fx_outcomes")
     + """SELECT outcome, count(*) AS num_records, count(*) FILTER (outcome = 'pass') AS num_passed,
-  min(object_id || '/candidate/candidate_meta.json') AS first_meta FROM fx_outcomes GROUP BY outcome""",
+  min(object_id || '/candidate/candidate_meta.json') AS first_meta, (SELECT count(*) FROM fx_outcomes) AS total_records,
+  (SELECT count(*) FROM fx_outcomes WHERE outcome = 'pass') AS num_reviews FROM fx_outcomes GROUP BY outcome""",
 )
 def candidate_summary(spark, d):
-    results = t.outcomes(spark, d).withColumn("passed", F.col("outcome") == "pass").withColumn(
-        "reasons", F.array("outcome")
+    """Candidate rows, their summary and the review list, committed together and read back."""
+    results = checkpointed(t.outcomes(spark, d), "outcomes").withColumns(
+        {"passed": F.col("outcome") == "pass", "reasons": F.array("outcome"), "short_reason": F.lit("")}
     )
     rows = msk.candidate_results(results)
-    return rows.groupBy(F.get("reasons", F.lit(0)).alias("outcome")).agg(
-        F.count(F.lit(1)).alias("num_records"),
-        F.count_if("passed").alias("num_passed"),
-        F.min("candidate_meta_path").alias("first_meta"),
+    store = CommitStore(spark, scratch_path(spark, "candidates"))
+    tables = {"candidates": rows, "summary": msk.candidate_summary(rows), "review": msk.review_list(results.filter("passed")).select("object_id", "source_image_path")}
+    for _ in range(2):  # a retry adds nothing
+        store.commit("candidates", tables)
+    total = store.read("summary", "num_records bigint, num_passed bigint").agg(F.sum("num_records")).scalar()
+    reviews = store.read("review", "object_id string, source_image_path string").agg(F.count(F.lit(1))).scalar()
+    return (
+        store.read("candidates", CANDIDATE)
+        .groupBy(F.get("reasons", F.lit(0)).alias("outcome"))
+        .agg(F.count(F.lit(1)).alias("num_records"), F.count_if("passed").alias("num_passed"), F.min("candidate_meta_path").alias("first_meta"))
+        .withColumns({"total_records": total, "num_reviews": reviews})
     )
 
 

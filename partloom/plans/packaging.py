@@ -6,14 +6,17 @@ import json
 
 from pyspark.sql import functions as F
 
+from partloom import fixed_values as fixed
 from partloom.config import FusionConfig
-from partloom.operators import audit, packaging as pack
+from partloom.functions import names
+from partloom.operators import audit, packaging as pack, prompts
 from partloom.plans import tables as t
 from partloom.plans.registry import query
 from partloom.plans.scalars import object_files
-from partloom.plans.tables import SQL, views
-from partloom.session import scratch_path
+from partloom.plans.tables import SQL, sql_fill, views
+from partloom.session import checkpointed, scratch_path
 from partloom.sources import writers
+from partloom.sources.commits import CommitStore
 
 # Prompted parts of an object (one per event type) and the parts that have scores.
 SQL["fx_prompted"] = """
@@ -167,6 +170,28 @@ def dataset_stats(spark, d):
     return pack.dataset_stats(packaged(spark, d).withColumn("num_instructions", F.lit(3)))
 
 
+SAMPLE = "part_sample_id string, object_id string, part_name string, object_dir string, part_instances_path string"
+BUILD = "num_requested bigint, num_failed bigint, num_part_samples bigint, num_completed bigint"
+
+
+def committed_build(spark, d):
+    """Dataset index, failure list and summary of a build, under one commit that is tried twice."""
+    requested = t.table(spark, d, "events").select(F.col("user_id").alias("object_id")).distinct()
+    failed = requested.filter("object_id % 9 = 0")
+    text = F.col("object_id").cast("string")
+    completed = requested.join(failed, "object_id", "left_anti").withColumn("object_id", text)
+    index = pack.dataset_index(completed, packaged(spark, d).withColumn("object_id", text))
+    tables = {
+        "part_samples": index.select("part_sample_id", "object_id", "part_name", "object_dir", "part_instances_path"),
+        "failures": failed.select(text.alias("object_id"), F.concat(F.lit("stage failed for "), text).alias("error")),
+        "summary": pack.build_summary(requested, failed, index).select("num_requested", "num_failed", "num_part_samples", "num_completed"),
+    }
+    store = CommitStore(spark, scratch_path(spark, "dataset"))
+    store.commit("build", tables, bucket_by="object_id")
+    store.commit("build", tables, bucket_by="object_id")  # a retry adds nothing
+    return store
+
+
 @query(
     "dataset_index",
     views("fx_packaged")
@@ -176,18 +201,64 @@ def dataset_stats(spark, d):
   (SELECT count(DISTINCT user_id) FILTER (user_id % 9 = 0) FROM events) AS num_failed FROM fx_packaged WHERE object_id % 9 <> 0""",
 )
 def dataset_index(spark, d):
-    requested = t.table(spark, d, "events").select(F.col("user_id").alias("object_id")).distinct()
-    failed = requested.filter("object_id % 9 = 0")
-    text = F.col("object_id").cast("string")
-    completed = requested.join(failed, "object_id", "left_anti").withColumn("object_id", text)
-    index = pack.dataset_index(completed, packaged(spark, d).withColumn("object_id", text))
+    store = committed_build(spark, d)
     names = ("num_part_samples", "num_completed", "num_failed")
-    summary = pack.build_summary(requested, failed, index).select(F.struct(*names).alias("s")).scalar()
-    return index.withColumn("_s", summary).select(
+    summary = store.read("summary", BUILD).select(F.struct(*names).alias("s")).scalar()
+    return store.read("part_samples", SAMPLE).withColumn("_s", summary).select(
         "part_sample_id", "object_dir", "part_instances_path", *[f"_s.{n}" for n in names]
     )
 
 
+@query(
+    "build_failures",
+    """SELECT user_id::VARCHAR AS object_id, 'stage failed for ' || user_id AS error, 1::BIGINT AS num_commits
+FROM events WHERE user_id % 9 = 0 GROUP BY user_id""",
+)
+def build_failures(spark, d):
+    """The failure list that the build left, with the number of commits that hold it."""
+    store = committed_build(spark, d)
+    commits = store.manifests().filter("name = 'failures'").agg(F.count(F.lit(1))).scalar()
+    return store.read("failures", "object_id string, error string").withColumn("num_commits", commits)
+
+
+PACKAGE = "object_id bigint, category_name string, object_dir string, num_part_samples bigint"
+INSTANCE = "part_sample_id string, object_id bigint, part_name string, part_pos bigint"
+INSTRUCTION = "part_sample_id string, object_id bigint, instruction_pos bigint, instruction string"
+
+
+@query(
+    "package_records",
+    views("fx_packaged")
+    + f"""SELECT object_id, category_name, count(*) AS num_part_samples, min(part_name) AS first_part, 3 * count(*) AS num_instructions,
+  min({{first}}) AS first_instruction, 2::BIGINT AS num_commits FROM fx_packaged GROUP BY object_id, category_name""".replace(
+        "{first}", sql_fill(fixed.FALLBACK_INSTRUCTIONS[0], {"object": "replace(category_name, '_', ' ')", "part": "replace(part_name, '_', ' ')", "prompt": "'the ' || part_name || ' of the ' || category_name"})
+    ),
+)
+def package_records(spark, d):
+    """Object manifests, part instances and instruction records, written in two commits and read back."""
+    parts = packaged(spark, d).withColumn("prompt", names.base_part_prompt(F.col("category_name"), F.col("part_name")))
+    none = parts.select("part_sample_id", F.lit(0).alias("pos"), F.lit("").alias("raw"))
+    store = CommitStore(spark, scratch_path(spark, "packages"))
+    for share in (0, 1):
+        mine = checkpointed(parts.filter(F.pmod("object_id", F.lit(2)) == share), "package-parts")
+        spoken = prompts.complete_instructions(none, mine.withColumn("object_name", F.col("category_name")), 3)
+        manifest = mine.groupBy("object_id", "category_name").agg(F.count(F.lit(1)).alias("num_part_samples"))
+        tables = {
+            "object_manifest": manifest.select("object_id", "category_name", F.concat(F.lit("objects/"), "object_id").alias("object_dir"), "num_part_samples"),
+            "part_instances": mine.select("part_sample_id", "object_id", "part_name", "part_pos"),
+            "part_instructions": spoken.join(mine.select("part_sample_id", "object_id"), "part_sample_id").select("part_sample_id", "object_id", "instruction_pos", "instruction"),
+        }
+        for _ in range(2):  # a retry adds nothing
+            store.commit(f"share-{share}", tables, bucket_by="object_id")
+    listed = store.read("part_instances", INSTANCE).groupBy("object_id").agg(F.min("part_name").alias("first_part"))
+    spoken = store.read("part_instructions", INSTRUCTION).groupBy("object_id").agg(
+        F.count(F.lit(1)).alias("num_instructions"), F.min(F.when(F.col("instruction_pos") == 0, F.col("instruction"))).alias("first_instruction")
+    )
+    commits = store.manifests().select("commit").distinct().agg(F.count(F.lit(1))).scalar()
+    whole = store.read("object_manifest", PACKAGE).drop("object_dir").join(listed, "object_id").join(spoken, "object_id")
+    return whole.withColumn("num_commits", commits)
+
+
 @query(
     "benchmark_subset",
     views("fx_packaged") + "SELECT DISTINCT object_id FROM fx_packaged WHERE object_id % 9 <> 0",
@@ -242,25 +313,42 @@ def file_inventory(spark, d):
 _TEXT = "suffix IN ('.cff', '.css', '.html', '.json', '.md', '.py', '.sh', '.svg', '.toml', '.ts', '.tsx', '.txt', '.yaml', '.yml')"
 
 
-@query(
-    "release_audit",
-    views("fx_inventory")
-    + f"""SELECT path, 'generated directory is not allowed' AS violation FROM fx_inventory WHERE list_has_any(string_split(path, '/'),
+SQL["fx_violations"] = f"""SELECT path, 'generated directory is not allowed' AS violation FROM fx_inventory WHERE list_has_any(string_split(path, '/'),
   ['__pycache__', '.pytest_cache', 'artifacts', 'checkpoints', 'outputs'])
 UNION ALL SELECT path, 'binary model or secret file is not allowed' FROM fx_inventory WHERE suffix IN ('.ckpt', '.pem', '.pth', '.pt', '.safetensors')
 UNION ALL SELECT path, 'file exceeds 10 MiB' FROM fx_inventory WHERE size > 10485760
 UNION ALL SELECT path, 'machine-specific absolute path found' FROM fx_inventory WHERE {_TEXT} AND regexp_matches(content, '/(?:disk|mnt)/')
 UNION ALL SELECT path, 'possible embedded secret found' FROM fx_inventory WHERE {_TEXT} AND regexp_matches(content,
   '(?i)(?:api[_-]?key|access[_-]?token|secret)\\s*[:=]\\s*[''"][A-Za-z0-9_./+-]{{16,}}[''"]')
-UNION ALL SELECT doc_id || '/README.md', 'missing required path' FROM documents WHERE doc_id % 100 = 0""",
-)
+UNION ALL SELECT doc_id || '/README.md', 'missing required path' FROM documents WHERE doc_id % 100 = 0"""
+
+
+@query("release_audit", views("fx_violations") + "SELECT path, violation FROM fx_violations")
 def release_audit(spark, d):
+    return audit.release_audit(t.files(spark, d), required_paths(spark, d))
+
+
+def required_paths(spark, d):
     required = t.table(spark, d, "documents").filter("doc_id % 100 = 0").select(
         F.concat(F.col("doc_id").cast("string"), F.lit("/README.md")).alias("path")
     )
     # Folders of existing files are there, although no file has their path.
     folders = t.files(spark, d).select(F.regexp_replace("path", "/[^/]*$", "").alias("path")).distinct()
-    return audit.release_audit(t.files(spark, d), required.unionByName(folders))
+    return required.unionByName(folders)
+
+
+@query(
+    "release_report",
+    views("fx_violations")
+    + """SELECT 'error' AS level, violation || ': ' || path AS message FROM fx_violations
+UNION ALL SELECT 'warning', 'missing publication metadata: CITATION.cff'""",
+)
+def release_report(spark, d):
+    """Row rules and the metadata rule in one report; of the metadata files only the license is there."""
+    files = t.files(spark, d)
+    smallest = files.agg(F.min(F.struct("path", *[c for c in files.columns if c != "path"])).alias("f"))
+    license_file = smallest.select("f.*").withColumns({"path": F.lit("LICENSE"), "content": F.lit("terms"), "size": F.lit(5).cast(files.schema["size"].dataType)})
+    return audit.release_report(files.unionByName(license_file.select(*files.columns)), required_paths(spark, d))
 
 
 @query(

@@ -12,6 +12,7 @@ from partloom.plans.registry import query
 from partloom.plans.tables import views
 from partloom.session import scratch_path
 from partloom.sources import documents, schemas, writers
+from partloom.sources.commits import CommitStore
 from partloom.streaming import progress
 
 
@@ -127,6 +128,57 @@ def scan_sidecars(spark, d):
     return listed.select("object_id", F.col("part_pos").cast("bigint").alias("part_pos"), "part_name", "prompt")
 
 
+@query(
+    "scan_sidecar_records",
+    """SELECT printf('object_%06d', s_suppkey) AS object_id, 1 + s_suppkey % 3 AS num_views, 30.0 * (s_suppkey % 3) + s_nationkey AS last_yaw,
+  2 AS num_targets, (s_suppkey % 2 = 0)::INT + 1 AS num_masks, 600 + s_suppkey % 5 AS width, printf('%08d', s_suppkey) AS image_name,
+  CASE WHEN s_suppkey % 10 = 0 THEN 2 ELSE 1 END AS num_versions FROM supplier""",
+)
+def scan_sidecar_records(spark, d):
+    """Camera, segmentation and source records of every object, compacted from its files and scanned; some files change."""
+    i = F.col("s_suppkey")
+    rows = t.table(spark, d, "supplier").select(t.object_name("s_suppkey").alias("object_id"), "s_suppkey", "s_nationkey")
+
+    def view(v):
+        yaw = (v * 30.0 + F.col("s_nationkey")).cast("double")
+        return F.struct(F.format_string("view_%03d", v).alias("view_id"), yaw.alias("yaw_deg"), F.lit(60.0).alias("fov_deg"))
+
+    def target(k, has_mask):
+        return F.struct(F.lit("view_000").alias("view_id"), F.lit(f"part_{k}").alias("part_name"), F.lit(0.5).alias("score"), has_mask.alias("has_mask"))
+
+    cameras = F.struct("object_id", F.transform(F.sequence(F.lit(0), i % 3), lambda v: view(v.cast("int"))).alias("views"))
+    results = F.array(target(0, F.lit(True)), target(1, i % 2 == 0))
+    segmentation = F.struct("object_id", F.lit("completed").alias("status"), results.alias("target_results"))
+
+    def source(width):
+        size = F.struct(width.alias("width"), F.lit(480).alias("height"))
+        return F.struct("object_id", F.format_string("%08d", i).alias("original_image_path"), size.alias("image_size"))
+
+    kinds = {
+        "cameras": ("render", cameras, schemas.CAMERAS), "segmentation": ("seg2d", segmentation, schemas.SEGMENTATION_META),
+        "source": ("source", source(F.lit(1)), schemas.SOURCE_META),
+    }
+    root = scratch_path(spark, "sidecar-files")
+    store = CommitStore(spark, scratch_path(spark, "sidecar-records"))
+    docs = {}
+    for kind, (stage, record, schema) in kinds.items():
+        writers.write_sidecars(rows.filter(i % 10 == 0).select("object_id", F.to_json(record).alias("value")), f"{root}/first/{kind}", stage)
+        documents.compact_sidecars(spark, f"{root}/first/{kind}/*/*", store, kind, f"{kind}-1")
+        documents.compact_sidecars(spark, f"{root}/first/{kind}/*/*", store, kind, f"{kind}-2")  # nothing is new
+        later = source(600 + i % 5) if kind == "source" else record
+        writers.write_sidecars(rows.select("object_id", F.to_json(later).alias("value")), f"{root}/second/{kind}", stage)
+        documents.compact_sidecars(spark, f"{root}/second/{kind}/*/*", store, kind, f"{kind}-3")
+        docs[kind] = documents.read_sidecars(store, kind, schema)
+    views = docs["cameras"].select("object_id", F.size("doc.views").alias("num_views"), F.element_at("doc.views", -1)["yaw_deg"].alias("last_yaw"))
+    masks = docs["segmentation"].select(
+        "object_id", F.size("doc.target_results").alias("num_targets"), F.size(F.filter("doc.target_results", lambda r: r["has_mask"])).alias("num_masks")
+    )
+    images = docs["source"].select(
+        "object_id", F.col("doc.image_size.width").cast("int").alias("width"), F.col("doc.original_image_path").alias("image_name"), F.col("num_versions").cast("int").alias("num_versions")
+    )
+    return views.join(masks, "object_id").join(images, "object_id")
+
+
 @query(
     "label_tables",
     views("fx_best")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from partloom.session import scratch_path
 from partloom.sources import schemas
+from partloom.sources.commits import CommitStore
 
 
 @dataclass(frozen=True)
@@ -104,8 +105,40 @@ def scan_manifest(spark: SparkSession, path: str, row_schema: str = schemas.MANI
 def scan_sidecars(spark: SparkSession, glob: str, schema: str) -> DataFrame:
     """Per-object JSON files; `object_id` is the name of the folder the file (or its stage folder) is in."""
     texts = spark.read.format("text").option("wholetext", True).load(glob)
-    folder = F.regexp_extract("_metadata.file_path", r"/(?:object=)?([^/=]+)/(?:stage=)?(?:source|prompt|render|seg2d|project3d|label3d)/[^/]+$", 1)
-    return texts.select(folder.alias("object_id"), F.from_json("value", schema).alias("doc"))
+    return texts.select(object_folder(F.col("_metadata.file_path")).alias("object_id"), F.from_json("value", schema).alias("doc"))
+
+
+def object_folder(path: Column) -> Column:
+    return F.regexp_extract(path, r"/(?:object=)?([^/=]+)/(?:stage=)?(?:source|prompt|render|seg2d|project3d|label3d)/[^/]+$", 1)
+
+
+SIDECAR = "object_id string, path string, modified timestamp, size bigint, doc string"
+
+
+def compact_sidecars(spark: SparkSession, glob: str, store: CommitStore, kind: str, commit: str) -> bool:
+    """Gathers per-object files into bucketed records, one table per kind, with the files they come from.
+
+    Files that the store holds with the same time and size are left out, so a later run takes what is new or changed;
+    False if there is nothing. The listing alone decides that; texts are read only of what is taken.
+    """
+    known = store.read(kind, SIDECAR).select("path", "modified", "size")
+    listed = spark.read.format("binaryFile").load(glob).select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
+    fresh = listed.join(known, ["path", "modified", "size"], "left_anti")
+    if fresh.isEmpty():
+        return False
+    texts = spark.read.format("text").option("wholetext", True).load(glob)
+    rows = texts.select(
+        object_folder(F.col("_metadata.file_path")).alias("object_id"), F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_size").alias("size"), F.col("value").alias("doc"),
+    )
+    return store.commit(commit, {kind: rows.join(known, ["path", "modified", "size"], "left_anti").select("object_id", "path", "modified", "size", "doc")}, bucket_by="object_id")
+
+
+def read_sidecars(store: CommitStore, kind: str, schema: str) -> DataFrame:
+    """`(object_id, doc, num_versions)`: the latest record of each object, parsed, and how many files it had."""
+    latest = F.max_by("doc", F.struct("modified", "path")).alias("_doc")
+    rows = store.read(kind, SIDECAR).groupBy("object_id").agg(latest, F.count(F.lit(1)).alias("num_versions"))
+    return rows.select("object_id", F.from_json("_doc", schema).alias("doc"), "num_versions")
 
 
 def exploded(docs: DataFrame, array: str, pos: str) -> DataFrame:

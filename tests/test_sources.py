@@ -7,6 +7,7 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from partloom.config import RetryConfig
 from partloom.operators import audit, inference, packaging, pseudo
 from partloom.sources import documents, schemas, writers
+from partloom.sources.commits import CommitStore
 from partloom.streaming import progress
 
 
@@ -69,6 +70,69 @@ def test_sidecars_take_the_id_from_the_folder(spark, tmp_path):
     assert got == [(o, i, p) for o in ("object_000001", "object_000002") for i, p in enumerate(("seat", "leg"))]
 
 
+def test_commits_are_whole_and_a_retry_adds_nothing(spark, tmp_path):
+    store = CommitStore(spark, str(tmp_path / "store"))
+    schema = "object_id bigint, v string"
+    assert store.read("a", schema).count() == 0 and store.manifests().count() == 0
+    one = spark.createDataFrame([(1, "x"), (2, "y")], schema)
+    assert store.commit("first", {"a": one, "b": one.limit(0)}, bucket_by="object_id")
+    assert not store.commit("first", {"a": one, "b": one})
+    broken = one.withColumn("v", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        store.commit("second", {"a": one, "b": broken})
+    # The half-written attempt is on disk, but no manifest names it.
+    assert store.read("a", schema).count() == 2 and store.read("b", schema).count() == 0
+    assert store.commit("second", {"a": one.withColumn("v", F.lit("z")), "b": one})
+    assert sorted(tuple(r) for r in store.read("a", schema).collect()) == [(1, "x"), (1, "z"), (2, "y"), (2, "z")]
+    assert store.read("a", schema, ["second"]).count() == 2
+    assert {(r["commit"], r["name"]): r["rows"] for r in store.manifests().collect()} == {("first", "a"): 2, ("first", "b"): 0, ("second", "a"): 2, ("second", "b"): 2}
+
+
+def test_sidecars_are_compacted_once(spark, tmp_path):
+    store = CommitStore(spark, str(tmp_path / "store"))
+    glob = str(tmp_path / "objects" / "*" / "prompt" / "*.json")
+
+    def put(obj, names):
+        folder = tmp_path / "objects" / obj / "prompt"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / "part_prompts.json").write_text(json.dumps({"parts": [{"part_name": n} for n in names]}, indent=1))
+
+    def held():
+        return {r["object_id"]: ([p["part_name"] for p in r["doc"]["parts"]], r["num_versions"]) for r in documents.read_sidecars(store, "prompts", schemas.PART_PROMPTS).collect()}
+
+    put("o1", ["seat"])
+    put("o2", ["leg"])
+    assert documents.compact_sidecars(spark, glob, store, "prompts", "c1") and held() == {"o1": (["seat"], 1), "o2": (["leg"], 1)}
+    assert not documents.compact_sidecars(spark, glob, store, "prompts", "c2")
+    put("o3", ["arm"])
+    put("o2", ["leg", "back"])
+    assert documents.compact_sidecars(spark, glob, store, "prompts", "c3")
+    assert held() == {"o1": (["seat"], 1), "o2": (["leg", "back"], 2), "o3": (["arm"], 1)}
+    assert {r["commit"]: r["rows"] for r in store.manifests().collect()} == {"c1": 2, "c3": 2}
+
+
+def test_a_batch_reads_only_the_folders_of_its_keys(spark, tmp_path):
+    finished = progress.FinishedUnits(spark, str(tmp_path / "finished"), ["unit"], 64)
+    units = spark.range(5000).selectExpr("CAST(id AS STRING) AS unit")
+    assert finished.among(units, 0).count() == 0
+    finished.add(units, 0)
+    few = units.filter("unit IN ('17', '4000')")
+    read = finished.among(few, 1)
+    assert len(read.inputFiles()) <= 2 and read.count() < 400
+    assert few.join(read, "unit", "left_anti").count() == 0
+    # What the batch itself has written in an earlier attempt doesn't count.
+    assert finished.among(few, 0).count() == 0
+    finished.add(few, 0)
+    assert finished.among(units, 1).count() >= 5000 - 2 * 5000 // 32
+
+
+def test_release_report_has_levels(spark):
+    files = spark.createDataFrame([("a.py", 5, "cd /mnt/store"), ("LICENSE", 5, "terms")], "path string, size bigint, content string")
+    got = [tuple(r) for r in audit.release_report(files).collect()]
+    assert sorted(got) == [("error", "machine-specific absolute path found: a.py"), ("warning", "missing publication metadata: CITATION.cff")]
+    assert {r["level"] for r in audit.release_report(files, strict=True).collect()} == {"error"}
+
+
 def test_release_tree(spark, tmp_path):
     files = {
         "README.md": b"fine",

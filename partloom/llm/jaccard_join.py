@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from partloom.llm.components import connected_components
 from partloom.llm.suffix_tree import LOWERED
+from partloom.llm.text import set_aside
 from partloom.session import checkpointed
 
 MEMO_WORDS = 400_000
@@ -573,8 +574,14 @@ def _open_keys(asked: DataFrame, indexed: DataFrame, labels: DataFrame) -> tuple
 def one_per_group(docs: DataFrame, join: Join = Join()) -> DataFrame:
     """`docs` without near-duplicates: of each component the document with the smallest id stays.
 
-    Rows with a null id all stay. Of repeated rows of one id one of each set of shingles stays.
+    Rows with a null id all stay. Of repeated rows of one id one of each set of shingles stays, the one with the
+    smallest text. Columns of any name and type are kept.
     """
+    docs, named_back = set_aside(docs, ["_rows", "_node", "_twin", "_first"])
+    return named_back(_first_of_groups(docs, join))
+
+
+def _first_of_groups(docs: DataFrame, join: Join) -> DataFrame:
     groups = similar_documents(docs, join).filter("doc_id is not null and doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
     groups = checkpointed(groups, "kept")
     rest = docs.filter(F.col("doc_id").isNull())
@@ -590,5 +597,5 @@ def one_per_group(docs: DataFrame, join: Join = Join()) -> DataFrame:
 
     schema = T.StructType([*docs.schema.fields, T.StructField("_node", T.LongType()), T.StructField("_twin", T.LongType())])
     repeated = docs.join(groups.filter("_rows > 1"), "doc_id", "left_semi").mapInArrow(name, schema)
-    first = repeated.groupBy("doc_id", "_node", "_twin").agg(F.min(F.struct(*docs.columns)).alias("_first")).select("_first.*")
+    first = repeated.groupBy("doc_id", "_node", "_twin").agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("_first")).select("_first.*")
     return docs.join(groups.filter("_rows = 1"), "doc_id", "left_semi").unionByName(first).unionByName(rest)

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from partloom.llm.text import word_count
+from partloom.llm.text import set_aside, word_count
 from partloom.operators.ordered import global_row_number
 from partloom.session import checkpointed
 
@@ -57,7 +57,7 @@ def mix(
     """What the mix takes of each document.
 
     `docs` has `doc_id`, `text` and `source`; of other columns only `_row`, a unique number of each row, is
-    kept if there is one. Rows without an id are then shuffled by their texts. Returns one row per document with
+    kept if there is one. Rows without an id are shuffled by their texts. Returns one row per document with
     `doc_id, source, size, source_size, target, served` and `taken`. `served` lists the words taken in each
     epoch with the virtual times at which the document starts and ends; `taken` is their sum. The document
     at the end of the budget is taken in part. Sizes are words; null and blank texts have size 0 and
@@ -68,7 +68,7 @@ def mix(
     shuffle key. Only the totals of chunks are added up in order; a window sorts the inside of one chunk.
     """
     row = [c for c in ("_row",) if c in docs.columns]
-    unnamed = F.md5(F.coalesce(F.col("text"), F.lit(""))) if row else F.lit("")
+    unnamed = F.md5(F.coalesce(F.col("text"), F.lit("")))
     key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), unnamed)))
     sized = checkpointed(docs.select(*row, "doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("_key")), "mix")
     totals = checkpointed(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
@@ -114,11 +114,12 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The mixed corpus: whole documents with all their columns, repeated per epoch, in order of virtual time.
 
     A document that the end of the budget cuts is there if at least half of it fits. Every row is a document of
-    its own, also with a null or repeated `doc_id`.
+    its own, also with a null or repeated `doc_id`. Columns of any name and type are kept.
     """
+    docs, named_back = set_aside(docs, ["_row", "_size", "_s", "_finish"])
     # The number is stored with the row, so that it is the same on both sides of the join.
     stored = checkpointed(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
     served = mix(stored, **settings).select("_row", F.col("size").alias("_size"), F.explode("served").alias("_s"))
     taken = served.filter(F.col("_s.words") * 2 >= F.col("_size")).select("_row", F.col("_s.finish").alias("_finish"))
     order = ["_finish", "doc_id", "_row"]
-    return stored.join(taken, "_row").repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)
+    return named_back(stored.join(taken, "_row").repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns))

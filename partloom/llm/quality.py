@@ -27,7 +27,7 @@ def repeated_words(tokens: Column, n: Column, width: int = WINDOW_WORDS) -> Colu
 
     Each window is one number: its hash with the place of the window in the lowest bits, as many as the
     text needs. Sorted, equal windows stand side by side, so the work is that of a sort, however often a
-    window repeats.
+    window repeats. Windows of equal numbers count only if their words are equal.
     """
     places = F.greatest(n, F.lit(2))
     bits = F.ceil(F.log2(places)).cast("int") + 1
@@ -38,6 +38,10 @@ def repeated_words(tokens: Column, n: Column, width: int = WINDOW_WORDS) -> Colu
             lambda i: F.call_function("shiftleft", F.xxhash64(F.slice(tokens, i, width)), state).bitwiseOR(i.cast("bigint")),
         )
 
+    def window(place: Column) -> Column:
+        # The last key has none after it, and its place is null.
+        return F.slice(tokens, F.greatest(F.coalesce(place, F.lit(1)), F.lit(1)).cast("int"), width)
+
     def twins(both: Column) -> Column:
         keys, shift = both["keys"], both["shift"]
         mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), shift) - 1
@@ -45,7 +49,8 @@ def repeated_words(tokens: Column, n: Column, width: int = WINDOW_WORDS) -> Colu
             keys,
             F.slice(keys, 2, F.size(keys)),
             lambda a, b: F.when(
-                F.call_function("shiftrightunsigned", a.bitwiseXOR(b), shift) == 0, F.array(a.bitwiseAND(mask), b.bitwiseAND(mask))
+                (F.call_function("shiftrightunsigned", a.bitwiseXOR(b), shift) == 0) & (window(a.bitwiseAND(mask)) == window(b.bitwiseAND(mask))),
+                F.array(a.bitwiseAND(mask), b.bitwiseAND(mask)),
             ),
         )
         return F.sort_array(F.array_distinct(F.flatten(F.filter(hit, lambda p: p.isNotNull()))))

@@ -27,7 +27,7 @@ WORDS_SQL = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
     "op6_mixing",
     rf"""
     WITH sized AS (
-        SELECT doc_id, source, {WORDS_SQL}::BIGINT AS size, md5(concat('mix:', coalesce(doc_id::VARCHAR, ''))) AS k FROM documents),
+        SELECT doc_id, source, {WORDS_SQL}::BIGINT AS size, md5(concat('mix:', coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))))) AS k FROM documents),
     totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
     weighted AS (
         SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT AS w, 3 * source_size AS lim FROM totals),

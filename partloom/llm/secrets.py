@@ -14,7 +14,7 @@ from functools import partial
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from partloom.llm.text import let
+from partloom.llm.text import let, set_aside
 from partloom.session import checkpointed
 
 # The kinds in their order of precedence, with pattern, measured group and its least length.
@@ -241,12 +241,13 @@ def redacted(text: Column, spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, model: SecretModel) -> DataFrame:
-    """`docs` with secrets masked in `text`, and `n_chars`, where there is one, of the new text."""
+    """`docs` with secrets masked in `text`, and `n_chars`, where there is one, of the new text; all else stays."""
+    docs, named_back = set_aside(docs, ["base_spans", "spans", "_added", "_masked"])
     masked = scan(docs, model).withColumn("_masked", redacted(F.col("text"), F.col("spans")))
     values = {"text": F.col("_masked")}
     if "n_chars" in docs.columns:
         values["n_chars"] = F.when(F.size("spans") > 0, F.length("_masked").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return masked.withColumns(values).select(*docs.columns)
+    return named_back(masked.withColumns(values).select(*docs.columns))
 
 
 def model_of(docs: DataFrame) -> SecretModel:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -33,3 +33,18 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body` of a value that is computed once, where the optimizer would copy it into each use."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def set_aside(df: DataFrame, names: Sequence[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """`df` with columns that bear one of `names` under other names, and a function that gives them theirs back."""
+    taken = {c.lower() for c in (*df.columns, *names)}
+    renamed = {}
+    for column in df.columns:
+        if column.lower() in {n.lower() for n in names}:
+            spare = column
+            while spare.lower() in taken:
+                spare += "_"
+            taken.add(spare.lower())
+            renamed[column] = spare
+    back = {v: k for k, v in renamed.items()}
+    return df.withColumnsRenamed(renamed), lambda out: out.withColumnsRenamed(back)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from partloom.llm import jaccard_join, language_crf, mixing, pieces, secrets
+from partloom.llm.text import set_aside
 from partloom.session import checkpointed
 
 LEAST_LANGUAGE_SCORE = 0.4
@@ -20,10 +21,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Texts without a letter go, and those in which no language reaches the least mean posterior.
     """
+    docs, named_back = set_aside(docs, ["language"])
     model = language_crf.train(language_crf.training_documents(docs))
     labelled = language_crf.predict(docs, model)
     found = (F.col("language.lang") != language_crf.UNDETERMINED) & (F.col("language.score") >= LEAST_LANGUAGE_SCORE)
-    return labelled.filter(found).withColumn("lang", F.coalesce("lang", "language.lang")).select(*docs.columns)
+    return named_back(labelled.filter(found).withColumn("lang", F.coalesce("lang", "language.lang")).select(*docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

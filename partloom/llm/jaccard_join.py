@@ -27,9 +27,9 @@ from partloom.llm.suffix_tree import LOWERED
 from partloom.llm.text import set_aside
 from partloom.session import checkpointed
 
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 SLICE_SHINGLES = 100_000
-HELD_KEYS = 2_000_000
+HELD_KEYS = 1_000_000
 CROWD, CROWD_BLOCK = 16, 1024  # sets of a key from which it is crowded, and sets in a block
 OFFERS = 2  # nearest sets of each block that a set of a crowd offers to first
 PLACES = 256  # of a sketch, with four bits each

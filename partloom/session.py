@@ -29,7 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/partloom-steps"
         spark.conf.set("spark.checkpoint.dir", configured)

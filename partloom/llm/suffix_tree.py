@@ -9,6 +9,10 @@ every token: tokens without training counts are one unknown symbol with the mass
 All counts cover all training texts, and the tree grows with them: states and entries are Spark tables. Hashes
 of 64 bits stand for words and sequences of words. What reaches the driver or every task is only a cache of the
 most frequent, at most one per share of all tokens, and bitmaps of fixed size.
+
+Most sequences occur once and are of no use. A first pass marks, in saturating counters of fixed number, the
+places that hashes of sequences meet twice; a second counts those sequences alone whose places are marked. Two
+sequences at one place cost work and change nothing, since counts go by the whole hash.
 """
 
 from __future__ import annotations
@@ -22,13 +26,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from partloom.llm.text import LOWER, UPPER
-from partloom.session import checkpointed
+from partloom.session import scratch_path
 
 LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
 FLUSH_ENTRIES = 500_000
+BLOCK_BITS = 16  # counters of a block, as a power of two
 END = b""  # the token at the end of every text; words are never empty
 
 
@@ -39,27 +44,8 @@ class Shares:
     head: float = 2e-6  # share of all tokens from which a word or sequence has its value in every task
     least: int = 2  # occurrences of a context and next token together
     depth: int = 3  # tokens of the longest context
-    filter_bits: int = 1 << 26  # bound of each bitmap that tasks get
-
-
-@dataclass(frozen=True)
-class SuffixTree:
-    """A tree of depth two in memory. Tokens are numbered by frequency. `factor1[a]` and `factor2` are log10 factors for what a state does not list.
-
-    States of two tokens are `codes2 = a * double + b` in order; entries are `(state code) * listed + next`.
-    """
-
-    root: np.ndarray
-    singles: int
-    doubles: int
-    listed: int
-    factor1: np.ndarray  # nan: no state
-    entries1: np.ndarray
-    values1: np.ndarray
-    codes2: np.ndarray
-    factor2: np.ndarray
-    entries2: np.ndarray
-    values2: np.ndarray
+    counters: int = 1 << 29  # places that mark what occurs twice; tasks get a bit of each
+    filter_bits: int = 1 << 27  # bits that tell what has a value
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -69,12 +55,29 @@ def tokens_of(text: str | None) -> list[bytes]:
     return tokens
 
 
+class _Steps:
+    """Tables in the shared folder that cut lineage, each deleted once nothing reads it any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        path = self.paths[name] = scratch_path(self.spark, name)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def free(self, *names: str) -> None:
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _batch(columns: dict[str, tuple[object, pa.DataType]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns.values()], names=list(columns))
 
 
 def vocabulary(docs: DataFrame, trained: Column) -> DataFrame:
-    """`(word, gram, c, n)`: hash, occurrences in training texts and in all texts. Counts are summed per task before the shuffle."""
+    """`(gram, c, n)`: hash of a word, occurrences in training texts and in all texts. Counts are summed per task before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = {True: Counter(), False: Counter()}
@@ -86,9 +89,8 @@ def vocabulary(docs: DataFrame, trained: Column) -> DataFrame:
             for at in range(0, len(words), 50_000):
                 part = numbers[at : at + 50_000]
                 own = part if known else [0] * len(part)
-                names = words[at : at + 50_000]
-                grams = [hashes[w] for w in names]
-                yield _batch({"word": (names, pa.binary()), "gram": (grams, pa.int64()), "c": (own, pa.int64()), "n": (part, pa.int64())})
+                grams = [hashes[w] for w in words[at : at + 50_000]]
+                yield _batch({"gram": (grams, pa.int64()), "c": (own, pa.int64()), "n": (part, pa.int64())})
             counts[known].clear()
 
         for batch in batches:
@@ -100,19 +102,8 @@ def vocabulary(docs: DataFrame, trained: Column) -> DataFrame:
             yield from flush(known)
 
     rows = docs.select("text", F.coalesce(trained, F.lit(False)).alias("trained"))
-    counted = rows.mapInArrow(count, "word binary, gram bigint, c bigint, n bigint")
-    return counted.groupBy("word", "gram").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
-
-
-def _contexts(ids: np.ndarray, first: np.ndarray, singles: int, doubles: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the contexts of one and two tokens before each token; -1 where there is none. `first` marks starts."""
-    before = np.concatenate([[-1], ids[:-1]])
-    before[first] = -1
-    earlier = np.concatenate([[-1], before[:-1]])
-    earlier[first] = -1
-    one = np.where(before < singles, before, -1)
-    two = np.where((before >= 0) & (before < doubles) & (earlier >= 0) & (earlier < doubles), earlier * doubles + before, -1)
-    return one, two
+    counted = rows.mapInArrow(count, "gram bigint, c bigint, n bigint")
+    return counted.groupBy("gram").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
 class _WordHashes(dict):
@@ -167,11 +158,83 @@ def _marked(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[places >> 6] >> (places & 63)) & 1 > 0
 
 
-def gram_counts(docs: DataFrame, trained: Column, n: int, shorter) -> DataFrame:
-    """`(gram, context, parent, c)`: how often `n` tokens follow each other in training texts.
+def _places(hashes: np.ndarray, counters: int) -> np.ndarray:
+    return (hashes.view(np.uint64) >> np.uint64(65 - counters.bit_length())).astype(np.uint32)
+
 
-    `context` are all tokens but the last, `parent` all but the first. Neither is rarer than the whole, so
-    what the bitmap `shorter` of the frequent ones does not know is not frequent itself and not counted.
+def repeated(docs: DataFrame, trained: Column, depth: int, counters: int) -> np.ndarray:
+    """A bit per counter: whether sequences of 2 to `depth + 1` training tokens meet it twice or more.
+
+    Tasks send each place they met, at most twice, as two bytes in the list of its block. The lists of a block
+    arrive one after another at one task, which holds the counters of one block at a time.
+    """
+    blocks, size = counters >> BLOCK_BITS, 1 << BLOCK_BITS
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, waiting = _WordHashes(), []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            places = np.sort(np.concatenate(waiting))
+            waiting.clear()
+            places = places[np.concatenate([[True, True], places[2:] != places[:-2]])[: len(places)]]
+            bounds = np.searchsorted(places, np.arange(blocks + 1, dtype=np.uint64) << np.uint64(BLOCK_BITS))
+            inside = (places & np.uint32(size - 1)).astype(np.uint16)
+            used = np.flatnonzero(np.diff(bounds))
+            for at in range(0, len(used), 1000):
+                part = used[at : at + 1000]
+                offsets = np.append(bounds[part], bounds[part[-1] + 1]).astype(np.int32) * 2
+                lists = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(offsets), pa.py_buffer(inside)])
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), lists], names=["block", "places"])
+
+        for batch in batches:
+            texts = batch.column("text")
+            for low in range(0, len(texts), 1000):
+                ids, starts = _hashed(texts.slice(low, 1000), hashes)
+                depths, grams = _depths(starts, len(ids)), ids
+                for n in range(2, depth + 2):
+                    grams = _longer(grams, ids, n)
+                    waiting.append(_places(grams[depths >= n - 1], counters))
+                if sum(len(x) for x in waiting) > 16 * FLUSH_ENTRIES:
+                    yield from flush()
+        if sum(len(x) for x in waiting):
+            yield from flush()
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_block, met = -1, np.zeros(size, dtype=np.uint8)
+
+        def packed() -> pa.RecordBatch:
+            bits = np.packbits(met > 1, bitorder="little").tobytes()
+            return _batch({"block": ([open_block], pa.int32()), "bits": ([bits], pa.binary())})
+
+        for batch in batches:
+            for block, places in zip(batch.column("block").to_pylist(), batch.column("places").to_pylist()):
+                if block != open_block:
+                    if open_block >= 0:
+                        yield packed()
+                    open_block, met[:] = block, 0
+                # In order, each place at most twice.
+                inside = np.frombuffer(places, dtype=np.uint16)
+                first = np.concatenate([[True], inside[1:] != inside[:-1]])
+                met[inside[first]] += 1
+                met[inside[~first]] += 1
+                np.minimum(met, 2, out=met)
+        if open_block >= 0:
+            yield packed()
+
+    rows = docs.filter(F.coalesce(trained, F.lit(False))).select("text")
+    lists = rows.mapInArrow(meet, "block int, places binary").repartition("block").sortWithinPartitions("block")
+    out = np.zeros((blocks, size // 8), dtype=np.uint8)
+    for batch in lists.mapInArrow(add_up, "block int, bits binary").toArrow().to_batches():
+        for block, bits in zip(batch.column("block").to_pylist(), batch.column("bits").to_pylist()):
+            out[block] = np.frombuffer(bits, dtype=np.uint8)
+    return out.reshape(-1)
+
+
+def gram_counts(docs: DataFrame, trained: Column, depth: int, counters: int, marks) -> DataFrame:
+    """`(length, gram, context, parent, c)`: how often 2 to `depth + 1` tokens follow each other in training texts, if twice or more.
+
+    `context` are all tokens but the last, `parent` all but the first. Neither is rarer than the whole, so only
+    sequences are counted that have a mark in `marks` (of `repeated`) and whose context and parent have one.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,46 +242,48 @@ def gram_counts(docs: DataFrame, trained: Column, n: int, shorter) -> DataFrame:
 
         def merged() -> np.ndarray:
             rows = np.concatenate(waiting, axis=1)
-            rows = rows[:, np.argsort(rows[0], kind="stable")]
-            firsts = np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1]]))
-            return np.vstack([rows[:3, firsts], np.add.reduceat(rows[3], firsts)])
+            rows = rows[:, np.argsort(rows[1], kind="stable")]
+            firsts = np.flatnonzero(np.concatenate([[True], rows[1, 1:] != rows[1, :-1]]))
+            return np.vstack([rows[:4, firsts], np.add.reduceat(rows[4], firsts)])
 
         def flush(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
             for at in range(0, rows.shape[1], 50_000):
-                yield _batch({k: (v[at : at + 50_000], pa.int64()) for k, v in zip(("gram", "context", "parent", "c"), rows)})
+                yield _batch({k: (v[at : at + 50_000], pa.int64()) for k, v in zip(("length", "gram", "context", "parent", "c"), rows)})
 
         for batch in batches:
             texts = batch.column("text")
             for low in range(0, len(texts), 1000):
                 ids, starts = _hashed(texts.slice(low, 1000), hashes)
-                grams = ids
-                for k in range(2, n):
-                    grams = _longer(grams, ids, k)
-                at = np.flatnonzero(_depths(starts, len(ids)) >= n - 1)
-                seen = _marked(shorter.value, grams)
-                at = at[seen[at] & seen[at - 1]]
-                found, first, c = np.unique(_longer(grams, ids, n)[at], return_index=True, return_counts=True)
-                at = at[first]
-                waiting.append(np.vstack([found, grams[at - 1], grams[at], c]).astype(np.int64))
+                depths, grams = _depths(starts, len(ids)), ids
+                marked = np.ones(len(ids), dtype=bool)
+                for n in range(2, depth + 2):
+                    shorter, grams = grams, _longer(grams, ids, n)
+                    at = np.flatnonzero(marked[1:] & marked[:-1] & (depths[1:] >= n - 1)) + 1
+                    places = _places(grams[at], counters)
+                    at = at[(marks.value[places >> 3] >> (places & 7).astype(np.uint8)) & 1 > 0]
+                    marked = np.zeros(len(ids), dtype=bool)
+                    marked[at] = True
+                    waiting.append(np.vstack([np.full(len(at), n), grams[at], shorter[at - 1], shorter[at], np.ones(len(at), dtype=np.int64)]))
                 if sum(x.shape[1] for x in waiting) > 4 * FLUSH_ENTRIES:
                     waiting = [merged()]
                     if waiting[0].shape[1] > 2 * FLUSH_ENTRIES:
                         yield from flush(waiting.pop())
-        if waiting and sum(x.shape[1] for x in waiting):
+        if sum(x.shape[1] for x in waiting):
             yield from flush(merged())
 
     rows = docs.filter(F.coalesce(trained, F.lit(False))).select("text")
-    counted = rows.mapInArrow(count, "gram bigint, context bigint, parent bigint, c bigint")
-    return counted.groupBy("gram", "context", "parent").agg(F.sum("c").alias("c"))
+    counted = rows.mapInArrow(count, "length bigint, gram bigint, context bigint, parent bigint, c bigint")
+    return counted.groupBy("length", "gram", "context", "parent").agg(F.sum("c").alias("c"))
 
 
-def _level(counts: DataFrame, shorter: DataFrame, penalty: float, n: int) -> tuple[DataFrame, DataFrame]:
-    """States `(gram, c, value)` of `n - 1` tokens, and `(gram, c, p, value)` of `n` tokens, both stored.
+def _level(steps: _Steps, counts: DataFrame, shorter: DataFrame, penalty: float, n: int) -> tuple[DataFrame, DataFrame]:
+    """States `(gram, c, factor)` of `n - 1` tokens, and `(gram, c, p, value)` of `n` tokens, both stored.
 
     `shorter` has `gram, c, p` for one token less: the probability `p` of the last token after the others, by
     the longest state. As no part of a sequence is rarer than the whole, each context and parent is there.
     """
-    expected = checkpointed(counts.join(shorter.select(F.col("gram").alias("parent"), F.col("p").alias("e")), "parent").drop("parent"), f"expected-{n}")
+    expected = counts.join(shorter.select(F.col("gram").alias("parent"), F.col("p").alias("e")), "parent").drop("parent")
+    expected = steps.store(expected, "expected")
     sums = expected.groupBy("context").agg(
         F.count(F.lit(1)).alias("k"), F.sum("c").alias("listed"), F.sum("e").alias("mass"), F.sum(F.col("c") * F.log(F.col("c") / F.col("e"))).alias("g")
     )
@@ -230,74 +295,13 @@ def _level(counts: DataFrame, shorter: DataFrame, penalty: float, n: int) -> tup
     gain += F.when(F.col("rest") > 0, F.col("rest") * F.log(F.col("rest") / F.col("total") / F.col("left"))).otherwise(0.0)
     own = (F.col("listed") + F.col("weight") * F.col("mass")) / (F.col("total") + F.col("weight"))
     factor = F.log10(F.greatest(F.lit(1e-12), 1 - own) / F.col("left"))
-    states = checkpointed(both.filter(gain > penalty * F.col("k")).select("context", "total", "weight", factor.alias("factor")), f"states-{n}")
+    states = steps.store(both.filter(gain > penalty * F.col("k")).select("context", "total", "weight", factor.alias("factor")), f"states-{n}")
     p = F.coalesce((F.col("c") + F.col("weight") * F.col("e")) / (F.col("total") + F.col("weight")), F.col("e"))
     entries = expected.join(states, "context", "left").select("gram", "c", "e", "factor", p.alias("p"))
     entries = entries.select("gram", "c", "p", (F.log10(F.col("p") / F.col("e")) - F.col("factor")).alias("value"))
-    return states.select(F.col("context").alias("gram"), F.col("total").alias("c"), F.col("factor").alias("value")), checkpointed(entries, f"entries-{n}")
-
-
-def build(
-    root_counts: np.ndarray, tokens: int, kinds: int, pairs: dict[int, int], triples: dict[int, int], singles: int, doubles: int, listed: int
-) -> SuffixTree:
-    """The tree in memory, for few tokens, from counts of tokens, pairs and triples; `root_counts` are those of the numbered tokens.
-
-    A context becomes a state if `N * KL(own || parent's)`, over the tokens it lists and the rest, is above
-    what the listed probabilities cost by the Bayesian information criterion.
-    """
-    unknown = kinds / (tokens + kinds) if kinds else 1.0
-    linear_root = np.where(root_counts > 0, root_counts / max(1.0, float(tokens + kinds)), unknown)
-    penalty = 0.5 * math.log(max(tokens, 2))
-
-    def grouped(counts: dict[int, int]) -> dict[int, list[tuple[int, int]]]:
-        out: dict[int, list[tuple[int, int]]] = {}
-        for code in sorted(counts):
-            out.setdefault(code // listed, []).append((code % listed, counts[code]))
-        return out
-
-    linear: dict[tuple[int, ...], tuple[dict[int, float], float]] = {}
-
-    def probability(state: tuple[int, ...], token: int) -> float:
-        if state and state in linear:
-            entries, factor = linear[state]
-            return entries[token] if token in entries else factor * probability(state[1:], token)
-        return probability(state[1:], token) if state else float(linear_root[token])
-
-    def consider(state: tuple[int, ...], total: int, followers: list[tuple[int, int]]) -> None:
-        parent = state[1:]
-        total = max(total, sum(c for _, c in followers))
-        expected = {x: probability(parent, x) for x, _ in followers}
-        rest, rest_expected = total - sum(c for _, c in followers), max(1e-12, 1 - sum(expected.values()))
-        gain = sum(c * math.log(c / total / expected[x]) for x, c in followers)
-        gain += rest * math.log(rest / total / rest_expected) if rest > 0 else 0.0
-        if gain <= penalty * len(followers):
-            return
-        weight = len(followers) + 1.0
-        entries = {x: (c + weight * expected[x]) / (total + weight) for x, c in followers}
-        linear[state] = (entries, max(1e-12, 1 - sum(entries.values())) / rest_expected)
-
-    for a, followers in grouped(pairs).items():
-        consider((a,), int(root_counts[a]), followers)
-    for ab, followers in grouped(triples).items():
-        a, b = divmod(ab, doubles)
-        consider((a, b), pairs.get(a * listed + b, 0), followers)
-
-    factor1 = np.full(singles + 1, np.nan)
-    listed1, listed2, states2 = [], [], []
-    for state, (entries, factor) in linear.items():
-        if len(state) == 1:
-            factor1[state[0]] = math.log10(factor)
-            listed1 += [(state[0] * listed + x, math.log10(p)) for x, p in entries.items()]
-        else:
-            code = state[0] * doubles + state[1]
-            states2.append((code, math.log10(factor)))
-            listed2 += [(code * listed + x, math.log10(p)) for x, p in entries.items()]
-
-    def arrays(rows: list[tuple[int, float]]) -> tuple[np.ndarray, np.ndarray]:
-        rows.sort()
-        return np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.float64)
-
-    return SuffixTree(np.log10(linear_root), singles, doubles, listed, factor1, *arrays(listed1), *arrays(states2), *arrays(listed2))
+    entries = steps.store(entries, f"entries-{n}")
+    steps.free("expected")
+    return states.select(F.col("context").alias("gram"), F.col("total").alias("c"), "factor"), entries
 
 
 def _found(table: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -307,29 +311,43 @@ def _found(table: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return table[place] == codes, place
 
 
-def token_scores(tree: SuffixTree, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """log10 probability of each token after the longest state of its history.
+def values(docs: DataFrame, trained: Column, shares: Shares = Shares()) -> tuple[DataFrame, int, int]:
+    """The tree as a table `(gram, length, c, known, base, value, factor)`, the training tokens, and all tokens.
 
-    For a token outside the head (-1) it is the part that the states give; its own probability at the root is
-    to be added.
+    `value` is the log10 probability of a word at the root, or what that of a listed sequence is above the product of
+    its parent's and the factor; `factor` is log10 of what a state leaves to tokens that it does not list.
     """
-    one, two = _contexts(ids, starts, tree.singles, tree.doubles)
-    value = np.where(ids >= 0, tree.root[np.maximum(ids, 0)] if len(tree.root) else 0.0, 0.0)
-    may = (ids >= 0) & (ids < tree.listed)
-    factor = tree.factor1[one]  # the last element stands for no context
-    at = np.flatnonzero(~np.isnan(factor))
-    value[at] += factor[at]
-    at = at[may[at]]
-    hit, place = _found(tree.entries1, one[at] * tree.listed + ids[at])
-    value[at[hit]] = tree.values1[place[hit]]
-    at = np.flatnonzero(two >= 0)
-    state, place = _found(tree.codes2, two[at])
-    at = at[state]
-    value[at] += tree.factor2[place[state]]
-    at = at[may[at]]
-    hit, place = _found(tree.entries2, two[at] * tree.listed + ids[at])
-    value[at[hit]] = tree.values2[place[hit]]
-    return value
+    spark = docs.sparkSession
+    steps = _Steps(spark)
+    words = steps.store(vocabulary(docs, trained), "words")
+    known = F.col("c") > 0
+    totals = words.agg(F.sum("c"), F.sum(known.cast("bigint")), F.sum("n")).first()
+    tokens, kinds, all_tokens = (int(x or 0) for x in totals)
+    mass = tokens + 0.5 * (kinds + 1)
+    base = F.log10((F.col("c") + 0.5) / F.lit(mass))
+    unknown = math.log10(kinds / (tokens + kinds)) if kinds else 0.0
+    root = F.col("c") / F.lit(float(max(1, tokens + kinds)))
+
+    marks = spark.sparkContext.broadcast(repeated(docs, trained, shares.depth, shares.counters))
+    counts = steps.store(gram_counts(docs, trained, shares.depth, shares.counters, marks).filter(F.col("c") > 1), "grams")
+    marks.destroy()
+    level = words.filter(F.col("c") > 1).select("gram", "c", root.alias("p"))
+    no, zero = F.lit(0.0), F.lit(0).cast("bigint")
+    single = words.select(
+        "gram", F.lit(1).alias("length"), F.col("n").alias("c"), known.cast("bigint").alias("known"), base.alias("base"),
+        F.when(known, F.log10(root)).otherwise(F.lit(unknown)).alias("value"), no.alias("factor"),
+    )
+    for n in range(2, shares.depth + 2):
+        own = counts.filter(F.col("length") == n).drop("length")
+        states, level = _level(steps, own, level, 0.5 * math.log(max(tokens, 2)), n)
+        blank = {"known": zero, "base": no}
+        single = single.unionByName(states.withColumns({**blank, "length": F.lit(n - 1), "value": no}))
+        listed = level.filter(F.col("value").isNotNull()).select("gram", "c", "value")
+        single = single.unionByName(listed.withColumns({**blank, "length": F.lit(n), "factor": no}))
+    sums = [F.sum(x).alias(x) for x in ("known", "base", "value", "factor")]
+    table = steps.store(single.groupBy("gram").agg(F.max("length").alias("length"), F.max("c").alias("c"), *sums), "values")
+    steps.free(*(x for x in list(steps.paths) if x != "values"))
+    return table, tokens, all_tokens
 
 
 def score_documents(docs: DataFrame, trained: Column, shares: Shares = Shares()) -> DataFrame:
@@ -343,99 +361,65 @@ def score_documents(docs: DataFrame, trained: Column, shares: Shares = Shares())
     The score of a text is a sum over its words and sequences of words: the root probability of each word, the
     factor of each sequence that is a state, and for each that a state lists what its probability is above
     the product of the parent's and the factor. Values of frequent ones go to every task; all others are met
-    in one join.
+    in one join. Each text is read once for that and sends a row of its own, so its sums come from one reading.
     """
     spark = docs.sparkSession
-    words = checkpointed(vocabulary(docs, trained), "words")
-    known = F.col("c") > 0
-    totals = words.agg(F.sum("c"), F.sum(known.cast("bigint")), F.sum("n")).first()
-    tokens, kinds, all_tokens = (int(x or 0) for x in totals)
-    mass = tokens + 0.5 * (kinds + 1)
-    base = F.log10((F.col("c") + 0.5) / F.lit(mass))
-    unknown = math.log10(kinds / (tokens + kinds)) if kinds else 0.0
-    root = F.col("c") / F.lit(float(max(1, tokens + kinds)))
-    send = spark.sparkContext.broadcast
-
-    level = words.filter(F.col("c") >= shares.least).groupBy("gram").agg(F.max("c").alias("c")).withColumn("p", root)
-    bitmaps = [send(_bitmap(level, "gram", shares.filter_bits))]
-    values = []
-    for n in range(2, shares.depth + 2):
-        counts = checkpointed(gram_counts(docs, trained, n, bitmaps[-1]).filter(F.col("c") >= shares.least), f"grams-{n}")
-        bitmaps.append(send(_bitmap(counts, "gram", shares.filter_bits)))
-        states, level = _level(counts, level, 0.5 * math.log(max(tokens, 2)), n)
-        values += [states, level.filter(F.col("value").isNotNull()).select("gram", "c", "value")]
-    zero = F.lit(0).cast("bigint")
-    single = words.select(
-        "gram", F.col("n").alias("c"), F.when(known, F.log10(root)).otherwise(F.lit(unknown)).alias("value"), known.cast("bigint").alias("known"), base.alias("base")
-    )
-    for more in values:
-        single = single.unionByName(more.withColumns({"known": zero, "base": F.lit(0.0)}))
-    table = checkpointed(single.groupBy("gram").agg(F.max("c").alias("c"), *[F.sum(x).alias(x) for x in ("known", "base", "value")]), "values")
+    table, tokens, all_tokens = values(docs, trained, shares)
+    table = table.select("gram", "length", "c", "known", "base", (F.col("value") + F.col("factor")).alias("value"))
     often = F.col("c") >= shares.head * all_tokens
     # At most 1 / shares.head of each length.
-    hot = table.filter(often).drop("c").toArrow()
+    hot = table.filter(often).toArrow()
     columns = [hot.column(x).to_numpy() for x in ("gram", "known", "base", "value")]
     order = np.argsort(columns[0])
-    cache = send([x[order] for x in columns])
-
-    def grams_of(texts: pa.Array, hashes: dict[bytes, int]) -> tuple[int, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-        """Number of tokens, starts of texts, and for each length the places and hashes that may have a value."""
-        ids, starts = _hashed(texts, hashes)
-        depths = _depths(starts, len(ids))
-        found, grams = [(np.arange(len(ids)), ids)], ids
-        for n in range(2, shares.depth + 2):
-            grams = _longer(grams, ids, n)
-            at = np.flatnonzero(depths >= n - 1)
-            at = at[_marked(bitmaps[n - 1].value, grams[at])]
-            found.append((at, grams[at]))
-        return len(ids), starts, found
-
-    def main(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    cache = spark.sparkContext.broadcast([x[order] for x in columns])
+    seldom = table.filter(~often)
+    bitmap = spark.sparkContext.broadcast(_bitmap(seldom.filter(F.col("length") > 1), "gram", shares.filter_bits))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, hashes = TaskContext.get().partitionId(), 0, _WordHashes()
+        names = ("doc_id", "row", "gram", "n_tokens", "known", "base", "value")
+        types = [pa.float64() if x in ("base", "value") else pa.int64() for x in names]
+
+        def sent(size: int, **given) -> pa.RecordBatch:
+            arrays = [pa.array(given[x], t) if x in given else pa.nulls(size, t) for x, t in zip(names, types)]
+            return pa.RecordBatch.from_arrays(arrays, names=list(names))
+
         for batch in batches:
             for low in range(0, batch.num_rows, 1000):
                 piece = batch.slice(low, 1000)
-                size, starts, found = grams_of(piece.column("text"), hashes)
+                ids, starts = _hashed(piece.column("text"), hashes)
+                size, depths, grams = len(ids), _depths(starts, len(ids)), ids
+                rows = (part << 40) + number + np.arange(len(starts))
+                lengths = np.diff(np.append(starts, size))
+                row_of = np.repeat(rows, lengths)
                 sums = [np.zeros(size, dtype=np.int64), np.zeros(size), np.zeros(size)]
-                for at, grams in found:
-                    hit, place = _found(cache.value[0], grams)
+                for n in range(1, shares.depth + 2):
+                    grams = _longer(grams, ids, n) if n > 1 else ids
+                    at = np.flatnonzero(depths >= n - 1)
+                    hit, place = _found(cache.value[0], grams[at])
                     for total, own in zip(sums, cache.value[1:]):
                         total[at[hit]] += own[place[hit]]
-                sums = [np.add.reduceat(x, starts) for x in sums]
-                yield _batch(
-                    {
-                        "doc_id": (piece.column("doc_id"), pa.int64()),
-                        "row": ((part << 40) + number + np.arange(len(starts)), pa.int64()),
-                        "n_tokens": (np.diff(np.append(starts, size)), pa.int64()),
-                        "n_known": (sums[0], pa.int64()),
-                        "base_score": (sums[1], pa.float64()),
-                        "score": (sums[2], pa.float64()),
-                    }
-                )
-                number += len(starts)
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, hashes = TaskContext.get().partitionId(), 0, _WordHashes()
-        for batch in batches:
-            for low in range(0, batch.num_rows, 1000):
-                size, starts, found = grams_of(batch.column("text").slice(low, 1000), hashes)
-                rows_ = (part << 40) + number + np.repeat(np.arange(len(starts)), np.diff(np.append(starts, size)))
-                for at, grams in found:
-                    use = ~_found(cache.value[0], grams)[0]
-                    yield _batch({"row": (rows_[at[use]], pa.int64()), "gram": (grams[use], pa.int64())})
-                number += len(starts)
-
-    # Both branches read the same columns of the same input partitions, so a row has the same number in each.
+                    at = at[~hit]
+                    if n > 1:
+                        at = at[_marked(bitmap.value, grams[at])]
+                    if len(at):
+                        yield sent(len(at), row=row_of[at], gram=grams[at])
+                # The key of a text's own row only deals it out.
+                known, base, value = (np.add.reduceat(x, starts) for x in sums)
+                yield sent(len(rows), doc_id=piece.column("doc_id"), row=rows, gram=rows, n_tokens=lengths, known=known, base=base, value=value)
+                number += len(rows)
+
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    scored = rows.mapInArrow(main, "doc_id bigint, row bigint, n_tokens bigint, n_known bigint, base_score double, score double")
-    seldom = rows.mapInArrow(rare, "row bigint, gram bigint").join(table.filter(~often).drop("c"), "gram")
-    rest = seldom.groupBy("row").agg(F.sum("known").alias("_known"), F.sum("base").alias("_base"), F.sum("value").alias("_value"))
-    both = scored.join(rest, "row", "left")
-    return both.select(
-        "doc_id",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("_known", F.lit(0))).cast("bigint").alias("n_known"),
+    rows = rows.mapInArrow(send, "doc_id bigint, row bigint, gram bigint, n_tokens bigint, known bigint, base double, value double")
+    rare = seldom.select(F.col("gram").alias("g"), F.col("known").alias("k"), F.col("base").alias("b"), F.col("value").alias("v"))
+    met = rows.join(rare, F.col("n_tokens").isNull() & (F.col("gram") == F.col("g")), "left")
+    add = lambda own, other: F.sum(F.coalesce(own, other))
+    summed = met.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"),
+        F.max("n_tokens").alias("n_tokens"),
+        add("known", "k").alias("n_known"),
         F.lit(tokens).cast("bigint").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("_base", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("_value", F.lit(0.0))).alias("score"),
+        add("base", "b").alias("base_score"),
+        add("value", "v").alias("score"),
     )
+    return summed.drop("row")

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.llm import small_tree
 from partloom.llm import components, jaccard_join, language_crf, suffix_tree, token_shards, vector_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -300,15 +301,15 @@ def test_states_hold_distributions():
         corpus.append(at)
     pairs, triples = collections.Counter(zip(corpus, corpus[1:])), collections.Counter(zip(corpus, corpus[1:], corpus[2:]))
     root = np.array([corpus.count(x) for x in range(5)])
-    tree = suffix_tree.build(
+    tree = small_tree.build(
         root, len(corpus), 5, {a * 4 + b: c for (a, b), c in pairs.items() if b < 4}, {(a * 5 + b) * 4 + c: n for (a, b, c), n in triples.items() if c < 4}, 5, 5, 4
     )
     assert not np.isnan(tree.factor1[:5]).any()
     unknown = 5 / (len(corpus) + 5)
     for history in [[], *([a] for a in range(5)), *([a, b] for a in range(5) for b in range(5))]:
-        total = sum(10 ** suffix_tree.token_scores(tree, np.array([*history, x]), np.array([0]))[-1] for x in range(5))
+        total = sum(10 ** small_tree.token_scores(tree, np.array([*history, x]), np.array([0]))[-1] for x in range(5))
         # A token outside the head gets the factor of its state only; its root probability is the unknown mass.
-        total += unknown * 10 ** suffix_tree.token_scores(tree, np.array([*history, -1]), np.array([0]))[-1]
+        total += unknown * 10 ** small_tree.token_scores(tree, np.array([*history, -1]), np.array([0]))[-1]
         assert total == pytest.approx(1.0, abs=1e-9), history
 
 
@@ -330,11 +331,11 @@ def test_tree_grows_with_the_input(spark):
     root = collections.Counter(x for t in numbered for x in t)
     pairs = collections.Counter(p for t in numbered for p in zip(t, t[1:]))
     triples = collections.Counter(p for t in numbered for p in zip(t, t[1:], t[2:]))
-    tree = suffix_tree.build(
+    tree = small_tree.build(
         np.array([root[i] for i in range(v)]), sum(root.values()), v,
         {a * v + b: c for (a, b), c in pairs.items() if c > 1}, {(a * v + b) * v + x: c for (a, b, x), c in triples.items() if c > 1}, v, v, v,
     )
-    want = {i: suffix_tree.token_scores(tree, np.array(t), np.array([0])).sum() for i, t in enumerate(numbered)}
+    want = {i: small_tree.token_scores(tree, np.array(t), np.array([0])).sum() for i, t in enumerate(numbered)}
     docs = spark.createDataFrame(rows, DOCS)
     for head in (1e-3, 1.0):
         got = {r["doc_id"]: r["score"] for r in suffix_tree.score_documents(docs, F.lit(True), suffix_tree.Shares(head=head, depth=2)).collect()}

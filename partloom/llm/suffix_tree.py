@@ -33,8 +33,11 @@ from partloom.session import scratch_path
 
 LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
 FLUSH_ENTRIES = 500_000
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BUCKET = 1 << 21  # rare words and sequences that meet their values together
+VALUES, SEEN, OWN = range(3)  # what a list of a bucket holds, in the order of arrival
 BLOCK_BITS = 16  # counters of a block, as a power of two
-END = b""  # the token at the end of every text; words are never empty
+END = b"\xff"  # the token at the end of every text; no byte of a text in UTF-8
 
 
 @dataclass(frozen=True)
@@ -44,7 +47,7 @@ class Shares:
     head: float = 2e-6  # share of all tokens from which a word or sequence has its value in every task
     least: int = 2  # occurrences of a context and next token together
     depth: int = 3  # tokens of the longest context
-    counters: int = 1 << 29  # places that mark what occurs twice; tasks get a bit of each
+    counters: int = 1 << 28  # places that mark what occurs twice; tasks get a bit of each
     filter_bits: int = 1 << 27  # bits that tell what has a value
 
 
@@ -63,7 +66,13 @@ class _Steps:
 
     def store(self, df: DataFrame, name: str) -> DataFrame:
         path = self.paths[name] = scratch_path(self.spark, name)
-        df.write.parquet(path)
+        # What was shuffled for a step is of no use once it is stored.
+        before = self.spark.conf.get(CLEANUP)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def free(self, *names: str) -> None:
@@ -118,19 +127,23 @@ class _WordHashes(dict):
 
 def _hashed(texts: pa.Array, hashes: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the tokens of a batch, and where each text begins."""
-    flat: list[int] = []
-    starts = []
-    for text in texts:
-        starts.append(len(flat))
-        flat += [hashes[w] for w in tokens_of(text.as_py())]
-    return np.array(flat, dtype=np.int64), np.array(starts, dtype=np.int64)
+    whole = b" \xff ".join([*((t or "").encode() for t in texts.to_pylist()), b""])
+    words = whole.translate(LOWERED).split()
+    ids = np.fromiter(map(hashes.__getitem__, words), dtype=np.int64, count=len(words))
+    ends = np.flatnonzero(ids == hashes[END])
+    return ids, np.append(0, ends[:-1] + 1) if len(ends) else ends
 
 
-def _longer(grams: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of the `n` tokens that end at each place, from those of the `n - 1` tokens."""
+def _longer(grams: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the `n` tokens that end at each place, from those of `n - 1` tokens."""
+    return _joined(np.concatenate([grams[:1], grams[:-1]]), grams, n)
+
+
+def _joined(context: np.ndarray, parent: np.ndarray, n: int | np.ndarray) -> np.ndarray:
+    """Hash of the `n` tokens of which `context` are all but the last and `parent` all but the first."""
     u = np.uint64
     with np.errstate(over="ignore"):
-        x = np.concatenate([grams[:1], grams[:-1]]).view(u) * u(0x9E3779B97F4A7C15) + ids.view(u) + u(n)
+        x = context.view(u) * u(0x9E3779B97F4A7C15) + parent.view(u) + (n.astype(u) if isinstance(n, np.ndarray) else u(n))
         x = (x ^ (x >> u(30))) * u(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> u(27))) * u(0x94D049BB133111EB)
         return (x ^ (x >> u(31))).view(np.int64)
@@ -192,7 +205,7 @@ def repeated(docs: DataFrame, trained: Column, depth: int, counters: int) -> np.
                 ids, starts = _hashed(texts.slice(low, 1000), hashes)
                 depths, grams = _depths(starts, len(ids)), ids
                 for n in range(2, depth + 2):
-                    grams = _longer(grams, ids, n)
+                    grams = _longer(grams, n)
                     waiting.append(_places(grams[depths >= n - 1], counters))
                 if sum(len(x) for x in waiting) > 16 * FLUSH_ENTRIES:
                     yield from flush()
@@ -234,21 +247,24 @@ def gram_counts(docs: DataFrame, trained: Column, depth: int, counters: int, mar
     """`(length, gram, context, parent, c)`: how often 2 to `depth + 1` tokens follow each other in training texts, if twice or more.
 
     `context` are all tokens but the last, `parent` all but the first. Neither is rarer than the whole, so only
-    sequences are counted that have a mark in `marks` (of `repeated`) and whose context and parent have one.
+    sequences are counted that have a mark in `marks` (of `repeated`) and whose context and parent have one. Context
+    and parent tell a sequence, so its own hash is made after the shuffle.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, waiting = _WordHashes(), []
 
         def merged() -> np.ndarray:
-            rows = np.concatenate(waiting, axis=1)
-            rows = rows[:, np.argsort(rows[1], kind="stable")]
-            firsts = np.flatnonzero(np.concatenate([[True], rows[1, 1:] != rows[1, :-1]]))
-            return np.vstack([rows[:4, firsts], np.add.reduceat(rows[4], firsts)])
+            length, grams, context, parent, c = np.concatenate(waiting, axis=1)
+            order = np.argsort(grams)
+            firsts = np.flatnonzero(np.concatenate([[True], np.diff(grams[order]) != 0]))
+            kept = order[firsts]
+            return np.vstack([length[kept], grams[kept], context[kept], parent[kept], np.add.reduceat(c[order], firsts)])
 
         def flush(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
             for at in range(0, rows.shape[1], 50_000):
-                yield _batch({k: (v[at : at + 50_000], pa.int64()) for k, v in zip(("length", "gram", "context", "parent", "c"), rows)})
+                part = rows[:, at : at + 50_000]
+                yield _batch({k: (part[i], pa.int64()) for k, i in (("length", 0), ("context", 2), ("parent", 3), ("c", 4))})
 
         for batch in batches:
             texts = batch.column("text")
@@ -257,7 +273,7 @@ def gram_counts(docs: DataFrame, trained: Column, depth: int, counters: int, mar
                 depths, grams = _depths(starts, len(ids)), ids
                 marked = np.ones(len(ids), dtype=bool)
                 for n in range(2, depth + 2):
-                    shorter, grams = grams, _longer(grams, ids, n)
+                    shorter, grams = grams, _longer(grams, n)
                     at = np.flatnonzero(marked[1:] & marked[:-1] & (depths[1:] >= n - 1)) + 1
                     places = _places(grams[at], counters)
                     at = at[(marks.value[places >> 3] >> (places & 7).astype(np.uint8)) & 1 > 0]
@@ -272,8 +288,15 @@ def gram_counts(docs: DataFrame, trained: Column, depth: int, counters: int, mar
             yield from flush(merged())
 
     rows = docs.filter(F.coalesce(trained, F.lit(False))).select("text")
-    counted = rows.mapInArrow(count, "length bigint, gram bigint, context bigint, parent bigint, c bigint")
-    return counted.groupBy("length", "gram", "context", "parent").agg(F.sum("c").alias("c"))
+    counted = rows.mapInArrow(count, "length bigint, context bigint, parent bigint, c bigint")
+    counted = counted.groupBy("length", "context", "parent").agg(F.sum("c").alias("c")).filter(F.col("c") > 1)
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            length, context, parent = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("length", "context", "parent"))
+            yield batch.append_column("gram", pa.array(_joined(context, parent, length), pa.int64()))
+
+    return counted.mapInArrow(named, "length bigint, context bigint, parent bigint, c bigint, gram bigint")
 
 
 def _level(steps: _Steps, counts: DataFrame, shorter: DataFrame, penalty: float, n: int) -> tuple[DataFrame, DataFrame]:
@@ -329,7 +352,7 @@ def values(docs: DataFrame, trained: Column, shares: Shares = Shares()) -> tuple
     root = F.col("c") / F.lit(float(max(1, tokens + kinds)))
 
     marks = spark.sparkContext.broadcast(repeated(docs, trained, shares.depth, shares.counters))
-    counts = steps.store(gram_counts(docs, trained, shares.depth, shares.counters, marks).filter(F.col("c") > 1), "grams")
+    counts = steps.store(gram_counts(docs, trained, shares.depth, shares.counters, marks), "grams")
     marks.destroy()
     level = words.filter(F.col("c") > 1).select("gram", "c", root.alias("p"))
     no, zero = F.lit(0.0), F.lit(0).cast("bigint")
@@ -350,6 +373,26 @@ def values(docs: DataFrame, trained: Column, shares: Shares = Shares()) -> tuple
     return table, tokens, all_tokens
 
 
+def _lists(keys: np.ndarray, columns: dict[str, np.ndarray], **same: int) -> Iterator[pa.RecordBatch]:
+    """One row per key: the `columns` of its entries as binary lists, and the same value in each of the others."""
+    if not len(keys):
+        return
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    firsts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    ends = np.append(firsts[1:], len(keys))
+    columns = {name: values[order] for name, values in columns.items()}
+    for at in range(0, len(firsts), 1000):
+        part = slice(at, at + 1000)
+        n = len(firsts[part])
+        out = {"bucket": pa.array(keys[firsts[part]], pa.int64()), **{k: pa.array(np.full(n, v), pa.int64()) for k, v in same.items()}}
+        for name, values in columns.items():
+            cuts = (np.append(firsts[part], ends[part][-1:]) - firsts[at]) * values[:1].nbytes
+            data = np.ascontiguousarray(values[firsts[at] : ends[part][-1]])
+            out[name] = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data)])
+        yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+
+
 def score_documents(docs: DataFrame, trained: Column, shares: Shares = Shares()) -> DataFrame:
     """One row per row of `docs(doc_id, text)`, with a model learned from the rows where `trained` holds.
 
@@ -361,7 +404,8 @@ def score_documents(docs: DataFrame, trained: Column, shares: Shares = Shares())
     The score of a text is a sum over its words and sequences of words: the root probability of each word, the
     factor of each sequence that is a state, and for each that a state lists what its probability is above
     the product of the parent's and the factor. Values of frequent ones go to every task; all others are met
-    in one join. Each text is read once for that and sends a row of its own, so its sums come from one reading.
+    in one shuffle, in as many buckets of hashes as their number asks for. None of them is frequent, so no bucket is
+    hot. Each text is read once for that and sends a row of its own, so all its sums come from one reading.
     """
     spark = docs.sparkSession
     table, tokens, all_tokens = values(docs, trained, shares)
@@ -374,27 +418,37 @@ def score_documents(docs: DataFrame, trained: Column, shares: Shares = Shares())
     cache = spark.sparkContext.broadcast([x[order] for x in columns])
     seldom = table.filter(~often)
     bitmap = spark.sparkContext.broadcast(_bitmap(seldom.filter(F.col("length") > 1), "gram", shares.filter_bits))
+    buckets = 1 + int(seldom.agg(F.sum("c")).first()[0] or 0) // BUCKET
+    layout = "bucket bigint, kind bigint, part bigint, grams binary, entries binary"
+
+    def bucket_of(grams: np.ndarray) -> np.ndarray:
+        return (grams.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+
+    def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams, known, base, value = (batch.column(x).to_numpy() for x in ("gram", "known", "base", "value"))
+            entries = np.column_stack([known.astype(np.float64), base, value])
+            yield from _lists(bucket_of(grams), {"grams": grams, "entries": entries}, kind=VALUES, part=0)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, hashes = TaskContext.get().partitionId(), 0, _WordHashes()
-        names = ("doc_id", "row", "gram", "n_tokens", "known", "base", "value")
-        types = [pa.float64() if x in ("base", "value") else pa.int64() for x in names]
+        part, number, hashes, waiting = TaskContext.get().partitionId(), 0, _WordHashes(), []
 
-        def sent(size: int, **given) -> pa.RecordBatch:
-            arrays = [pa.array(given[x], t) if x in given else pa.nulls(size, t) for x, t in zip(names, types)]
-            return pa.RecordBatch.from_arrays(arrays, names=list(names))
+        def flush() -> Iterator[pa.RecordBatch]:
+            rows, grams = np.concatenate(waiting, axis=1)
+            waiting.clear()
+            yield from _lists(bucket_of(grams), {"grams": grams, "entries": rows.astype(np.uint32)}, kind=SEEN, part=part)
 
         for batch in batches:
             for low in range(0, batch.num_rows, 1000):
                 piece = batch.slice(low, 1000)
                 ids, starts = _hashed(piece.column("text"), hashes)
                 size, depths, grams = len(ids), _depths(starts, len(ids)), ids
-                rows = (part << 40) + number + np.arange(len(starts))
+                rows = number + np.arange(len(starts))
                 lengths = np.diff(np.append(starts, size))
                 row_of = np.repeat(rows, lengths)
                 sums = [np.zeros(size, dtype=np.int64), np.zeros(size), np.zeros(size)]
                 for n in range(1, shares.depth + 2):
-                    grams = _longer(grams, ids, n) if n > 1 else ids
+                    grams = _longer(grams, n) if n > 1 else ids
                     at = np.flatnonzero(depths >= n - 1)
                     hit, place = _found(cache.value[0], grams[at])
                     for total, own in zip(sums, cache.value[1:]):
@@ -402,24 +456,71 @@ def score_documents(docs: DataFrame, trained: Column, shares: Shares = Shares())
                     at = at[~hit]
                     if n > 1:
                         at = at[_marked(bitmap.value, grams[at])]
-                    if len(at):
-                        yield sent(len(at), row=row_of[at], gram=grams[at])
-                # The key of a text's own row only deals it out.
+                    waiting.append(np.vstack([row_of[at], grams[at]]))
                 known, base, value = (np.add.reduceat(x, starts) for x in sums)
-                yield sent(len(rows), doc_id=piece.column("doc_id"), row=rows, gram=rows, n_tokens=lengths, known=known, base=base, value=value)
+                named = piece.column("doc_id")
+                doc_ids = named.fill_null(0).to_numpy(zero_copy_only=False)
+                own = np.column_stack([rows, doc_ids, named.is_valid().to_numpy(zero_copy_only=False), lengths, known, base.view(np.int64), value.view(np.int64)])
+                deal = np.full(len(rows), (part + number // 1000) % buckets)
+                yield from _lists(deal, {"grams": rows, "entries": own.astype(np.int64)}, kind=OWN, part=part)
                 number += len(rows)
+                if sum(x.shape[1] for x in waiting) > 4 * FLUSH_ENTRIES:
+                    yield from flush()
+        if sum(x.shape[1] for x in waiting):
+            yield from flush()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_bucket, offers, listed, waiting = -1, [], None, []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            rows, sums = np.concatenate([x for x, _ in waiting]), np.concatenate([x for _, x in waiting])
+            waiting.clear()
+            order = np.argsort(rows)
+            rows = rows[order]
+            firsts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+            sums = np.add.reduceat(sums[order], firsts, axis=0)
+            for at in range(0, len(firsts), 50_000):
+                known, base, value = sums[at : at + 50_000].T
+                yield summary(rows[firsts[at : at + 50_000]], None, None, known.astype(np.int64), base, value)
+
+        def summary(rows, doc_id, n_tokens, known, base, value) -> pa.RecordBatch:
+            missing = pa.nulls(len(rows), pa.int64())
+            arrays = [pa.array(rows, pa.int64()), *(missing if x is None else pa.array(x, pa.int64()) for x in (doc_id, n_tokens))]
+            arrays += [pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(value, pa.float64())]
+            return pa.RecordBatch.from_arrays(arrays, names=["row", "doc_id", "n_tokens", "known", "base", "value"])
+
+        for batch in batches:
+            for bucket, kind, part, grams, entries in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if bucket != open_bucket:
+                    open_bucket, offers, listed = bucket, [], None
+                grams = np.frombuffer(grams, dtype=np.int64)
+                if kind == VALUES:
+                    offers.append((grams, np.frombuffer(entries, dtype=np.float64).reshape(-1, 3)))
+                elif kind == SEEN and offers:
+                    if listed is None:
+                        keys, own = (np.concatenate(x) for x in zip(*offers))
+                        order = np.argsort(keys)
+                        listed = keys[order], own[order]
+                    hit, place = _found(listed[0], grams)
+                    rows = (part << 40) + np.frombuffer(entries, dtype=np.uint32)[hit].astype(np.int64)
+                    waiting.append((rows, listed[1][place[hit]]))
+                    if sum(len(x) for x, _ in waiting) > 4 * FLUSH_ENTRIES:
+                        yield from flush()
+                elif kind == OWN:
+                    number, doc_id, valid, n_tokens, known, base, value = np.frombuffer(entries, dtype=np.int64).reshape(-1, 7).T.copy()
+                    yield summary((part << 40) + number, pa.array(doc_id, mask=valid == 0), n_tokens, known, base.view(np.float64), value.view(np.float64))
+        if sum(len(x) for x, _ in waiting):
+            yield from flush()
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    rows = rows.mapInArrow(send, "doc_id bigint, row bigint, gram bigint, n_tokens bigint, known bigint, base double, value double")
-    rare = seldom.select(F.col("gram").alias("g"), F.col("known").alias("k"), F.col("base").alias("b"), F.col("value").alias("v"))
-    met = rows.join(rare, F.col("n_tokens").isNull() & (F.col("gram") == F.col("g")), "left")
-    add = lambda own, other: F.sum(F.coalesce(own, other))
-    summed = met.groupBy("row").agg(
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(send, layout)
+    both = seldom.select("gram", "known", "base", "value").mapInArrow(offer, layout).unionByName(rows)
+    dealt = both.repartition("bucket").sortWithinPartitions("bucket", "kind")
+    sums = dealt.mapInArrow(meet, "row bigint, doc_id bigint, n_tokens bigint, known bigint, base double, value double").groupBy("row")
+    return sums.agg(
         F.max("doc_id").alias("doc_id"),
         F.max("n_tokens").alias("n_tokens"),
-        add("known", "k").alias("n_known"),
+        F.sum("known").alias("n_known"),
         F.lit(tokens).cast("bigint").alias("train_tokens"),
-        add("base", "b").alias("base_score"),
-        add("value", "v").alias("score"),
-    )
-    return summed.drop("row")
+        F.sum("base").alias("base_score"),
+        F.sum("value").alias("score"),
+    ).drop("row")

@@ -34,7 +34,7 @@ from partloom.session import scratch_path
 LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
 FLUSH_ENTRIES = 500_000
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-BUCKET = 1 << 21  # rare words and sequences that meet their values together
+BUCKET = 1 << 21  # sequences that are counted, or meet their values, together
 VALUES, SEEN, OWN = range(3)  # what a list of a bucket holds, in the order of arrival
 BLOCK_BITS = 16  # counters of a block, as a power of two
 END = b"\xff"  # the token at the end of every text; no byte of a text in UTF-8
@@ -207,7 +207,7 @@ def repeated(docs: DataFrame, trained: Column, depth: int, counters: int) -> np.
                 for n in range(2, depth + 2):
                     grams = _longer(grams, n)
                     waiting.append(_places(grams[depths >= n - 1], counters))
-                if sum(len(x) for x in waiting) > 16 * FLUSH_ENTRIES:
+                if sum(len(x) for x in waiting) > 8 * FLUSH_ENTRIES:
                     yield from flush()
         if sum(len(x) for x in waiting):
             yield from flush()
@@ -243,28 +243,53 @@ def repeated(docs: DataFrame, trained: Column, depth: int, counters: int) -> np.
     return out.reshape(-1)
 
 
-def gram_counts(docs: DataFrame, trained: Column, depth: int, counters: int, marks) -> DataFrame:
+def _lists(keys: np.ndarray, columns: dict[str, np.ndarray], **same: int) -> Iterator[pa.RecordBatch]:
+    """One row per key: the `columns` of its entries as binary lists, and the same value in each of the others."""
+    if not len(keys):
+        return
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    firsts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    ends = np.append(firsts[1:], len(keys))
+    columns = {name: values[order] for name, values in columns.items()}
+    for at in range(0, len(firsts), 1000):
+        part = slice(at, at + 1000)
+        n = len(firsts[part])
+        out = {"bucket": pa.array(keys[firsts[part]], pa.int64()), **{k: pa.array(np.full(n, v), pa.int64()) for k, v in same.items()}}
+        for name, values in columns.items():
+            cuts = (np.append(firsts[part], ends[part][-1:]) - firsts[at]) * values[:1].nbytes
+            data = np.ascontiguousarray(values[firsts[at] : ends[part][-1]])
+            out[name] = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data)])
+        yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+
+
+def _merged(rows: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """`(length, gram, context, parent, c)` with one entry per sequence."""
+    length, grams, context, parent, c = (np.concatenate(x) for x in zip(*rows))
+    order = np.argsort(grams)
+    grams = grams[order]
+    firsts = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+    kept = order[firsts]
+    return length[kept], grams[firsts], context[kept], parent[kept], np.add.reduceat(c[order], firsts)
+
+
+def gram_counts(docs: DataFrame, trained: Column, tokens: int, depth: int, counters: int, marks) -> DataFrame:
     """`(length, gram, context, parent, c)`: how often 2 to `depth + 1` tokens follow each other in training texts, if twice or more.
 
     `context` are all tokens but the last, `parent` all but the first. Neither is rarer than the whole, so only
     sequences are counted that have a mark in `marks` (of `repeated`) and whose context and parent have one. Context
-    and parent tell a sequence, so its own hash is made after the shuffle.
+    and parent tell a sequence, so its own hash is made anew after the shuffle. Tasks send each sequence once, in
+    lists by buckets of hashes, as many as `tokens`, the number of training tokens, asks for.
     """
+    buckets = 1 + tokens * depth // BUCKET
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, waiting = _WordHashes(), []
 
-        def merged() -> np.ndarray:
-            length, grams, context, parent, c = np.concatenate(waiting, axis=1)
-            order = np.argsort(grams)
-            firsts = np.flatnonzero(np.concatenate([[True], np.diff(grams[order]) != 0]))
-            kept = order[firsts]
-            return np.vstack([length[kept], grams[kept], context[kept], parent[kept], np.add.reduceat(c[order], firsts)])
-
-        def flush(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for at in range(0, rows.shape[1], 50_000):
-                part = rows[:, at : at + 50_000]
-                yield _batch({k: (part[i], pa.int64()) for k, i in (("length", 0), ("context", 2), ("parent", 3), ("c", 4))})
+        def flush(rows: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+            length, grams, context, parent, c = rows
+            deal = (grams.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+            yield from _lists(deal, {"length": length, "context": context, "parent": parent, "c": c})
 
         for batch in batches:
             texts = batch.column("text")
@@ -279,24 +304,41 @@ def gram_counts(docs: DataFrame, trained: Column, depth: int, counters: int, mar
                     at = at[(marks.value[places >> 3] >> (places & 7).astype(np.uint8)) & 1 > 0]
                     marked = np.zeros(len(ids), dtype=bool)
                     marked[at] = True
-                    waiting.append(np.vstack([np.full(len(at), n), grams[at], shorter[at - 1], shorter[at], np.ones(len(at), dtype=np.int64)]))
-                if sum(x.shape[1] for x in waiting) > 4 * FLUSH_ENTRIES:
-                    waiting = [merged()]
-                    if waiting[0].shape[1] > 2 * FLUSH_ENTRIES:
+                    waiting.append((np.full(len(at), n, dtype=np.uint8), grams[at], shorter[at - 1], shorter[at], np.ones(len(at), dtype=np.int64)))
+                if sum(len(x[0]) for x in waiting) > 3 * FLUSH_ENTRIES:
+                    waiting = [_merged(waiting)]
+                    if len(waiting[0][0]) > 1.5 * FLUSH_ENTRIES:
                         yield from flush(waiting.pop())
-        if sum(x.shape[1] for x in waiting):
-            yield from flush(merged())
+        if sum(len(x[0]) for x in waiting):
+            yield from flush(_merged(waiting))
 
-    rows = docs.filter(F.coalesce(trained, F.lit(False))).select("text")
-    counted = rows.mapInArrow(count, "length bigint, context bigint, parent bigint, c bigint")
-    counted = counted.groupBy("length", "context", "parent").agg(F.sum("c").alias("c")).filter(F.col("c") > 1)
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_bucket, waiting = -1, []
+
+        def twice() -> Iterator[pa.RecordBatch]:
+            rows = _merged(waiting)
+            waiting.clear()
+            rows = [x[rows[4] > 1] for x in rows]
+            for at in range(0, len(rows[0]), 50_000):
+                yield _batch({k: (v[at : at + 50_000].astype(np.int64), pa.int64()) for k, v in zip(("length", "gram", "context", "parent", "c"), rows)})
 
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length, context, parent = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("length", "context", "parent"))
-            yield batch.append_column("gram", pa.array(_joined(context, parent, length), pa.int64()))
+            for bucket, *lists in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if bucket != open_bucket:
+                    if waiting:
+                        yield from twice()
+                    open_bucket = bucket
+                length, context, parent, c = (np.frombuffer(x, dtype=t) for x, t in zip(lists, (np.uint8, np.int64, np.int64, np.int64)))
+                waiting.append((length, _joined(context, parent, length), context, parent, c))
+                if len(waiting) > 1 and sum(len(x[0]) for x in waiting) > max(3 * FLUSH_ENTRIES, 2 * len(waiting[0][0])):
+                    waiting = [_merged(waiting)]
+        if waiting:
+            yield from twice()
 
-    return counted.mapInArrow(named, "length bigint, context bigint, parent bigint, c bigint, gram bigint")
+    rows = docs.filter(F.coalesce(trained, F.lit(False))).select("text")
+    dealt = rows.mapInArrow(count, "bucket bigint, length binary, context binary, parent binary, c binary")
+    dealt = dealt.repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(add_up, "length bigint, gram bigint, context bigint, parent bigint, c bigint")
 
 
 def _level(steps: _Steps, counts: DataFrame, shorter: DataFrame, penalty: float, n: int) -> tuple[DataFrame, DataFrame]:
@@ -352,7 +394,7 @@ def values(docs: DataFrame, trained: Column, shares: Shares = Shares()) -> tuple
     root = F.col("c") / F.lit(float(max(1, tokens + kinds)))
 
     marks = spark.sparkContext.broadcast(repeated(docs, trained, shares.depth, shares.counters))
-    counts = steps.store(gram_counts(docs, trained, shares.depth, shares.counters, marks), "grams")
+    counts = steps.store(gram_counts(docs, trained, tokens, shares.depth, shares.counters, marks), "grams")
     marks.destroy()
     level = words.filter(F.col("c") > 1).select("gram", "c", root.alias("p"))
     no, zero = F.lit(0.0), F.lit(0).cast("bigint")
@@ -373,26 +415,6 @@ def values(docs: DataFrame, trained: Column, shares: Shares = Shares()) -> tuple
     return table, tokens, all_tokens
 
 
-def _lists(keys: np.ndarray, columns: dict[str, np.ndarray], **same: int) -> Iterator[pa.RecordBatch]:
-    """One row per key: the `columns` of its entries as binary lists, and the same value in each of the others."""
-    if not len(keys):
-        return
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    firsts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    ends = np.append(firsts[1:], len(keys))
-    columns = {name: values[order] for name, values in columns.items()}
-    for at in range(0, len(firsts), 1000):
-        part = slice(at, at + 1000)
-        n = len(firsts[part])
-        out = {"bucket": pa.array(keys[firsts[part]], pa.int64()), **{k: pa.array(np.full(n, v), pa.int64()) for k, v in same.items()}}
-        for name, values in columns.items():
-            cuts = (np.append(firsts[part], ends[part][-1:]) - firsts[at]) * values[:1].nbytes
-            data = np.ascontiguousarray(values[firsts[at] : ends[part][-1]])
-            out[name] = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data)])
-        yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
-
-
 def score_documents(docs: DataFrame, trained: Column, shares: Shares = Shares()) -> DataFrame:
     """One row per row of `docs(doc_id, text)`, with a model learned from the rows where `trained` holds.
 
@@ -417,7 +439,7 @@ def score_documents(docs: DataFrame, trained: Column, shares: Shares = Shares())
     order = np.argsort(columns[0])
     cache = spark.sparkContext.broadcast([x[order] for x in columns])
     seldom = table.filter(~often)
-    bitmap = spark.sparkContext.broadcast(_bitmap(seldom.filter(F.col("length") > 1), "gram", shares.filter_bits))
+    bitmap = spark.sparkContext.broadcast(_bitmap(table.filter(F.col("length") > 1), "gram", shares.filter_bits))
     buckets = 1 + int(seldom.agg(F.sum("c")).first()[0] or 0) // BUCKET
     layout = "bucket bigint, kind bigint, part bigint, grams binary, entries binary"
 
@@ -450,12 +472,12 @@ def score_documents(docs: DataFrame, trained: Column, shares: Shares = Shares())
                 for n in range(1, shares.depth + 2):
                     grams = _longer(grams, n) if n > 1 else ids
                     at = np.flatnonzero(depths >= n - 1)
+                    if n > 1:
+                        at = at[_marked(bitmap.value, grams[at])]
                     hit, place = _found(cache.value[0], grams[at])
                     for total, own in zip(sums, cache.value[1:]):
                         total[at[hit]] += own[place[hit]]
                     at = at[~hit]
-                    if n > 1:
-                        at = at[_marked(bitmap.value, grams[at])]
                     waiting.append(np.vstack([row_of[at], grams[at]]))
                 known, base, value = (np.add.reduceat(x, starts) for x in sums)
                 named = piece.column("doc_id")
@@ -464,7 +486,7 @@ def score_documents(docs: DataFrame, trained: Column, shares: Shares = Shares())
                 deal = np.full(len(rows), (part + number // 1000) % buckets)
                 yield from _lists(deal, {"grams": rows, "entries": own.astype(np.int64)}, kind=OWN, part=part)
                 number += len(rows)
-                if sum(x.shape[1] for x in waiting) > 4 * FLUSH_ENTRIES:
+                if sum(x.shape[1] for x in waiting) > 2 * FLUSH_ENTRIES:
                     yield from flush()
         if sum(x.shape[1] for x in waiting):
             yield from flush()
@@ -504,7 +526,7 @@ def score_documents(docs: DataFrame, trained: Column, shares: Shares = Shares())
                     hit, place = _found(listed[0], grams)
                     rows = (part << 40) + np.frombuffer(entries, dtype=np.uint32)[hit].astype(np.int64)
                     waiting.append((rows, listed[1][place[hit]]))
-                    if sum(len(x) for x, _ in waiting) > 4 * FLUSH_ENTRIES:
+                    if sum(len(x) for x, _ in waiting) > 2 * FLUSH_ENTRIES:
                         yield from flush()
                 elif kind == OWN:
                     number, doc_id, valid, n_tokens, known, base, value = np.frombuffer(entries, dtype=np.int64).reshape(-1, 7).T.copy()

@@ -313,6 +313,38 @@ def test_states_hold_distributions():
         assert total == pytest.approx(1.0, abs=1e-9), history
 
 
+def test_tables_hold_distributions_at_depth_three(spark):
+    """After up to three tokens the probabilities of all tokens and the unknown one, as the tables give them, add up to 1."""
+    rng = random.Random(9)
+    words, texts = [f"w{i}" for i in range(5)], []
+    for _ in range(300):
+        own = [0, 1, 2]
+        for _ in range(80):
+            nearby = (own[-1] + own[-2] * own[-3] + 1) % 5
+            own.append(rng.choices(range(5), weights=[1 + 15 * (nearby == x) for x in range(5)])[0])
+        texts.append(" ".join(words[x] for x in own))
+    table, tokens, _ = suffix_tree.values(spark.createDataFrame(list(enumerate(texts)), DOCS), F.lit(True))
+    rows = {r["gram"]: r for r in table.collect()}
+    hashes = suffix_tree._WordHashes()
+
+    def gram(sequence):
+        grams = np.array([hashes[w] for w in sequence], dtype=np.int64)
+        for n in range(2, len(sequence) + 1):
+            grams = suffix_tree._longer(grams, n)
+        return rows.get(int(grams[-1]), {"value": 0.0, "factor": 0.0})
+
+    unknown, deep = math.log10(6 / (tokens + 6)), 0
+    for size in range(4):
+        for history in itertools.product([w.encode() for w in words], repeat=size):
+            left = sum(gram(history[-k:])["factor"] for k in range(1, size + 1))
+            deep += size == 3 and gram(history)["factor"] != 0
+            total = 10 ** (unknown + left)
+            for x in [*(w.encode() for w in words), suffix_tree.END]:
+                total += 10 ** (left + gram([x])["value"] + sum(gram([*history[-k:], x])["value"] for k in range(1, size + 1)))
+            assert total == pytest.approx(1.0, abs=1e-9), history
+    assert deep > 20
+
+
 def test_scores_without_training_rows(spark):
     docs = spark.createDataFrame([(1, "a b")], DOCS)
     r = suffix_tree.score_documents(docs, F.lit(False)).first()

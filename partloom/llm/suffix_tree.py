@@ -21,6 +21,7 @@ import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -58,6 +59,17 @@ def tokens_of(text: str | None) -> list[bytes]:
     return tokens
 
 
+@contextmanager
+def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """What is shuffled for a result is deleted as soon as that is stored or collected."""
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 class _Steps:
     """Tables in the shared folder that cut lineage, each deleted once nothing reads it any more."""
 
@@ -66,13 +78,8 @@ class _Steps:
 
     def store(self, df: DataFrame, name: str) -> DataFrame:
         path = self.paths[name] = scratch_path(self.spark, name)
-        # What was shuffled for a step is of no use once it is stored.
-        before = self.spark.conf.get(CLEANUP)
-        self.spark.conf.set(CLEANUP, "true")
-        try:
+        with _shuffles_freed(self.spark):
             df.write.parquet(path)
-        finally:
-            self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def free(self, *names: str) -> None:
@@ -237,7 +244,9 @@ def repeated(docs: DataFrame, trained: Column, depth: int, counters: int) -> np.
     rows = docs.filter(F.coalesce(trained, F.lit(False))).select("text")
     lists = rows.mapInArrow(meet, "block int, places binary").repartition("block").sortWithinPartitions("block")
     out = np.zeros((blocks, size // 8), dtype=np.uint8)
-    for batch in lists.mapInArrow(add_up, "block int, bits binary").toArrow().to_batches():
+    with _shuffles_freed(docs.sparkSession):
+        marked = lists.mapInArrow(add_up, "block int, bits binary").toArrow()
+    for batch in marked.to_batches():
         for block, bits in zip(batch.column("block").to_pylist(), batch.column("bits").to_pylist()):
             out[block] = np.frombuffer(bits, dtype=np.uint8)
     return out.reshape(-1)

@@ -102,10 +102,41 @@ def scan_manifest(spark: SparkSession, path: str, row_schema: str = schemas.MANI
     return docs.select(F.explode(F.from_json(checked, f"array<{row_schema}>")).alias("_r")).select("_r.*")
 
 
-def scan_sidecars(spark: SparkSession, glob: str, schema: str) -> DataFrame:
-    """Per-object JSON files; `object_id` is the name of the folder the file (or its stage folder) is in."""
+def scan_sidecars(spark: SparkSession, glob: str, schema: str, packs: str | None = None) -> DataFrame:
+    """Per-object JSON files; `object_id` is the name of the folder the file (or its stage folder) is in.
+
+    `packs` is a folder of packs, whose lines carry the path of each text; they are read beside the files of `glob`,
+    of which there may then be none.
+    """
+    if packs is None:
+        texts = sidecar_files(spark, glob)
+    else:
+        texts = sidecar_packs(spark, packs)
+        if any_file(spark, glob):
+            texts = sidecar_files(spark, glob).unionByName(texts)
+    return texts.select("object_id", F.from_json("doc", schema).alias("doc"))
+
+
+def any_file(spark: SparkSession, glob: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(glob)
+    return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path))
+
+
+def sidecar_files(spark: SparkSession, glob: str) -> DataFrame:
     texts = spark.read.format("text").option("wholetext", True).load(glob)
-    return texts.select(object_folder(F.col("_metadata.file_path")).alias("object_id"), F.from_json("value", schema).alias("doc"))
+    return texts.select(
+        object_folder(F.col("_metadata.file_path")).alias("object_id"), F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_size").alias("size"), F.col("value").alias("doc"),
+    )
+
+
+def sidecar_packs(spark: SparkSession, *paths: str) -> DataFrame:
+    """Texts of packs. Their `path` is that of the pack, `#/`, and the path inside it; a pack is as old as its file."""
+    inside = F.concat(F.col("_metadata.file_path"), F.lit("#/"), F.col("path"))
+    return spark.read.schema("path string, doc string").json(list(paths)).select(
+        object_folder(inside).alias("object_id"), inside.alias("path"), F.col("_metadata.file_modification_time").alias("modified"),
+        F.octet_length("doc").cast("bigint").alias("size"), "doc",
+    )
 
 
 def object_folder(path: Column) -> Column:
@@ -115,23 +146,32 @@ def object_folder(path: Column) -> Column:
 SIDECAR = "object_id string, path string, modified timestamp, size bigint, doc string"
 
 
-def compact_sidecars(spark: SparkSession, glob: str, store: CommitStore, kind: str, commit: str) -> bool:
+def compact_sidecars(spark: SparkSession, glob: str, store: CommitStore, kind: str, commit: str, packs: str | None = None) -> bool:
     """Gathers per-object files into bucketed records, one table per kind, with the files they come from.
 
     Files that the store holds with the same time and size are left out, so a later run takes what is new or changed;
-    False if there is nothing. The listing alone decides that; texts are read only of what is taken.
+    False if there is nothing. The listing alone decides that; texts are read only of what is taken. `packs` is a
+    folder of packs, taken likewise: a pack that the store holds is not opened.
     """
-    known = store.read(kind, SIDECAR).select("path", "modified", "size")
-    listed = spark.read.format("binaryFile").load(glob).select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
-    fresh = listed.join(known, ["path", "modified", "size"], "left_anti")
-    if fresh.isEmpty():
+    key = ["path", "modified", "size"]
+    known = store.read(kind, SIDECAR).select(*key)
+    rows = []
+    if packs is None or any_file(spark, glob):
+        listed = spark.read.format("binaryFile").load(glob).select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
+        if not listed.join(known, key, "left_anti").isEmpty():
+            rows.append(sidecar_files(spark, glob).join(known, key, "left_anti"))
+    if packs is not None:
+        opened = known.select(F.substring_index("path", "#/", 1).alias("path"), "modified").distinct()
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json*").load(packs)
+        files = files.select("path", F.col("modificationTime").alias("modified")).join(opened, ["path", "modified"], "left_anti")
+        # A pack holds what one task wrote, so their names are few.
+        fresh = [r["path"] for r in files.select("path").collect()]
+        if fresh:
+            rows.append(sidecar_packs(spark, *fresh).join(known, key, "left_anti"))
+    if not rows:
         return False
-    texts = spark.read.format("text").option("wholetext", True).load(glob)
-    rows = texts.select(
-        object_folder(F.col("_metadata.file_path")).alias("object_id"), F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_size").alias("size"), F.col("value").alias("doc"),
-    )
-    return store.commit(commit, {kind: rows.join(known, ["path", "modified", "size"], "left_anti").select("object_id", "path", "modified", "size", "doc")}, bucket_by="object_id")
+    taken = rows[0] if len(rows) == 1 else rows[0].unionByName(rows[1])
+    return store.commit(commit, {kind: taken.select("object_id", "path", "modified", "size", "doc")}, bucket_by="object_id")
 
 
 def read_sidecars(store: CommitStore, kind: str, schema: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from partloom.config import RetryConfig
 from partloom.operators import audit, inference, packaging, pseudo
+from partloom.plans import REGISTRY, sources
 from partloom.sources import documents, schemas, writers
 from partloom.sources.commits import CommitStore
 from partloom.streaming import progress
@@ -111,6 +112,38 @@ def test_sidecars_are_compacted_once(spark, tmp_path):
     assert {r["commit"]: r["rows"] for r in store.manifests().collect()} == {"c1": 2, "c3": 2}
 
 
+def test_packs_hold_many_sidecars(spark, tmp_path):
+    def put(folder, listed):
+        rows = [(o, json.dumps({"parts": [{"part_name": p} for p in parts]})) for o, parts in listed.items()]
+        writers.write_sidecar_packs(spark.createDataFrame(rows, "object_id string, value string"), f"{tmp_path}/{folder}", "prompt")
+
+    def held():
+        return {r["object_id"]: ([p["part_name"] for p in r["doc"]["parts"]], r["num_versions"]) for r in documents.read_sidecars(store, "prompts", schemas.PART_PROMPTS).collect()}
+
+    put("one", {"o1": ["seat"], "o2": ["leg"]})
+    loose = spark.createDataFrame([("o3", '{"parts": [{"part_name": "arm"}]}')], "object_id string, value string")
+    writers.write_sidecars(loose, f"{tmp_path}/files", "prompt")
+    glob, none = f"{tmp_path}/files/*/*", f"{tmp_path}/nothing/*/*"
+    read = documents.scan_sidecars(spark, glob, schemas.PART_PROMPTS, f"{tmp_path}/one")
+    assert sorted((r["object_id"], r["doc"]["parts"][0]["part_name"]) for r in read.collect()) == [("o1", "seat"), ("o2", "leg"), ("o3", "arm")]
+    assert documents.scan_sidecars(spark, none, schemas.PART_PROMPTS, f"{tmp_path}/one").count() == 2
+    store = CommitStore(spark, str(tmp_path / "store"))
+    assert documents.compact_sidecars(spark, glob, store, "prompts", "c1", f"{tmp_path}/one")
+    assert not documents.compact_sidecars(spark, glob, store, "prompts", "c2", f"{tmp_path}/one")
+    assert held() == {"o1": (["seat"], 1), "o2": (["leg"], 1), "o3": (["arm"], 1)}
+    put("two", {"o2": ["leg", "back"], "o4": []})
+    assert documents.compact_sidecars(spark, none, store, "prompts", "c3", f"{tmp_path}/two")
+    assert held() == {"o1": (["seat"], 1), "o2": (["leg", "back"], 2), "o3": (["arm"], 1), "o4": ([], 1)}
+
+
+def test_a_scan_of_sidecars_writes_a_bounded_number_of_files(spark, monkeypatch):
+    """A file per object, as for all 150 objects here, takes far longer than all the texts."""
+    counts, write = [], writers.write_sidecars
+    monkeypatch.setattr(writers, "write_sidecars", lambda df, root, stage: (counts.append(df.count()), write(df, root, stage)))
+    read = REGISTRY["scan_sidecars"].plan(spark, "/root/testdata/sf0.01")
+    assert read.select("object_id").distinct().count() > 100 and counts == [sources.LOOSE_OBJECTS]
+
+
 def test_a_batch_reads_only_the_folders_of_its_keys(spark, tmp_path):
     finished = progress.FinishedUnits(spark, str(tmp_path / "finished"), ["unit"], 64)
     units = spark.range(5000).selectExpr("CAST(id AS STRING) AS unit")

@@ -46,8 +46,8 @@ def typed_segmentation(value: Column) -> Column:
 def scan_annotations(spark: SparkSession, path: str, *, one_document: bool = True, identifier: str = "bigint") -> Annotations:
     """Three tables of an annotation document; missing arrays read as empty.
 
-    The documents are read once, into one table of tagged records that is stored by kind; the three tables are its
-    folders. `identifier` is the type of annotation ids. A single document cannot be split, so its scan is one task.
+    The documents are read once, into one stored table of tagged records; each of the three tables reads its own
+    columns of it. `identifier` is the type of annotation ids. A single document cannot be split, so its scan is one task.
     Data of any size comes as many documents, one per line (`one_document=False`), in which an image or a category
     may be repeated.
     """
@@ -69,7 +69,8 @@ def scan_annotations(spark: SparkSession, path: str, *, one_document: bool = Tru
 
     every = F.concat(tagged("image", "images"), tagged("category", "categories"), tagged("annotation", "annotations", typed))
     stored = scratch_path(spark, "annotations-tagged")
-    docs.select(F.inline(every)).write.partitionBy("kind").parquet(stored)
+    # Folders by kind would have every task sort its records, segmentations and all.
+    docs.select(F.inline(every)).write.parquet(stored, compression="zstd")
     columns = ", ".join(f"{k} {t}" for k, t in kinds.items())
     records = spark.read.schema(f"{columns}, kind string").parquet(stored)
 

@@ -21,6 +21,7 @@ PLACE = ["object_id", "x", "y", "z"]
 CELL = ["object_id", "cell"]
 LEAF = 256  # most places of a cell that is not cut further
 CUTS = 7
+BLOCK = 16  # places that one row looks up in their own cell
 MARGIN = 1 + 1e-9  # a hair for rounding
 BOX = [f"{end}{a}" for a in "xyz" for end in ("lo", "hi")]
 
@@ -63,14 +64,31 @@ def count_split(places: DataFrame, kind: str, leaf: int = LEAF) -> tuple[DataFra
         active = checkpointed(cut.select(*PLACE, "cell"), "places-active")
 
 
-def _nearest(x: Column, y: Column, z: Column, members: Column, wanted: int) -> Column:
-    """The `wanted` nearest of an array of members, as (`distance, neighbor_idx`), ties by index."""
+def _nearest(x: Column, y: Column, z: Column, places: Column, wanted: int, bound: Column | None = None) -> Column:
+    """The `wanted` nearest points at an array of places, as (`distance, neighbor_idx`), ties by index.
+
+    With `bound` only places no farther than that are sorted. A place among whose points is one of the nearest is itself
+    one of the `wanted` first places by distance and lowest index, so only their points are sorted.
+    """
+
+    def hit(p: Column) -> Column:
+        dx, dy, dz = x - p["x"], y - p["y"], z - p["z"]
+        return F.struct(F.sqrt(dx * dx + dy * dy + dz * dz).alias("distance"), p["ids"].alias("ids"))
+
+    hits = F.transform(places, hit)
+    if bound is not None:
+        hits = F.filter(hits, lambda h: h["distance"] <= bound)
+    first = F.slice(F.sort_array(hits), 1, wanted)
+
+    def each(h: Column) -> Column:
+        return F.transform(h["ids"], lambda i: F.struct(h["distance"].alias("distance"), i.alias("neighbor_idx")))
+
+    return F.slice(F.sort_array(F.flatten(F.transform(first, each))), 1, wanted)
 
-    def hit(m: Column) -> Column:
-        dx, dy, dz = x - m["x"], y - m["y"], z - m["z"]
-        return F.struct(F.sqrt(dx * dx + dy * dy + dz * dz).alias("distance"), m["point_idx"].alias("neighbor_idx"))
 
-    return F.slice(F.array_sort(F.transform(members, hit)), 1, wanted)
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of little size and much work in as many tasks as a shuffle has; by their bytes they would be one or two."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def _box_distance(axes: dict[str, tuple[Column, Column]], prefix: str = "") -> Column:
@@ -111,22 +129,25 @@ def nearest_neighbors(points: DataFrame, k: int, leaf: int = LEAF) -> DataFrame:
         finite = finite & (F.abs(a) < float("inf"))
     base = points.select("object_id", *[F.col(a).cast("double").alias(a) for a in "xyz"], "point_idx").filter(finite)
     first = Window.partitionBy(*PLACE).orderBy("point_idx")
-    members = checkpointed(base.withColumn("_copy", F.row_number().over(first)).filter(F.col("_copy") <= wanted), "members")
-    placed, tree, depth = count_split(members.filter(F.col("_copy") == 1).select(*PLACE), kind, leaf)
+    lowest = base.withColumn("_copy", F.row_number().over(first)).filter(F.col("_copy") <= wanted)
+    members = checkpointed(lowest.groupBy(*PLACE).agg(F.sort_array(F.collect_list("point_idx")).alias("ids")), "members")
+    placed, tree, depth = count_split(members.select(*PLACE), kind, leaf)
     if depth:
         members = members.join(placed, PLACE)
     else:
         members = members.withColumn("cell", F.lit(""))
-    # A cell holds at most `leaf` places, each with at most `k` + 1 copies.
-    member = F.struct("x", "y", "z", "point_idx")
-    cells = members.groupBy(*CELL).agg(F.collect_list(member).alias("_members"), F.collect_list(F.when(F.col("_copy") == 1, member)).alias("_places"))
+    # A cell holds at most `leaf` places, each with the indices of at most `k` + 1 copies.
+    cells = members.groupBy(*CELL).agg(F.collect_list(F.struct("x", "y", "z", "ids")).alias("_places"))
     if depth:
         cells = checkpointed(cells, "cell-members")
-    asked = cells.select(*CELL, "_members", F.explode("_places").alias("_p")).select(
-        *CELL, "_p.x", "_p.y", "_p.z", _nearest(F.col("_p.x"), F.col("_p.y"), F.col("_p.z"), F.col("_members"), wanted).alias("_hits")
+    starts = F.sequence(F.lit(1), F.size("_places"), F.lit(BLOCK))
+    blocks = _spread(cells.select(*CELL, "_places", F.explode(starts).alias("_start")), *CELL, "_start")
+    asked = blocks.select(*CELL, "_places", F.explode(F.slice("_places", F.col("_start"), F.lit(BLOCK))).alias("_p")).select(
+        *CELL, "_p.x", "_p.y", "_p.z", _nearest(F.col("_p.x"), F.col("_p.y"), F.col("_p.z"), F.col("_places"), wanted).alias("_hits")
     )
+    asked = checkpointed(asked, "own-cell")
     if depth:
-        asked = _with_other_cells(checkpointed(asked, "own-cell"), cells, tree.read(), depth, wanted, leaf)
+        asked = checkpointed(_with_other_cells(asked, cells, tree.read(), depth, wanted, leaf), "nearest")
     done = asked.select(*PLACE, F.posexplode("_hits").alias("rank", "_h")).filter(F.col("rank") > 0)
     done = done.select(*PLACE, "rank", "_h.neighbor_idx", "_h.distance")
     return split_join(base, done, PLACE, ["point_idx"]).select("object_id", "point_idx", "rank", "neighbor_idx", "distance")
@@ -155,12 +176,11 @@ def _with_other_cells(asked: DataFrame, cells: DataFrame, tree: DataFrame, depth
     pairs = _reached(reach, tree, depth, leaves.select(*CELL))
     visits = bounded.withColumnRenamed("cell", "asker").join(pairs, ["object_id", "asker"]).join(leaves, CELL)
     near = _box_distance({a: (F.col(a), F.col(a)) for a in "xyz"}) <= F.col("_bound") * MARGIN
-    visits = visits.filter(near).select(*PLACE, "cell", "_bound").join(cells.select(*CELL, "_members"), CELL)
-    found = _nearest(F.col("x"), F.col("y"), F.col("z"), F.col("_members"), wanted)
-    within = F.filter(found, lambda h: h["distance"] <= F.col("_bound") * MARGIN)
-    more = visits.select(*PLACE, within.alias("_hits"))
+    visits = _spread(visits.filter(near).select(*PLACE, "cell", "_bound"), *PLACE).join(cells.select(*CELL, "_places"), CELL)
+    found = _nearest(F.col("x"), F.col("y"), F.col("z"), F.col("_places"), wanted, F.col("_bound") * MARGIN)
+    more = visits.select(*PLACE, found.alias("_hits"))
     every = bounded.select(*PLACE, "_hits").unionAll(more)
-    merged = F.slice(F.array_sort(F.flatten(F.collect_list("_hits"))), 1, wanted)
+    merged = F.slice(F.sort_array(F.flatten(F.collect_list("_hits"))), 1, wanted)
     return every.groupBy(*PLACE).agg(merged.alias("_hits"))
 
 

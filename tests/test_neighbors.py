@@ -100,3 +100,29 @@ def test_points_without_a_place_have_no_neighbors(spark):
     got = neighbors.nearest_neighbors(spark.createDataFrame(rows, "object_id bigint, point_idx bigint, x double, y double, z double"), 3).collect()
     assert {(r["point_idx"], r["neighbor_idx"], r["distance"]) for r in got} == {(0, 1, 1.0), (1, 0, 1.0)}
     assert neighbors.nearest_neighbors(spark.createDataFrame([], "object_id bigint, point_idx bigint, x double, y double, z double"), 3).count() == 0
+
+
+def test_the_search_in_cells_is_spread_over_tasks(spark, monkeypatch):
+    """The rows of cells are few and small, their work is not."""
+    files, store = {}, neighbors.checkpointed
+
+    def counted(df, name="step"):
+        stored = store(df, name)
+        files[name] = sum(n > 0 for n in stored.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()) if name == "own-cell" else 0
+        return stored
+
+    monkeypatch.setattr(neighbors, "checkpointed", counted)
+    points = spark.range(1500).selectExpr("1L AS object_id", "id AS point_idx", "rand(1) AS x", "rand(2) AS y", "rand(3) AS z")
+    assert neighbors.nearest_neighbors(points, 4).count() == 1500 * 4 and files["own-cell"] > 4
+
+
+def test_many_copies_and_single_points_in_one_cell(spark):
+    """Copies beyond k + 1 a place, ties between places, and single points."""
+    places = [(0.0, 0.0, 0.0), (1.0, 0.0, 0.0), (-1.0, 0.0, 0.0), (0.0, 2.0, 0.0)]
+    rows = [(1, i, *places[i % 3]) for i in range(60)] + [(1, 60, *places[3])]
+    got = {}
+    for r in neighbors.nearest_neighbors(spark.createDataFrame(rows, "object_id int, point_idx int, x double, y double, z double"), 25).collect():
+        got.setdefault(r["point_idx"], {})[r["rank"]] = r["neighbor_idx"]
+    for _, i, *p in rows:
+        order = sorted((sum((a - b) ** 2 for a, b in zip(p, q)), j) for _, j, *q in rows)
+        assert [got[i][n] for n in range(1, 26)] == [j for _, j in order[1:26]]

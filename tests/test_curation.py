@@ -176,8 +176,7 @@ def test_selection_goes_on_from_half_filled_categories(spark):
 
 def test_keys_of_any_size_keep_their_order(spark, tmp_path):
     """Queries on annotation ids with order keys beyond 2^40, part and supplier keys beyond 2^33."""
-    from partloom.plans import REGISTRY
-    from tests.compare import TABLES, compare, connect
+        from tests.compare import TABLES, compare, connect
 
     for name in TABLES:
         frame = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
@@ -267,3 +266,12 @@ def test_pre_rotation_of_parallel_targets(spark):
     assert all(math.isclose(rows[2][i], 1 / math.sqrt(3)) for i in (2, 5, 8))
     with pytest.raises(Exception, match="non-zero"):
         cam.pre_rotation(spark.createDataFrame([(0.0, 0.0, 0.0)], "tx double, ty double, tz double")).collect()
+
+
+def test_distinct_images_are_counted_in_partitions_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(ins, "IMAGE_ROWS", 100)
+    rows = spark.range(3000).selectExpr("concat('c', id % 3) AS category_name", "id % 700 AS image_id", "id AS annotation_id")
+    groups = ins.category_groups(rows, "annotation_id", 3000)
+    assert "hashpartitioning(image_id" in groups._jdf.queryExecution().executedPlan().toString() and ", 30)" in groups._jdf.queryExecution().executedPlan().toString()
+    assert groups.collect() == ins.category_groups(rows, "annotation_id").collect()
+    assert [(r["num_available_objects"], r["num_available_images"], r["category_pos"]) for r in groups.orderBy("category_pos").collect()] == [(1000, 700, 0), (1000, 700, 1), (1000, 700, 2)]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from partloom.config import GeometryConfig, QuotaConfig
 from partloom.operators import instances as ins, masks as msk, quotas as quo
 from partloom.operators.ordered import id_chunk
+from partloom.plans import REGISTRY
 
 
 def test_orphans_are_dropped(spark):
@@ -176,7 +177,8 @@ def test_selection_goes_on_from_half_filled_categories(spark):
 
 def test_keys_of_any_size_keep_their_order(spark, tmp_path):
     """Queries on annotation ids with order keys beyond 2^40, part and supplier keys beyond 2^33."""
-        from tests.compare import TABLES, compare, connect
+    from partloom.plans import REGISTRY
+    from tests.compare import TABLES, compare, connect
 
     for name in TABLES:
         frame = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
@@ -275,3 +277,14 @@ def test_distinct_images_are_counted_in_partitions_of_bounded_size(spark, monkey
     assert "hashpartitioning(image_id" in groups._jdf.queryExecution().executedPlan().toString() and ", 30)" in groups._jdf.queryExecution().executedPlan().toString()
     assert groups.collect() == ins.category_groups(rows, "annotation_id").collect()
     assert [(r["num_available_objects"], r["num_available_images"], r["category_pos"]) for r in groups.orderBy("category_pos").collect()] == [(1000, 700, 0), (1000, 700, 1), (1000, 700, 2)]
+
+
+def test_records_of_a_split_are_not_sent_to_one_task(spark):
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(limit, "-1")
+    try:
+        index = REGISTRY["object_index"].plan(spark, "/root/testdata/sf0.001")
+        plan = index._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset(limit)
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan and index.count() > 0

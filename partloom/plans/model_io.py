@@ -55,10 +55,7 @@ SELECT event_id, readable AND clean AS none_ok, readable AND shape <> 'truncated
 )
 def parse_model_json(spark, d):
     """Clean, recovered by prefix, recovered by slice: what each level makes of the same answers."""
-    parsed = texts(spark, d).select(
-        "event_id",
-        *[model_text.parse_model_json(F.col("text"), level).alias(level) for level in ("none", "prefix", "slice")],
-    )
+    parsed = texts(spark, d).select("event_id", model_text.parse_at_levels(F.col("text"), ["none", "prefix", "slice"]).alias("_p")).select("event_id", "_p.*")
     return parsed.select(
         "event_id",
         *[F.col(f"{level}.error").isNull().alias(f"{level}_ok") for level in ("none", "prefix", "slice")],

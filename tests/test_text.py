@@ -154,3 +154,15 @@ def test_prompts_follow_their_templates(spark):
     assert "Return at most 4 parts for the object category 'office_chair'." in row["p"]
     assert "'the seat of the office chair'" in row["p"] and '{"parts":[{"part_name":"...","prompt":"..."}]}' in row["p"]
     assert '[{"part_name": "rim", "prompt": "the \\"rim\\"", "base_prompt": "b"}]' in row["c"]
+
+
+def test_levels_share_their_parsing(spark):
+    texts = ["", " ", '{"a": 1}', '[{"a": 1}, 2]', "[1]", "7", '{"a": 1} more', 'so: {"a": 1}.', "```json\n{\"a\": 1}\n```", '{"a": ', "[", 'x [{"b": {}}] y', None]
+    levels = ["none", "prefix", "slice"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(texts)], "i int, t string")
+    shared = model_text.parse_at_levels(F.col("t"), levels)
+    assert 0 < str(shared).count("parse_json") < sum(str(model_text.parse_model_json(F.col("t"), n)).count("parse_json") for n in levels)
+    show = lambda c: F.struct(F.to_json(c["value"]).alias("value"), c["error"].alias("error"))
+    both = df.select(shared.alias("s"), *[show(model_text.parse_model_json(F.col("t"), n)).alias(n) for n in levels])
+    for r in both.select(*[show(F.col(f"s.{n}")).alias(f"s_{n}") for n in levels], *levels).collect():
+        assert all(r[f"s_{n}"] == r[n] for n in levels)

@@ -176,12 +176,20 @@ def _with_other_cells(asked: DataFrame, cells: DataFrame, tree: DataFrame, depth
     pairs = _reached(reach, tree, depth, leaves.select(*CELL))
     visits = bounded.withColumnRenamed("cell", "asker").join(pairs, ["object_id", "asker"]).join(leaves, CELL)
     near = _box_distance({a: (F.col(a), F.col(a)) for a in "xyz"}) <= F.col("_bound") * MARGIN
-    visits = _spread(visits.filter(near).select(*PLACE, "cell", "_bound"), *PLACE).join(cells.select(*CELL, "_places"), CELL)
-    found = _nearest(F.col("x"), F.col("y"), F.col("z"), F.col("_places"), wanted, F.col("_bound") * MARGIN)
-    more = visits.select(*PLACE, found.alias("_hits"))
-    every = bounded.select(*PLACE, "_hits").unionAll(more)
-    merged = F.slice(F.sort_array(F.flatten(F.collect_list("_hits"))), 1, wanted)
-    return every.groupBy(*PLACE).agg(merged.alias("_hits"))
+    visits = _spread(visits.filter(near).select(*PLACE, "cell", "_bound"), *PLACE)
+    # One row per place met, so that most of them go by their distance alone, before anything is gathered or sorted.
+    met = visits.join(cells.select(*CELL, "_places"), CELL).select(*PLACE, "_bound", F.inline("_places").alias("_x", "_y", "_z", "ids"))
+    dx, dy, dz = F.col("x") - F.col("_x"), F.col("y") - F.col("_y"), F.col("z") - F.col("_z")
+    hits = met.select(*PLACE, F.sqrt(dx * dx + dy * dy + dz * dz).alias("distance"), "ids", "_bound")
+    hits = hits.filter(F.col("distance") <= F.col("_bound") * MARGIN).drop("_bound")
+    # Its nearest places hold its nearest points (see `_nearest`); a bound may let in any number of others.
+    order = Window.partitionBy(*PLACE).orderBy("distance", "ids")
+    first = hits.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= wanted)
+    each = F.transform("ids", lambda i: F.struct(F.col("distance"), i.alias("neighbor_idx")))
+    more = first.groupBy(*PLACE).agg(F.flatten(F.collect_list(each)).alias("_more"))
+    both = bounded.select(*PLACE, "_hits").join(more, PLACE, "left")
+    every = F.when(F.col("_more").isNull(), F.col("_hits")).otherwise(F.concat("_hits", "_more"))
+    return both.select(*PLACE, F.slice(F.sort_array(every), 1, wanted).alias("_hits"))
 
 
 def local_spacing(neighbors: DataFrame) -> DataFrame:

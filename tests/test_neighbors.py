@@ -126,3 +126,23 @@ def test_many_copies_and_single_points_in_one_cell(spark):
     for _, i, *p in rows:
         order = sorted((sum((a - b) ** 2 for a, b in zip(p, q)), j) for _, j, *q in rows)
         assert [got[i][n] for n in range(1, 26)] == [j for _, j in order[1:26]]
+
+
+def test_other_cells_are_met_place_by_place(spark, monkeypatch):
+    """No visit maps and sorts the whole list of a cell, and no more than the wanted places are gathered."""
+    plans, store = {}, neighbors.checkpointed
+
+    def kept(df, name="step"):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return store(df, name)
+
+    monkeypatch.setattr(neighbors, "checkpointed", kept)
+    rng = np.random.default_rng(4)
+    xyz = np.repeat(rng.uniform(0, 1, (150, 3)), 3, axis=0)
+    rows = [(1, i, *map(float, p)) for i, p in enumerate(xyz)]
+    got = {}
+    for r in neighbors.nearest_neighbors(spark.createDataFrame(rows, "object_id bigint, point_idx bigint, x double, y double, z double"), 7, 16).collect():
+        got.setdefault(r["point_idx"], {})[r["rank"]] = r["neighbor_idx"]
+    want = brute(rows, 7)
+    assert all([got[i][k + 1] for k in range(7)] == [n for _, n in want[(1, i)]] for i in range(len(rows)))
+    assert "transform(_places" not in plans["nearest"] and "WindowGroupLimit" in plans["nearest"]

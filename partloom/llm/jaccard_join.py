@@ -12,14 +12,13 @@ then verified on their whole sets, unless small sketches of both show already th
 from __future__ import annotations
 
 import hashlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
+from pandas.util import hash_array
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from partloom.llm.components import connected_components
@@ -27,7 +26,6 @@ from partloom.llm.suffix_tree import LOWERED
 from partloom.llm.text import set_aside
 from partloom.session import checkpointed
 
-MEMO_WORDS = 200_000
 SLICE_SHINGLES = 100_000
 HELD_KEYS = 1_000_000
 CROWD, CROWD_BLOCK = 16, 1024  # sets of a key from which it is crowded, and sets in a block
@@ -77,37 +75,27 @@ def _mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U64(31))
 
 
-class _WordHashes(dict):
-    """Hashes of words, remembered as long as there is room."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh64_intdigest(word)
-        if len(self) < MEMO_WORDS:
-            self[word] = value
-        return value
-
-
 class Shingler:
     """Sets of hashed shingles."""
 
     def __init__(self, join: Join):
         self.join = join
-        self.memo = _WordHashes()
 
     def shingles(self, text: str | None) -> np.ndarray:
         """Distinct shingle hashes in order; a shorter text is one shingle of all its words, none has none."""
         words = (text or "").encode().translate(LOWERED).split()
-        memo = self.memo
-        hashes = array("Q", [memo[w] for w in words])
-        n, width = len(hashes), min(self.join.width, len(hashes))
+        n, width = len(words), min(self.join.width, len(words))
         if n == 0:
             return np.zeros(0, dtype=U64)
-        values = np.frombuffer(hashes, dtype=U64)
+        # All words at once: most texts have many that were never seen before, so remembering them doesn't help.
+        values = hash_array(np.array(words, dtype=object), categorize=False)
         with np.errstate(over="ignore"):
             out = np.full(n - width + 1, width, dtype=U64)
             for i in range(width):
                 out = out * U64(0x9E3779B97F4A7C15) + values[i : n - width + 1 + i]
-        return np.unique(_mixed(out))
+        out = _mixed(out)
+        out.sort()
+        return out[np.append(True, out[1:] != out[:-1])]
 
 
 def _identity(shingles: np.ndarray) -> tuple[int, int]:

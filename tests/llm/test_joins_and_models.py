@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -374,3 +375,19 @@ def test_tree_grows_with_the_input(spark):
         assert got == pytest.approx(want, abs=1e-6)
     deep = {r["doc_id"]: r["score"] for r in suffix_tree.score_documents(docs, F.lit(True)).collect()}
     assert sum(deep.values()) > sum(want.values())
+
+
+def test_a_shingler_remembers_no_words():
+    """Words that were never seen before cost no more than others, and nothing of them stays."""
+    shingler = jaccard_join.Shingler(jaccard_join.Join())
+    shingler.shingles("some words to begin with")
+    tracemalloc.start()
+    sets = [shingler.shingles(" ".join(f"w{i}" for i in range(at, at + 1000))) for at in range(0, 50_000, 1000)]
+    sizes = [len(s) for s in sets]
+    del sets
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert sizes == [996] * 50 and held < 500_000
+    a, b = shingler.shingles("A b  c d e f"), shingler.shingles("a B c d\te f a b c d e f")
+    assert len(a) == 2 and set(a) < set(b) and len(b) == 6 and (np.diff(b.astype(object)) > 0).all()
+    assert len(shingler.shingles("one two")) == 1 and not len(shingler.shingles(" \n")) and not len(shingler.shingles(None))

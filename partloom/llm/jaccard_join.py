@@ -338,8 +338,8 @@ def _bitmap(values: DataFrame, place: Column, bits: int) -> np.ndarray:
         .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("p", F.lit(64)).cast("int"))).alias("b"))
     )
     out = np.zeros(bits // 64, dtype=np.int64)
-    for r in words.toLocalIterator():
-        out[r["w"]] = r["b"]
+    for batch in words.toArrow().to_batches():
+        out[batch.column("w").to_numpy()] = batch.column("b").to_numpy()
     return out
 
 
@@ -491,7 +491,9 @@ def similar_documents(docs: DataFrame, join: Join = Join(), *, hub_rounds: int =
     labels: DataFrame | None = None
     tested: DataFrame | None = None
     for turn in range(hub_rounds + 2):
-        open_asked, open_indexed = (asked, indexed) if labels is None else _open_keys(asked, indexed, labels)
+        if labels is not None:
+            asked, indexed = _open_keys(asked, indexed, labels)
+        open_asked, open_indexed = asked, indexed
         pairs, crowds, crowded = None, None, None
         if turn < hub_rounds:
             hub = F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(turn))).alias("hub")
@@ -542,21 +544,24 @@ def similar_documents(docs: DataFrame, join: Join = Join(), *, hub_rounds: int =
 
 
 def _same_id(usable: DataFrame) -> DataFrame:
-    nodes = usable.select("doc_id", "node").distinct()
-    first = nodes.groupBy("doc_id").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    return nodes.join(first, "doc_id").filter("node <> a").select("a", F.col("node").alias("b"))
+    several = usable.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("c")).filter("a <> c")
+    return usable.join(several, "doc_id").filter("node <> a").select("a", F.col("node").alias("b"))
 
 
 def _open_keys(asked: DataFrame, indexed: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both sides of the keys whose sets are not all in one component yet, with their labels."""
+    """Both sides of the keys whose sets are not all in one component yet, with their labels, stored: they are few.
+
+    Components only merge, so a key that is settled stays so, and the next turn looks at these alone.
+    """
 
     def labelled(rows: DataFrame) -> DataFrame:
-        return rows.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+        return rows.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
 
     asked, indexed = labelled(asked), labelled(indexed)
     both = asked.select("key", "label").unionAll(indexed.select("key", "label"))
     mixed = both.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).filter("_low <> _high").select("key")
-    return asked.join(mixed, "key"), indexed.join(mixed, "key")
+    mixed = checkpointed(mixed, "open-keys")
+    return checkpointed(asked.join(mixed, "key"), "open-asked"), checkpointed(indexed.join(mixed, "key"), "open-indexed")
 
 
 def one_per_group(docs: DataFrame, join: Join = Join()) -> DataFrame:

@@ -48,6 +48,22 @@ def test_components_of_paths_stars_and_noise(spark):
     assert components.connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_components_of_many_slices_and_of_one(spark, monkeypatch):
+    """What fits a slice is done without a round; what doesn't goes on with them, to the same components."""
+    rng = random.Random(4)
+    links = [(i, i + 1) for i in range(-50, 60)] + [(rng.randint(200, 900), rng.randint(200, 900)) for _ in range(500)]
+    links = [(a, b) for a, b in links if a != b] * 2
+    want = groups({x for p in links for x in p}, links)
+    df = spark.createDataFrame(links, "a bigint, b bigint").repartition(7)
+    stored = []
+    monkeypatch.setattr(components, "checkpointed", lambda df, name, store=components.checkpointed: (stored.append(name), store(df, name))[1])
+    for size, rounds in ((20, True), (components.SLICE_LINKS, False)):
+        stored.clear()
+        got = components.connected_components(df, slice_links=size).collect()
+        assert {r["node"]: r["component"] for r in got} == want and len(got) == len(want)
+        assert ("stars" in stored) == rounds
+
+
 # ---- n-gram join
 
 

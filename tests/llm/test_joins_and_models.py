@@ -8,6 +8,7 @@ import re
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -393,6 +394,30 @@ def test_tree_grows_with_the_input(spark):
     assert sum(deep.values()) > sum(want.values())
 
 
+def test_hashing_tokens_remembers_no_words():
+    """A worker's memory doesn't fill with words; a text's hashes don't depend on what was hashed with it."""
+    suffix_tree._hashed(pa.array(["some words to begin with"]))
+    tracemalloc.start()
+    sizes = [len(suffix_tree._hashed(pa.array([" ".join(f"w{i}" for i in range(at, at + 1000))]))[0]) for at in range(0, 50_000, 1000)]
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert sizes == [1001] * 50 and held < 500_000
+    ids, starts = suffix_tree._hashed(pa.array(["a B", None, "", "b\tA c"]))
+    a, b, end, c = (suffix_tree._WordHashes()[w] for w in (b"a", b"b", suffix_tree.END, b"c"))
+    assert ids.tolist() == [a, b, end, end, end, b, a, c, end] and starts.tolist() == [0, 3, 4, 5] and len({a, b, c, end}) == 4
+
+
+def test_vocabulary_counts_words_across_slices(spark):
+    """Counts of training texts and of all, in however many slices a task takes them."""
+    rng = random.Random(2)
+    rows = [(i, None if i == 7 else " ".join(f"w{rng.randint(0, 200)}" for _ in range(rng.randint(0, 30)))) for i in range(1200)]
+    found = suffix_tree.vocabulary(spark.createDataFrame(rows, DOCS).coalesce(1), F.col("doc_id") % 3 != 1).collect()
+    each = [(i % 3 != 1, w) for i, t in rows for w in suffix_tree.tokens_of(t)]
+    n, c = collections.Counter(w for _, w in each), collections.Counter(w for known, w in each if known)
+    hashes = suffix_tree._WordHashes()
+    assert {r["gram"]: (r["c"], r["n"]) for r in found} == {hashes[w]: (c[w], n[w]) for w in n} and len(found) == len(n)
+
+
 def test_a_shingler_remembers_no_words():
     """Words that were never seen before cost no more than others, and nothing of them stays."""
     shingler = jaccard_join.Shingler(jaccard_join.Join())

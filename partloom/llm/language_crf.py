@@ -8,6 +8,7 @@ and a document takes the language with the highest mean posterior.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -150,10 +151,10 @@ def train(
     for label, counter in enumerate(counts):
         for word, _ in sorted(counter.items(), key=lambda x: (-x[1], x[0]))[:lexicon_words]:
             lexicon[word] = lexicon.get(word, 0) | 1 << label
-    flat: list[int] = []
+    flat = array("q")  # eight bytes a number on the driver; a list has forty
     starts = [0]
     for word in ids:
-        flat += word_features(word, lexicon, buckets)
+        flat.extend(word_features(word, lexicon, buckets))
         starts.append(len(flat))
     features, offsets = np.array(flat, dtype=np.int64), np.array(starts)
     weights, squares = np.zeros((buckets, size)), np.full((buckets, size), 1e-2)

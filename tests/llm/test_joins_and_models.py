@@ -281,6 +281,22 @@ def test_language_of_texts_and_words(spark):
     assert [w["lang"] for w in labels[0]] == ["xx"] * 6 + ["yy"] * 6 and labels[1] == []
 
 
+def test_training_holds_features_as_numbers():
+    """The features of all words of the sample lie in the driver's memory as an array, not as a list of objects."""
+    words = [f"{a}{b}{c}qrstuvwxyz" for a in "abcdefghijklmnop" for b in "abcdefghijklmnop" for c in "abcdefghijklmnop"]
+
+    class Sample:
+        def collect(self):
+            return [{"lang": "x", "text": " ".join(words)}]
+
+    tracemalloc.start()
+    language_crf.train(Sample(), epochs=0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    features = sum(len(language_crf.word_features(w, {}, 1 << 15)) for w in words)
+    assert features > 70_000 and peak < 32 * features + 2_500_000
+
+
 def test_language_without_examples(spark):
     docs = spark.createDataFrame([(1, "words", None)], DOCS + ", lang string")
     model = language_crf.train(language_crf.training_documents(docs))

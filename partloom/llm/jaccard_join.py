@@ -379,7 +379,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, join: Join) -
     return both.filter(F.col("_shared") * 100 >= union * join.percent).select("a", "b")
 
 
-def _crowd_pairs(asked: DataFrame, indexed: DataFrame, nodes: DataFrame, join: Join, offers: int | None) -> DataFrame:
+def _crowd_pairs(asked: DataFrame, indexed: DataFrame, nodes: DataFrame, labels: DataFrame, join: Join, offers: int | None) -> DataFrame:
     """Candidates `(node, other)` from keys with many sets.
 
     Sets that crowded keys connect are one crowd. Its sketches are compared in blocks, each pair of blocks in
@@ -389,8 +389,9 @@ def _crowd_pairs(asked: DataFrame, indexed: DataFrame, nodes: DataFrame, join: J
     rows = asked.select("key", "node").unionAll(indexed.select("key", "node"))
     hubs = rows.groupBy("key").agg(F.min("node").alias("a"))
     crowd = checkpointed(connected_components(rows.join(hubs, "key").select("a", F.col("node").alias("b"))), "crowds")
-    known = asked.select("node", "label").unionAll(indexed.select("node", "label")).distinct()
-    members = checkpointed(known.join(crowd, "node").join(nodes.select("node", "n", "sketch"), "node"), "crowd-members")
+    own_label = labels.withColumnRenamed("component", "label")
+    members = crowd.join(nodes.select("node", "n", "sketch"), "node").join(own_label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    members = checkpointed(members, "crowd-members")
     blocks = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / CROWD_BLOCK).alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
@@ -505,7 +506,7 @@ def similar_documents(docs: DataFrame, join: Join = Join(), *, hub_rounds: int =
             last = crowded.isEmpty() or turn > hub_rounds
             if not crowded.isEmpty():
                 offers = OFFERS if turn == hub_rounds else None
-                crowds = _crowd_pairs(open_asked.join(crowded, "key"), open_indexed.join(crowded, "key"), nodes, join, offers)
+                crowds = _crowd_pairs(open_asked.join(crowded, "key"), open_indexed.join(crowded, "key"), nodes, labels, join, offers)
                 crowds = crowds.select(*_ordered(F.col("node"), F.col("other")))
         if turn == hub_rounds:
             few_asked, few_indexed = (x.join(crowded, "key", "left_anti") for x in (open_asked, open_indexed))
@@ -515,15 +516,16 @@ def similar_documents(docs: DataFrame, join: Join = Join(), *, hub_rounds: int =
             if leftovers.limit(1).count():
                 pairs = pairs.unionAll(_leftover_pairs(named, nodes, leftovers, join)).distinct()
         if pairs is not None:
-            if tested is not None:
-                pairs = pairs.join(tested, ["a", "b"], "left_anti")
             pairs = _close(pairs, nodes, join)
         if crowds is not None:
             # The sketches of crowds have been compared already.
-            untested = crowds.join(tested, ["a", "b"], "left_anti") if tested is not None else crowds
-            pairs = (untested if pairs is None else pairs.unionAll(untested)).distinct()
+            pairs = crowds if pairs is None else pairs.unionAll(crowds)
         if pairs is None:
             break
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        if crowds is not None:
+            pairs = pairs.distinct()
         pairs = checkpointed(pairs, "pairs")
         if pairs.limit(1).count():
             links = links.unionAll(checkpointed(_verified(pairs, named, nodes, join), "verified"))

@@ -423,6 +423,53 @@ def test_hashing_tokens_remembers_no_words():
     assert ids.tolist() == [a, b, end, end, end, b, a, c, end] and starts.tolist() == [0, 3, 4, 5] and len({a, b, c, end}) == 4
 
 
+def test_sequences_are_counted_a_length_and_a_part_at_a_time(spark):
+    """However many rounds take their parts, together they have every sequence seen twice, once; no round has all of them."""
+    rng = random.Random(21)
+    texts = [" ".join(f"w{rng.randint(0, 40)}" for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    docs, hashes = spark.createDataFrame(list(enumerate(texts)), DOCS), suffix_tree._WordHashes()
+    none = spark.sparkContext.broadcast((np.zeros(0, dtype=np.int64), np.zeros((0, 2))))
+    for n in (2, 3, 4):
+        want = collections.Counter()
+        for t in texts:
+            tokens = suffix_tree.tokens_of(t)
+            grams = np.array([hashes[w] for w in tokens], dtype=np.int64)
+            for k in range(2, n):
+                grams = suffix_tree._longer(grams, k)
+            want.update((int(grams[i - 1]), int(grams[i])) for i in range(n - 1, len(tokens)))
+        want = {k: c for k, c in want.items() if c > 1}
+        for rounds in (1, 4):
+            found = []
+            for part in suffix_tree.gram_counts(docs, F.lit(True), n, 12, none, None, rounds):
+                lists = [[np.frombuffer(x, dtype=np.int64).tolist() for x in (r["a"], r["b"], r["c"])] for r in part.collect()]
+                found.append([row for columns in lists for row in zip(*columns)])
+            assert len(found) == rounds and all(found)
+            rows = [row for part in found for row in part]
+            assert len(rows) == len(want) and {(a, b): c for a, b, c in rows} == want
+
+
+def test_a_full_filter_changes_no_score(spark):
+    """The filters only spare work: as full as they get on inputs far larger than their bits, scores are the same."""
+    rng = random.Random(22)
+    phrases = [" ".join(f"w{rng.randint(0, 300)}" for _ in range(5)) for _ in range(60)]
+    rows = [(i, " ".join(rng.choice(phrases) for _ in range(8))) for i in range(400)] + [(None, "w1 w2"), (400, None), (400, "w1 new")]
+    docs = spark.createDataFrame(rows, DOCS)
+    assert suffix_tree._rounds(np.full(8, 255, dtype=np.uint8)) == 4 and suffix_tree._rounds(np.zeros(8, dtype=np.uint8)) == 1
+    got = []
+    for shares in (suffix_tree.Shares(), suffix_tree.Shares(head=1.0, filter_bits=64), suffix_tree.Shares(head=2e-3, filter_bits=64)):
+        out = suffix_tree.score_documents(docs, F.col("doc_id") % 4 != 1, shares).collect()
+        got.append(sorted((r["doc_id"] or -1, r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in out))
+    assert len(got[0]) == len(rows) and got[0] == got[1] == got[2]
+
+
+def test_hashes_of_words_of_any_size():
+    """Words of up to 64 bytes are hashed by eights and longer ones one by one; each byte counts."""
+    words = [b"a" * n for n in range(1, 200)] + [b"a" * n + b"b" for n in range(199)] + [b"b" + b"a" * n for n in range(1, 199)] + [bytes([0]), bytes([0, 0])]
+    together = suffix_tree._word_hashes(b"\t " + b" \n".join(words) + b" ")
+    assert len(set(together.tolist())) == len(words) == len(together)
+    assert together.tolist() == [int(suffix_tree._word_hashes(w)[0]) for w in words]
+
+
 def test_vocabulary_counts_words_across_slices(spark):
     """Counts of training texts and of all, in however many slices a task takes them."""
     rng = random.Random(2)

@@ -462,6 +462,19 @@ def test_a_full_filter_changes_no_score(spark):
     assert len(got[0]) == len(rows) and got[0] == got[1] == got[2]
 
 
+def test_scoring_shuffled_texts_stores_them(spark, monkeypatch):
+    """Rounds tell rows by their place, so what a shuffle deals is read from one stored copy; tables that are read no more are freed."""
+    stored, freed, store, free = [], [], suffix_tree._Steps.store, suffix_tree._Steps.free
+    monkeypatch.setattr(suffix_tree._Steps, "store", lambda self, df, name: (stored.append(name), store(self, df, name))[1])
+    monkeypatch.setattr(suffix_tree._Steps, "free", lambda self, *names: (freed.extend(names), free(self, *names))[1])
+    docs = spark.createDataFrame([(i, f"a b c {i % 7} a b c") for i in range(50)], DOCS)
+    got = []
+    for given in (docs, docs.repartition(3, "text")):
+        got.append(sorted((r["doc_id"], round(r["score"], 9)) for r in suffix_tree.score_documents(given, F.lit(True)).collect()))
+        assert ("texts" in stored) == (given is not docs) and sorted({*freed, "sums"}) == sorted({*stored, "grams", "sums"})
+    assert got[0] == got[1]
+
+
 def test_hashes_of_words_of_any_size():
     """Words of up to 64 bytes are hashed by eights and longer ones one by one; each byte counts."""
     words = [b"a" * n for n in range(1, 200)] + [b"a" * n + b"b" for n in range(199)] + [b"b" + b"a" * n for n in range(1, 199)] + [bytes([0]), bytes([0, 0])]
